@@ -38,6 +38,8 @@ PRINT_WIDTH = 4
 #: Least cells of a sub-table in a comparison, and peeling rounds (each over one sub-table).
 LEAST_WIDTH, ROUNDS = 16, 15
 BOTTOM = 12
+#: What a document is compared with, by kind 0 and 1, and the columns of the likeness.
+KINDS, NEAR = ("edited_keys", "next_keys"), ("near_edited", "near_next")
 
 
 def digests(text: Column) -> Column:
@@ -144,40 +146,49 @@ def _likeness(left: str, right: str, d: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d))
 
 
+def _pairs(base: DataFrame) -> DataFrame:
+    """(key, print, kind, left, right): each document's digests against its edited text's (kind 0) and the next document's (kind 1)."""
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("right")) for k, c in enumerate(KINDS)]))
+    return base.select("key", "print", F.col("keys").alias("left"), sides.alias("s")).select("key", "print", "s.kind", "left", "s.right")
+
+
+def _found(peeled: DataFrame, base: DataFrame) -> DataFrame:
+    """``base`` with the columns open_0, d_0, open_1, d_1 of its pairs; documents whose sketches cancelled altogether have no row in ``peeled``."""
+    of = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in ("open", "d")]
+    found = peeled.groupBy("key", "print").agg(*of).withColumnsRenamed({"key": "_key", "print": "_print"})
+    out = base.join(found, (F.col("key") == F.col("_key")) & _same("print", "_print"), "left").drop("_key", "_print")
+    return out.fillna(0, [f"{c}_{k}" for k in (0, 1) for c in ("open", "d")])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The operator: every row with its fingerprint, its edited text's, and the likeness to that and to the next document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), _quarter("head", "char_length(text)"))
     base = _documents(docs).withColumn("edited", edited)
     base = base.select("key", "print", "times", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
-
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("right")) for k, c in (("edited", "edited_keys"), ("next", "next_keys"))]))
-    pairs = base.select("key", "print", F.col("keys").alias("left"), sides.alias("s")).select("key", "print", "s.kind", "left", "s.right")
-    group = ["key", "print"]
-    first = _peel(pairs.withColumn("width", _power(_estimated(F.col("left"), F.col("right")) * 0.6)), group, salt=0)
-    # a larger sketch, with another salt, for what did not end clean
-    failed = first.where("open > 0").select(F.col("key").alias("_key"), F.col("print").alias("_print"), F.col("kind").alias("_kind"))
-    again = pairs.join(failed, (F.col("key") == F.col("_key")) & _same("print", "_print") & (F.concat("kind", F.lit("")) == F.concat("_kind", F.lit(""))), "left_semi")
-    second = _peel(again.withColumn("width", _power((F.size("left") + F.size("right")) * 0.8 + 64)), group, salt=10)
-
-    def by_kind(peeled: DataFrame, name: str) -> DataFrame:
-        of = [F.max(F.when(F.col("kind") == k, F.struct("open", "d"))).alias(f"{name}_{k}") for k in ("edited", "next")]
-        return peeled.groupBy(*group).agg(*of).withColumnsRenamed({"key": f"{name}_key", "print": f"{name}_print"})
-
-    out = base
-    for name, peeled in (("first", first), ("second", second)):
-        found = by_kind(peeled, name)
-        out = out.join(found, (F.col("key") == F.col(f"{name}_key")) & _same("print", f"{name}_print"), "left")
-
-    def near(k: str, other: str) -> Column:
-        plain = F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))
-        d = F.when(F.coalesce(F.col(f"first_{k}.open"), F.lit(0)) == 0, F.coalesce(F.col(f"first_{k}.d"), F.lit(0)))
-        d = d.when(F.coalesce(F.col(f"second_{k}.open"), F.lit(0)) == 0, F.coalesce(F.col(f"second_{k}.d"), F.lit(0))).otherwise(plain)
-        return _likeness("keys", other, d)
-
-    doc_id = F.when(F.col("key") != "", F.col("key").cast(kind)).alias("doc_id")
-    out = out.select(doc_id, "n_chars", "edited_sha256", printed(F.col("keys")).alias("fingerprint"), printed(F.col("edited_keys")).alias("edited_fingerprint"), near("edited", "edited_keys").alias("near_edited"), near("next", "next_keys").alias("near_next"), "times")
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_", "times")
+    first = _peel(_pairs(base).withColumn("width", _power(_estimated(F.col("left"), F.col("right")) * 0.6)), ["key", "print"], salt=0)
+
+    def plain(other: str) -> Column:
+        return F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))
+
+    def finished(found: DataFrame, last: bool) -> DataFrame:
+        near = [F.when(F.col(f"open_{k}") == 0, _likeness("keys", c, F.col(f"d_{k}"))).otherwise(_likeness("keys", c, plain(c)) if last else F.lit(None)).alias(n) for k, (c, n) in enumerate(zip(KINDS, NEAR, strict=True))]
+        prints = [printed(F.col("keys")).alias("fingerprint"), printed(F.col("edited_keys")).alias("edited_fingerprint")]
+        unsure = (F.col("open_0") > 0) | (F.col("open_1") > 0)
+        kept = [] if last else [F.when(unsure, F.col(c)).alias(c) for c in ("keys", *KINDS)]
+        return found.select("key", "print", "times", "n_chars", "edited_sha256", *prints, *near, *kept)
+
+    # the digests stay only of documents whose sketches did not peel clean
+    done = stored(finished(_found(first, base), last=False), "fingerprints")
+    unsure = done.where("keys is not null")
+    out = done.where("keys is null").drop("keys", *KINDS)
+    if not unsure.isEmpty():
+        # a larger sketch, with room for all digests of both and another salt; after it the digests themselves
+        wide = _pairs(unsure).withColumn("width", _power((F.size("left") + F.size("right")) * 0.8 + 64))
+        second = _peel(wide.repartition("key"), ["key", "print"], salt=10)
+        out = out.unionByName(finished(_found(second, unsure), last=True))
+    doc_id = F.when(F.col("key") != "", F.col("key").cast(docs.schema["doc_id"].dataType)).alias("doc_id")
+    out = out.select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *NEAR, "times")
+    return out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
 
 
 def _same(a: str, b: str) -> Column:
