@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import doc_fingerprint, language_id, mixing, packing, quality
+from . import chat_format, doc_fingerprint, language_id, license_scan, mixing, packing, quality
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify_documents(table(spark, sf_dir, "documents"), spans=True)
     return out.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
@@ -29,18 +33,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.link(table(spark, sf_dir, "conversations"), turns=True)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op4_fingerprint": op4_fingerprint,
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
+    "op8_chat_format": op8_chat_format,
     "op10_quality": op10_quality,
 }
 
 #: DuckDB equivalents where SQL can express the whole result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
+    "op8_chat_format": chat_format.ORACLE_SQL,
+}
