@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,7 +33,7 @@ from .common import Words, mix64, text_slices
 
 CAPACITY = 4096
 END_ID = 2
-_TOKENIZERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def public_tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,39 +43,70 @@ def public_tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file, loaded once in each Python process."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+    return Tokenizer.from_file(path)
+
+
+#: A letter or digit, then full stops and commas: the tokenizer always cuts between them.
+_TAIL = r"([a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])[.,]+$"
 
 
 class Encoder:
-    """Ids of chunks, remembered up to ``most`` chunks at a time."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each chunk."""
-        known = self.known
-        fresh = [c for c in chunks if c not in known]
-        if fresh:
-            if len(known) + len(fresh) > self.most:
-                known.clear()
-                fresh = chunks
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        return [known[c] for c in chunks]
+    """Ids of chunks.  Those of recent words are remembered, across tasks: two generations of ``most`` words each at most."""
+
+    def __init__(self, path: str, most: int = 500_000):
+        self.tokenizer, self.most, self.young, self.old = _tokenizer(path), most, {}, {}
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        fresh = []
+        for word in words:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    fresh.append(word)
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i : i + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                young[word] = array("I", found.ids).tobytes()
+        out = [young[w] for w in words]
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return out
+
+    def ids(self, chunks: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each chunk.
+
+        The tokenizer lower-cases what isn't the name of a special token; stops and commas after a word
+        are taken by themselves, so that a word is met in one form.
+        """
+        words = pc.if_else(pc.match_substring(chunks, "<|"), chunks, pc.ascii_lower(chunks))
+        stems = pc.replace_substring_regex(words, _TAIL, r"\1")
+        coded = stems.dictionary_encode()
+        found = self._word_ids(coded.dictionary.to_pylist())
+        out = [found[k] for k in coded.indices.to_pylist()]
+        longer = np.flatnonzero(pc.not_equal(pc.binary_length(words), pc.binary_length(stems)).to_numpy(zero_copy_only=False))
+        at = pa.array(longer)
+        tails = [w[len(t) :] for w, t in zip(words.take(at).to_pylist(), stems.take(at).to_pylist(), strict=True)]
+        known = dict(zip(distinct := list(set(tails)), self._word_ids(distinct), strict=True))
+        for k, tail in zip(longer.tolist(), tails, strict=True):
+            out[k] += known[tail]
+        return out
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each Python process and tokenizer."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def documents_ids(words: Words, encoder: Encoder, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows in a row, each row's with the end id after them; and where each row's begin (n + 1)."""
-    found = encoder.ids(words.distinct.to_pylist())
+    found = encoder.ids(words.distinct)
     flat = np.frombuffer(b"".join(found), dtype="<u4")
     size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
     begin = np.concatenate([[0], np.cumsum(size)])
@@ -93,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, groups: int, capacity: int = CA
     """The pieces of every document, each with its random group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context, made = Encoder(tokenizer_path), TaskContext.get(), 0
+        encoder, context, made = _encoder(tokenizer_path), TaskContext.get(), 0
         place = np.uint64(((context.partitionId() if context else 0) << 36) ^ (seed << 20))
         for batch in batches:
             for part in text_slices(batch, limit=12 << 20):
