@@ -144,7 +144,9 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     size = np.diff(starts)
     at = np.arange(starts[-1]) - np.repeat(starts[:-1], size)
     longest = int(size.max())
-    power = np.cumprod(np.concatenate([[1], np.full(longest - 1, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64)]).astype(np.uint64))
+    power = np.full(longest, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
     value = mix64(np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * (seed + 1)))[data]
     return mix64(np.add.reduceat(value * power[at], starts[:-1]))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, doc_fingerprint, language_id, license_scan, mixing, packing, quality
+from . import chat_format, doc_fingerprint, language_id, license_scan, lm_scoring, mixing, packing, quality
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link(table(spark, sf_dir, "conversations"), turns=True)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality": op10_quality,
 }
 
