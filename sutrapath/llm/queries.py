@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, doc_fingerprint, language_id, license_scan, lm_scoring, mixing, packing, quality
+from . import chat_format, doc_fingerprint, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
+    "op3_ngram_join": op3_ngram_join,
     "op4_fingerprint": op4_fingerprint,
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB equivalents where SQL can express the whole result.
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
 }
