@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Words, fold, mix64, stored, text_slices, word_hashes
 
 CUT, EPSILON, BASE = 5, 1e-3, 0.1
-SLICE = 12 << 20
+SLICE = 10 << 20
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 #: Sums kept for each document: base and seen logarithms, logarithms of backed-off tokens; then counts.
 REAL, COUNT = ("base", "seen", "off"), ("known", *(f"r{r}" for r in range(1, CUT + 1)), "big", "n_off")
@@ -69,14 +69,14 @@ def _slice_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     n = len(words.distinct)
     symbols = np.concatenate([word_hashes(words.distinct), [START, END]])
     starts = words.starts + np.arange(words.rows + 1)
-    second = np.full(starts[-1], n + 1, dtype=np.int64)
+    second = np.full(starts[-1], n + 1, dtype=np.int32)
     inner = np.ones(starts[-1], dtype=bool)
     inner[starts[1:] - 1] = False
     second[inner] = words.code
     first = np.empty_like(second)
     first[1:] = second[:-1]
     first[starts[:-1]] = n
-    return symbols, first, second, np.repeat(np.arange(words.rows), np.diff(starts))
+    return symbols, first, second, np.repeat(np.arange(words.rows, dtype=np.int32), np.diff(starts))
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def _frequent(docs: DataFrame, bucket_tokens: int) -> tuple[int, int, dict[str,
                 hot = _lookup(symbols, table)[1]
                 count = np.bincount(second, minlength=len(symbols))
                 both = hot[first] & hot[second]
-                pairs, times = np.unique(first[both] * len(symbols) + second[both], return_counts=True)
+                pairs, times = np.unique(first[both].astype(np.int64) * len(symbols) + second[both], return_counts=True)
                 keep = times >= share / 2 * len(second)
                 pairs, times, n = pairs[keep], times[keep], int(hot.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -204,19 +204,26 @@ def _deal(docs: DataFrame, buckets: int, words: dict[str, np.ndarray], pairs: di
                 bucket = mix64(b) % np.uint64(buckets)
                 hot = _lookup(b, words)[1] if len(words["key"]) else np.zeros(len(b), dtype=bool)
                 bucket[hot] = _pair(a[hot], b[hot]) % np.uint64(buckets)
+                del a, b, hot
                 key = (bucket * np.uint64(len(symbols)) + second.astype(np.uint64)) * np.uint64(len(symbols)) + first.astype(np.uint64)
                 order = np.argsort(key, kind="stable")
-                key, bucket, first, second, code = key[order], bucket[order], first[order], second[order], (row * 2 + train[row])[order]
+                key = key[order]
                 fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+                total, bucket = len(key), bucket[order]
+                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if total else np.zeros(0, dtype=np.int64)
+                bucket = bucket[cut]
+                del key
+                code = (row * np.int64(2) + train[row])[order]
+                first, second = first[order], second[order]
+                del order
                 items = [(at % buckets, part.column("doc_id").to_pylist(), _pack(**sums))]
                 yield _rows("ids", at, items)
                 items = []
-                for lo, hi in zip(cut, np.append(cut[1:], len(key)), strict=True):
+                for where, lo, hi in zip(bucket, cut, np.append(cut[1:], total), strict=True):
                     begin = np.flatnonzero(fresh[lo:hi])
                     one, one_at = np.unique(first[lo:hi][begin], return_inverse=True)
                     two, two_times = np.unique(second[lo:hi][begin], return_counts=True)
-                    items.append((int(bucket[lo]), None, _pack(rows=np.array([len(part)]), first=symbols[one], first_at=_narrow(one_at), second=symbols[two], second_times=_narrow(two_times), times=_narrow(np.diff(np.append(begin, hi - lo))), code=_narrow(code[lo:hi]))))
+                    items.append((int(where), None, _pack(rows=np.array([len(part)]), first=symbols[one], first_at=_narrow(one_at), second=symbols[two], second_times=_narrow(two_times), times=_narrow(np.diff(np.append(begin, hi - lo))), code=_narrow(code[lo:hi]))))
                 yield _rows("tokens", at, items)
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, SCHEMA)
@@ -251,20 +258,30 @@ def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray]) -> D
         slices, data = blocks.column("slice").to_pylist(), [_unpack(p.as_py()) for p in blocks.column("payload")]
         del group, blocks
         # every bigram of every block, with its tokens in training
-        first = np.concatenate([d["first"][d["first_at"]] for d in data])
-        second_of = [np.repeat(np.arange(len(d["second"])), d["second_times"]) for d in data]
-        second = np.concatenate([d["second"][s] for d, s in zip(data, second_of, strict=True)])
-        begins = [np.concatenate([[0], np.cumsum(d["times"].astype(np.int64))[:-1]]) for d in data]
-        train = np.concatenate([np.add.reduceat((d["code"] & 1).astype(np.int64), b) for d, b in zip(data, begins, strict=True)])
-        two, two_at = np.unique(second, return_inverse=True)
-        count2 = np.bincount(two_at, weights=train).astype(np.int64)
+        begins = [np.cumsum(d["times"], dtype=np.int64) - d["times"] for d in data]
+        train_of = [np.add.reduceat(d["code"] & 1, b, dtype=np.int32) for d, b in zip(data, begins, strict=True)]
+        two, two_at = np.unique(np.concatenate([d["second"] for d in data]), return_inverse=True)
+        heads = [np.cumsum(d["second_times"], dtype=np.int64) - d["second_times"] for d in data]
+        count2 = np.bincount(two_at, weights=np.concatenate([np.add.reduceat(t, h) for t, h in zip(train_of, heads, strict=True)])).astype(np.int64)
         place, hot = _lookup(two, words)
         distinct = int(((count2 > 0) & ~hot).sum())
         count2[hot] = words["count"][place[hot]]
-        count2 = count2[two_at]
-        _, head, both = np.unique(_pair(first, second), return_index=True, return_inverse=True)
-        per_type = np.bincount(both, weights=train).astype(np.int64)
-        count12 = per_type[both]
+        count2, ends = count2[two_at], np.cumsum([len(d["second"]) for d in data])
+        count2_of = [np.repeat(count2[e - len(d["second"]) : e], d["second_times"]) for e, d in zip(ends, data, strict=True)]
+        first = np.concatenate([d["first"][d["first_at"]] for d in data])
+        pair = _pair(first, np.concatenate([np.repeat(d["second"], d["second_times"]) for d in data]))
+        order = np.argsort(pair).astype(np.int32)
+        pair = pair[order]
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
+        del pair
+        head = order[fresh]
+        both = np.empty(len(order), dtype=np.int32)
+        both[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, fresh
+        per_type = np.bincount(both, weights=np.concatenate(train_of)).astype(np.int64)
+        del train_of
+        count12 = per_type[both].astype(np.int32)
+        del both
         totals = {f"n{r}": np.array([(per_type == r).sum()]) for r in range(1, CUT + 2)} | {"distinct": np.array([distinct])}
         # of each context: how many words follow it how often, and their base mass
         live = per_type > 0
@@ -272,18 +289,20 @@ def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray]) -> D
         times = per_type[live]
         sums = {f"r{r}": np.bincount(one_at[times == r], minlength=len(one)) for r in range(1, CUT + 1)}
         sums["big"] = np.bincount(one_at, weights=np.where(times > CUT, times, 0), minlength=len(one)).astype(np.int64)
-        mass = np.bincount(one_at, weights=count2[head[live]] + BASE, minlength=len(one))
+        mass = np.bincount(one_at, weights=np.concatenate(count2_of)[head[live]] + BASE, minlength=len(one))
+        del head, live, times, one_at
         away, lo = [], 0
-        for at, d, begin in zip(slices, data, begins, strict=True):
-            n = len(begin)
-            rows = int(d["rows"][0])
+        for at, d, c2 in zip(slices, data, count2_of, strict=True):
+            n, rows = len(c2), int(d["rows"][0])
             size, row = d["times"].astype(np.int64), (d["code"] >> 1).astype(np.int64)
-            c12, c2, is_word = (np.repeat(x, size) for x in (count12[lo : lo + n], count2[lo : lo + n], second[lo : lo + n] != END))
-            out.append(_rows("sums", at, [(0, None, _pack(**_document_sums(row, rows, c12, c2, is_word)))]))
+            is_word = np.repeat(np.repeat(d["second"] != END, d["second_times"]), size)
+            c12 = np.repeat(count12[lo : lo + n], size)
+            out.append(_rows("sums", at, [(0, None, _pack(**_document_sums(row, rows, c12, np.repeat(c2, size), is_word)))]))
             off = c12 == 0
             if off.any():
                 away.append((at, np.repeat(first[lo : lo + n], size)[off], row[off]))
             lo += n
+        del data, first, count12, count2_of
         out.append(_rows("totals", -1, [(0, None, pickle.dumps({k: int(v[0]) for k, v in totals.items()}))]))
         to = mix64(one) % np.uint64(buckets)
         for b in np.unique(to):
@@ -373,7 +392,7 @@ def _gather(parts: DataFrame) -> DataFrame:
     return parts.groupBy("slice").applyInArrow(run, "doc_id string, " + ", ".join([*(f"{k} double" for k in (*REAL, "away")), *(f"{k} long" for k in fields)]))
 
 
-def score_documents(docs: DataFrame, bucket_tokens: int = 2_500_000, least_buckets: int = 16) -> DataFrame:
+def score_documents(docs: DataFrame, bucket_tokens: int = 2_000_000, least_buckets: int = 16) -> DataFrame:
     """The operator: learns from rows whose crc32(doc_id) mod 10 is not 0, scores every row.
 
     Every token of every text counts; ``bucket_tokens`` sets how many a task holds at a time.
