@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the Python kernels take at a time.
@@ -66,6 +68,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def carried(docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    name = "_found"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def mapped(docs: DataFrame, run: Callable, made: list[tuple[str, str]], carry: bool) -> DataFrame:
+    """mapInArrow of a function whose rows come from ``beside``: doc_id and the columns ``made``, or all columns and those in a struct."""
+    if not carry:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{k} {t}" for k, t in made)]))
+    found = StructType([StructField(carried(docs), StructType.fromDDL(", ".join(f"{k} {t}" for k, t in made)))])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *found.fields]))
+
+
+def beside(part: pa.RecordBatch, made: list[pa.Array], names: list[str], carry: bool) -> pa.RecordBatch:
+    if not carry:
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *names])
+    return pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*part.schema.names, "_"])
+
+
 # --- Arrow kernel -------------------------------------------------------------------------
 
 

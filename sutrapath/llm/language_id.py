@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, ngram_features, segment_sums, text_slices
+from .common import Words, beside, carried, fold, mapped, ngram_features, segment_sums, text_slices
 
 #: Unicode script ranges of letters (first, last code point).
 SCRIPTS = {
@@ -164,11 +164,14 @@ def label_words(model: Model, words: Words, penalty: float, clip: float) -> tupl
     return label, letters[words.code], known[words.code]
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0, clip: float = 6.0, spans: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text) with lang_pred, score and spans (language, first word, words, letters)."""
+def identify(docs: DataFrame, model: Model, penalty: float = 8.0, clip: float = 6.0, spans: bool = True, carry: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text) with lang_pred, score and spans (language, first word, words, letters).
+
+    With ``carry`` all columns of ``docs`` stay, and the new ones are members of one column named by ``carried``.
+    """
     packed = (model.languages, model.weight, model.allowed)
-    key = docs.schema["doc_id"]
-    fields = f"doc_id {key.dataType.simpleString()}, lang_pred string, score double" + (", spans array<struct<lang:string,start:long,words:long,letters:long>>" if spans else "")
+    spans = spans and not carry
+    made = [("lang_pred", "string"), ("score", "double"), *[("spans", "array<struct<lang:string,start:long,words:long,letters:long>>")] * spans]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +192,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, clip: float =
                 sure = total.sum(1) > 0
                 best = np.where(sure, total.argmax(1), k)
                 score = np.where(sure, total.max(1) / np.maximum(whole, 1), 0.0)
-                out = [part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)]
+                out = [pa.array(names[best], pa.string()), pa.array(score)]
                 if spans:
                     out.append(_spans(model.languages, words, label, letters, span_type))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", *["spans"] * spans])
+                yield beside(part, out, [k for k, _ in made], carry)
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return mapped(docs, run, made, carry)
 
 
 def _spans(languages: list[str], words: Words, label: np.ndarray, letters: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -216,3 +219,10 @@ def identify_documents(docs: DataFrame, train_bytes: int = 16 << 20, spans: bool
     model = train(sample_rows(docs.where(fold("doc_id", 4) != 2), train_bytes))
     out = identify(docs, model, spans=spans)
     return out.withColumn("held_out", fold("doc_id", 4) == 2)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, train_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` with a language that has at least ``least`` of the letters; all columns stay as they are."""
+    model = train(sample_rows(docs.where(fold("doc_id", 4) != 2), train_bytes))
+    found = F.col(carried(docs))
+    return identify(docs, model, carry=True).where((found["lang_pred"] != "und") & (found["score"] >= least)).select(*docs.columns)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import WORD, stored, word_count
 
 MOST_REPEATS = 3
 
@@ -76,9 +76,11 @@ def _hash(seed: int, *columns: str | Column) -> Column:
     return F.xxhash64(*columns, F.lit(seed))
 
 
-def mix(docs: DataFrame, shards: int = 16, block_docs: int = 512, most: int = MOST_REPEATS, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 16, block_docs: int = 512, most: int = MOST_REPEATS, seed: int = 5, rows: DataFrame | None = None) -> DataFrame:
     """The operator: every document with size, source_size, target, taken (words), and ``shards``, the shard of each of its copies,
     with ``shard_order``, its place key within a shard.
+
+    ``rows`` (doc_id, source, size and others), where given, are the same documents with columns that stay.
     """
     spark = docs.sparkSession
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
@@ -89,12 +91,13 @@ def mix(docs: DataFrame, shards: int = 16, block_docs: int = 512, most: int = MO
         .withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
     )
     sources = stored(sources.select("source", "source_size", "target", "blocks", "passes", "rest"), "mix-sources")
-    placed = (
-        sizes.join(sources.select(F.col("source").alias("_source"), "source_size", "target", "blocks", "passes", "rest"), F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("block", F.pmod(_hash(seed, "doc_id"), F.col("blocks")))
-        .withColumn("order", _hash(seed + 1, "doc_id"))
-    )
+
+    def place(rows: DataFrame) -> DataFrame:
+        own = sources.select(F.col("source").alias("_source"), "source_size", "target", "blocks", "passes", "rest")
+        rows = rows.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return rows.withColumn("block", F.pmod(_hash(seed, "doc_id"), F.col("blocks"))).withColumn("order", _hash(seed + 1, "doc_id"))
+
+    placed = place(sizes)
     of = Window.partitionBy("source").orderBy("permuted", "block")
     blocks = (
         placed.groupBy("source", "block")
@@ -142,7 +145,26 @@ def mix(docs: DataFrame, shards: int = 16, block_docs: int = 512, most: int = MO
     plan = stored(plan, "mix-plan")
     partly = F.when(F.col("order") < F.col("cut.order"), F.col("size")).when(F.col("order") == F.col("cut.order"), F.floor(F.col("size") * F.col("cut.share"))).otherwise(0)
     taken = F.col("draws") * F.col("size") - F.when(F.col("part"), F.col("size") - partly).otherwise(0)
-    out = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).withColumn("taken", taken.cast("long"))
+    out = placed if rows is None else place(rows)
+    out = out.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).withColumn("taken", taken.cast("long"))
     # a block drawn in part gives no copy of a document beyond its cut
     copies = F.when(F.col("part") & (F.col("order") > F.col("cut.order")), F.slice("shards", F.lit(1), F.greatest(F.lit(0), F.col("draws").cast("int") - 1))).otherwise(F.col("shards"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce(copies, F.array().cast("array<int>")).alias("shards"), _hash(seed + 3, "doc_id").alias("shard_order"))
+    more = [] if rows is None else [c for c in rows.columns if c not in ("doc_id", "source", "size")]
+    return out.select("doc_id", "source", "size", *more, "source_size", "target", "taken", F.coalesce(copies, F.array().cast("array<int>")).alias("shards"), _hash(seed + 3, "doc_id").alias("shard_order"))
+
+
+def mixed_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, and of one taken in part its first words.
+
+    ``n_chars``, where there is such a column, is that of the text returned.
+    """
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
+    out = mix(docs, shards, rows=rows)
+    whole, part = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0), F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    out = out.select("_row", F.explode(copies).alias("_part"))
+    text = F.col("_row.text")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " ")
+    text = F.when(F.col("_part") > 0, first).otherwise(text)
+    columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns)

@@ -233,6 +233,25 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each component, the one with the least id; rows without an id stay.
+
+    Of rows with equal id and text one stays.
+    """
+    found = stored(join(docs, width, percent).where("doc_id is not null"), "join-result")
+    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("times"))
+    ids = stored(ids.where("stays = 0 or times > 1").withColumnRenamed("doc_id", "_id"), "join-gone")
+    few = ids.count() <= BROADCAST_ROWS
+    gone, twice = ids.where("stays = 0").select("_id"), ids.where("stays = 1").select("_id")
+    gone, twice = (F.broadcast(x) if few else x for x in (gone, twice))
+    key = F.col("doc_id").cast("long") == F.col("_id")
+    out = docs.join(gone, key, "left_anti")
+    if twice.isEmpty():
+        return out
+    again = out.join(twice, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(twice, key, "left_anti").unionByName(again)
+
+
 #: DuckDB equivalent for ``join(documents)``: every pair that shares a shingle, then components.
 ORACLE_SQL = r"""
 WITH RECURSIVE words AS (

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, ngram_features, segment_sums, text_slices
+from .common import Words, beside, carried, fold, mapped, ngram_features, segment_sums, text_slices
 
 ORDERS = (2, 3, 4)
 REPEAT_WEIGHT = 8
@@ -107,8 +107,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return sorted((r["text"], r["_label"]) for r in rows.select("text", "_label").collect())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) with score, the probability of label 1, and predicted."""
+def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text) with score, the probability of label 1, and predicted.
+
+    With ``carry`` all columns of ``docs`` stay, and the new ones are members of one column named by ``carried``.
+    """
+    made = [("score", "double"), ("predicted", "int")]
     weight, bias = model.difference()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +126,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     again = REPEAT_WEIGHT * repeats(words)
                     logit = (words.row_sums(per_word) + again * weight[-1]) / np.maximum(words.row_sums(size) + again, 1)
                 value = 1 / (1 + np.exp(-np.clip(logit + bias, -500, 500)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+                yield beside(part, [pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [k for k, _ in made], carry)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return mapped(docs, run, made, carry)
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000) -> DataFrame:
@@ -134,3 +138,9 @@ def classify_documents(docs: DataFrame, labels: DataFrame, label: str = "quality
     """
     model = train(labelled_sample(docs, labels.where(fold("doc_id", 3) != 1), label, most))
     return score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000) -> DataFrame:
+    """The rows of ``docs`` that are predicted to have label 1; all columns stay as they are."""
+    model = train(labelled_sample(docs, labels.where(fold("doc_id", 3) != 1), label, most))
+    return score(docs, model, carry=True).where(F.col(carried(docs))["predicted"] == 1).select(*docs.columns)
