@@ -11,8 +11,6 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,10 +23,10 @@ NOT_WORD = r"[^\p{L}\p{N}_\x{0900}-\x{0D7F}]"
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC, batch by batch in Arrow: Spark has no such function."""
+    """Unicode NFC, batch by batch: Spark has no such function."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pc.utf8_normalize(pa.Array.from_pandas(texts, type=pa.string()), form="NFC").to_pandas()
+        return texts.str.normalize("NFC")
 
     return F.pandas_udf(run, StringType())(text)
 

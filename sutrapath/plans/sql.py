@@ -282,7 +282,7 @@ e AS (SELECT k, arg_max({{'keyword': keyword, 'band': band}}, ord) AS x FROM o G
 SELECT seed_ord, seed, coalesce(e.x, f.x).keyword AS observed_keyword, coalesce(e.x, f.x).band AS competition_band
 FROM (SELECT *, {dedup_key('seed')} AS sk, {topic_key('seed')} AS st FROM seeds) s LEFT JOIN e ON sk = e.k LEFT JOIN f ON st = f.t"""
 
-CSV_COLUMNS = "seed, " + ", ".join(f"coalesce(printf('%.4f', {c}), '') AS {c}" for c in ("demand", "coverage", "breadth", "depth", "density", "measured_mass")) + ", intent, priority_band, evidence_band, '' AS competition_band"
+CSV_COLUMNS = "seed, " + ", ".join(f"coalesce(printf('%.4f', round({c}, 4)), '') AS {c}" for c in ("demand", "coverage", "breadth", "depth", "density", "measured_mass")) + ", intent, priority_band, evidence_band, '' AS competition_band"
 
 # --- search ---------------------------------------------------------------------------------------------
 
