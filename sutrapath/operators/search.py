@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions.stem import concept
 from ..functions.text import contains_any, first_match, fold, relative_time, tokens
 
 K1, B = 1.2, 0.75
@@ -97,17 +100,10 @@ def hybrid(rows: DataFrame, monotone: bool = False) -> DataFrame:
 
 
 def clusters_of(query: str) -> list[list[str]]:
-    """Concept clusters of a query: words without stop words (unless there are no others), with compounds and the other script."""
-    words = [w for w in query.lower().split() if w]
+    """Concept clusters of a query: its words without stop words (unless there are no others), each with what it stands for."""
+    words = re.findall(r"[\w\u0900-\u097f]+", query.lower())
     words = [w for w in words if w not in lex.STOPWORDS] or words
-    out = []
-    for word in words:
-        if len(word) < 2:
-            continue
-        terms = [word, *lex.COMPOUNDS.get(word, [])]
-        terms += [m for t in list(terms) for m in lex.BILINGUAL.get(t, []) if len(m) >= 3]
-        out.append(list(dict.fromkeys(terms)))
-    return out
+    return [sorted({w, *concept(w)}) for w in words if len(w) >= 2]
 
 
 def suggest(titles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
