@@ -8,6 +8,7 @@ are then sums over integer codes.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -45,11 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read back: its lineage ends there."""
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read back: its lineage ends there.
+
+    As the table stays, the shuffle files of the run that made it go at its end.  ``batch_rows`` bounds the
+    rows that Python functions of that run get at a time, for rows that are long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sutrapath-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        values["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    with _settings(spark, values):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -199,3 +220,12 @@ def ngram_features(words: pa.Array, orders: tuple[int, ...], buckets: int) -> tu
     order = np.argsort(owner, kind="stable")
     ids = (np.concatenate(parts)[order] & np.uint64(buckets - 1)).astype(np.int64)
     return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+
+
+def feature_sums(words: pa.Array, orders: tuple[int, ...], weight: np.ndarray, buckets: int, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum of its features' rows of ``weight``, and how many features it has; some words at a time."""
+    sums, counts = np.zeros((len(words), *weight.shape[1:]), dtype=weight.dtype), np.zeros(len(words), dtype=np.int64)
+    for i in range(0, len(words), at_once):
+        ids, starts = ngram_features(words.slice(i, at_once), orders, buckets)
+        sums[i : i + at_once], counts[i : i + at_once] = segment_sums(weight[ids], starts), np.diff(starts)
+    return sums, counts
