@@ -55,7 +55,7 @@ def category_flows(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.groupBy(F.coalesce("_sc", unknown).alias("source_category"), F.coalesce("_tc", unknown).alias("target_category")).agg(F.sum("link_count").alias("links"))
 
 
-def _cut(df: DataFrame, step: int, every: int = 5) -> DataFrame:
+def _cut(df: DataFrame, step: int, every: int = 2) -> DataFrame:
     """Ends the lineage now and then, in the shared checkpoint folder."""
     return df.checkpoint() if step % every == every - 1 else df
 
@@ -101,7 +101,7 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: fl
             if new.agg(F.sum(F.abs(F.col("hub") - F.col("hub0")) + F.abs(F.col("authority") - F.col("authority0")))).first()[0] < tolerance:
                 state = new
                 break
-        state = _cut(new.drop("hub0", "authority0"), step, 4)
+        state = _cut(new.drop("hub0", "authority0"), step)
     return state.select("domain", "hub", "authority")
 
 
