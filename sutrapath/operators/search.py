@@ -126,6 +126,23 @@ def suggest(titles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     return rows.select(F.row_number().over(Window.partitionBy().orderBy("ord")).alias("rank"), "suggestion")  # ``limit`` rows
 
 
+def headline(title: Column) -> Column:
+    """The part of a title, between its separators, with the most Devanagari characters (six at least, two words); else empty."""
+    native = lambda p: F.length(F.regexp_replace(p, "[^ऀ-ॿ]", ""))
+    parts = F.transform(F.split(F.coalesce(title, F.lit("")), r"\s*[|:–—;-]\s*"), F.trim)
+    good = F.filter(parts, lambda p: (native(p) >= 6) & (F.size(F.split(p, r"\s+")) >= 2))
+    # the first of equal ones: the least of (-characters, position)
+    ranked = F.array_sort(F.transform(good, lambda p, i: F.struct((-native(p)).alias("n"), i.alias("i"), p.alias("p"))))
+    best = F.coalesce(F.get(ranked, F.lit(0))["p"], F.lit(""))
+    return F.trim(F.regexp_replace(best, r"\s+([a-zA-Z0-9_-]{2,}\s+){2,}[a-zA-Z0-9_-]{2,}.*$", ""))
+
+
+def related(query: Column) -> Column:
+    """Follow-up queries in general form: the query with four endings."""
+    folded = fold(query)
+    return F.filter(F.array(*[F.concat(folded, F.lit(f" {t}")) for t in ("शासन निर्णय GR", "ताज्या बातम्या २०२६", "सविस्तर नियम व पद्धत", "अधिकृत पोर्टल")]), lambda q: q != folded)
+
+
 def answer_card(query: Column) -> Column:
     """Title of the first answer card with a keyword in the query; null without."""
     folded, out = fold(query), None

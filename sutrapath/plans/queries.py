@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import demand, graph, search, web
+from ..operators import demand, graph, search, serp, web
 from ..sources.files import table
 from ..sources.sinks import csv_rows
 from . import sql
@@ -159,6 +159,39 @@ def web_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.insert_or_ignore(old.withColumn("n", F.lit(1)), rows, ["s", "t"], [F.col("n")]).select("s", "t", "anchor")
 
 
+FILES = [
+    ("i.xml", "<?xml version='1.0'?><sitemapindex><sitemap><loc>http://a.in/1.xml</loc></sitemap><sitemap><loc>http://a.in/2.xml</loc><lastmod>2026-09-01</lastmod></sitemap></sitemapindex>"),
+    ("u.xml", "<urlset xmlns:news='n'><url><loc> http://a.in/p </loc><lastmod>2026-10-02</lastmod><news:news><news:title>T</news:title></news:news></url><url><loc>http://a.in/q</loc></url></urlset>"),
+    ("rss", "<rss><channel><item><title><![CDATA[शेती बातमी]]></title><link>http://a.in/n</link><pubDate>Mon, 05 Oct 2026 10:00:00</pubDate></item></channel></rss>"),
+    ("atom", "<feed><entry><title>E</title><link href='http://a.in/e'/><updated>2026-10-01</updated></entry></feed>"),
+    ("broken", "<urlset><url><loc>http://a.in/x</loc></url><url><loc>http://a.in/cut"),
+    ("other", "<html></html>"),
+]
+
+
+@query(f"SELECT * FROM ({sql.sitemaps(FILES)})")
+def web_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.sitemap_entries(spark.createDataFrame(FILES, "url string, xml string"))
+
+
+@query(f"WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN {sql.quoted(sql.LD)} WHEN 1 THEN {sql.quoted(sql.TIME)} WHEN 2 THEN {sql.quoted(sql.META)} ELSE '' END || html AS html FROM pages) SELECT page_id, {sql.DATES} FROM p")
+def web_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    mark = F.when(k == 0, sql.LD).when(k == 1, sql.TIME).when(k == 2, sql.META).otherwise("")
+    return web.published_dates(table(spark, sf_dir, "pages").select("page_id", F.concat(mark, F.col("html")).alias("html")))
+
+
+@query(f"SELECT n, {sql.headline('text')} AS headline FROM {sql.numbered('text', sql.HEADLINES)}")
+def srch_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(sql.HEADLINES)), "n long, text string").select("n", search.headline(F.col("text")).alias("headline"))
+
+
+@query(f"WITH r AS ({sql.RESULT_PAGES}), {sql.OBSERVED} SELECT query, thin::VARCHAR AS thin, weak::VARCHAR AS weak, stale::VARCHAR AS stale, {sql.competition_band()} AS band FROM o")
+def serp_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "supplier").select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query"), F.expr(sql.RESULT_HTML).alias("html"))
+    return serp.observe(pages).select("query", *[F.col(c).cast("string").alias(c) for c in ("thin", "weak", "stale")], "band")
+
+
 # --- link graph over nations: customer's nation to supplier's nation --------------------------------------
 
 

@@ -160,6 +160,45 @@ PAGE_LINKS = f"""
           SELECT url, trim(unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1))) AS href, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1) AS folder FROM pages)))
     WHERE target IS NOT NULL AND target <> url)"""
 
+
+
+def sitemaps(files: list[tuple[str, str]]) -> str:
+    table = ", ".join(f"({quoted(u)}, {quoted(x)})" for u, x in files)
+    element = lambda name: f"nullif(trim(regexp_replace(regexp_extract(block, '(?is)<(?:\\w+:)?{name}\\b[^>]*>(.*?)</(?:\\w+:)?{name}\\s*>', 1), '<!\\[CDATA\\[|\\]\\]>', '', 'g')), '')"
+    return f"""SELECT url, kind, loc, lastmod, title FROM (
+  SELECT url, kind, coalesce({element('loc')}, {element('link')}, nullif(regexp_extract(block, '(?is)<link\\b[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1), '')) AS loc,
+    coalesce({element('lastmod')}, {element('pubDate')}, {element('updated')}) AS lastmod, {element('title')} AS title FROM (
+    SELECT url, CASE WHEN regexp_matches(xml, '(?i)<(\\w+:)?sitemapindex\\b') THEN 'index' WHEN regexp_matches(xml, '(?i)<(\\w+:)?urlset\\b') THEN 'urlset' WHEN regexp_matches(xml, '(?i)<(rss|feed)\\b') THEN 'feed' ELSE 'unknown' END AS kind,
+      unnest(regexp_extract_all(xml, '(?is)<(?:\\w+:)?(?:sitemap|url|item|entry)\\b[^>]*>.*?</(?:\\w+:)?(?:sitemap|url|item|entry)\\s*>')) AS block
+    FROM (VALUES {table}) AS v(url, xml))) WHERE loc IS NOT NULL"""
+
+
+LD = '<script type="application/ld+json">{"@type": "Article", "datePublished": "2026-01-02"}</script>'
+TIME = '<time datetime="2025-03-04T05:06"></time>'
+META = '<meta property="article:published_time" content="2024-05-06">'
+_FOUND = [
+    """nullif(regexp_extract(html, '(?is)<script[^>]*application/ld\\+json[^>]*>.*?"datePublished"\\s*:\\s*"([^"]+)".*?</script>', 1), '')""",
+    """nullif(regexp_extract(html, '(?is)<time[^>]*datetime=["'']([^"'']+)["'']', 1), '')""",
+    """nullif(regexp_extract(html, '(?is)<meta[^>]*(?:name|property)\\s*=\\s*["'']article:published_time["''][^>]*content\\s*=\\s*["'']([^"'']*)["'']', 1), '')""",
+]
+DATES = f"coalesce({', '.join(_FOUND)}) AS published, CASE WHEN {_FOUND[0]} IS NOT NULL THEN 'JSON-LD' WHEN {_FOUND[1]} IS NOT NULL THEN 'TIME' WHEN {_FOUND[2]} IS NOT NULL THEN 'META' ELSE 'NONE' END AS source, CASE WHEN {_FOUND[0]} IS NOT NULL THEN 'HIGH' WHEN coalesce({_FOUND[1]}, {_FOUND[2]}) IS NOT NULL THEN 'MEDIUM' ELSE 'NONE' END AS confidence"
+
+HEADLINES = ["Farmer News: शेतकरी कर्जमाफी यादी जाहीर | Lokmat", "कांदा", "only english here", "पाऊस आज - हवामान अंदाज महाराष्ट्र", "शेअर बाजार तेजी today market news update", "", "दोन भाग: एक दोन तीन"]
+
+
+def headline(x: str) -> str:
+    native = "length(regexp_replace(p, '[^ऀ-ॿ]', '', 'g'))"
+    good = f"list_filter(list_transform(regexp_split_to_array({x}, '\\s*[|:–—;-]\\s*'), lambda p: trim(p)), lambda p: {native} >= 6 AND len(regexp_split_to_array(p, '\\s+')) >= 2)"
+    best = f"coalesce(list_sort(list_transform({good}, lambda p, i: {{'n': -{native}, 'i': i, 'p': p}}))[1].p, '')"
+    return f"trim(regexp_replace({best}, '\\s+([a-zA-Z0-9_-]{{2,}}\\s+){{2,}}[a-zA-Z0-9_-]{{2,}}.*$', ''))"
+
+
+#: Result pages made from suppliers, in SQL that both engines read.
+RESULT_HTML = "concat(repeat('<a href=\"https://www.site.in/a\">x</a>', CAST(s_suppkey % 2 AS INT)), CASE WHEN s_suppkey % 3 = 0 THEN '<a href=\"https://www.quora.com/q?x=1\">x</a>' ELSE '' END, CASE WHEN s_suppkey % 5 = 0 THEN '<a href=\"https://b1.in/\"></a><a href=\"https://b2.in/\"></a><a href=\"https://b3.in/\"></a><a href=\"https://b4.in/\"></a><a href=\"https://b5.in/\"></a><a href=\"https://b6.in/\"></a><a href=\"https://b7.in/\"></a><a href=\"https://b8.in/\"></a>' ELSE '' END, CASE WHEN s_suppkey % 7 = 0 THEN 'since 2019' ELSE '' END)"
+RESULT_PAGES = f"SELECT 'q' || s_suppkey AS query, {RESULT_HTML} AS html FROM supplier"
+OBSERVED = """found AS (SELECT query, html, list_distinct(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda h: regexp_replace(h, '[?#].*', ''))) AS urls FROM r),
+o AS (SELECT query, CASE WHEN len(urls) < 3 THEN true WHEN len(urls) >= 8 THEN false END AS thin, len(list_filter(urls, lambda u: contains(u, 'quora.com'))) > 0 AS weak, CASE WHEN regexp_matches(html, '\\b(19|20)\\d{2}\\b') THEN true END AS stale FROM found)"""
+
 # --- graph -----------------------------------------------------------------------------------------
 
 NATIONS = """nodes AS (SELECT n_name AS domain, r_name AS category FROM nation JOIN region ON n_regionkey = r_regionkey),
