@@ -143,3 +143,35 @@ def published_dates(pages: DataFrame) -> DataFrame:
     source = F.when(ld.isNotNull(), "JSON-LD").when(time.isNotNull(), "TIME").when(meta.isNotNull(), "META").otherwise("NONE")
     confidence = F.when(source == "JSON-LD", "HIGH").when(source.isin("TIME", "META"), "MEDIUM").otherwise("NONE")
     return pages.select("page_id", F.coalesce(ld, time, meta).alias("published"), source.alias("source"), confidence.alias("confidence"))
+
+
+def reachable_sitemaps(start: DataFrame, index: DataFrame, most: int = 500) -> DataFrame:
+    """(url, depth): sitemaps reached from ``start`` (url) through ``index`` (url, child), each once, nearest first, ``most`` at most.
+
+    Breadth first: each round joins the frontier with the index and leaves out what was seen.
+    """
+    seen = start.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    frontier, depth = seen, 0
+    while not frontier.isEmpty() and seen.count() < most:
+        depth += 1
+        found = frontier.join(index, "url").select(F.col("child").alias("url")).distinct().join(seen, "url", "left_anti")
+        frontier = found.withColumn("depth", F.lit(depth)).checkpoint()
+        seen = seen.unionByName(frontier).checkpoint()
+    return seen.orderBy("depth", "url").limit(most)
+
+
+def slug_title(path: Column, words: dict[str, str], least: int = 2) -> Column:
+    """A native title from a URL path: its last part's words by a dictionary (a parameter); empty with fewer than ``least`` known words."""
+    last = F.regexp_replace(F.element_at(F.filter(F.split(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "/"), lambda p: p != ""), -1), r"\.(html?|php|aspx?|cms)$|[-_]?\d{4,}", "")
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv]) if words else F.create_map().cast("map<string,string>")
+    known = F.array_compact(F.transform(F.split(F.lower(last), "[-_ ]+"), lambda w: F.try_element_at(table, w)))
+    return F.when(last.rlike("[ऀ-ॿ]"), F.regexp_replace(last, "[-_]+", " ")).when(F.size(known) >= least, F.array_join(known, " ")).otherwise("")
+
+
+def write_back(sites: DataFrame, scores: DataFrame, key: str = "domain") -> DataFrame:
+    """``sites`` with the columns of ``scores``; sites without a score keep what they had."""
+    new = [c for c in scores.columns if c != key]
+    found = scores.withColumnsRenamed({key: "_k", **{c: f"_{c}" for c in new}})
+    out = sites.join(found, F.col(key) == F.col("_k"), "left")
+    kept = [F.coalesce(f"_{c}", c).alias(c) if c in new else F.col(c) for c in sites.columns]
+    return out.select(*kept, *[F.col(f"_{c}").alias(c) for c in new if c not in sites.columns])

@@ -174,6 +174,14 @@ def web_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.sitemap_entries(spark.createDataFrame(FILES, "url string, xml string"))
 
 
+ROBOTS = [("https://a.in/robots.txt", "User-agent: *\nSITEMAP: /s.xml\n# sitemap: /no.xml\nsitemap: https://a.in/s.xml\nSitemap: b/t.xml # news\n"), ("https://b.in/robots.txt", "Disallow: /")]
+
+
+@query("SELECT * FROM (VALUES ('https://a.in/robots.txt', 1, 'https://a.in/s.xml'), ('https://a.in/robots.txt', 2, 'https://a.in/b/t.xml')) AS v(url, n, sitemap)")
+def web_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.robots_sitemaps(spark.createDataFrame(ROBOTS, "url string, body string"))
+
+
 @query(f"WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN {sql.quoted(sql.LD)} WHEN 1 THEN {sql.quoted(sql.TIME)} WHEN 2 THEN {sql.quoted(sql.META)} ELSE '' END || html AS html FROM pages) SELECT page_id, {sql.DATES} FROM p")
 def web_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 4
@@ -349,6 +357,11 @@ def rep_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_rows(rounded(spark, sf_dir))
 
 
+@query(f"WITH {sql.EXPANSION}, {sql.FIXTURE}, {sql.RECORDED} SELECT seed_ord, q_ord, measured, (len(suggestions) = 0)::VARCHAR AS absent FROM recorded")
+def dem_three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recorded_results(spark, sf_dir).select("seed_ord", "q_ord", "measured", (F.size("suggestions") == 0).cast("string").alias("absent"))
+
+
 # --- search --------------------------------------------------------------------------------------------
 
 TERMS = ["the", "erthing", "anin", "les", "und"]
