@@ -9,6 +9,7 @@ are then sums over integer codes.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -115,6 +116,13 @@ def beside(part: pa.RecordBatch, made: list[pa.Array], names: list[str], carry:
 # --- Arrow kernel -------------------------------------------------------------------------
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Consecutive slices of a batch with at most ``limit`` bytes of text (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -124,6 +132,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 class Words:

@@ -10,7 +10,7 @@ wins, and ``score`` is its share of all letters.
 Defined results
 * null or empty text, or a text without letters: ``und``, score 0, no spans;
 * a word in a script that no learned language uses says nothing: it joins the span around it;
-  a text of such words only is ``und`` with score 0;
+  a text of such words only gets the language with most letters in training, with score 0;
 * ties go to the language that sorts first;
 * no labelled rows at all: every text is ``und``;
 * repeated rows are each labelled; other columns are neither read nor needed.
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, beside, carried, fold, mapped, ngram_features, segment_sums, text_slices
+from .common import Words, beside, carried, feature_sums, fold, mapped, ngram_features, segment_sums, stored, text_slices, trim
 
 #: Unicode script ranges of letters (first, last code point).
 SCRIPTS = {
@@ -56,10 +56,10 @@ NO_SWITCH = 255
 
 
 class Model:
-    """``languages`` sorted; ``weight`` (buckets, languages) float32; ``allowed`` (scripts + 1, languages)."""
+    """``languages`` sorted; ``weight`` (buckets, languages) float32; ``allowed`` (scripts + 1, languages); ``usual``, the one with most letters."""
 
-    def __init__(self, languages: list[str], weight: np.ndarray, allowed: np.ndarray):
-        self.languages, self.weight, self.allowed = languages, weight, allowed
+    def __init__(self, languages: list[str], weight: np.ndarray, allowed: np.ndarray, usual: int = 0):
+        self.languages, self.weight, self.allowed, self.usual = languages, weight, allowed, usual
 
 
 def word_scripts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,8 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16) -> Model:
     weight = np.log(share)
     weight -= weight.mean(1, keepdims=True) if languages else 0
     allowed = seen >= 0.01 * np.maximum(seen.sum(0), 1)
-    return Model(languages, weight.astype(np.float32), allowed)
+    trim()
+    return Model(languages, weight.astype(np.float32), allowed, int(seen.sum(0).argmax()) if languages else 0)
 
 
 def sample_rows(docs: DataFrame, budget_bytes: int) -> list[tuple[str, str]]:
@@ -151,8 +152,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
 
 def label_words(model: Model, words: Words, penalty: float, clip: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label of each token, letters of each token, and whether it says anything."""
-    ids, starts = ngram_features(words.distinct, ORDERS, len(model.weight))
-    value = segment_sums(model.weight[ids], starts)
+    value, _ = feature_sums(words.distinct, ORDERS, model.weight, len(model.weight))
     script, letters = word_scripts(words.distinct)
     allowed = np.zeros((len(script), len(model.languages)), dtype=bool)
     allowed[script >= 0] = model.allowed[script[script >= 0]]
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, clip: float =
 
     With ``carry`` all columns of ``docs`` stay, and the new ones are members of one column named by ``carried``.
     """
-    packed = (model.languages, model.weight, model.allowed)
+    packed = (model.languages, model.weight, model.allowed, model.usual)
     spans = spans and not carry
     made = [("lang_pred", "string"), ("score", "double"), *[("spans", "array<struct<lang:string,start:long,words:long,letters:long>>")] * spans]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())]))
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, clip: float =
                         total[:, j] = segment_sums(np.where((label == j) & known, letters, 0), words.starts)
                 whole = segment_sums(letters, words.starts) if len(letters) else np.zeros(words.rows)
                 sure = total.sum(1) > 0
-                best = np.where(sure, total.argmax(1), k)
+                best = np.where(sure, total.argmax(1), np.where(whole > 0, model.usual, k) if k else k)
                 score = np.where(sure, total.max(1) / np.maximum(whole, 1), 0.0)
                 out = [pa.array(names[best], pa.string()), pa.array(score)]
                 if spans:
@@ -225,4 +225,5 @@ def keep_identified(docs: DataFrame, least: float = 0.5, train_bytes: int = 16 <
     """The rows of ``docs`` with a language that has at least ``least`` of the letters; all columns stay as they are."""
     model = train(sample_rows(docs.where(fold("doc_id", 4) != 2), train_bytes))
     found = F.col(carried(docs))
-    return identify(docs, model, carry=True).where((found["lang_pred"] != "und") & (found["score"] >= least)).select(*docs.columns)
+    kept = identify(docs, model, carry=True).where((found["lang_pred"] != "und") & (found["score"] >= least))
+    return stored(kept.select(*docs.columns), "identified", batch_rows=1000)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, mix64, stored, text_slices, word_hashes
+from .common import Words, fold, mix64, stored, text_slices, trim, word_hashes
 
 CUT, EPSILON, BASE = 5, 1e-3, 0.1
 SLICE = 10 << 20
@@ -303,6 +303,7 @@ def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray]) -> D
                 away.append((at, np.repeat(first[lo : lo + n], size)[off], row[off]))
             lo += n
         del data, first, count12, count2_of
+        trim()
         out.append(_rows("totals", -1, [(0, None, pickle.dumps({k: int(v[0]) for k, v in totals.items()}))]))
         to = mix64(one) % np.uint64(buckets)
         for b in np.unique(to):

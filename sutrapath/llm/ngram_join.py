@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, segment_sums, stored, text_slices, word_hashes
+from .common import Words, mix64, segment_sums, stored, text_slices, trim, word_hashes
 from .components import components
 
 SLICE = 4 << 20
 #: A hashed shingle counts as frequent from this many occurrences on; shingles that are counted together.
-FREQUENT, AT_ONCE = 6, 4_000_000
+FREQUENT, AT_ONCE = 6, 2_000_000
 #: Rows that Python functions get at a time.
 BATCH_ROWS = 1000
 #: Most rows of a side that is broadcast, 8 bytes each; larger sides are shuffled.
@@ -188,7 +188,7 @@ def plausible(signed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep[k] = 100 * most >= percent * (size[0][k] + size[1][k] - most)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return stored(both.mapInArrow(check, "a long, b long").distinct(), "join-plausible", batch_rows=500)
+    return stored(both.mapInArrow(check, "a long, b long").distinct(), "join-plausible", batch_rows=200)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -215,9 +215,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, width: int,
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
                 keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+            trim()
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(check, "a long, b long"), "join-links", batch_rows=100)
+    return stored(both.mapInArrow(check, "a long, b long"), "join-links", batch_rows=50)
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

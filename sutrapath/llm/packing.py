@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Words, mix64, text_slices
+from .common import Words, mix64, stored, text_slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -97,10 +97,12 @@ class Encoder:
         return out
 
 
-def _encoder(path: str) -> Encoder:
-    """One for each Python process and tokenizer."""
+def _encoder(path: str, most: int = 500_000) -> Encoder:
+    """One for each Python process, whose size may change; another tokenizer takes its place."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path, most)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 
@@ -122,14 +124,14 @@ def documents_ids(words: Words, encoder: Encoder, end_id: int = END_ID) -> tuple
     return out, starts
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, groups: int, capacity: int = CAPACITY, end_id: int = END_ID, seed: int = 11) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, groups: int, capacity: int = CAPACITY, end_id: int = END_ID, seed: int = 11, remembered: int = 500_000, slice_bytes: int = 12 << 20) -> DataFrame:
     """The pieces of every document, each with its random group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context, made = _encoder(tokenizer_path), TaskContext.get(), 0
+        encoder, context, made = _encoder(tokenizer_path, remembered), TaskContext.get(), 0
         place = np.uint64(((context.partitionId() if context else 0) << 36) ^ (seed << 20))
         for batch in batches:
-            for part in text_slices(batch, limit=12 << 20):
+            for part in text_slices(batch, limit=slice_bytes):
                 ids, starts = documents_ids(Words(part.column("text")), encoder, end_id)
                 total = np.diff(starts)
                 count = -(-total // capacity)
@@ -186,13 +188,17 @@ def padded(total: int, capacity: int = CAPACITY) -> int:
     return total if total & (total - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group_docs: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group_docs: int = 2048, remembered: int = 500_000, slice_bytes: int = 12 << 20, batch_rows: int | None = None) -> DataFrame:
     """The operator: one row for each piece with its sequence_id and offset, and the sequence's tokens and padded length.
 
-    ``group_docs`` is the mean number of documents in a group that one task packs at a time.
+    ``group_docs`` is the mean number of documents in a group that one task packs at a time.  ``remembered`` words and
+    ``slice_bytes`` of text at a time trade a worker's memory for its time; with ``batch_rows`` the pieces are stored,
+    made from so many documents at a time.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer_path or public_tokenizer_path(), groups, capacity)
+    cut = pieces(docs, tokenizer_path or public_tokenizer_path(), groups, capacity, remembered=remembered, slice_bytes=slice_bytes)
+    if batch_rows:
+        cut = stored(cut, "pieces", batch_rows)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, beside, carried, fold, mapped, ngram_features, segment_sums, text_slices
+from .common import Words, beside, carried, feature_sums, fold, mapped, ngram_features, segment_sums, stored, text_slices, trim
 
 ORDERS = (2, 3, 4)
 REPEAT_WEIGHT = 8
@@ -59,17 +59,19 @@ def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
         for a, b, again in zip(words.starts[:-1], words.starts[1:], repeats(words), strict=True):
             codes, times = np.unique(words.code[a:b], return_counts=True)
             if not len(codes):
-                bags.append((np.zeros(0, int), np.zeros(0)))
+                bags.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
                 continue
             at = np.repeat(starts[codes] - np.concatenate([[0], np.cumsum(size[codes])[:-1]]), size[codes]) + np.arange(size[codes].sum())
             feature, back = np.unique(ids[at], return_inverse=True)
             weight = np.append(np.bincount(back, weights=np.repeat(times, size[codes])), REPEAT_WEIGHT * again)
-            bags.append((np.append(feature, buckets), weight / weight.sum()))
+            bags.append((np.append(feature, buckets).astype(np.int32), (weight / weight.sum()).astype(np.float32)))
     return bags
 
 
 def train(sample: list[tuple[str, int]], buckets: int = 1 << 16, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Stochastic gradient descent, one document a step, with a falling rate."""
+    if not sample:
+        return Model(np.zeros((buckets + 1, dim)), np.zeros((dim, 2)), np.zeros(2))
     rng = np.random.default_rng(seed)
     vector, output = rng.uniform(-1 / dim, 1 / dim, (buckets + 1, dim)), rng.normal(0, 0.1, (dim, 2))
     label = np.array([y for _, y in sample], dtype=int)
@@ -90,6 +92,8 @@ def train(sample: list[tuple[str, int]], buckets: int = 1 << 16, dim: int = 8, e
             bias -= 0.1 * now * error
             # the mean spreads the gradient thinly over many features: the vectors take a longer step
             vector[feature] -= (20 * now) * np.outer(weight, back)
+    del bags
+    trim()
     return Model(vector, output, bias)
 
 
@@ -121,8 +125,7 @@ def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
                 words = Words(part.column("text"))
                 logit = np.zeros(words.rows)
                 if len(words.distinct):
-                    ids, starts = ngram_features(words.distinct, ORDERS, len(weight) - 1)
-                    per_word, size = segment_sums(weight[ids], starts), np.diff(starts)
+                    per_word, size = feature_sums(words.distinct, ORDERS, weight, len(weight) - 1)
                     again = REPEAT_WEIGHT * repeats(words)
                     logit = (words.row_sums(per_word) + again * weight[-1]) / np.maximum(words.row_sums(size) + again, 1)
                 value = 1 / (1 + np.exp(-np.clip(logit + bias, -500, 500)))
@@ -131,7 +134,7 @@ def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     return mapped(docs, run, made, carry)
 
 
-def classify_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000) -> DataFrame:
+def classify_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 2000) -> DataFrame:
     """The operator: learns from labels of rows whose crc32(doc_id) mod 3 is not 1, scores every row.
 
     ``most`` bounds the labelled rows of each class that the driver fits on; nothing else is sampled.
@@ -140,7 +143,8 @@ def classify_documents(docs: DataFrame, labels: DataFrame, label: str = "quality
     return score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 2000) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1; all columns stay as they are."""
     model = train(labelled_sample(docs, labels.where(fold("doc_id", 3) != 1), label, most))
-    return score(docs, model, carry=True).where(F.col(carried(docs))["predicted"] == 1).select(*docs.columns)
+    kept = score(docs, model, carry=True).where(F.col(carried(docs))["predicted"] == 1)
+    return stored(kept.select(*docs.columns), "good", batch_rows=1000)
