@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def link_matrix(links: DataFrame) -> DataFrame:
     """(source_domain, target_domain, link_count, is_internal) of links (source_domain, target_domain, ...)."""
@@ -55,19 +57,15 @@ def category_flows(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.groupBy(F.coalesce("_sc", unknown).alias("source_category"), F.coalesce("_tc", unknown).alias("target_category")).agg(F.sum("link_count").alias("links"))
 
 
-def _cut(df: DataFrame, step: int, every: int = 2) -> DataFrame:
-    """Ends the lineage now and then, in the shared checkpoint folder."""
-    return df.checkpoint() if step % every == every - 1 else df
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(domain, pagerank): weighted PageRank with the rank of dangling nodes dealt to all.
 
     Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.
     """
     totals = edges.groupBy("u").agg(F.sum("w").alias("total"))
-    moves = edges.join(totals, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")).checkpoint()
-    sink = nodes.select("domain").join(totals.select(F.col("u").alias("_u"), "total"), F.col("domain") == F.col("_u"), "left").select("domain", F.col("total").isNull().alias("dangling")).checkpoint()
+    moves = cut(edges.join(totals, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")))
+    sink = nodes.select("domain").join(totals.select(F.col("u").alias("_u"), "total"), F.col("domain") == F.col("_u"), "left").select("domain", F.col("total").isNull().alias("dangling"))
+    sink = cut(sink)
     n = sink.count()
     if not n:
         return sink.select("domain", F.lit(0.0).alias("pagerank"))
@@ -77,17 +75,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         loose = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("loose"))
         new = (1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("loose") / n
         rank = rank.join(into, F.col("domain") == F.col("v"), "left").crossJoin(F.broadcast(loose)).select("domain", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before"))
-        if tolerance is not None:
-            rank = rank.checkpoint()
-            if rank.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < tolerance:
-                break
-        rank = _cut(rank.drop("before"), step)
+        if step + 1 < iterations:
+            rank = cut(rank)  # it is read three times in the next step
+        if tolerance is not None and rank.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < tolerance:
+            break
     return rank.select("domain", "pagerank")
 
 
 def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: float | None = 1e-5) -> DataFrame:
     """(domain, hub, authority): unweighted HITS; hubs take the authorities of the step before, both are scaled to length 1."""
-    pairs = edges.select("u", "v").distinct().checkpoint()
+    pairs = cut(edges.select("u", "v").distinct())
     state = nodes.select("domain", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
     for step in range(iterations):
         authority = state.join(pairs, F.col("domain") == F.col("u")).groupBy("v").agg(F.sum("hub").alias("new_authority"))
@@ -96,12 +93,9 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: fl
         scale = new.agg(F.sqrt(F.sum(F.col("new_authority") * F.col("new_authority"))).alias("a"), F.sqrt(F.sum(F.col("new_hub") * F.col("new_hub"))).alias("h"))
         one = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
         new = new.crossJoin(F.broadcast(scale)).select("domain", (F.col("new_hub") / one("h")).alias("hub"), (F.col("new_authority") / one("a")).alias("authority"), F.col("hub").alias("hub0"), F.col("authority").alias("authority0"))
-        if tolerance is not None:
-            new = new.checkpoint()
-            if new.agg(F.sum(F.abs(F.col("hub") - F.col("hub0")) + F.abs(F.col("authority") - F.col("authority0")))).first()[0] < tolerance:
-                state = new
-                break
-        state = _cut(new.drop("hub0", "authority0"), step)
+        state = cut(new) if step + 1 < iterations else new
+        if tolerance is not None and state.agg(F.sum(F.abs(F.col("hub") - F.col("hub0")) + F.abs(F.col("authority") - F.col("authority0")))).first()[0] < tolerance:
+            break
     return state.select("domain", "hub", "authority")
 
 

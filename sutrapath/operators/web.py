@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions.text import clean_url, devanagari_ratio, domain
+from ..sources.shared import cut
 
 _SKIPPED = r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>"
 
@@ -150,13 +151,13 @@ def reachable_sitemaps(start: DataFrame, index: DataFrame, most: int = 500) -> D
 
     Breadth first: each round joins the frontier with the index and leaves out what was seen.
     """
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = cut(start.select("url").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while not frontier.isEmpty() and seen.count() < most:
         depth += 1
         found = frontier.join(index, "url").select(F.col("child").alias("url")).distinct().join(seen, "url", "left_anti")
-        frontier = found.withColumn("depth", F.lit(depth)).checkpoint()
-        seen = seen.unionByName(frontier).checkpoint()
+        frontier = cut(found.withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(frontier)
     return seen.orderBy("depth", "url").limit(most)
 
 
