@@ -4,10 +4,12 @@ Method.  Equal vectors of a label are one node with a weight.  A neighbour graph
 projections (signs of hyperplanes cut each label into cells; nodes take their nearest in the cell)
 and is refined by NN-descent: the neighbours and sampled reverse neighbours of each node are
 compared with each other, and what is nearer than the worst of a list enters it.  Edges at the
-threshold are kept and form components.  Lists that are full of such edges are saturated: they are
-enlarged to all of their component, which is compared with itself in blocks, so the counts of links in dense
-groups are whole; only counts leave a block, not pairs.  A sample of nodes is compared with all
-rows to audit recall; below ``least_recall`` the graph is built again with twice the projections and longer lists.
+threshold are kept and form components.  Lists that are full of such edges are saturated: components with
+such lists are compared with the others of their label (``_merges``) and joined where a link is found.  Each
+component is then compared with itself in blocks, so the counts of links in dense groups are whole; only
+counts leave a block, not pairs.  A sample of nodes is compared with all rows to audit recall; below
+``least_recall`` the graph is built again with twice the projections and longer lists, and after ``tries``
+graphs each label is compared with itself as a whole, in blocks.
 
 Cosines are in double precision throughout, and no pair below the threshold is ever linked.
 
@@ -156,22 +158,39 @@ def neighbour_lists(nodes: DataFrame, k: int, trees: int, rounds: int, seed: int
     return lists
 
 
-def _counts(nodes: DataFrame, place: DataFrame, threshold: float) -> DataFrame:
-    """(v, linked): the weights of the other nodes linked with each node of a component, all compared, in blocks."""
-    sizes = stored(place.groupBy("component").agg(F.count("*").alias("size")), "vector-components").withColumnRenamed("component", "_component")
-    rows = place.join(sizes, F.col("component") == F.col("_component")).select(F.col("node").alias("_v"), "component", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rows = rows.join(nodes.select("v", "weight", "vector"), F.col("_v") == F.col("v")).select("v", "weight", "vector", "component", "blocks", F.pmod(F.xxhash64("v", F.lit(9)), F.col("blocks")).alias("block"))
+def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` dealt over pairs of blocks of their ``key``, each pair once: columns block, i, j and g, the group that compares it."""
+    sizes = stored(rows.groupBy(key).agg(F.count("*").alias("size")), "vector-components").withColumnRenamed(key, "_key")
+    rows = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("blocks", F.ceil(F.col("size") / most)).withColumn("block", F.pmod(F.xxhash64("v", F.lit(9)), F.col("blocks"))).drop("_key", "size")
     # small components share a group; each block of a large one meets every other once
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select("v", "weight", "vector", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(512))).otherwise(F.xxhash64("component", "i", "j"))
+    rows = rows.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(key), F.lit(512))).otherwise(F.xxhash64(key, "i", "j"))
+    return rows.withColumn("g", group).drop("blocks", "other")
+
+
+def _joined(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix, the least row that it is connected to."""
+    label = np.arange(len(near))
+    while True:
+        least = np.minimum(label, np.where(near, label, len(near)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _compared(nodes: DataFrame, place: DataFrame, threshold: float, join: bool = False) -> DataFrame:
+    """(v, u, linked) for each node and pair of blocks of its component, all compared: the weights of the nodes linked with it, and with ``join`` the node that links join it to."""
+    rows = place.select(F.col("node").alias("_v"), "component").join(nodes.select("v", "weight", "vector"), F.col("_v") == F.col("v"))
+    rows = _blocks(rows.select("v", "weight", "vector", "component"), "component", BLOCK)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("block", "ascending"), ("v", "ascending")])
         v, weight, block, c, i, j = (table.column(k).to_numpy() for k in ("v", "weight", "block", "component", "i", "j"))
         lists = table.column("vector").combine_chunks()
         bounds = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1])]))
-        ids, linked = [], []
+        ids, to, linked = [], [], []
         for lo, hi in zip(bounds, np.append(bounds[1:], len(v)), strict=True):
             x, w, first = _matrix(lists.slice(lo, hi - lo)), weight[lo:hi], block[lo:hi] == i[lo]
             if i[lo] == j[lo]:
@@ -183,9 +202,99 @@ def _counts(nodes: DataFrame, place: DataFrame, threshold: float) -> DataFrame:
                 near = x[first] @ x[~first].T >= threshold
                 ids += [v[lo:hi][first], v[lo:hi][~first]]
                 linked += [near @ w[~first], w[first] @ near]
-        return pa.table({"v": np.concatenate(ids), "linked": np.concatenate(linked).astype(np.int64)})
+                if join:  # blocks are in order: the rows of the first come first
+                    n = int(first.sum())
+                    near = np.block([[np.zeros((n, n), dtype=bool), near], [near.T, np.zeros((hi - lo - n, hi - lo - n), dtype=bool)]])
+            to.append(v[lo:hi][_joined(near | near.T)] if join else v[lo:hi])
+        return pa.table({"v": np.concatenate(ids), "u": np.concatenate(to), "linked": np.concatenate(linked).astype(np.int64)})
+
+    return rows.groupBy("g").applyInArrow(run, "v long, u long, linked long")
+
 
-    return rows.withColumn("g", group).groupBy("g").applyInArrow(run, "v long, linked long").groupBy("v").agg(F.sum("linked").alias("linked"))
+def _counts(nodes: DataFrame, place: DataFrame, threshold: float) -> DataFrame:
+    """(v, linked): the weights of the other nodes linked with each node of a component, all compared, in blocks."""
+    return _compared(nodes, place, threshold).groupBy("v").agg(F.sum("linked").alias("linked"))
+
+
+def _balls(members: DataFrame) -> DataFrame:
+    """(v, vector, part, component, ball, radius): of each block of a component's members the one nearest to their mean, and the angle to the farthest."""
+    groups = max(1, -(-members.count() // 4000))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("ball", "ascending"), ("v", "ascending")])
+        c, ball, lists = table.column("component").to_numpy(), table.column("ball").to_numpy(), table.column("vector").combine_chunks()
+        bounds = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (ball[1:] != ball[:-1])]))
+        at, radius = [], []
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(c)), strict=True):
+            x = _matrix(lists.slice(lo, hi - lo))
+            best = int(np.argmax(x @ x.mean(axis=0)))
+            at.append(lo + best)
+            radius.append(float(np.arccos(np.clip((x @ x[best]).min(), -1, 1))))
+        return table.select(["v", "vector", "part", "component", "ball"]).take(pa.array(at)).append_column("radius", pa.array(radius, pa.float64()))
+
+    group = F.pmod(F.xxhash64("component", "ball"), F.lit(groups))
+    return members.withColumn("g", group).groupBy("g").applyInArrow(run, "v long, vector array<double>, part long, component long, ball long, radius double")
+
+
+def _merges(nodes: DataFrame, lists: DataFrame, place: DataFrame, k: int, threshold: float) -> DataFrame | None:
+    """(node, component) of components that links between saturated nodes join to others of their label, or None.
+
+    A link that neither end's list holds has two saturated ends, if lists hold the nearest.  So the saturated
+    nodes of different components are compared: first one of each block of them, which joins most; by the
+    triangle inequality for angles most other pairs of blocks can't be linked, and the rest are compared in full.
+    """
+    full = lists.where((F.size("near") >= k) & (-F.element_at("near", -1)["far"] >= threshold)).select(F.col("v").alias("_f"))
+    members = place.join(full, F.col("node") == F.col("_f")).select("node", "component").join(nodes.select("v", "part", "vector"), F.col("node") == F.col("v")).select("v", "part", "vector", "component")
+    members = stored(members, "vector-saturated")
+    many = members.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.col("part").alias("_part"))
+    members = members.join(many, F.col("part") == F.col("_part"), "left_semi")
+    sizes = stored(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("balls")), "vector-balls").withColumnRenamed("component", "_component")
+    if sizes.isEmpty():
+        return None
+    members = stored(members.join(sizes, F.col("component") == F.col("_component")).select("v", "part", "vector", "component", F.pmod(F.xxhash64("v", F.lit(5)), F.col("balls")).alias("ball")), "vector-members")
+    angle = float(np.arccos(threshold)) + 1e-6
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("block", "ascending"), ("v", "ascending")])
+        part, block, i, j, c, ball, radius = (table.column(n).to_numpy() for n in ("part", "block", "i", "j", "component", "ball", "radius"))
+        lists = table.column("vector").combine_chunks()
+        bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        out: list[tuple[np.ndarray, ...]] = []
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(part)), strict=True):
+            x, of, at, r = _matrix(lists.slice(lo, hi - lo)), c[lo:hi], ball[lo:hi], radius[lo:hi]
+            cos = x @ x.T
+            sure = _joined((cos >= threshold) | (of[:, None] == of))
+            out.append((of, at, of[sure], at[sure], np.ones(len(of), dtype=bool)))
+            maybe = (np.arccos(cos.clip(-1, 1)) - r[:, None] - r <= angle) & (sure[:, None] != sure)
+            if i[lo] != j[lo]:
+                maybe &= block[lo:hi][:, None] != block[lo:hi]
+            a, b = np.nonzero(np.triu(maybe))
+            out.append((of[a], at[a], of[b], at[b], np.zeros(len(a), dtype=bool)))
+        return pa.table(dict(zip(("a", "ball_a", "b", "ball_b", "sure"), (np.concatenate(o) for o in zip(*out, strict=True)), strict=True)))
+
+    pairs = _blocks(_balls(members), "part", BLOCK).groupBy("g").applyInArrow(meet, "a long, ball_a long, b long, ball_b long, sure boolean")
+    pairs = stored(pairs.where("a <> b"), "vector-pairs")
+    sure = pairs.where("sure").select("a", "b")
+    over = components(sure)
+    left, right = over.select(F.col("node").alias("_a"), F.col("component").alias("_ca")), over.select(F.col("node").alias("_b"), F.col("component").alias("_cb"))
+    apart = pairs.where("not sure").join(left, F.col("a") == F.col("_a"), "left").join(right, F.col("b") == F.col("_b"), "left").where("coalesce(_ca, a) <> coalesce(_cb, b)")
+    apart = stored(apart.select("a", "ball_a", "b", "ball_b").distinct().withColumn("pair", F.xxhash64("a", "ball_a", "b", "ball_b")), "vector-apart")
+    groups = max(1, -(-apart.count() // 16))
+    sides = apart.select("pair", F.col("a").alias("c"), F.col("ball_a").alias("at"), F.lit(True).alias("first")).union(apart.select("pair", F.col("b").alias("c"), F.col("ball_b").alias("at"), F.lit(False).alias("first")))
+    sides = sides.join(members, (F.col("c") == F.col("component")) & (F.col("at") == F.col("ball"))).select("pair", "first", "component", "vector", F.pmod("pair", F.lit(groups)).alias("g"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pair", "ascending"), ("first", "descending")])
+        pair, first, c, lists = table.column("pair").to_numpy(), table.column("first").to_numpy(), table.column("component").to_numpy(), table.column("vector").combine_chunks()
+        bounds = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        ends = []
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(pair)), strict=True):
+            x, n = _matrix(lists.slice(lo, hi - lo)), int(first[lo:hi].sum())
+            if (x[:n] @ x[n:].T >= threshold).any():
+                ends.append((c[lo], c[hi - 1]))
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
+
+    return components(sure.union(sides.groupBy("g").applyInArrow(compare, "a long, b long")))
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = 512, seed: int = 3) -> float:
@@ -223,10 +332,19 @@ def deduplicate(vectors: DataFrame, threshold: float = 0.93, k: int = 10, trees:
         lists = neighbour_lists(nodes, k << attempt, trees << attempt, rounds, seed + attempt)
         edges = lists.select("v", F.explode("near").alias("e")).where(-F.col("e.far") >= threshold).select(F.col("v").alias("a"), F.col("e.u").alias("b"))
         place = components(edges)
+        over = _merges(nodes, lists, place, k << attempt, threshold)
+        if over is not None:
+            over = over.select(F.col("node").alias("_c"), F.col("component").alias("_over"))
+            place = stored(place.join(over, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_over", "component").alias("component")), "vector-merged")
         counts = stored(_counts(nodes, place, threshold), "vector-counts")
         recall = audit(nodes, counts, threshold)
         if recall >= least_recall:
             break
+    else:  # no graph was good enough: each label is compared as a whole
+        whole = stored(_compared(nodes, nodes.select(F.col("v").alias("node"), F.col("part").alias("component")), threshold, join=True), "vector-whole")
+        place = components(whole.select(F.col("v").alias("a"), F.col("u").alias("b")))
+        counts = stored(whole.groupBy("v").agg(F.sum("linked").alias("linked")), "vector-counts")
+        recall = audit(nodes, counts, threshold)
     known = nodes.select("v", "weight").join(place.withColumnRenamed("node", "_node"), F.col("v") == F.col("_node"), "left").join(counts.withColumnRenamed("v", "_c"), F.col("v") == F.col("_c"), "left")
     known = stored(known.select(F.col("v").alias("_v"), F.coalesce("component", "v").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("links")), "vector-known")
     linked = own.join(known, F.col("v") == F.col("_v")).select(F.col("vec_id").alias("_id"), "component", "links").distinct()

@@ -57,6 +57,35 @@ def test_finds_all_links(spark):
     assert sum(mine[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
+def truth(x, labels, threshold=0.93):
+    """Links of each row, and the least row that it is connected to."""
+    x = np.array(x, dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= threshold) & (np.array(labels)[:, None] == np.array(labels)) & ~np.eye(len(x), dtype=bool)
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.minimum(label, np.where(near, label, len(x)).min(axis=1))
+    return near.sum(axis=1), label
+
+
+def tight_in_wide(seed=1, dim=64, groups=6, copies=50, others=300):
+    """Tight groups of more copies than any list holds, all linked with one another, beside vectors without links."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    mid = unit(unit(rng.normal(size=dim)) + 0.2 * unit(rng.normal(size=(groups, dim))))
+    return np.concatenate([unit(np.repeat(mid, copies, axis=0) + 0.01 * unit(rng.normal(size=(groups * copies, dim)))), unit(rng.normal(size=(others, dim)))])
+
+
+@pytest.mark.parametrize("tries", [1, 0])  # 0: no graph at all, labels are compared as a whole
+def test_tight_groups_in_a_wide_one(spark, tries):
+    x = tight_in_wide()
+    got = embedding_dedup.deduplicate(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), tries=tries).collect()
+    links, label = truth(x, [1] * len(x))
+    assert links[0] == 299
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (links[i], label[i], label[i] == i) for i in range(len(x))}
+    assert got[0]["audited_recall"] == 1.0
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [], 1), (10, [1.0, 0.0], None), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.1], 1), (13, [-1.0, 0.0], 1)]
