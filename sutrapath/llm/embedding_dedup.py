@@ -7,8 +7,8 @@ compared with each other, and what is nearer than the worst of a list enters it.
 threshold are kept and form components.  Lists that are full of such edges are saturated: components with
 such lists are compared with the others of their label (``_merges``) and joined where a link is found.  Each
 component is then compared with itself in blocks, so the counts of links in dense groups are whole; only
-counts leave a block, not pairs.  A sample of nodes is compared with all rows to audit recall; below
-``least_recall`` the graph is built again with twice the projections and longer lists, and after ``tries``
+counts leave a block, not pairs.  A sample of nodes, drawn over nodes, labels and groups, is compared with
+all rows to audit recall, per link and per node (``audit``); where the least figure is below ``least_recall`` the graph is built again with twice the projections and longer lists, and after ``tries``
 graphs each label is compared with itself as a whole, in blocks.
 
 Cosines are in double precision throughout, and no pair below the threshold is ever linked.
@@ -36,6 +36,8 @@ from .components import components
 
 #: Nodes of a cell, nodes compared with each other at a time, reverse neighbours of a node in a round.
 CELL, BLOCK, REVERSE = 96, 256, 16
+#: Sampled nodes from which the audit takes a figure for groups of their size.
+LEAST_NODES = 16
 EDGES = "v long, u long, sim double"
 
 
@@ -298,10 +300,25 @@ def _merges(nodes: DataFrame, lists: DataFrame, place: DataFrame, k: int, thresh
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = 512, seed: int = 3) -> float:
-    """Links found of a sample of nodes, divided by those that comparing them with all rows finds (1.0 where there are none)."""
-    draw = F.xxhash64("v", F.lit(seed))
-    # equal halves from linked nodes and from all nodes
-    picked = nodes.orderBy(draw).limit(sample // 2).select("v").union(counts.where("linked > 0").orderBy(draw).limit(sample // 2).select("v")).distinct()
+    """The least of several figures for a sample of nodes that are compared with all rows (1.0 where there are no links).
+
+    One is the share of all links that is found.  The others are means over nodes that have links of the share
+    found, so that no large group decides: for nodes drawn alike, for nodes drawn over labels and for linked
+    nodes drawn over groups, and for each true size (a power of two) that LEAST_NODES of the sample have.
+    """
+    # the smallest of exponential draws, times a size: every label, or group of linked nodes, is as likely as another
+    draw = lambda n: -F.log((F.pmod(F.xxhash64("v", F.lit(seed + n)), F.lit(1 << 40)) + 1) / F.lit((1 << 40) + 1))
+    sizes = nodes.groupBy("part").agg(F.count("*").alias("size")).withColumnRenamed("part", "_part")
+    drawn = {
+        "nodes": nodes.orderBy(draw(0)).limit(sample // 2),
+        "labels": nodes.join(sizes, F.col("part") == F.col("_part")).orderBy(draw(1) * F.col("size")).limit(sample // 4),
+        "groups": counts.where("linked > 0").orderBy(draw(2) * F.col("linked")).limit(sample // 4),
+    }
+    of: dict[int, set[str]] = {}
+    for name, some in drawn.items():
+        for r in some.select("v").collect():
+            of.setdefault(r["v"], set()).add(name)
+    picked = nodes.sparkSession.createDataFrame([(v,) for v in of], "v long")
     rows = nodes.join(F.broadcast(picked.withColumnRenamed("v", "_v")), F.col("v") == F.col("_v")).select("v", "part", "vector").collect()  # ``sample`` vectors at most
     asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for part in {r["part"] for r in rows}:
@@ -320,8 +337,16 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = 5
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near @ own.column("weight").to_numpy()).astype(np.int64))], ["v", "n"])
 
     truth = nodes.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    found = truth.join(counts.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("linked", F.lit(0)))).alias("found")).first()
-    return found["found"] / found["n"] if found["n"] else 1.0
+    found = truth.join(counts.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").where("n > 0").select("v", "n", F.least("n", F.coalesce("linked", F.lit(0))).alias("found")).collect()  # ``sample`` rows at most
+    if not found:
+        return 1.0
+    shares: dict[str, list[float]] = {}
+    for r in found:
+        for name in of[r["v"]]:
+            shares.setdefault(name, []).append(r["found"] / r["n"])
+        shares.setdefault(f"size {r['n'].bit_length()}", []).append(r["found"] / r["n"])
+    means = [float(np.mean(s)) for name, s in shares.items() if not name.startswith("size") or len(s) >= LEAST_NODES]
+    return min([sum(r["found"] for r in found) / sum(r["n"] for r in found), *means])
 
 
 def deduplicate(vectors: DataFrame, threshold: float = 0.93, k: int = 10, trees: int = 6, rounds: int = 2, least_recall: float = 0.95, tries: int = 3, seed: int = 1) -> DataFrame:

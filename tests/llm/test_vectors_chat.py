@@ -86,6 +86,18 @@ def test_tight_groups_in_a_wide_one(spark, tries):
     assert got[0]["audited_recall"] == 1.0
 
 
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 32)), 300, axis=0), np.repeat(rng.normal(size=(100, 32)), 3, axis=0)])
+    x += 1e-4 * rng.normal(size=x.shape)
+    links, _ = truth(x, [1] * len(x))
+    assert links[0] == 299 and links[300] == 2
+    nodes = spark.createDataFrame([(i, 1, 1, v.tolist()) for i, v in enumerate(x)], "v long, part long, weight long, vector array<double>")
+    counts = lambda kept: spark.createDataFrame([(i, int(n)) for i, n in enumerate(links) if kept(i)], "v long, linked long")
+    assert embedding_dedup.audit(nodes, counts(lambda i: True), 0.93) == 1.0
+    assert embedding_dedup.audit(nodes, counts(lambda i: i < 300), 0.93) < 0.5  # every link of the small groups is lost
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [], 1), (10, [1.0, 0.0], None), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.1], 1), (13, [-1.0, 0.0], 1)]
