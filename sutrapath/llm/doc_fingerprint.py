@@ -1,23 +1,26 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Method.  A text is cut into paragraphs: lines, cut further after ``PARAGRAPH_CHARS`` characters;
-each distinct paragraph has a 64-bit digest.  A sketch has three sub-tables of cells; a digest
-falls into one cell of each, and a cell holds a count, the xor of its digests and the xor of their
-checks.  Two sketches of one size subtract cell by cell, common digests cancel, and peeling
-recovers the others: a cell whose count is 1 or -1 and whose check fits holds one digest, which is
-then taken out of its other cells.  What is recovered is the symmetric difference d, and likeness
-is (a + b - d) / (a + b + d) for a and b distinct paragraphs, the Jaccard index.
-
-``fingerprint`` is the sketch of the smallest size as text.  To compare two documents a size is
-chosen from a bottom-k estimate of the difference; where peeling does not end clean, a sketch
-several times larger, with room for all digests of both, and at last the digests themselves
-decide.  Peeling is relational: cells of all pairs are rows, and each round takes the clean cells
-of one sub-table (a digest is in one cell of it, so nothing is taken out twice).  All rounds stay in
-the partitioning by document: they shuffle nothing.
+Method.  A text is cut into paragraphs by its content: at line ends, and from ``LEAST_CHARS`` characters on
+after a sentence mark or a word with a certain last letter, so that an insertion moves only the cuts near
+it.  Each distinct paragraph has a 64-bit digest.  The digests' leading bits deal them over blocks of at
+most ``BLOCK`` on average, and each block has a sketch of three sub-tables of cells; a digest falls
+into one cell of each, and a cell holds a count, the xor of its digests and the xor of their checks.
+
+A fingerprint is these cells as text, for each block at the least width at which its sketch peels: it
+grows with the text, and its digests can be recovered from it (``recover``).  Two documents are compared
+by subtracting their sketches of equal size cell by cell: common digests cancel, and peeling recovers the
+others: a cell whose count is 1 or -1 and whose check fits holds one digest, which is then taken out of
+its other cells.  Where a block does not peel clean it is built again at twice the width with another
+salt, up to ``LEVELS`` times (a block that fails then, which needs that many independent failures, is
+compared digest by digest).  Of the differing digests d and the a and b digests of both, likeness is
+(a + b - d) / (a + b + d), the Jaccard index; it follows from the two fingerprints alone.
+
+All of it is array functions within a document's row: nothing but the texts is shuffled.  A row holds some
+hundred bytes for each digest of its document while it is worked on.
 
 Defined results
 * null text: as the empty text; without paragraphs the sketch is empty, and two such are alike (1.0);
-* only the number and the multiset of texts matter: rows with equal doc_id and text are worked on once
+* only the set of a text's paragraphs matters; rows with equal doc_id and text are worked on once
   and returned each;
 * with several texts under one doc_id, the next document is the one with the next larger doc_id, by
   its least text; a null doc_id sorts first (a text id equal to the empty text counts as null);
@@ -27,44 +30,217 @@ Defined results
 
 from __future__ import annotations
 
+import base64
+import functools
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-PARAGRAPH_CHARS = 96
-#: Cells of a sub-table in the printed fingerprint.
-PRINT_WIDTH = 4
-#: Least cells of a sub-table in a comparison, and peeling rounds (each over one sub-table).
-LEAST_WIDTH, ROUNDS = 16, 15
+#: Characters of a paragraph before it is cut within a line, and at most.
+LEAST_CHARS, MOST_CHARS = 80, 400
+#: Digests of a block on average at most, least cells of a sub-table in a comparison, levels, rounds of peeling.
+BLOCK, WIDTH, LEVELS, ROUNDS = 24, 4, 10, 24
+#: Least digests from which a comparison's first width is estimated.
 BOTTOM = 12
-#: What a document is compared with, by kind 0 and 1, and the columns of the likeness.
-KINDS, NEAR = ("edited_keys", "next_keys"), ("near_edited", "near_next")
+#: Words that end in g or w end a paragraph too, as not all texts have sentence marks.
+PARAGRAPH = rf"[^\n]{{{LEAST_CHARS},{MOST_CHARS}}}?[.!?…।。！？gw](?=\s)|[^\n]{{1,{MOST_CHARS}}}"
+#: A cell as text: its count, xor of digests and xor of checks, big-endian.
+CELL = np.dtype([("n", ">u2"), ("x", ">i8"), ("c", ">u4")])
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs, in order of the digests."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\n]{1,%d}" % PARAGRAPH_CHARS), F.lit(0))
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
+# --- sketches within a row ------------------------------------------------------------------
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(101)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _cell(key: Column, table: int, width: Column, salt: int) -> Column:
-    return (F.lit(table) * width + F.pmod(F.xxhash64(key, F.lit(salt + table)), width)).cast("int")
+def _bits(keys: Column) -> Column:
+    """How many leading bits deal ``keys`` over blocks: the least with at most BLOCK in a block on average."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(keys), F.lit(1)) / F.lit(float(BLOCK)))).cast("int"))
+
+
+def _split(rows: Column, bits: Column) -> Column:
+    """Rows (key, side) in order of the key, dealt over their blocks: an array of arrays."""
+
+    def block(row: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.shiftrightunsigned(row["key"], 1), 63 - bits)
+
+    def pieces(rows: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: (i == 1) | (block(F.get(rows, i - 1)) != block(F.get(rows, i - 2))))
+        return _let(first, lambda at: F.transform(at, lambda i, k: F.slice(rows, i, F.coalesce(F.get(at, k + 1), F.size(rows) + 1) - i)))
+
+    kind = "array<array<struct<key:bigint,side:int>>>"
+    return F.when(F.size(rows) > 0, _let(rows, pieces)).otherwise(F.array().cast(kind))
+
+
+def _sided(keys: Column, side: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
+
+
+def _levels(width: Column) -> Column:
+    """(salt, width): widths from the given one, each twice the one before."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("salt"), (width * F.pow(F.lit(2), k)).cast("int").alias("width")))
+
+
+def _room(keys: Column) -> Column:
+    """For a number of keys, the least width that is a power of two and has three cells for each two of them."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(keys, F.lit(2)) / F.lit(2.0)))).cast("int")
+
+
+def _placed(keys: Column, level: Column, sign: int = 1) -> Column:
+    """Of each sub-table its entries (at, n, key, check), one for each of ``keys``."""
+    mask = (level["width"] - 1).cast("long")
+    hashed = F.transform(keys, lambda k: F.struct(k.alias("key"), F.xxhash64(k, level["salt"]).alias("h"), _check(k).alias("check")))
+    entry = lambda t, mask, r: F.struct(F.shiftrightunsigned(r["h"], 16 * t).bitwiseAND(mask).alias("at"), F.lit(sign).alias("n"), r["key"].alias("key"), r["check"].alias("check"))
+    of = lambda rows, mask: F.array(*[F.transform(rows, functools.partial(entry, t, mask)) for t in range(3)])
+    return _let(hashed, lambda rows: _let(mask, lambda m: of(rows, m)))
+
+
+def _cell(n: Column, x: Column, c: Column) -> Column:
+    return F.struct(n.alias("n"), x.alias("x"), c.alias("c"))
+
+
+def _slots(level: Column) -> Column:
+    """Of each cell its sub-table and its place there."""
+    return F.transform(F.sequence(F.lit(0), 3 * level["width"] - 1), lambda i: F.struct(F.floor(i / level["width"]).cast("int").alias("t"), (i % level["width"]).cast("long").alias("at")))
+
+
+def _sums(entries: Column, slot: Column) -> Column:
+    """Sums of the entries in one cell."""
+    own = F.filter(entries[slot["t"]], lambda e: e["at"] == slot["at"])
+    return F.aggregate(own, _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")), lambda c, e: _cell(c["n"] + e["n"], c["x"].bitwiseXOR(e["key"]), c["c"].bitwiseXOR(e["check"])))
+
+
+def _cells(keys: Column, level: Column, slots: Column) -> Column:
+    """The sketch of ``keys``."""
+    return _let(_placed(keys, level), lambda entries: F.transform(slots, lambda s: _sums(entries, s)))
+
+
+def _subtracted(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: _cell(a["n"] - b["n"], a["x"].bitwiseXOR(b["x"]), a["c"].bitwiseXOR(b["c"])))
+
+
+def _peeled(cells: Column, level: Column, slots: Column) -> Column:
+    """(cells, plus, minus, live): what peeling leaves, and the digests recovered by the sign of their count."""
+
+    def state(cells: Column, plus: Column, minus: Column, live: Column) -> Column:
+        return F.struct(cells.alias("cells"), plus.alias("plus"), minus.alias("minus"), live.alias("live"))
+
+    def clean(cells: Column) -> Column:
+        pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
+        side = lambda p, sign: F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == sign), lambda c: c["x"]))
+        return _let(pure, lambda p: F.struct(side(p, 1).alias("plus"), side(p, -1).alias("minus")))
+
+    def take(s: Column, found: Column) -> Column:
+        signed = F.zip_with(_placed(found["plus"], level), _placed(found["minus"], level, -1), lambda a, b: F.concat(a, b))
+        cells = _let(signed, lambda entries: _subtracted(s["cells"], F.transform(slots, lambda slot: _sums(entries, slot))))
+        return state(cells, F.concat(s["plus"], found["plus"]), F.concat(s["minus"], found["minus"]), F.lit(True))
+
+    def turn(s: Column, _: Column) -> Column:
+        over = state(s["cells"], s["plus"], s["minus"], F.lit(False))
+        one = _let(clean(s["cells"]), lambda f: F.when(F.size(f["plus"]) + F.size(f["minus"]) > 0, take(s, f)).otherwise(over))
+        return F.when(s["live"], one).otherwise(s)
+
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, none, none, F.lit(True)), turn)
+
+
+def _clean(cells: Column) -> Column:
+    return F.forall(cells, lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
+
+
+def _first_clean(width: Column, start: Column, attempt: Callable[[Column, Column], Column]) -> Column:
+    """``attempt`` (level, slots) at ``width`` and at wider and wider levels until its field ``done`` holds."""
+    return F.aggregate(_levels(width), start, lambda s, level: F.when(s["done"], s).otherwise(_let(_slots(level), lambda slots: attempt(level, slots))))
+
+
+def _block_print(rows: Column) -> Column:
+    """A block as text: its level, and its cells at the least level at which they peel."""
+    kind = "struct<done:boolean,salt:int,cells:array<struct<n:int,x:bigint,c:bigint>>>"
+
+    def attempt(keys: Column, level: Column, slots: Column) -> Column:
+        return _let(_cells(keys, level, slots), lambda cells: F.struct(_clean(_peeled(cells, level, slots)["cells"]).alias("done"), level["salt"].alias("salt"), cells.alias("cells")))
+
+    start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("salt"), F.array().cast("array<struct<n:int,x:bigint,c:bigint>>").alias("cells")).cast(kind)
+    sketch = _let(F.transform(rows, lambda r: r["key"]), lambda keys: _first_clean(_room(F.size(keys)), start, lambda *level: attempt(keys, *level)))
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+    packed = lambda s: F.array_join(F.transform(s["cells"], lambda c: F.concat(digits(c["n"].cast("long"), 4), digits(c["x"], 16), digits(c["c"], 8))), "")
+    return _let(sketch, lambda s: F.concat(s["salt"].cast("string"), F.lit(":"), F.translate(F.base64(F.unhex(packed(s))), "\r\n", "")))
 
 
 def printed(keys: Column) -> Column:
-    """The smallest sketch as text: for each cell its count and the xor of its digests, in hexadecimal."""
+    """A document's sketches as text: how many digests, how many leading bits, then each block that is not empty."""
+    blocks = F.transform(_split(_sided(keys, 1), _bits(keys)), _block_print)
+    return F.concat_ws(" ", F.concat(F.size(keys).cast("string"), F.lit("/"), _bits(keys).cast("string")), blocks)
+
+
+def _apart(left: Column, right: Column) -> Column:
+    """About which share of the digests of both differ: from the least ``BOTTOM`` of each."""
+    low = F.array(F.slice(left, 1, BOTTOM), F.slice(right, 1, BOTTOM))
+
+    def share(low: Column) -> Column:
+        both = F.slice(F.array_sort(F.array_union(low[0], low[1])), 1, BOTTOM)
+        return _let(both, lambda b: F.size(F.array_except(b, F.array_intersect(low[0], low[1]))) / F.greatest(F.size(b), F.lit(1)))
+
+    return _let(low, lambda x: _let(share(x), lambda j: 2 * j / (1 + j)))
+
 
-    def cell(table: int, at: int) -> Column:
-        inside = F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(table)), F.lit(PRINT_WIDTH)) == at)
-        xor = F.aggregate(inside, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))
-        return F.concat(F.hex(F.size(inside).cast("long")), F.lit(":"), F.lower(F.hex(xor)))
+def difference(left: Column, right: Column) -> Column:
+    """(plus, minus): the digests that only ``left`` or only ``right`` has, recovered from the difference of their sketches."""
+
+    def attempt(sides: Column, level: Column, slots: Column) -> Column:
+        apart = _subtracted(_cells(sides["plus"], level, slots), _cells(sides["minus"], level, slots))
+        return _let(_peeled(apart, level, slots), lambda p: F.struct(_clean(p["cells"]).alias("done"), p["plus"].alias("plus"), p["minus"].alias("minus")))
+
+    def block(rows: Column, share: Column) -> Column:
+        sides = F.struct(*[F.transform(F.filter(rows, lambda r: r["side"] == s), lambda r: r["key"]).alias(n) for s, n in ((1, "plus"), (-1, "minus"))])  # noqa: B023
+        none = F.array().cast("array<bigint>")
+        start = F.struct(F.lit(False).alias("done"), none.alias("plus"), none.alias("minus"))
+        width = F.greatest(F.lit(WIDTH), _room(F.size(rows) * share))
+
+        def found(k: Column) -> Column:
+            last = F.struct(F.array_except(k["plus"], k["minus"]).alias("plus"), F.array_except(k["minus"], k["plus"]).alias("minus"))
+            return _let(_first_clean(width, start, lambda *level: attempt(k, *level)), lambda f: F.when(f["done"], F.struct(f["plus"].alias("plus"), f["minus"].alias("minus"))).otherwise(last))
+
+        return _let(sides, found)
+
+    bits = F.greatest(_bits(left), _bits(right))
+    rows = _split(F.array_sort(F.concat(_sided(left, 1), _sided(right, -1))), bits)
+    blocks = _let(_apart(left, right), lambda share: F.transform(rows, lambda r: block(r, share)))
+    return _let(blocks, lambda b: F.struct(F.flatten(F.transform(b, lambda x: x["plus"])).alias("plus"), F.flatten(F.transform(b, lambda x: x["minus"])).alias("minus")))
+
+
+def _likeness(left: Column, right: Column, d: Column) -> Column:
+    total = F.size(left) + F.size(right)
+    return F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d))
 
-    return F.concat_ws(" ", *[cell(table, at) for table in range(3) for at in range(PRINT_WIDTH)])
+
+# --- fingerprints as text -------------------------------------------------------------------
+
+
+def cells_of(fingerprint: str) -> list[tuple[int, np.ndarray]]:
+    """A printed fingerprint's blocks: (level, cells)."""
+    blocks = [b.split(":") for b in fingerprint.split(" ")[1:]]
+    return [(int(level), np.frombuffer(base64.b64decode(data), dtype=CELL)) for level, data in blocks]
+
+
+# --- the operator ---------------------------------------------------------------------------
 
 
 def _links(docs: DataFrame) -> DataFrame:
@@ -84,44 +260,6 @@ def _links(docs: DataFrame) -> DataFrame:
     return stored(out.select("key", "chars", F.coalesce("later", "head").alias("next_key")), "fingerprint-links")
 
 
-def _peel(pairs: DataFrame, key: list[str], salt: int) -> DataFrame:
-    """For pairs (key..., kind, width, left, right) of digest arrays: d, and open, the cells that did not peel."""
-    group = [*key, "kind"]
-    held = F.concat(F.transform("left", lambda k: F.struct(k.alias("digest"), F.lit(1).alias("sign"))), F.transform("right", lambda k: F.struct(k.alias("digest"), F.lit(-1).alias("sign"))))
-    rows = pairs.select(*group, "width", F.explode(held).alias("h")).select(*group, "width", "h.digest", "h.sign")
-    rows = rows.select(*group, "width", "sign", "digest", _check(F.col("digest")).alias("check"), F.explode(F.array(*[_cell(F.col("digest"), t, F.col("width"), salt) for t in range(3)])).alias("pos"))
-    cells = rows.groupBy(*group, "pos").agg(F.max("width").alias("width"), F.sum("sign").alias("sign"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
-    for r in range(ROUNDS):
-        table = r % 3
-        live = (F.col("sign") != 0) | (F.col("digest") != 0) | (F.col("check") != 0) | (F.col("pos") < 0)
-        own = F.struct("pos", F.col("sign").alias("sign"), "digest", "check")
-        clean = (F.col("pos") >= table * F.col("width")) & (F.col("pos") < (table + 1) * F.col("width")) & (F.abs("sign") == 1) & (F.col("check") == _check(F.col("digest"))) & (F.col("pos") == _cell(F.col("digest"), table, F.col("width"), salt))
-        # a clean cell turns into its tally and what leaves the digest's other two cells
-        tally = F.struct(F.lit(-1).alias("pos"), F.lit(1).cast("long").alias("sign"), F.lit(0).cast("long").alias("digest"), F.lit(0).cast("long").alias("check"))
-        leave = [F.struct(_cell(F.col("digest"), t, F.col("width"), salt).alias("pos"), (-F.col("sign")).alias("sign"), "digest", "check") for t in range(3) if t != table]
-        cells = (
-            cells.where(live)
-            .select(*group, "width", F.explode(F.when(clean, F.array(tally, *leave)).otherwise(F.array(own))).alias("c"))
-            .groupBy(*group, F.col("c.pos").alias("pos"))
-            .agg(F.max("width").alias("width"), F.sum("c.sign").alias("sign"), F.bit_xor("c.digest").alias("digest"), F.bit_xor("c.check").alias("check"))
-        )
-    left = (F.col("pos") >= 0) & ((F.col("sign") != 0) | (F.col("digest") != 0) | (F.col("check") != 0))
-    return cells.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("pos") == -1, F.col("sign"))), F.lit(0)).alias("d"), F.count_if(left).alias("open"))
-
-
-def _power(least: Column) -> Column:
-    """The next power of two at or above a number."""
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(least, F.lit(float(LEAST_WIDTH)))))).cast("int")
-
-
-def _estimated(left: Column, right: Column) -> Column:
-    """About how many digests differ: a bottom-k estimate, on the safe side by a quarter."""
-    low = F.slice(F.array_sort(F.array_union(F.slice(left, 1, BOTTOM), F.slice(right, 1, BOTTOM))), 1, BOTTOM)
-    common = F.size(F.array_intersect(F.array_intersect(low, F.slice(left, 1, BOTTOM)), F.slice(right, 1, BOTTOM))) / F.greatest(F.size(low), F.lit(1))
-    total = F.size(left) + F.size(right)
-    return F.greatest(F.lit(0), total * (1 - common) / (1 + common)) * 1.25 + F.abs(F.size(left) - F.size(right)) * 0.25
-
-
 def _quarter(text: str, chars: str) -> Column:
     return F.expr(f"substring({text}, 1, cast(floor({chars} / 4) as int))")
 
@@ -141,56 +279,30 @@ def _documents(docs: DataFrame) -> DataFrame:
     return own.join(heads, "key")
 
 
-def _likeness(left: str, right: str, d: Column) -> Column:
-    total = F.size(left) + F.size(right)
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d))
-
+def fingerprints(docs: DataFrame, recovered: bool = False) -> DataFrame:
+    """The operator: every row with its fingerprint, its edited text's, and the likeness to that and to the next document.
 
-def _pairs(base: DataFrame) -> DataFrame:
-    """(key, print, kind, left, right): each document's digests against its edited text's (kind 0) and the next document's (kind 1)."""
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("right")) for k, c in enumerate(KINDS)]))
-    return base.select("key", "print", F.col("keys").alias("left"), sides.alias("s")).select("key", "print", "s.kind", "left", "s.right")
+    With ``recovered`` there are edited_difference and next_difference too, (plus, minus): the paragraph digests
+    that only the text, and only the other, has.
+    """
+    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), _quarter("head", "char_length(text)"))
+    base = _documents(docs).withColumn("edited", edited)
+    base = base.select("key", "times", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
 
+    prints = F.transform(F.array("keys", "edited_keys"), printed)
+    pairs = F.array(*[F.struct(F.col("keys").alias("own"), F.col(f"{k}_keys").alias("other")) for k in ("edited", "next")])
 
-def _found(peeled: DataFrame, base: DataFrame) -> DataFrame:
-    """``base`` with the columns open_0, d_0, open_1, d_1 of its pairs; documents whose sketches cancelled altogether have no row in ``peeled``."""
-    of = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in ("open", "d")]
-    found = peeled.groupBy("key", "print").agg(*of).withColumnsRenamed({"key": "_key", "print": "_print"})
-    out = base.join(found, (F.col("key") == F.col("_key")) & _same("print", "_print"), "left").drop("_key", "_print")
-    return out.fillna(0, [f"{c}_{k}" for k in (0, 1) for c in ("open", "d")])
+    def compared(pair: Column) -> Column:
+        def answer(d: Column) -> Column:
+            return F.struct(d.alias("difference"), _likeness(pair["own"], pair["other"], F.size(d["plus"]) + F.size(d["minus"])).alias("near"))
 
+        return _let(difference(pair["own"], pair["other"]), answer)
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The operator: every row with its fingerprint, its edited text's, and the likeness to that and to the next document."""
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), _quarter("head", "char_length(text)"))
-    base = _documents(docs).withColumn("edited", edited)
-    base = base.select("key", "print", "times", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    first = _peel(_pairs(base).withColumn("width", _power(_estimated(F.col("left"), F.col("right")) * 0.6)), ["key", "print"], salt=0)
-
-    def plain(other: str) -> Column:
-        return F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))
-
-    def finished(found: DataFrame, last: bool) -> DataFrame:
-        near = [F.when(F.col(f"open_{k}") == 0, _likeness("keys", c, F.col(f"d_{k}"))).otherwise(_likeness("keys", c, plain(c)) if last else F.lit(None)).alias(n) for k, (c, n) in enumerate(zip(KINDS, NEAR, strict=True))]
-        prints = [printed(F.col("keys")).alias("fingerprint"), printed(F.col("edited_keys")).alias("edited_fingerprint")]
-        unsure = (F.col("open_0") > 0) | (F.col("open_1") > 0)
-        kept = [] if last else [F.when(unsure, F.col(c)).alias(c) for c in ("keys", *KINDS)]
-        return found.select("key", "print", "times", "n_chars", "edited_sha256", *prints, *near, *kept)
-
-    # the digests stay only of documents whose sketches did not peel clean
-    done = stored(finished(_found(first, base), last=False), "fingerprints")
-    unsure = done.where("keys is not null")
-    out = done.where("keys is null").drop("keys", *KINDS)
-    if not unsure.isEmpty():
-        # a larger sketch, with room for all digests of both and another salt; after it the digests themselves
-        wide = _pairs(unsure).withColumn("width", _power((F.size("left") + F.size("right")) * 0.8 + 64))
-        second = _peel(wide.repartition("key"), ["key", "print"], salt=10)
-        out = out.unionByName(finished(_found(second, unsure), last=True))
+    base = base.select("*", prints.alias("_prints"), F.transform(pairs, compared).alias("_pairs"))
+    named = [F.col("_prints")[k].alias(n) for k, n in enumerate(("fingerprint", "edited_fingerprint"))]
+    named += [F.col("_pairs")[k]["near"].alias(n) for k, n in enumerate(("near_edited", "near_next"))]
+    if recovered:
+        named += [F.col("_pairs")[k]["difference"].alias(n) for k, n in enumerate(("edited_difference", "next_difference"))]
     doc_id = F.when(F.col("key") != "", F.col("key").cast(docs.schema["doc_id"].dataType)).alias("doc_id")
-    out = out.select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *NEAR, "times")
+    out = base.select(doc_id, "n_chars", "edited_sha256", *named, "times")
     return out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
-
-
-def _same(a: str, b: str) -> Column:
-    """Equality that the planner doesn't take as a join key: rows are already together by ``key`` and need not be dealt again."""
-    return F.col(a) - F.col(b) == 0

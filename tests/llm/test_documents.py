@@ -10,8 +10,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sutrapath.llm import doc_fingerprint, license_scan, mixing, ngram_join, packing
 from sutrapath.llm import queries as registered
@@ -55,13 +57,38 @@ def test_bands_and_anchors():
 
 
 def units(text):
-    return set(re.findall(r"[^\n]{1,96}", text))
+    """Digests of a text's paragraphs, by another library."""
+    return {np.uint64(xxhash.xxh64_intdigest(p.encode(), seed=42)).view(np.int64).item() for p in re.findall(doc_fingerprint.PARAGRAPH, text)}
 
 
 def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def recover(fingerprint):
+    """The digests that a printed fingerprint holds, by peeling each of its blocks."""
+
+    def salted(key, salt):
+        return xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42))
+
+    out = set()
+    for level, cells in doc_fingerprint.cells_of(fingerprint):
+        width = len(cells) // 3
+        held = [(int(n), int(x), int(c)) for n, x, c in cells]
+        todo = True
+        while todo:
+            todo = {x for n, x, c in held if n == 1 and c == salted(x, 101) & 0xFFFFFFFF}
+            for x in todo:
+                h, c = salted(x, level), salted(x, 101) & 0xFFFFFFFF
+                for t in range(3):
+                    at = t * width + (h >> 16 * t & width - 1)
+                    held[at] = (held[at][0] - 1, held[at][1] ^ x, held[at][2] ^ c)
+            out |= todo
+        assert not any(any(cell) for cell in held)
+    assert len(out) == int(fingerprint.split(" ")[0].split("/")[0])
+    return out
+
+
 def check_fingerprints(docs, got):
     texts = [(i, t or "") for i, t in sorted(docs)]
     by = {r["doc_id"]: r for r in got}
@@ -71,11 +98,35 @@ def check_fingerprints(docs, got):
         edited = text[: len(text) - q] + after[:q]
         r = by[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(likeness(units(text), units(edited))) and r["near_next"] == pytest.approx(likeness(units(text), units(after)))
+        own, other, following = (recover(x["fingerprint"]) if k != 1 else recover(r["edited_fingerprint"]) for k, x in enumerate((r, r, by[texts[(k + 1) % len(texts)][0]])))
+        assert (own, other, following) == (units(text), units(edited), units(after))
+        assert r["near_edited"] == pytest.approx(likeness(own, other)) and r["near_next"] == pytest.approx(likeness(own, following))
+        if "edited_difference" in r:
+            d, n = r["edited_difference"], r["next_difference"]
+            assert sorted(d["plus"]) == sorted(own - other) and sorted(d["minus"]) == sorted(other - own) and sorted(n["plus"]) == sorted(own - following) and sorted(n["minus"]) == sorted(following - own)
 
 
 def test_fingerprints_equal_brute_force(spark, small):
-    check_fingerprints([(r["doc_id"], r["text"]) for r in small.collect()], doc_fingerprint.fingerprints(small).collect())
+    check_fingerprints([(r["doc_id"], r["text"]) for r in small.collect()], doc_fingerprint.fingerprints(small, recovered=True).collect())
+
+
+def test_insertions_move_few_paragraphs(small):
+    """Cuts follow the content: a word put in front changes the paragraphs around it only."""
+    text = max((r["text"] or "" for r in small.collect()), key=len).replace("\n", " ")
+    before, after = units(text), units("inserted " + text)
+    assert len(before) > 50 and len(before ^ after) <= 12
+
+
+def test_difference_retries_wider(spark):
+    """From a width that can't hold the difference, comparison goes on to wider sketches until they peel."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for common, left, right in [(0, 0, 0), (30, 0, 0), (500, 3, 0), (40, 40, 40), (0, 300, 280), (2000, 700, 1)]:
+        keys = rng.integers(-(2**63), 2**63, common + left + right).tolist()
+        rows.append((sorted(keys[: common + left]), sorted(keys[:common] + keys[common + left :])))
+    frame = spark.createDataFrame(rows, "l array<long>, r array<long>")
+    for r, (a, b) in zip(frame.select("l", "r", doc_fingerprint.difference(F.col("l"), F.col("r")).alias("d")).collect(), rows, strict=True):
+        assert sorted(r["d"]["plus"]) == sorted(set(r["l"]) - set(r["r"])) and sorted(r["d"]["minus"]) == sorted(set(r["r"]) - set(r["l"]))
 
 
 def test_fingerprints_odd_rows(spark, odd, none):
@@ -89,7 +140,7 @@ def test_fingerprints_odd_rows(spark, odd, none):
     one = doc_fingerprint.fingerprints(odd.where("doc_id = 12")).first()
     assert one["near_next"] == 1.0
     unique = [(1, "a\nb\nc"), (2, None), (3, "\n".join(map(str, range(500)))), (4, "\n".join(map(str, range(480, 900))))]
-    check_fingerprints(unique, doc_fingerprint.fingerprints(spark.createDataFrame(unique, "doc_id long, text string")).collect())
+    check_fingerprints(unique, doc_fingerprint.fingerprints(spark.createDataFrame(unique, "doc_id long, text string"), recovered=True).collect())
 
 
 def shingles(text, width):
