@@ -38,7 +38,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"), F.array_join(F.transform("shards", lambda k: k.cast("string")), ",").alias("shards"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

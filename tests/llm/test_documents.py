@@ -299,24 +299,65 @@ def check_mix(docs, got):
     return {s: (want[s], taken[s]) for s in want}
 
 
+def near(docs, sums):
+    """Whether each source's words come within half of its largest document of its target."""
+    largest = collections.Counter()
+    for r in docs.collect():
+        largest[r["source"]] = max(largest[r["source"]], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")))
+    return all(abs(want - got) <= largest[s] / 2 + 1 for s, (want, got) in sums.items())
+
+
 def test_mixing(small):
     got = mixing.mix(small, block_docs=4).collect()
-    assert len(got) == small.count()
-    assert all(abs(t - n) <= 2 for t, n in check_mix(small, got).values())
+    assert len(got) == small.count() and near(small, check_mix(small, got))
+    drawn = collections.Counter(k for r in got for k in r["shards"])
+    assert set(drawn) <= set(range(16)) and len(drawn) > 8 and all(r["taken"] == len(r["shards"]) * r["size"] for r in got)
     again = {r["doc_id"]: (r["taken"], tuple(r["shards"])) for r in mixing.mix(small, block_docs=4).collect()}
     assert again == {r["doc_id"]: (r["taken"], tuple(r["shards"])) for r in got}
-    words = sum(len((r["text"] or "").split()) for r in mixing.mixed_documents(small).collect())
-    assert abs(words - sum(r["taken"] for r in got)) <= 2
+    # another tree deals the same draws over shards otherwise, another number of shards too
+    other, fewer = mixing.mix(small, block_docs=4, tree_seed=6).collect(), mixing.mix(small, shards=3, block_docs=4).collect()
+    assert near(small, check_mix(small, other)) and {r["doc_id"]: tuple(r["shards"]) for r in other} != {i: k for i, (_, k) in again.items()}
+    assert {k for r in fewer for k in r["shards"]} == {0, 1, 2}
+
+
+def test_mixed_documents(small):
+    """Whole documents, as often as they are drawn, with repeats apart."""
+    got = mixing.mix(small).collect()
+    mixed = mixing.mixed_documents(small).collect()
+    texts = {r["doc_id"]: r["text"] for r in small.collect()}
+    assert collections.Counter(r["doc_id"] for r in mixed) == {r["doc_id"]: len(r["shards"]) for r in got if r["shards"] and r["size"]}
+    assert all(r["text"] == texts[r["doc_id"]] for r in mixed)
+    ids = [r["doc_id"] for r in mixed]
+    assert sum(a == b for a, b in zip(ids, ids[1:])) <= 3 and ids == [r["doc_id"] for r in mixing.mixed_documents(small).collect()]
+
+
+def test_one_source_of_many(spark):
+    """A source with most rows, hundreds of small ones: exact targets, sums near them, quotas whole."""
+    rows = [(i, "w " * (1 + i % 7), "big" if i % 3 else f"host{i % 300}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame, block_docs=16).collect()
+    assert near(frame, check_mix(frame, got))
 
 
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
-    assert len(got) == odd.count()
-    assert all(abs(t - n) <= 3 for t, n in check_mix(odd, got).values())
+    assert len(got) == odd.count() and near(odd, check_mix(odd, got))
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_hypergeometric_of_any_size(monkeypatch):
+    """Beyond numpy's limit, draws have the distribution that numpy's have below it."""
+    rng = np.random.default_rng(1)
+    want = [mixing.hypergeometric(rng, 700, 1300, 400) for _ in range(4000)]
+    monkeypatch.setattr(mixing, "NUMPY_POPULATION", 0)
+    got = [mixing.hypergeometric(rng, 700, 1300, 400) for _ in range(4000)]
+    assert abs(np.mean(got) - 140) < 0.6 and abs(np.std(got) / np.std(want) - 1) < 0.06
+    assert [mixing.hypergeometric(rng, 5, 0, 3), mixing.hypergeometric(rng, 3, 4, 7)] == [3, 3]
+    big = [mixing.hypergeometric(rng, 3 * 10**11, 7 * 10**11, 5 * 10**11) for _ in range(50)]
+    assert abs(np.mean(big) / 1.5e11 - 1) < 1e-5 and 1e5 < np.std(big) < 4e5
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=6), st.integers(1, 9))
 def test_splitting_tree(quotas, shards):
