@@ -10,26 +10,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sutrapath.llm import language_id, mixing, ngram_join, packing, quality
-from sutrapath.llm.common import stored, table
+from sutrapath.llm.common import dropped, scratch, stored, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without letters, or without a language that has half of the letters, go."""
+    """Documents in a language: those without letters (null and empty texts too), or without a language that has half of the letters, go.
+
+    Texts are read whole; repeated rows and ties are decided alike; other columns stay as they are.
+    """
     return language_id.keep_identified(docs)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good; it learns from ``labels`` of the documents still there."""
+    """Documents that the classifier takes for good; it learns from ``labels`` of the documents still there.
+
+    A text without words has the score of the bias, which without any label keeps all rows.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard index 0.8)."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard index 0.8): the one with the least id.
+
+    Rows without an id or without words stay; of rows with equal id and text one stays.
+    """
     return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights."""
+    """The sources mixed to their target weights: whole documents, once for each shard that draws them, in shuffled shards.
+
+    Null and empty texts have no words and are in no mix; rows with equal id and size are drawn alike.
+    """
     return mixing.mixed_documents(docs)
 
 
@@ -51,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has stored goes once its result is, and that once the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

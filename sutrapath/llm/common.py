@@ -33,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a folder of our own is made and set.
+    Only where the session names none and runs in one process (tests) a folder of our own is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sutrapath-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -59,11 +61,21 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Paths of tables written within ``scratch``.
+_WRITTEN: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back: its lineage ends there.
 
-    As the table stays, the shuffle files of the run that made it go at its end.  ``batch_rows`` bounds the
-    rows that Python functions of that run get at a time, for rows that are long.
+    As the table stays, the shuffle files of the run that made it go at its end.  The table itself goes when
+    the application ends, or earlier (``dropped``, ``scratch``).  ``batch_rows`` bounds the rows that Python functions
+    of that run get at a time, for rows that are long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sutrapath-{name}-{uuid.uuid4().hex}"
@@ -72,7 +84,39 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
         values["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
     with _settings(spark, values):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    for written in _WRITTEN:
+        written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_path", None):
+            system, place = _file_system(df.sparkSession, path)
+            system.delete(place, True)
+            system.cancelDeleteOnExit(place)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stored inside go at the end, but for those appended to the list that it gives."""
+    written: list[str] = []
+    kept: list[DataFrame] = []
+    _WRITTEN.append(written)
+    try:
+        yield kept
+    finally:
+        _WRITTEN.remove(written)
+        stays = {getattr(df, "stored_path", None) for df in kept}
+        for path in written:
+            if path not in stays:
+                system, place = _file_system(spark, path)
+                system.delete(place, True)
 
 
 def fold(column: str | Column, modulus: int) -> Column:

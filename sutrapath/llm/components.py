@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -34,11 +34,14 @@ def components(links: DataFrame) -> DataFrame:
     nodes = stored(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "link-nodes")
     label = nodes.withColumn("component", F.col("node"))
     while not links.isEmpty():
-        parents = stored(links.groupBy("a").agg(F.min("b").alias("parent")), "parents")
-        parents = stored(_jump(parents, 2), "roots")
+        near = stored(links.groupBy("a").agg(F.min("b").alias("parent")), "parents")
+        parents = stored(_jump(near, 2), "roots")
         left, right = parents.withColumnsRenamed({"a": "_a", "parent": "_pa"}), parents.withColumnsRenamed({"a": "_b", "parent": "_pb"})
         moved = links.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"), "left")
-        links = stored(_ordered(moved.select(F.col("_pa").alias("a"), F.coalesce("_pb", "b").alias("b"))), "links")
-        label = label.join(left, F.col("component") == F.col("_a"), "left").select("node", F.coalesce("_pa", "component").alias("component"))
-        label = stored(label, "labels")
+        moved = stored(_ordered(moved.select(F.col("_pa").alias("a"), F.coalesce("_pb", "b").alias("b"))), "links")
+        over = label.join(left, F.col("component") == F.col("_a"), "left").select("node", F.coalesce("_pa", "component").alias("component"))
+        over = stored(over, "labels")
+        dropped(links, near, parents, label)
+        links, label = moved, over
+    dropped(links)
     return label

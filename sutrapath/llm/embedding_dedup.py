@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-#: Nodes of a cell, nodes compared with each other at a time, reverse neighbours of a node in a round.
+#: Nodes of a cell, nodes of a split cell or ball, reverse neighbours of a node in a round.
 CELL, BLOCK, REVERSE = 96, 256, 16
+#: Nodes of a block in comparisons of all with all, rows of such a comparison at a time, and rows of small components in one group.
+COMPARED, TILE, SHARED = 2048, 256, 1024
 #: Sampled nodes from which the audit takes a figure for groups of their size.
 LEAST_NODES = 16
 EDGES = "v long, u long, sim double"
@@ -163,11 +165,12 @@ def neighbour_lists(nodes: DataFrame, k: int, trees: int, rounds: int, seed: int
 def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
     """``rows`` dealt over pairs of blocks of their ``key``, each pair once: columns block, i, j and g, the group that compares it."""
     sizes = stored(rows.groupBy(key).agg(F.count("*").alias("size")), "vector-components").withColumnRenamed(key, "_key")
+    shared = -(-(sizes.where(F.col("size") <= most).agg(F.sum("size")).first()[0] or 0) // SHARED) or 1
     rows = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("blocks", F.ceil(F.col("size") / most)).withColumn("block", F.pmod(F.xxhash64("v", F.lit(9)), F.col("blocks"))).drop("_key", "size")
     # small components share a group; each block of a large one meets every other once
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(key), F.lit(512))).otherwise(F.xxhash64(key, "i", "j"))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(key), F.lit(shared))).otherwise(F.xxhash64(key, "i", "j"))
     return rows.withColumn("g", group).drop("blocks", "other")
 
 
@@ -185,7 +188,16 @@ def _joined(near: np.ndarray) -> np.ndarray:
 def _compared(nodes: DataFrame, place: DataFrame, threshold: float, join: bool = False) -> DataFrame:
     """(v, u, linked) for each node and pair of blocks of its component, all compared: the weights of the nodes linked with it, and with ``join`` the node that links join it to."""
     rows = place.select(F.col("node").alias("_v"), "component").join(nodes.select("v", "weight", "vector"), F.col("_v") == F.col("v"))
-    rows = _blocks(rows.select("v", "weight", "vector", "component"), "component", BLOCK)
+    rows = _blocks(rows.select("v", "weight", "vector", "component"), "component", BLOCK if join else COMPARED)
+
+    def sums(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of ``x`` the weights linked in ``y``, and the other way round, some rows at a time."""
+        mine, theirs = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+        for at in range(0, len(x), TILE):
+            near = x[at : at + TILE] @ y.T >= threshold
+            mine[at : at + TILE] = near @ wy
+            theirs += wx[at : at + TILE] @ near
+        return mine, theirs
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("block", "ascending"), ("v", "ascending")])
@@ -195,19 +207,22 @@ def _compared(nodes: DataFrame, place: DataFrame, threshold: float, join: bool =
         ids, to, linked = [], [], []
         for lo, hi in zip(bounds, np.append(bounds[1:], len(v)), strict=True):
             x, w, first = _matrix(lists.slice(lo, hi - lo)), weight[lo:hi], block[lo:hi] == i[lo]
-            if i[lo] == j[lo]:
+            own = i[lo] == j[lo]
+            if join:  # blocks are in order: the rows of the first come first
                 near = x @ x.T >= threshold
-                np.fill_diagonal(near, False)
+                near &= ~np.eye(len(x), dtype=bool) if own else first[:, None] != first
                 ids.append(v[lo:hi])
                 linked.append(near @ w)
+                to.append(v[lo:hi][_joined(near | near.T)])
+            elif own:
+                ids.append(v[lo:hi])
+                # a node is always its own neighbour: its cosine with itself is 1
+                linked.append(sums(x, x, w, w)[0] - w * (np.einsum("ij,ij->i", x, x) >= threshold))
+                to.append(v[lo:hi])
             else:
-                near = x[first] @ x[~first].T >= threshold
                 ids += [v[lo:hi][first], v[lo:hi][~first]]
-                linked += [near @ w[~first], w[first] @ near]
-                if join:  # blocks are in order: the rows of the first come first
-                    n = int(first.sum())
-                    near = np.block([[np.zeros((n, n), dtype=bool), near], [near.T, np.zeros((hi - lo - n, hi - lo - n), dtype=bool)]])
-            to.append(v[lo:hi][_joined(near | near.T)] if join else v[lo:hi])
+                linked += sums(x[first], x[~first], w[first], w[~first])
+                to.append(v[lo:hi])
         return pa.table({"v": np.concatenate(ids), "u": np.concatenate(to), "linked": np.concatenate(linked).astype(np.int64)})
 
     return rows.groupBy("g").applyInArrow(run, "v long, u long, linked long")

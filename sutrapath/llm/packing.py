@@ -12,7 +12,8 @@ of its chunks in a row.
 Defined results
 * null or empty text: one piece of one id, the end id;
 * repeated rows are packed each for itself (their groups follow from the row's place in the
-  input, not from its contents); equal lengths go in the order of (doc_id, start);
+  input, not from its contents, and are stored with the pieces before any is packed); equal lengths
+  go in the order of (doc_id, start);
 * no rows: no pieces.  Columns other than doc_id and text are neither read nor needed.
 """
 
@@ -192,13 +193,12 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """The operator: one row for each piece with its sequence_id and offset, and the sequence's tokens and padded length.
 
     ``group_docs`` is the mean number of documents in a group that one task packs at a time.  ``remembered`` words and
-    ``slice_bytes`` of text at a time trade a worker's memory for its time; with ``batch_rows`` the pieces are stored,
-    made from so many documents at a time.
+    ``slice_bytes`` of text at a time trade a worker's memory for its time; ``batch_rows`` bounds the documents that it gets
+    at a time.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer_path or public_tokenizer_path(), groups, capacity, remembered=remembered, slice_bytes=slice_bytes)
-    if batch_rows:
-        cut = stored(cut, "pieces", batch_rows)
+    # groups follow from a row's place in a task: they are dealt once, so a lost executor's pieces come back to the same ones
+    cut = stored(pieces(docs, tokenizer_path or public_tokenizer_path(), groups, capacity, remembered=remembered, slice_bytes=slice_bytes), "pieces", batch_rows)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

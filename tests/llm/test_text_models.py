@@ -79,6 +79,36 @@ def test_quality_held_out(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in rows) / len(rows) > 0.95
 
 
+def test_quality_equals_definition(spark):
+    """Scores by definition: the mean of the words' feature vectors plus that of the bigrams', softmax over the classes."""
+    rng = np.random.default_rng(3)
+    sample = [(" ".join(rng.choice(["a", "bb", "ccc", "dog", "é"], 12)), int(k % 4 > 0)) for k in range(80)]
+    model = quality.train(sample, totals=[10, 990], buckets=1 << 8, dim=4)
+    texts = ["a bb ccc", "dog dog dog dog", "é", "", None, "  a\n", "ccc " * 3000]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        hidden = np.zeros(4)
+        if words:
+            ids = [i for w in words for i in quality.ngram_features(pa.array([w]), quality.ORDERS, 1 << 8)[0]]
+            hidden = model.vector[ids].mean(axis=0)
+        if len(words) > 1:
+            value = [int(word_hashes(pa.array([w]))[0]) & 255 for w in words]
+            hidden = hidden + model.vector[[256 + (x ^ y) for x, y in zip(value, value[1:])]].mean(axis=0)
+        logit = hidden @ model.output + model.bias
+        p = np.exp(logit - logit.max())
+        assert got[k] == pytest.approx(p[1] / p.sum(), rel=1e-9)
+
+
+def test_quality_shares_do_not_depend_on_the_bound(spark):
+    """A text without words scores the share of label 1 among all labels, however many are in the sample."""
+    docs = spark.createDataFrame([(i, "good words here" if i % 10 else "BAD!! BAD!!") for i in range(600)] + [(1000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(600)], "doc_id long, quality int")
+    for most in (2000, 50):
+        score = {r["doc_id"]: r["score"] for r in quality.classify_documents(docs, labels, most=most).collect()}[1000]
+        assert 0.85 < score < 0.95
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (7, 0), (12, 1), (10, 0), (99, 1), (None, 1), (1, None)], "doc_id long, quality int")
     rows = quality.classify_documents(odd, labels).collect()

@@ -86,6 +86,15 @@ def test_tight_groups_in_a_wide_one(spark, tries):
     assert got[0]["audited_recall"] == 1.0
 
 
+@pytest.mark.parametrize("size", [300, 2600])
+def test_one_large_group(spark, size):
+    """Groups that no list holds and that take several blocks: every link of theirs is counted."""
+    x = tight_in_wide(seed=3, dim=16, groups=1, copies=size, others=200)
+    got = embedding_dedup.deduplicate(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).collect()
+    links, label = truth(x, [1] * len(x))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], label[i]) for i in range(len(x))}
+
+
 def test_audit_sees_small_groups_beside_a_large_one(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([np.repeat(rng.normal(size=(1, 32)), 300, axis=0), np.repeat(rng.normal(size=(100, 32)), 3, axis=0)])
