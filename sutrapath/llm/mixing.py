@@ -187,16 +187,18 @@ def mix(docs: DataFrame, shards: int = 16, block_docs: int = 512, most: int = MO
     return out.select("doc_id", "source", "size", *more, "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), "shards")
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, piece_words: int = 16_000_000, seed: int = 5) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = 16, piece_bytes: int = 24 << 20, most_pieces: int = 100_000, seed: int = 5) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document whole, once for each shard that has drawn it.
 
-    Shards lie apart, in pieces of about ``piece_words``, and copies within one are in the order of a hash of
-    shard, document and copy.  Documents without words are in no shard's mix.
+    Shards are cut by hash into parts, of which some make a partition of about ``piece_bytes`` of text, with ``most_pieces``
+    partitions at most; copies within one are in the order of the shard and of a hash of shard, document and
+    copy.  Documents without words are in no shard's mix.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
     out = mix(docs, shards, seed=seed, rows=rows).where("size > 0").select("_row", "source_size", F.posexplode("shards").alias("_copy", "_shard"))
-    words = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
-    pieces = -(-words // (shards * piece_words)) or 1
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = min(most_pieces, -(-size // piece_bytes) or 1)
     out = out.withColumn("_order", _hash(seed + 5, "_shard", "_copy", "_row.doc_id", F.xxhash64("_row.text")))
-    out = out.repartition(F.col("_shard"), F.pmod("_order", F.lit(pieces))).sortWithinPartitions("_shard", "_order")
+    part = F.pmod("_order", F.lit(-(-8 * pieces // shards)))  # several parts in each partition, so that they are alike in size
+    out = out.repartition(pieces, F.col("_shard"), part).sortWithinPartitions("_shard", "_order")
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
