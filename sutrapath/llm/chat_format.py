@@ -1,37 +1,50 @@
-"""Chat formatting: tool calls linked to their results and serialised as canonical JSON.
-
-Method.  Calls and results are hash-joined by (conversation, identifier).  Each message gets an
-order key in which a result always follows its call, wherever it arrived.  The arguments of a call
-are parsed and checked against the tool's schema, and every message is serialised as JSON with
-sorted keys, no spaces and no null members.  Everything is one row per message, so no conversation
-is ever gathered into one task.
+"""Chat formatting: tool calls linked to their results, put in order and serialised as canonical JSON.
+
+Method.  Calls and results are hash-joined by (conversation, identifier).  They are ordered topologically: a
+result comes after its call, and a call after the results of the calls that it names in ``after``.  An
+event's ``order_turn`` is the latest turn among it and all that it depends on, its ``order_level`` the longest
+path of dependencies that leads to it, so both grow along each dependency; levels are worked out in rounds,
+one for each step of the longest path of ``after``.  The order is (order_turn, order_level, turn, order_item,
+json), with order_item the place within the message: a key of each row instead of a number within the
+conversation, so that no conversation is ever gathered into one task.  The arguments of a call are parsed and
+checked against the tool's schema, and every message is serialised as JSON with sorted keys, no spaces and
+no null members.
 
 Messages are rows (conv_id, turn, role, text).  An assistant text that is a JSON object
-``{"tool_calls": [{"id": .., "name": .., "arguments": {..}}]}`` makes calls; a text of role tool
+``{"tool_calls": [{"id": .., "name": .., "arguments": {..}, "after": [..]}]}`` makes calls; a text of role tool
 ``{"tool_call_id": .., "content": ..}`` is a result.  With ``turns=True`` a plain user message counts
 as a call of the tool ``reply`` with arguments {"prompt": text, "turn": turn} and its turn as
 identifier, and a plain assistant message as the result of the turn before it.
 
+Schemas are JSON schemas with the members type (object, array, string, integer, number, boolean, null),
+properties, required, additionalProperties (false), items and enum, to any depth.
+
 Defined results
 * null conv_id, turn or role: a plain message, linked with nothing; null text: JSON without a text
   member, and a ``reply`` call without prompt, which is not valid;
 * an empty prompt is valid; a tool without schema: any JSON object is valid; arguments that don't
   parse as an object are not;
-* repeated rows each give a row; an identifier used by several calls is one call for linking,
-  placed at the first of them;
+* repeated rows each give a row, with equal keys; an identifier used by several calls is one call for linking,
+  placed at the first of them, and needs what any of them names;
+* identifiers in ``after`` that no call has are ignored; calls on a cycle, or behind one, can't be put
+  after each other: they are ``cyclic``, at level 0 of their own turns, and their results follow them;
 * a message with several calls gives a row for each; no rows: no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
-#: For each tool its members: (JSON type as Spark names it, required).
-Schemas = dict[str, dict[str, tuple[str, bool]]]
-REPLY: Schemas = {"reply": {"prompt": ("STRING", True), "turn": ("BIGINT", True)}}
+#: For each tool the JSON schema of its arguments.
+Schemas = dict[str, dict]
+REPLY: Schemas = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"], "additionalProperties": False}}
+#: What Spark calls the JSON types.
+_KINDS = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN$", "null": "^VOID$", "array": "^ARRAY", "object": "^OBJECT"}
 
 
 def canonical(text: Column) -> Column:
@@ -39,64 +52,123 @@ def canonical(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def fits(value: Column, schema: dict) -> Column:
+    """Whether a variant fits a JSON schema; null where there is no value."""
+    ok = F.lit(True)
+    if "type" in schema:
+        wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        ok = ok & F.schema_of_variant(value).rlike("|".join(_KINDS[w] for w in wanted))
+    if "enum" in schema:
+        ok = ok & F.to_json(value).isin([json.dumps(e, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for e in schema["enum"]])
+    members = schema.get("properties", {})
+    is_object, is_array = F.schema_of_variant(value).startswith("OBJECT"), F.schema_of_variant(value).startswith("ARRAY")
+    for name, part in members.items():
+        found = F.try_variant_get(value, f"$['{name}']", "variant")
+        ok = ok & (~is_object | F.when(found.isNotNull(), fits(found, part)).otherwise(name not in schema.get("required", [])))
+    for name in schema.get("required", []):
+        if name not in members:
+            ok = ok & (~is_object | F.try_variant_get(value, f"$['{name}']", "variant").isNotNull())
+    if schema.get("additionalProperties") is False:
+        known = F.array(*[F.lit(m) for m in members]).cast("array<string>")
+        ok = ok & (~is_object | (F.size(F.array_except(F.json_object_keys(F.to_json(value)), known)) == 0))
+    if "items" in schema:
+        ok = ok & (~is_array | F.forall(F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>")), lambda v: fits(v, schema["items"])))
+    return ok
+
+
 def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Whether a JSON text is an object that fits the schema of a tool: required members present, types right, no other members."""
+    """Whether a JSON text is an object that fits the schema of a tool."""
     value = F.try_parse_json(arguments)
-    kind = F.schema_of_variant(value)
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    fits = F.lit(True)
-    checks = None
-    for tool, members in schemas.items():
-        ok = F.lit(True)
-        for member, (wanted, required) in members.items():
-            found = F.schema_of_variant(F.try_variant_get(value, f"$.{member}", "variant"))
-            right = found == wanted
-            ok = ok & F.coalesce(right, F.lit(not required))
-        names = F.json_object_keys(arguments)
-        ok = ok & F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(m) for m in members]))) == 0, F.lit(True))
-        checks = F.when(name == tool, ok) if checks is None else checks.when(name == tool, ok)
-    fits = checks.otherwise(True) if checks is not None else fits
-    return is_object & fits
+    out = F.lit(True)
+    for tool, schema in schemas.items():
+        out = F.when(name == tool, F.coalesce(fits(value, schema), F.lit(False))).otherwise(out)
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) & out
 
 
 def events(messages: DataFrame, turns: bool) -> DataFrame:
-    """Messages as (conv_id, turn, role, text, kind, call_id, name, arguments): one row for each call, result or plain message."""
-    call = "struct<id:string,name:string,arguments:string>"
+    """Messages as (conv_id, turn, role, text, kind, call_id, name, arguments, after, order_item): one row for each call, result or plain message."""
+    call = "struct<id:string,name:string,arguments:string,after:array<string>>"
     looks_json = F.col("text").startswith("{")
     calls = F.from_json(F.get_json_object(F.when((F.col("role") == "assistant") & looks_json, F.col("text")), "$.tool_calls"), f"array<{call}>")
     result = F.get_json_object(F.when((F.col("role") == "tool") & looks_json, F.col("text")), "$.tool_call_id")
-    none = F.lit(None).cast("string")
+    none, nothing, first = F.lit(None).cast("string"), F.lit(None).cast("array<string>").alias("after"), F.lit(0).alias("order_item")
     keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     asked = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
-    plain = F.struct(F.lit("message").alias("kind"), none.alias("call_id"), none.alias("name"), none.alias("arguments"))
+    plain = F.struct(F.lit("message").alias("kind"), none.alias("call_id"), none.alias("name"), none.alias("arguments"), nothing, first)
     if turns:
         plain = (
-            F.when(keyed & (F.col("role") == "user"), F.struct(F.lit("call").alias("kind"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"), asked.alias("arguments")))
-            .when(keyed & (F.col("role") == "assistant"), F.struct(F.lit("result").alias("kind"), F.concat(F.lit("turn:"), (F.col("turn") - 1).cast("string")).alias("call_id"), none.alias("name"), none.alias("arguments")))
+            F.when(keyed & (F.col("role") == "user"), F.struct(F.lit("call").alias("kind"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"), asked.alias("arguments"), nothing, first))
+            .when(keyed & (F.col("role") == "assistant"), F.struct(F.lit("result").alias("kind"), F.concat(F.lit("turn:"), (F.col("turn") - 1).cast("string")).alias("call_id"), none.alias("name"), none.alias("arguments"), nothing, first))
             .otherwise(plain)
         )
-    made = F.transform("_calls", lambda c: F.struct(F.lit("call").alias("kind"), c["id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments")))
-    answered = F.struct(F.lit("result").alias("kind"), F.col("_result").alias("call_id"), none.alias("name"), none.alias("arguments"))
+    made = F.transform("_calls", lambda c, i: F.struct(F.lit("call").alias("kind"), c["id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments"), c["after"].alias("after"), i.alias("order_item")))
+    answered = F.struct(F.lit("result").alias("kind"), F.col("_result").alias("call_id"), none.alias("name"), none.alias("arguments"), nothing, first)
     out = messages.select("conv_id", "turn", "role", "text").withColumns({"_calls": calls, "_result": result})
     event = F.when(F.size("_calls") > 0, made).when(F.col("_result").isNotNull(), F.array(answered)).otherwise(F.array(plain))
     return out.select("conv_id", "turn", "role", "text", F.explode(event).alias("e")).select("conv_id", "turn", "role", "text", "e.*")
 
 
+def levels(ids: DataFrame, after: DataFrame) -> DataFrame | None:
+    """(conv, id, level, call_at, cyclic) of identifiers that depend on others, or None.
+
+    ``ids`` (conv, id, call_turn, result_turn) are all identifiers, ``after`` (conv, id, needs) which calls need
+    which results.  Each round settles the identifiers whose needs are all settled.
+    """
+    known = ids.where("call_turn is not null")
+    needs = after.join(known.select(F.col("conv").alias("_c"), F.col("id").alias("_n")), (F.col("conv") == F.col("_c")) & (F.col("needs") == F.col("_n")), "left_semi").distinct()
+    open_ = stored(needs, "chat-needs")
+    if open_.isEmpty():
+        return None
+    own = ids.select(F.col("conv").alias("_c"), F.col("id").alias("_i"), "call_turn", "result_turn")
+    waiting = stored(open_.select("conv", "id").distinct().join(own, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i"))).select("conv", "id", "call_turn", "result_turn"), "chat-waiting")
+    free = open_.select("conv", F.col("needs").alias("id")).distinct().join(waiting.select(F.col("conv").alias("_c"), F.col("id").alias("_i")), (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")), "left_anti")
+    free = free.join(own, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")))
+    result_at = F.greatest("result_turn", "call_at")
+    fresh = stored(free.select("conv", "id", F.lit(0).alias("level"), F.col("call_turn").alias("call_at"), "result_turn"), "chat-settled")
+    settled = None
+    held = open_.withColumns({"level": F.lit(None).cast("int"), "at": F.lit(None).cast("long")})
+    while not fresh.isEmpty():
+        new = fresh.select(F.col("conv").alias("_c"), F.col("id").alias("_n"), F.col("level").alias("_l"), result_at.cast("long").alias("_at"))
+        now = held.join(new, (F.col("conv") == F.col("_c")) & (F.col("needs") == F.col("_n")), "left").select("conv", "id", "needs", F.coalesce("_l", "level").alias("level"), F.coalesce("_at", "at").alias("at"))
+        now = stored(now, "chat-held")
+        ready = now.groupBy("conv", "id").agg(F.count("*").alias("all"), F.count("level").alias("got"), F.max("level").alias("level"), F.max("at").alias("at")).where(F.col("all") == F.col("got"))
+        ready = ready.join(waiting.withColumnsRenamed({"conv": "_c", "id": "_i"}), (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")))
+        fresh = stored(ready.select("conv", "id", (F.col("level") + 1).alias("level"), F.greatest("call_turn", "at").alias("call_at"), "result_turn"), "chat-settled")
+        done = fresh.select(F.col("conv").alias("_c"), F.col("id").alias("_i"))
+        dropped(held)
+        held = stored(now.join(done, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")), "left_anti"), "chat-open")
+        dropped(now)
+        settled = fresh if settled is None else settled.unionByName(fresh)
+    stuck = held.select("conv", "id").distinct().join(own, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i"))).select("conv", "id", F.lit(0).alias("level"), F.col("call_turn").alias("call_at"), F.lit(True).alias("cyclic"))
+    if settled is None:
+        return stuck
+    return settled.select("conv", "id", "level", "call_at", F.lit(False).alias("cyclic")).unionByName(stuck)
+
+
 def link(messages: DataFrame, schemas: Schemas = REPLY, turns: bool = False) -> DataFrame:
-    """The operator: every event with ``linked``, ``valid`` (calls), the order key (order_turn, order_rank) and ``json``."""
+    """The operator: every event with ``linked``, ``valid`` (calls), ``cyclic``, the order (order_turn, order_level, turn, order_item, json) and ``json``."""
     rows = events(messages, turns)
     named = rows.where("call_id is not null and conv_id is not null and kind <> 'message'")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     # one row for each identifier, so that repeated messages don't multiply in the join
-    ids = named.groupBy("conv_id", "call_id").agg(F.min(F.when(is_call, F.col("turn"))).alias("_call_turn"), F.count_if(is_call).alias("_calls"), F.count_if(is_result).alias("_results"))
-    ids = stored(ids.withColumnsRenamed({"conv_id": "_conv", "call_id": "_id"}), "chat-ids")
+    ids = named.groupBy(F.col("conv_id").alias("conv"), F.col("call_id").alias("id")).agg(F.min(F.when(is_call, F.col("turn"))).alias("call_turn"), F.min(F.when(is_result, F.col("turn"))).alias("result_turn"), F.count_if(is_call).alias("calls"), F.count_if(is_result).alias("results"))
+    ids = stored(ids, "chat-ids")
+    after = named.where(is_call & (F.size("after") > 0)).select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), F.explode("after").alias("needs"))
+    deep = levels(ids, after)
+    if deep is None:
+        ids = ids.withColumns({"level": F.lit(0), "call_at": F.col("call_turn"), "cyclic": F.lit(False)})
+    else:
+        deep = deep.withColumnsRenamed({"conv": "_c", "id": "_i"})
+        ids = ids.join(deep, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")), "left").drop("_c", "_i").withColumns({"level": F.coalesce("level", F.lit(0)), "call_at": F.coalesce("call_at", "call_turn"), "cyclic": F.coalesce("cyclic", F.lit(False))})
+    ids = ids.select(F.col("conv").alias("_conv"), F.col("id").alias("_id"), "call_at", "calls", "results", "level", "cyclic")
     out = rows.join(ids, (F.col("conv_id") == F.col("_conv")) & (F.col("call_id") == F.col("_id")), "left")
-    linked = F.coalesce(F.when(is_call, F.col("_results") > 0).when(is_result, F.col("_calls") > 0), F.lit(False))
-    order_turn = F.when(is_result, F.greatest("turn", "_call_turn")).otherwise(F.col("turn"))
-    order_rank = F.when(is_call, 0).when(is_result, 1).otherwise(F.lit(0))
+    linked = F.coalesce(F.when(is_call, F.col("results") > 0).when(is_result, F.col("calls") > 0), F.lit(False))
+    order_turn = F.when(is_call & ~F.col("cyclic"), F.greatest("turn", "call_at")).when(is_result, F.greatest("turn", "call_at")).otherwise(F.col("turn"))
+    # each identifier that another one needs adds its call and its result to the path
+    order_level = F.when(is_call, 2 * F.col("level")).when(is_result & (F.col("calls") > 0), 2 * F.col("level") + 1).otherwise(F.lit(0))
     valid = F.when(is_call, valid_arguments(F.col("name"), F.col("arguments"), schemas)).otherwise(True)  # there is nothing to check
     body = F.to_json(F.struct(F.when(is_call, F.try_parse_json("arguments")).alias("arguments"), F.col("call_id").alias("call_id"), F.col("kind").alias("kind"), F.col("name").alias("name"), F.col("role").alias("role"), F.when(~is_call | F.col("arguments").isNull(), F.col("text")).alias("text"), F.col("turn").alias("turn")))
-    return out.select("conv_id", "turn", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), order_turn.alias("order_turn"), order_rank.alias("order_rank"), body.alias("json"))
+    return out.select("conv_id", "turn", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), order_turn.alias("order_turn"), F.coalesce(order_level, F.lit(0)).cast("int").alias("order_level"), F.coalesce("order_item", F.lit(0)).alias("order_item"), body.alias("json"))
 
 
 #: DuckDB equivalent of ``link(conversations, turns=True)`` for plain messages.
@@ -114,8 +186,8 @@ WITH rows AS (
 SELECT n.conv_id, n.turn, n.role, n.kind, n.call_id,
   coalesce(CASE n.kind WHEN 'call' THEN results > 0 WHEN 'result' THEN calls > 0 END, false) AS linked,
   CASE WHEN n.kind = 'call' THEN text IS NOT NULL ELSE true END AS valid,
-  CASE WHEN n.kind = 'result' THEN greatest(n.turn, call_turn) ELSE n.turn END AS order_turn,
-  CAST(CASE WHEN n.kind = 'result' THEN 1 ELSE 0 END AS INTEGER) AS order_rank,
+  false AS cyclic, CASE WHEN n.kind = 'result' THEN greatest(n.turn, call_turn) ELSE n.turn END AS order_turn,
+  CAST(CASE WHEN n.kind = 'result' AND calls > 0 THEN 1 ELSE 0 END AS INTEGER) AS order_level, CAST(0 AS INTEGER) AS order_item,
   '{' || concat_ws(',',
     CASE WHEN n.kind = 'call' THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(text) AS VARCHAR), '"turn":' || n.turn) || '}' END,
     '"call_id":' || CAST(to_json(n.call_id) AS VARCHAR), '"kind":"' || n.kind || '"',

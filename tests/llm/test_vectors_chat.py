@@ -129,18 +129,119 @@ def test_tool_calls(spark):
         (3, 0, "assistant", '{"broken'),
         (None, None, None, None),
     ]
-    schemas = {"add": {"x": ("BIGINT", True), "y": ("BIGINT", False)}}
+    schemas = {"add": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "integer"}}, "required": ["x"], "additionalProperties": False}}
     got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
     by = {(r["conv_id"], r["kind"], r["call_id"]): r for r in got}
     assert len(got) == 9
     assert by[(1, "call", "a")]["linked"] and by[(1, "call", "a")]["valid"] and not by[(1, "call", "b")]["linked"] and not by[(1, "call", "b")]["valid"]
     assert by[(1, "result", "a")]["linked"] and not by[(1, "result", "zz")]["linked"]
     early, late = by[(2, "result", "a")], by[(2, "call", "a")]
-    assert (early["order_turn"], early["order_rank"]) > (late["order_turn"], late["order_rank"])
+    assert (early["order_turn"], early["order_level"]) > (late["order_turn"], late["order_level"])
+    same = sorted((r["order_turn"], r["order_level"], r["order_item"], r["call_id"]) for r in got if r["conv_id"] == 1 and r["turn"] == 1)
+    assert same == [(1, 0, 0, "a"), (1, 0, 1, "b")]
     assert '"arguments":{"n":{"c":[2,{"a":1,"z":0}],"d":1}}' in late["json"]
     assert all(list(json.loads(r["json"])) == sorted(json.loads(r["json"])) for r in got)
 
 
+def in_order(rows):
+    """Calls and results of one conversation, by definition: (turn, level, cyclic) of each identifier's call and result."""
+    calls, results = {}, {}
+    for turn, kind, call_id, after in rows:
+        if kind == "call":
+            at, needs = calls.get(call_id, (turn, set()))
+            calls[call_id] = (min(at, turn), needs | set(after))
+        else:
+            results[call_id] = min(results.get(call_id, turn), turn)
+    found = {}
+
+    def settle(i, path):
+        if i in found:
+            return found[i]
+        if i in path:
+            return None
+        needs = [settle(n, path | {i}) for n in calls[i][1] if n in calls]
+        if None in needs:
+            return None
+        level = 1 + max(n[1] for n in needs) if needs else 0
+        at = max([calls[i][0], *(n[2] for n in needs)])
+        found[i] = (at, level, max(at, results.get(i, at)))
+        return found[i]
+
+    out = {}
+    for i in calls:
+        done = settle(i, frozenset())
+        out[i] = (done[0], 2 * done[1], False) if done else (calls[i][0], 0, True)
+    return out
+
+
+def test_topological_order(spark):
+    """Chains, ties, shared identifiers, early results and cycles, against the definition; every dependency is kept."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for conv in range(40):
+        ids, mine = [f"c{k}" for k in range(int(rng.integers(1, 9)))], []
+        for turn in range(12):
+            if rng.random() < 0.6:
+                some = [(str(rng.choice(ids)), [str(x) for x in rng.choice([*ids, "unknown"], int(rng.integers(0, 3)))] if rng.random() < 0.5 else []) for _ in range(int(rng.integers(1, 4)))]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "t", "arguments": {}, "after": a} for i, a in some]})))
+                mine += [(turn, "call", i, a) for i, a in some]
+            else:
+                i = str(rng.choice(ids))
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": i, "content": turn})))
+                mine.append((turn, "result", i, []))
+        want |= {(conv, i): v for i, v in in_order(mine).items()}
+    got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert any(v[2] for v in want.values()) and any(v[1] >= 4 for v in want.values())
+    call = {}
+    for r in got:
+        if r["kind"] == "call":
+            at, level, cyclic = want[r["conv_id"], r["call_id"]]
+            assert (r["order_turn"], r["order_level"], r["cyclic"]) == (r["turn"] if cyclic else max(r["turn"], at), level, cyclic)
+            key = (r["order_turn"], r["order_level"])
+            call[r["conv_id"], r["call_id"]] = min(call.get((r["conv_id"], r["call_id"]), key), key)
+    for r in got:
+        if r["kind"] == "result" and r["linked"]:
+            assert (r["order_turn"], r["order_level"]) > call[r["conv_id"], r["call_id"]]
+
+
+def test_long_chain(spark):
+    rows = [(1, 20 - k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "t", "arguments": {}, "after": [f"c{k - 1}"] if k else []}]})) for k in range(9)]
+    got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r["call_id"] for r in sorted(got, key=lambda r: (r["order_turn"], r["order_level"]))] == [f"c{k}" for k in range(9)]
+
+
+@pytest.mark.parametrize(
+    ("arguments", "valid"),
+    [
+        ('{"q": "x", "n": 3, "tags": ["a", "b"], "where": {"lat": 1.5, "on": true}}', True),
+        ('{"q": "x"}', True),
+        ('{"q": "x", "n": 3.5}', False),
+        ('{"q": "x", "n": "3"}', False),
+        ('{"q": "z"}', False),
+        ('{"n": 1}', False),
+        ('{"q": "x", "tags": ["a", 1]}', False),
+        ('{"q": "x", "tags": []}', True),
+        ('{"q": "x", "tags": "a"}', False),
+        ('{"q": "x", "where": {"lat": "1"}}', False),
+        ('{"q": "x", "where": {"on": true}}', False),
+        ('{"q": "x", "where": {"lat": 2, "other": 1}}', False),
+        ('{"q": "x", "more": 1}', False),
+        ('{"q": "x", "n": null}', False),
+        ('{"q": null}', True),
+        ('["q"]', False),
+        ("{", False),
+        (None, False),
+    ],
+)
+def test_nested_schemas(spark, arguments, valid):
+    from pyspark.sql import functions as F
+
+    where = {"type": "object", "properties": {"lat": {"type": "number"}, "on": {"type": "boolean"}}, "required": ["lat"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"q": {"enum": ["x", "y", None]}, "n": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}, "where": where}, "required": ["q"], "additionalProperties": False}
+    row = spark.createDataFrame([("t", arguments)], "name string, a string")
+    assert row.select(chat_format.valid_arguments(F.col("name"), F.col("a"), {"t": schema}).alias("v")).first()["v"] is valid
+
+
 def test_turns(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", "r"), (1, 2, "user", None), (2, 0, "system", ""), (2, 1, "user", "")]
     got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), turns=True).collect()
