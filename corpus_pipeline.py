@@ -47,7 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; workers that other stages have used take little memory more."""
-    return packing.pack(docs, remembered=40_000, slice_bytes=2 << 20, batch_rows=500)
+    return packing.pack(docs, remembered=40_000, slice_bytes=2 << 20, batch_rows=500, forget=True)
 
 
 STAGES = [

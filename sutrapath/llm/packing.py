@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Words, mix64, stored, text_slices
+from .common import Words, mix64, stored, text_slices, trim
 
 CAPACITY = 4096
 END_ID = 2
@@ -125,7 +125,7 @@ def documents_ids(words: Words, encoder: Encoder, end_id: int = END_ID) -> tuple
     return out, starts
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, groups: int, capacity: int = CAPACITY, end_id: int = END_ID, seed: int = 11, remembered: int = 500_000, slice_bytes: int = 12 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, groups: int, capacity: int = CAPACITY, end_id: int = END_ID, seed: int = 11, remembered: int = 500_000, slice_bytes: int = 12 << 20, forget: bool = False) -> DataFrame:
     """The pieces of every document, each with its random group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +148,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, groups: int, capacity: int = CA
                     [part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row]), pa.array(group.astype(np.int64))],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"],
                 )
+        if forget:
+            del encoder
+            _ENCODERS.clear()
+            trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, pack_group long")
@@ -189,16 +193,16 @@ def padded(total: int, capacity: int = CAPACITY) -> int:
     return total if total & (total - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group_docs: int = 2048, remembered: int = 500_000, slice_bytes: int = 12 << 20, batch_rows: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group_docs: int = 2048, remembered: int = 500_000, slice_bytes: int = 12 << 20, batch_rows: int | None = None, forget: bool = False) -> DataFrame:
     """The operator: one row for each piece with its sequence_id and offset, and the sequence's tokens and padded length.
 
     ``group_docs`` is the mean number of documents in a group that one task packs at a time.  ``remembered`` words and
     ``slice_bytes`` of text at a time trade a worker's memory for its time; ``batch_rows`` bounds the documents that it gets
-    at a time.
+    at a time, and with ``forget`` it holds no tokenizer between tasks.
     """
     groups = max(1, -(-docs.count() // group_docs))
     # groups follow from a row's place in a task: they are dealt once, so a lost executor's pieces come back to the same ones
-    cut = stored(pieces(docs, tokenizer_path or public_tokenizer_path(), groups, capacity, remembered=remembered, slice_bytes=slice_bytes), "pieces", batch_rows)
+    cut = stored(pieces(docs, tokenizer_path or public_tokenizer_path(), groups, capacity, remembered=remembered, slice_bytes=slice_bytes, forget=forget), "pieces", batch_rows)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
