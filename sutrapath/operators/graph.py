@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, dropped
 
 
 def link_matrix(links: DataFrame) -> DataFrame:
@@ -60,43 +60,54 @@ def category_flows(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(domain, pagerank): weighted PageRank with the rank of dangling nodes dealt to all.
 
-    Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.
+    Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.  A step is one join
+    and one aggregate of stored tables; of each state only three sums come to the driver.
     """
     totals = edges.groupBy("u").agg(F.sum("w").alias("total"))
     moves = cut(edges.join(totals, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")))
     sink = nodes.select("domain").join(totals.select(F.col("u").alias("_u"), "total"), F.col("domain") == F.col("_u"), "left").select("domain", F.col("total").isNull().alias("dangling"))
     sink = cut(sink)
-    n = sink.count()
+    n, loose = sink.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
         return sink.select("domain", F.lit(0.0).alias("pagerank"))
-    rank = sink.select("domain", "dangling", F.lit(1.0 / n).alias("pagerank"))
+    rank, loose = sink.select("domain", "dangling", F.lit(1.0 / n).alias("pagerank")), loose / n
     for step in range(iterations):
         into = rank.join(moves, F.col("domain") == F.col("u")).groupBy("v").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("loose"))
-        new = (1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("loose") / n
-        rank = rank.join(into, F.col("domain") == F.col("v"), "left").crossJoin(F.broadcast(loose)).select("domain", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before"))
-        if step + 1 < iterations:
-            rank = cut(rank)  # it is read three times in the next step
-        if tolerance is not None and rank.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < tolerance:
+        new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
+        after = rank.join(into, F.col("domain") == F.col("v"), "left").select("domain", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before"))
+        if step + 1 == iterations:
+            return after.select("domain", "pagerank")
+        before, rank = rank, cut(after)  # it is read twice in the next step
+        dropped(before)
+        loose, change = rank.agg(F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
+        if tolerance is not None and change < tolerance:
             break
     return rank.select("domain", "pagerank")
 
 
 def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: float | None = 1e-5) -> DataFrame:
-    """(domain, hub, authority): unweighted HITS; hubs take the authorities of the step before, both are scaled to length 1."""
+    """(domain, hub, authority): unweighted HITS; hubs take the authorities of the step before, both are scaled to length 1.
+
+    A step is one join and one aggregate: each edge carries a hub to its target and an authority to its source.
+    States are stored unscaled; their lengths are numbers on the driver.
+    """
     pairs = cut(edges.select("u", "v").distinct())
-    state = nodes.select("domain", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
-    for step in range(iterations):
-        authority = state.join(pairs, F.col("domain") == F.col("u")).groupBy("v").agg(F.sum("hub").alias("new_authority"))
-        hub = state.join(pairs, F.col("domain") == F.col("v")).groupBy("u").agg(F.sum("authority").alias("new_hub"))
-        new = state.join(authority, F.col("domain") == F.col("v"), "left").join(hub, F.col("domain") == F.col("u"), "left").fillna(0.0, ["new_authority", "new_hub"])
-        scale = new.agg(F.sqrt(F.sum(F.col("new_authority") * F.col("new_authority"))).alias("a"), F.sqrt(F.sum(F.col("new_hub") * F.col("new_hub"))).alias("h"))
-        one = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
-        new = new.crossJoin(F.broadcast(scale)).select("domain", (F.col("new_hub") / one("h")).alias("hub"), (F.col("new_authority") / one("a")).alias("authority"), F.col("hub").alias("hub0"), F.col("authority").alias("authority0"))
-        state = cut(new) if step + 1 < iterations else new
-        if tolerance is not None and state.agg(F.sum(F.abs(F.col("hub") - F.col("hub0")) + F.abs(F.col("authority") - F.col("authority0")))).first()[0] < tolerance:
-            break
-    return state.select("domain", "hub", "authority")
+    both = cut(pairs.select(F.col("u").alias("at"), F.col("v").alias("to"), F.lit(True).alias("forward")).union(pairs.select("v", "u", F.lit(False))))
+    state, length = nodes.select("domain", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")), (1.0, 1.0)
+    scaled = lambda df, by: df.select("domain", (F.col("hub") / F.lit(by[0])).alias("hub"), (F.col("authority") / F.lit(by[1])).alias("authority"))
+    for _ in range(iterations):
+        old = scaled(state, length)
+        got = old.join(both, F.col("domain") == F.col("at")).groupBy("to").agg(F.sum(F.when(~F.col("forward"), F.col("authority")).otherwise(0.0)).alias("new_hub"), F.sum(F.when(F.col("forward"), F.col("hub")).otherwise(0.0)).alias("new_authority"))
+        new = old.join(got, F.col("domain") == F.col("to"), "left").select("domain", F.coalesce("new_hub", F.lit(0.0)).alias("hub"), F.coalesce("new_authority", F.lit(0.0)).alias("authority"), F.col("hub").alias("hub0"), F.col("authority").alias("authority0"))
+        before, state = state, cut(new)
+        dropped(before)
+        sums = state.agg(F.sqrt(F.sum(F.col("hub") * F.col("hub"))), F.sqrt(F.sum(F.col("authority") * F.col("authority")))).first()
+        length = tuple(x or 1.0 for x in sums)
+        if tolerance is not None:
+            moved = F.abs(F.col("hub") / F.lit(length[0]) - F.col("hub0")) + F.abs(F.col("authority") / F.lit(length[1]) - F.col("authority0"))
+            if (state.agg(F.sum(moved)).first()[0] or 0.0) < tolerance:
+                break
+    return scaled(state, length)
 
 
 def top(scores: DataFrame, column: str, n: int = 10) -> DataFrame:

@@ -201,8 +201,8 @@ o AS (SELECT query, CASE WHEN len(urls) < 3 THEN true WHEN len(urls) >= 8 THEN f
 
 # --- graph -----------------------------------------------------------------------------------------
 
-NATIONS = """nodes AS (SELECT n_name AS domain, r_name AS category FROM nation JOIN region ON n_regionkey = r_regionkey),
-matrix AS (SELECT a.n_name AS source_domain, b.n_name AS target_domain, count(*) AS link_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey WHERE l_quantity >= 49 AND l_discount >= 0.09 AND l_returnflag = 'R' GROUP BY ALL),
+PARTS = """nodes AS (SELECT 'p' || p_partkey AS domain, p_brand AS category FROM part),
+matrix AS MATERIALIZED (SELECT 'p' || l_partkey AS source_domain, 'p' || after AS target_domain, count(*) AS link_count FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS after FROM lineitem) WHERE after IS NOT NULL GROUP BY ALL),
 edges AS MATERIALIZED (SELECT source_domain AS u, target_domain AS v, link_count AS w FROM matrix WHERE source_domain <> target_domain)"""
 
 
@@ -218,7 +218,8 @@ def pagerank(steps: int, damping: float = 0.85) -> str:
 def hits(steps: int) -> str:
     out = ["hits0 AS MATERIALIZED (SELECT domain, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS authority FROM nodes)"]
     for k in range(steps):
-        out.append(f"""raw{k + 1} AS MATERIALIZED (SELECT n.domain, coalesce((SELECT sum(authority) FROM edges JOIN hits{k} h ON v = h.domain WHERE u = n.domain), 0) AS hub, coalesce((SELECT sum(hub) FROM edges JOIN hits{k} h ON u = h.domain WHERE v = n.domain), 0) AS authority FROM nodes n),
+        out.append(f"""raw{k + 1} AS MATERIALIZED (SELECT n.domain, coalesce(x.got, 0) AS hub, coalesce(y.got, 0) AS authority FROM nodes n
+  LEFT JOIN (SELECT u, sum(authority) AS got FROM edges JOIN hits{k} h ON v = h.domain GROUP BY u) x ON n.domain = x.u LEFT JOIN (SELECT v, sum(hub) AS got FROM edges JOIN hits{k} h ON u = h.domain GROUP BY v) y ON n.domain = y.v),
 hits{k + 1} AS MATERIALIZED (SELECT domain, hub / coalesce(nullif((SELECT sqrt(sum(hub * hub)) FROM raw{k + 1}), 0), 1) AS hub, authority / coalesce(nullif((SELECT sqrt(sum(authority * authority)) FROM raw{k + 1}), 0), 1) AS authority FROM raw{k + 1})""")
     return ",\n".join(out)
 

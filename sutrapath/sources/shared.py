@@ -9,16 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it names none."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it names none and runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sutrapath-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written as a table and read back: its lineage ends there."""
+    """``df`` computed once, written as a table and read back: its lineage ends there.  The table goes when the application ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/sutrapath-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, place = _file_system(df.sparkSession, path)
+    system.deleteOnExit(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table made by ``cut`` that nothing reads any more."""
+    if path := getattr(df, "cut_path", None):
+        system, place = _file_system(df.sparkSession, path)
+        system.delete(place, True)
+        system.cancelDeleteOnExit(place)
