@@ -505,3 +505,71 @@ ANSWER_CARDS = [
     ("महाराष्ट्र लोकसेवा आयोग (MPSC) व भरती परीक्षा संदर्भ", ["mpsc", "एमपीएससी", "राज्यसेवा", "संयुक्त पूर्व", "तलाठी भरती", "पोलीस भरती"]),
     ("महाराष्ट्र शासन अधिकृत शासन निर्णय व परिपत्रके", ["शासन निर्णय", "जीआर", "gr", "परिपत्रक", "अधिसूचना"]),
 ]
+
+#: Elapsed time in words.
+ELAPSED = {"today": "आज", "now": "आत्ताच", "new": "आत्ताच प्रसिद्ध", "minutes": "मिनिटांपूर्वी", "hours": "तासांपूर्वी", "yesterday": "काल", "days": "दिवसांपूर्वी"}
+#: Reading times, and the rest of a feed card's text.
+READING = ("१ मिनिट वाचन", "२ मिनिटे वाचन")
+CARD_TEXT = "... सविस्तर वृत्त आणि माहिती वाचण्यासाठी क्लिक करा."
+#: Tags of the feed for candidates and for reporters, first match counts.
+EXAM_RULES = [
+    ("शासन|निर्णय|योजना|मंत्रिमंडळ|न्यायालय|कायदा|विधानसभा|GR|आरक्षण|आयोग|MPSC|UPSC|घटना|कलम|सर्वोच्च|अधिनियम|धोरण", "📜 MPSC GS-2: शासन निर्णय व राज्यव्यवस्था"),
+    ("कर्ज|माफी|बँक|अर्थसंकल्प|शेअर|बाजार|भाव|कांदा|कापूस|सोयाबीन|पीक|विमा|शेतकरी|कृषी|जीडीपी|गुंतवणूक|उद्योग|सिंचन|धरण|ऊर्जा|अर्थकारण", "🌾 MPSC GS-3: कृषी व अर्थव्यवस्था"),
+    ("इतिहास|भूगोल|संस्कृती|किल्ला|शिवाजी|नदी|पाऊस|हवामान|वारसा|साहित्य|पुरस्कार|अवकाळी", "🏛️ MPSC GS-1: इतिहास, भूगोल व संस्कृती"),
+    ("विज्ञान|तंत्रज्ञान|ISRO|उपग्रह|AI|पर्यावरण|प्रदूषण|जैवविविधता|रोग|आरोग्य|लस", "⚡ MPSC GS-3: विज्ञान व तंत्रज्ञान"),
+]
+EXAM_OTHER = "📌 MPSC: राज्य चालू घडामोडी २०२६"
+DESK_RULES = [
+    ("पुणे|मुंबई|नाशिक|नागपूर|संभाजीनगर|कोल्हापूर|ठाणे|सोलापूर|अमरावती|जळगाव|नांदेड|परभणी|सातारा|सांगली|बीड|लातूर|अहिल्यानगर|धाराशिव", "📍 प्रादेशिक जिल्हा रडार"),
+    ("मंत्रालय|सरकार|विधानसभा|मुख्यमंत्री|मंत्री|अधिवेशन|भाजप|काँग्रेस|राष्ट्रवादी|शिवसेना|अजित|पवार|शिंदे|ठाकरे|फडणवीस|निवडणूक", "🏛️ मंत्रालय व राजकीय वायर"),
+    ("शेतकरी|पीक|बाजार|भाव|कांदा|कापूस|कर्ज|हमीभाव|दुष्काळ|पाऊस|बाजार समिती", "🚜 कृषी व ग्रामीण वार्ता"),
+    ("पोलीस|गुन्हा|तपास|अटक|न्यायालय|सीबीआय|ईडी|आरोप|तक्रार|सरपंच|अपघात", "⚖️ कायदेशीर व क्राईम डेस्क"),
+]
+DESK_OTHER = "🚨 थेट ब्रेकिंग न्यूज वायर"
+#: Title characters of which a feed title has one; words that the exam mode leaves out.
+FEED_LETTERS = ["ा", "े", "ी", "क"]
+EXAM_BLOCKED = ["डान्स", "राशी", "भविष्य", "सिनेमा", "अभिनेत्री", "अभिनेता", "गाडी", "कपडे"]
+#: By mode and topic (None: any other), what title, category or URL must hold.
+FEED_TOPICS: dict[tuple[str, str | None], dict[str, list[str]]] = {
+    ("mpsc", "gs1"): {"title": ["इतिहास", "भूगोल", "पाऊस", "हवामान", "किल्ला", "संस्कृती"]},
+    ("mpsc", "gs2"): {"title": ["शासन", "योजना", "निर्णय", "मंत्रालय", "कायदा", "आरक्षण", "न्यायालय"]},
+    ("mpsc", "gr"): {"title": ["शासन", "योजना", "निर्णय", "मंत्रालय", "कायदा", "आरक्षण", "न्यायालय"]},
+    ("mpsc", "gs3"): {"title": ["अर्थ", "बँक", "शेती", "शेतक", "पीक", "कर्ज", "बाजार", "तंत्रज्ञान"]},
+    ("mpsc", None): {"title": ["शासन", "योजना", "निर्णय", "शेतक", "बँक", "कर्ज", "पाऊस", "हवामान", "महाराष्ट्र", "परीक्षा"]},
+    ("reporter", "politics"): {"title": ["सरकार", "मंत्रालय", "अधिवेशन", "निवडणूक", "पक्ष", "आरोप"]},
+    ("reporter", "rural"): {"title": ["शेतक", "कांदा", "बाजार", "पाऊस", "हमीभाव", "पीक"]},
+    ("reporter", "crime"): {"title": ["पोलीस", "गुन्हा", "तपास", "अटक", "न्यायालय"]},
+    ("reporter", "regional"): {"title": ["पुणे", "नाशिक", "नागपूर", "संभाजीनगर", "जळगाव", "परभणी", "कोल्हापूर"]},
+    ("general", "agriculture"): {"category": ["Agri"], "title": ["शेतक", "पीक", "कर्ज"]},
+    ("general", "news"): {"category": ["News"], "title": ["अधिवेशन", "सरकार", "पोलीस"]},
+    ("general", "finance"): {"category": ["Finance"], "title": ["बँक", "पैसा", "बाजार"]},
+    ("general", "tech"): {"category": ["Tech"], "url": ["gadget"], "title": ["मोबाइल"]},
+    ("general", "culture"): {"category": ["Culture", "Literature"], "title": ["साहित्य"]},
+}
+#: Words of a query, what follows up on them.
+RELATED = [
+    (["शेतक", "कर्ज", "शेती", "farmer", "loan"], ["शेतकरी कर्जमाफी यादी २०२६", "पीक विमा नुकसान भरपाई अर्ज", "अतिवृष्टी शेतकरी मदत शासन निर्णय", "जिल्हा मध्यवर्ती बँक पीक कर्ज नियम", "शेतकरी सन्मान निधी योजना हप्ता", "कांदा व कापूस बाजारभाव आजचे दर"]),
+    (["कांदा", "बाजार", "भाव", "दर"], ["कांदा बाजारभाव आजचे ताजे दर", "लासलगाव कांदा मार्केट लिलाव", "कांदा निर्यात अनुदान शासन निर्णय", "सोयाबीन व कापूस बाजारभाव"]),
+    (["शेअर", "पैसा", "गुंतवणूक", "फंड", "म्युच्युअल"], ["शेअर बाजार मराठी सविस्तर माहिती", "म्युच्युअल फंड गुंतवणूक कशी करावी", "एसआयपी (SIP) मराठी कॅल्क्युलेटर", "सर्वोत्कृष्ट सरकारी बचत योजना"]),
+    (["हवामान", "पाऊस", "मान्सून"], ["महाराष्ट्र हवामान अंदाज आजचा", "पंजाबराव डख हवामान अंदाज", "पुढील २४ तासांत पावसाचा इशारा"]),
+]
+RELATED_ENDINGS = ["शासन निर्णय GR", "ताज्या बातम्या २०२६", "सविस्तर नियम व पद्धत", "अधिकृत पोर्टल"]
+#: Words of a query, words of a page, and what both together add to a score.
+ENTITY_BOOSTS = [
+    (["demat", "डीमॅट"], ["demat", "डीमॅट"], 0.40),
+    (["म्युच्युअल", "mutual"], ["म्युच्युअल", "mutual"], 0.35),
+    (["कर्जमाफी", "karjmafi"], ["कर्जमाफी", "karjmafi"], 0.35),
+    (["लाडकी", "ladki"], ["लाडकी", "ladki"], 0.35),
+    (["सातबारा", "satbara", "7/12"], ["सातबारा", "satbara", "7/12"], 0.35),
+    (["शेअर बाजार"], ["शेअर बाजार", "share market", "stock market"], 0.25),
+    (["शेअर", "बाजार", "डीमॅट", "म्युच्युअल", "गुंतवणूक"], ["सोशल मीडिया"], -0.35),
+]
+FRESH_WORDS = ["आज", "ताजा", "ताज्या", "२०२६", "नवीन", "आता"]
+#: Categories, words in the domain, words of the page, and the snippet they give; first match counts.
+SNIPPETS = [
+    (["finance"], ["arthasakshar", "paisa"], ["शेअर", "डीमॅट", "म्युच्युअल", "गुंतवणूक", "फंड", "बँक", "demat", "share", "stock", "invest", "mutual"], "शेअर बाजार, म्युच्युअल फंड, डीमॅट खाते व वैयक्तिक वित्त विषयक सविस्तर मराठी मार्गदर्शक."),
+    (["mpsc"], [], ["mpsc", "भरती", "पोलीस", "तलाठी"], "स्पर्धा परीक्षा, भरती जाहिरात, अभ्यासक्रम व चालू घडामोडी अधिकृत माहिती."),
+    (["agri"], [], ["शेतकरी", "पीक", "कांदा", "बाजारभाव", "कर्जमाफी", "हवामान"], "शेती, शेतकरी, पीक विमा, बाजारभाव व शासकीय योजना संबंधित अधिकृत मराठी वृत्त व सविस्तर माहिती."),
+    (["gov"], [], ["लाडकी बहीण", "शासन निर्णय", "gr", "योजना"], "शासकीय योजना, शासन निर्णय (GR), नियम व अधिकृत पोर्टल माहिती."),
+]
+SNIPPET_OTHER = "अधिकृत मराठी वृत्त, घडामोडी व सविस्तर माहिती."

@@ -8,12 +8,13 @@ Null in, null out, except where stated.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import lexicons as lex
 
@@ -23,36 +24,45 @@ NOT_WORD = r"[^\p{L}\p{N}_\x{0900}-\x{0D7F}]"
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC, batch by batch: Spark has no such function."""
+    """Unicode NFC.  Spark has no such function: texts with a character beyond ASCII pass through Arrow, the others don't change."""
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.str.normalize("NFC")
 
-    return F.pandas_udf(run, StringType())(text)
+    return F.coalesce(F.pandas_udf(run, StringType())(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
-def fold(text: Column, normal: bool = False) -> Column:
-    """Trimmed, lower-case, without zero-width joiners, white space runs as one space; NFC on demand."""
+def nfc_all(texts: Column) -> Column:
+    """Unicode NFC of each text of an array, for use before a lambda, which can't call Python."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [None if t is None else unicodedata.normalize("NFC", t) for t in x])
+
+    return F.coalesce(F.pandas_udf(run, ArrayType(StringType()))(F.when(F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]")), texts)), texts)
+
+
+def fold(text: Column, normal: bool = True) -> Column:
+    """Trimmed, lower-case, NFC, without zero-width joiners, white space runs as one space; without ``normal`` for texts in NFC."""
     text = F.lower(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", ""))
     text = F.regexp_replace(nfc(text) if normal else text, r"[\x{200C}\x{200D}]", "")
     return F.regexp_replace(text, f"{SPACE}+", " ")
 
 
-def dedup_key(text: Column) -> Column:
+def dedup_key(text: Column, normal: bool = True) -> Column:
     """The folded text without spaces and punctuation."""
-    return F.regexp_replace(fold(text), f"{NOT_WORD}+", "")
+    return F.regexp_replace(fold(text, normal), f"{NOT_WORD}+", "")
 
 
-def sibling_key(text: Column) -> Column:
+def sibling_key(text: Column, normal: bool = True) -> Column:
     """Latin letters and digits of the folded text, Devanagari consonants transliterated."""
-    return F.regexp_replace(F.translate(fold(text), lex.DEVANAGARI_LETTERS, lex.LATIN_LETTERS), "[^a-z0-9]", "")
+    return F.regexp_replace(F.translate(fold(text, normal), lex.DEVANAGARI_LETTERS, lex.LATIN_LETTERS), "[^a-z0-9]", "")
 
 
-def topic_key(text: Column) -> Column:
+def topic_key(text: Column, normal: bool = True) -> Column:
     """Consonant skeleton that spellings in either script share; short ones fall back to the sibling or dedup key."""
-    key = sibling_key(text)
+    key = sibling_key(text, normal)
     bare = F.regexp_replace(F.regexp_replace(key, "[aeiouh]", ""), r"(.)\1+", "$1")
-    return F.when(F.length(bare) >= 4, bare).when(F.length(key) >= 2, key).otherwise(dedup_key(text))
+    return F.when(F.length(bare) >= 4, bare).when(F.length(key) >= 2, key).otherwise(dedup_key(text, normal))
 
 
 def tokens(text: Column) -> Column:
@@ -148,20 +158,36 @@ def clean_url(url: Column) -> Column:
 
 
 def relative_time(at: Column, as_of: Column) -> Column:
-    """Elapsed time in words; ``as_of`` is a parameter, never a fixed clock."""
+    """Elapsed time in Marathi words, after a week the date; ``as_of`` is a parameter, never a fixed clock."""
     seconds = F.unix_timestamp(as_of) - F.unix_timestamp(at)
+    words = lex.ELAPSED
+    ago = lambda unit, word: F.concat(F.floor(seconds / unit).cast("string"), F.lit(f" {word}"))
     return (
-        F.when(at.isNull(), "today")
-        .when(seconds < 0, "just now")
-        .when(seconds < 600, "just published")
-        .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" minutes ago")))
-        .when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" hours ago")))
-        .when(seconds < 2 * 86400, "yesterday")
-        .when(seconds < 7 * 86400, F.concat(F.floor(seconds / 86400).cast("string"), F.lit(" days ago")))
-        .otherwise(F.date_format(at, "d MMMM yyyy"))
+        F.when(at.isNull(), words["today"])
+        .when(seconds < 0, words["now"])
+        .when(seconds < 600, words["new"])
+        .when(seconds < 3600, ago(60, words["minutes"]))
+        .when(seconds < 86400, ago(3600, words["hours"]))
+        .when(seconds < 2 * 86400, words["yesterday"])
+        .when(seconds < 7 * 86400, ago(86400, words["days"]))
+        .otherwise(native_date(at))
     )
 
 
+def recent(at: Column, as_of: Column, days: int = 5) -> Column:
+    """Whether a time lies within the last ``days`` days."""
+    return F.coalesce(F.datediff(F.to_date(as_of), F.to_date(at)).between(0, days), F.lit(False))
+
+
+def iso_date(text: Column) -> Column:
+    """RFC 822 dates (Sun, 04 Oct 2026 20:00:00 +0530) and ISO ones as a timestamp; null for others."""
+    day = F.regexp_extract(text, r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d{2}:\d{2}(?::\d{2})?)", 1)
+    zone = F.regexp_replace(F.regexp_extract(text, r"([+-]\d{2}:?\d{2}|GMT|UTC?|Z)\s*$", 1), "^(GMT|UTC?|Z|)$", "+00:00")
+    clock = F.regexp_replace(F.regexp_replace(day, r"\s+", " "), r"( \d{2}:\d{2})$", "$1:00")
+    rfc = F.try_to_timestamp(F.concat_ws(" ", clock, F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")), F.lit("d MMM yyyy HH:mm:ss xxx"))
+    return F.coalesce(F.when(day != "", rfc), F.try_to_timestamp(F.trim(text)))
+
+
 def native_date(at: Column) -> Column:
     """Day, month name and year in Marathi."""
     digits = lambda c: F.translate(c.cast("string"), "0123456789", "०१२३४५६७८९")

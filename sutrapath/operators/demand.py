@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as cls
 from ..functions import lexicons as lex
-from ..functions.text import WORD, dedup_key, script_of, topic_key
+from ..functions.text import WORD, dedup_key, nfc_all, script_of, topic_key
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def signals(results: DataFrame, language: str = "mr") -> DataFrame:
     """The demand axes and counters of each seed from results (seed_ord, seed, q_ord, query, kind, measured, suggestions)."""
     head, filled = F.col("kind") == "head", F.size("suggestions") > 0
     measured = F.coalesce(F.col("measured"), F.lit(False))
-    keys = F.transform(F.when(head & measured, F.col("suggestions")), dedup_key)
+    keys = F.transform(nfc_all(F.when(head & measured, F.col("suggestions"))), lambda t: dedup_key(t, normal=False))
     rank = F.array_position(keys, dedup_key(F.col("seed")))
     base = results.groupBy("seed_ord", "seed").agg(
         F.max(F.when(head & measured, F.when(filled, 1.0).otherwise(0.0))).alias("coverage"),

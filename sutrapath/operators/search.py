@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.stem import concept
+from ..functions.stem import vocabulary
 from ..functions.text import contains_any, first_match, fold, relative_time, tokens
+from ..sources.shared import cut
 
 K1, B = 1.2, 0.75
 
@@ -41,46 +40,77 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("matched"), F.sum(part).alias("bm25"))
 
 
-def retrieve(docs: DataFrame, clusters: list[list[str]], most: int = 150, least: int = 5) -> DataFrame:
-    """(doc_id, level, clusters_hit): documents with a term of every cluster (level 1); with fewer than ``least`` such, those with any (level 2).
+def cluster_terms(clusters: list[list[str]]) -> list[list[str]]:
+    """Of each cluster at most 8 terms, native ones first, then shorter ones; short ones of other scripts match too much and go."""
+    native = lambda t: any("ऀ" <= c <= "ॿ" for c in t)
+    return [[t for t in sorted(set(terms), key=lambda t: (not native(t), len(t), t))[:8] if len(t) >= 3 or native(t)] for terms in clusters]
+
 
-    Terms match words by prefix, at most 8 of a cluster, native ones first, then shorter ones.
+def matches(docs: DataFrame, clusters: list[list[str]], flags: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, clusters_hit, bm25, and ``flags``) of documents (doc_id, text, ...) with a term of any cluster.
+
+    Terms match words by prefix; each is a term of BM25, whose weights come from all documents.  Texts are split
+    into words once: what is stored are the numbers of documents that match.
     """
-    native = lambda t: any("ऀ" <= c <= "ॿ" for c in t)
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("_t"))
-    flags = []
-    for terms in clusters:
-        chosen = [t for t in sorted(set(terms), key=lambda t: (not native(t), len(t), t))[:8] if len(t) >= 3 or native(t)]
-        flags.append(_any_prefix(chosen))
-    hit = sum((f.cast("int") for f in flags), F.lit(0))
-    rows = rows.select("doc_id", hit.alias("clusters_hit")).where("clusters_hit > 0")
-    full = rows.where(F.col("clusters_hit") == len(clusters))
-    enough = full.limit(least).agg((F.count("*") >= least).alias("enough"))
-    out = rows.crossJoin(F.broadcast(enough)).where((F.col("clusters_hit") == len(clusters)) | ~F.col("enough"))  # one row
-    level = F.when(F.col("clusters_hit") == len(clusters), 1).otherwise(2)
-    return out.select("doc_id", level.alias("level"), "clusters_hit").orderBy("level", F.col("clusters_hit").desc(), "doc_id").limit(most)
-
-
-def _starts(word: Column, terms: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | word.startswith(t)
+    chosen = cluster_terms(clusters)
+    terms = [t for c in chosen for t in c]
+    counted = [_counted(t) for t in terms]
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("_t"), *[f.alias(k) for k, f in (flags or {}).items()])
+    seen = Observation()
+    rows = rows.select("doc_id", F.coalesce(F.size("_t"), F.lit(0)).alias("dl"), F.array(*counted).cast("array<int>").alias("tf"), *(flags or {}))
+    rows = rows.observe(seen, F.count("*").alias("n"), F.sum("dl").alias("words"))
+    found = cut(rows.where(F.exists("tf", lambda n: n > 0)))
+    return scored(found, chosen, seen.get["n"], (seen.get["words"] or 0) / max(1, seen.get["n"]))
+
+
+def _counted(term: str) -> Column:
+    return F.size(F.filter(F.coalesce("_t", F.array().cast("array<string>")), lambda w: w.startswith(term)))
+
+
+def scored(found: DataFrame, clusters: list[list[str]], n: int, average: float) -> DataFrame:
+    """``found`` (doc_id, dl, tf: an array with a count for each term of all clusters) with clusters_hit and bm25."""
+    sizes = [len(c) for c in clusters]
+    total = sum(sizes)
+    df = found.agg(*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(total)]).first() if total else []
+    part = lambda i: F.greatest(F.log(F.lit((n - df[i] + 0.5) / (df[i] + 0.5))), F.lit(1e-6)) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
+    score = sum((part(i) for i in range(total)), F.lit(0.0))
+    hits, at = F.lit(0), 0
+    for size in sizes:
+        if size:
+            hits = hits + F.exists(F.slice("tf", at + 1, size), lambda k: k > 0).cast("int")
+        at += size
+    return found.withColumns({"clusters_hit": hits, "bm25": F.round(score, 6)}).drop("dl", "tf")
+
+
+def tiers(found: DataFrame, clusters: int, most: int = 150, least: int = 5, order: list[Column] | None = None) -> DataFrame:
+    """(level, ...) of matches: the best ``most`` with all clusters (level 1); with fewer than ``least`` such, the best with any too (level 2)."""
+    order = [*(order or []), F.col("bm25").desc(), F.col("doc_id")]
+    full = cut(found.where(F.col("clusters_hit") == clusters).orderBy(*order).limit(most))
+    out = full.select(F.lit(1).alias("level"), "*")
+    if clusters > 1 and len(full.take(least)) < least:
+        more = found.orderBy(*order).limit(most).where(F.col("clusters_hit") < clusters)
+        out = out.unionByName(more.select(F.lit(2).alias("level"), "*"))
     return out
 
 
-def _any_prefix(terms: list[str]) -> Column:
-    return F.exists("_t", lambda w: _starts(w, tuple(terms)))
+def retrieve(docs: DataFrame, clusters: list[list[str]], most: int = 150, least: int = 5) -> DataFrame:
+    """(doc_id, level, clusters_hit, bm25): documents with a term of every cluster (level 1), or also with any (level 2), best first, then cut."""
+    return tiers(matches(docs, clusters), len(clusters), most, least).select("doc_id", "level", "clusters_hit", "bm25")
+
 
+def relaxed(docs: DataFrame, clusters: list[list[str]], filters: list[Column], most: int = 150) -> DataFrame:
+    """Retrieval under all filters; without a result, under fewer of them (the last goes first): (doc_id, level, clusters_hit, bm25, dropped).
 
-def relaxed(docs: DataFrame, clusters: list[list[str]], filters: list[Column]) -> DataFrame:
-    """Retrieval under all filters; without a result, under fewer of them (the last goes first): (doc_id, level, clusters_hit, dropped)."""
-    for dropped in range(len(filters) + 1):
-        kept = docs
-        for f in filters[: len(filters) - dropped]:
-            kept = kept.where(f)
-        found = retrieve(kept, clusters).withColumn("dropped", F.lit(dropped))
-        if dropped == len(filters) or not found.isEmpty():
-            return found
+    The filters are flags of one table of matches: texts are read once, however many are dropped.
+    """
+    names = [f"_f{i}" for i in range(len(filters))]
+    found = matches(docs, clusters, dict(zip(names, filters, strict=True)))
+    for n in range(len(filters) + 1):
+        kept = found
+        for name in names[: len(filters) - n]:
+            kept = kept.where(name)
+        if n == len(filters) or not kept.isEmpty():
+            return tiers(kept, len(clusters), most).select("doc_id", "level", "clusters_hit", "bm25", F.lit(n).alias("dropped"))
     return found
 
 
@@ -99,11 +129,15 @@ def hybrid(rows: DataFrame, monotone: bool = False) -> DataFrame:
     return out.withColumn("tier", F.when(F.col("coverage") >= 0.8, "exact").otherwise("relaxed"))
 
 
-def clusters_of(query: str) -> list[list[str]]:
-    """Concept clusters of a query: its words without stop words (unless there are no others), each with what it stands for."""
-    words = re.findall(r"[\w\u0900-\u097f]+", query.lower())
-    words = [w for w in words if w not in lex.STOPWORDS] or words
-    return [sorted({w, *concept(w)}) for w in words if len(w) >= 2]
+def clusters_of(spark: SparkSession, query: str) -> list[list[str]]:
+    """Concept clusters of a query: its folded words without stop words (unless there are no others), each with what it stands for."""
+    row = spark.createDataFrame([(query,)], "q string").select(tokens(F.col("q")).alias("w")).first()
+    words = [w for w in row["w"] or [] if w not in lex.STOPWORDS] or row["w"] or []
+    words = [w for w in dict.fromkeys(words) if len(w) >= 2]
+    if not words:
+        return []
+    terms = vocabulary(spark.createDataFrame([(w,) for w in words], "word string")).collect()  # the terms of a query's words
+    return [sorted({w, *(r["term"] for r in terms if r["word"] == w)}) for w in words]
 
 
 def suggest(titles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
@@ -126,21 +160,33 @@ def suggest(titles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     return rows.select(F.row_number().over(Window.partitionBy().orderBy("ord")).alias("rank"), "suggestion")  # ``limit`` rows
 
 
+#: Three English words or more at the end of a title, and an English lead before a native title.
+ENGLISH_TAIL, ENGLISH_LEAD = r"\s+([a-zA-Z0-9_-]{2,}\s+){2,}[a-zA-Z0-9_-]{2,}.*$", r"^[A-Za-z0-9\s,_-]+:\s*([ऀ-ॿ].*)$"
+
+
 def headline(title: Column) -> Column:
-    """The part of a title, between its separators, with the most Devanagari characters (six at least, two words); else empty."""
+    """The native part of a title: the piece between its separators with most Devanagari characters (six, two words).
+
+    Without such a piece the title itself, if it holds Devanagari, without an English lead and tail; else empty.
+    """
     native = lambda p: F.length(F.regexp_replace(p, "[^ऀ-ॿ]", ""))
-    parts = F.transform(F.split(F.coalesce(title, F.lit("")), r"\s*[|:–—;-]\s*"), F.trim)
+    title = F.coalesce(title, F.lit(""))
+    parts = F.transform(F.split(title, r"\s*[|:–—;-]\s*"), F.trim)
     good = F.filter(parts, lambda p: (native(p) >= 6) & (F.size(F.split(p, r"\s+")) >= 2))
     # the first of equal ones: the least of (-characters, position)
     ranked = F.array_sort(F.transform(good, lambda p, i: F.struct((-native(p)).alias("n"), i.alias("i"), p.alias("p"))))
-    best = F.coalesce(F.get(ranked, F.lit(0))["p"], F.lit(""))
-    return F.trim(F.regexp_replace(best, r"\s+([a-zA-Z0-9_-]{2,}\s+){2,}[a-zA-Z0-9_-]{2,}.*$", ""))
+    lead = F.regexp_extract(title, ENGLISH_LEAD, 1)
+    whole = F.when(native(title) > 0, F.when(lead != "", lead).otherwise(title)).otherwise("")
+    return F.trim(F.regexp_replace(F.coalesce(F.get(ranked, F.lit(0))["p"], whole), ENGLISH_TAIL, ""))
 
 
-def related(query: Column) -> Column:
-    """Follow-up queries in general form: the query with four endings."""
+def related(query: Column, most: int = 5) -> Column:
+    """Follow-up queries: those of the first group with a word of the query, else the query with four endings; never the query itself."""
     folded = fold(query)
-    return F.filter(F.array(*[F.concat(folded, F.lit(f" {t}")) for t in ("शासन निर्णय GR", "ताज्या बातम्या २०२६", "सविस्तर नियम व पद्धत", "अधिकृत पोर्टल")]), lambda q: q != folded)
+    out = F.array(*[F.concat(folded, F.lit(f" {t}")) for t in lex.RELATED_ENDINGS])
+    for words, queries in reversed(lex.RELATED):
+        out = F.when(contains_any(folded, words), F.array_compact(F.array(*[F.when(folded != q.lower(), F.lit(q)) for q in queries]))).otherwise(out)
+    return F.slice(out, 1, most)
 
 
 def answer_card(query: Column) -> Column:
@@ -152,11 +198,28 @@ def answer_card(query: Column) -> Column:
     return out
 
 
-def topic_tag(title: Column) -> Column:
-    return first_match(title, lex.TOPIC_RULES, "#महाराष्ट्र_अपडेट्स")
+def topic_tag(title: Column, mode: str = "general") -> Column:
+    rules, other = {"mpsc": (lex.EXAM_RULES, lex.EXAM_OTHER), "reporter": (lex.DESK_RULES, lex.DESK_OTHER)}.get(mode, (lex.TOPIC_RULES, "#महाराष्ट्र_अपडेट्स"))
+    return first_match(title, rules, other)
+
+
+def feed_filter(mode: str = "general", topic: str | None = None) -> Column:
+    """Which rows (title, category, url) a feed shows: titles with one of a few native letters, and what mode and topic ask for."""
+    keep = F.coalesce(contains_any(F.col("title"), lex.FEED_LETTERS), F.lit(False))
+    if mode == "mpsc":
+        keep = keep & ~contains_any(F.col("title"), lex.EXAM_BLOCKED)
+    wanted = lex.FEED_TOPICS.get((mode, topic)) or lex.FEED_TOPICS.get((mode, None))
+    if wanted:
+        hit = F.lit(False)
+        for column, words in wanted.items():
+            # categories and URLs are compared without regard to ASCII case
+            text = F.col(column) if column == "title" else F.lower(column)
+            hit = hit | F.coalesce(contains_any(text, words if column == "title" else [w.lower() for w in words]), F.lit(False))
+        keep = keep & hit
+    return keep
 
 
-def feed(rows: DataFrame, as_of: Column, limit: int = 30, offset: int = 0) -> DataFrame:
+def feed(rows: DataFrame, as_of: Column, limit: int = 30, offset: int = 0, mode: str = "general") -> DataFrame:
     """A page of the feed of rows (id, title, at, pagerank): today's first, then yesterday's, this month's, the rest; newest first within."""
     day, now = F.to_date("at"), F.to_date(as_of)
     bucket = F.when(day == now, 1).when(day == F.date_sub(now, 1), 2).when(F.date_trunc("month", "at") == F.date_trunc("month", as_of), 3).otherwise(4)
@@ -164,7 +227,27 @@ def feed(rows: DataFrame, as_of: Column, limit: int = 30, offset: int = 0) -> Da
     order = Window.partitionBy().orderBy("bucket", F.col("at").desc_nulls_last(), F.col("pagerank").desc(), "id")  # one page
     out = page.withColumn("rank", F.row_number().over(order) + offset)
     words = F.size(F.split("title", r"\s+"))
-    return out.select("rank", "id", "bucket", relative_time(F.col("at"), as_of).alias("relative_time"), F.when(words < 10, 1).otherwise(2).alias("reading_minutes"), topic_tag(F.col("title")).alias("topic_tag"), (F.col("rank") == 1).alias("is_featured"))
+    return out.select("rank", "id", "bucket", relative_time(F.col("at"), as_of).alias("relative_time"), F.when(words < 10, 1).otherwise(2).alias("reading_minutes"), topic_tag(F.col("title"), mode).alias("topic_tag"), (F.col("rank") == 1).alias("is_featured"))
+
+
+def discover(pages: DataFrame, websites: DataFrame, as_of: Column, mode: str = "general", topic: str | None = None, limit: int = 30, offset: int = 0) -> DataFrame:
+    """Feed cards of pages (page_id, domain, url, title, path, lastmod, fetched_at, ratio) and websites (domain, category, pagerank, ratio)."""
+    sites = websites.select(F.col("domain").alias("_d"), "category", "pagerank", F.col("ratio").alias("_site_ratio"))
+    rows = pages.join(sites, F.col("domain") == F.col("_d")).where(feed_filter(mode, topic))
+    rows = rows.select("page_id", "url", "domain", F.coalesce("category", F.lit("बातम्या")).alias("category"), "title", F.coalesce("lastmod", "fetched_at").alias("at"), F.coalesce("pagerank", F.lit(0.01)).alias("pagerank"), F.coalesce("ratio", "_site_ratio", F.lit(0.6)).alias("ratio"))
+    shown = rows.withColumn("_shown", headline(F.col("title"))).withColumn("title", F.when(F.length("_shown") >= 5, F.col("_shown")).otherwise(F.col("title"))).drop("_shown")
+    page = feed(shown.withColumnRenamed("page_id", "id"), as_of, limit, offset, mode).withColumnRenamed("id", "_id")
+    names = publisher(F.col("domain"))
+    out = page.join(shown, F.col("_id") == F.col("page_id"))
+    card = F.concat(names, F.lit(" — "), F.substring("title", 1, 95), F.lit(lex.CARD_TEXT))
+    reading = F.when(F.col("reading_minutes") == 1, lex.READING[0]).otherwise(lex.READING[1])
+    return out.select("rank", "page_id", "url", "title", "domain", names.alias("publisher"), "category", card.alias("snippet"), "relative_time", reading.alias("reading_time"), F.round("pagerank", 4).alias("pagerank"), "topic_tag", "is_featured")
+
+
+def publisher(site: Column) -> Column:
+    """A site's native name, else its domain."""
+    table = F.create_map(*[F.lit(x) for kv in lex.DOMAIN_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, site), site)
 
 
 def directory(sites: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import demand, graph, search, serp, web
+from ..operators import demand, graph, index, search, serp, web
 from ..sources.files import table
 from ..sources.sinks import csv_rows
 from . import sql
@@ -422,6 +422,82 @@ def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.feed(rows, F.lit(sql.AS_OF_TEXT).cast("timestamp"), limit=50, offset=10).withColumn("rank", F.col("rank").cast("long"))
 
 
+# --- index -----------------------------------------------------------------------------------------------
+
+
+def search_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages (with the samples as further ones) and the sites that they are on."""
+    pages = table(spark, sf_dir, "pages")
+    rows = web.page_facts(pages).select("page_id", "domain", "title").join(pages.select("page_id", "url"), "page_id").withColumn("path", F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1))
+    site = F.when(F.col("n") % 2 == 0, "lokmat.com").otherwise("agrowon.esakal.com")
+    rows = rows.unionByName(samples(spark).select((-1 - F.col("n")).alias("page_id"), site.alias("domain"), F.col("text").alias("title"), F.concat(F.lit("https://sample.in/"), F.col("n").cast("string")).alias("url"), F.lit("/").alias("path")))
+    day = F.date_sub(F.lit("2024-01-20").cast("date"), (F.abs("page_id") % 60).cast("int")).cast("timestamp")
+    rows = rows.withColumns({"lastmod": F.when(F.col("page_id") % 7 != 0, day), "fetched_at": F.lit("2023-11-30").cast("timestamp"), "ratio": F.when(F.col("page_id") % 3 != 0, 0.25)})
+    n = F.length("domain")
+    sites = rows.select("domain").distinct().select("domain", F.element_at(F.array(*[F.lit(c) for c in sql.CATEGORIES]), n % len(sql.CATEGORIES) + 1).alias("category"), F.when(n % 5 != 0, n / 1000).alias("pagerank"), F.when(n % 2 == 0, 0.5).alias("authority"), F.when(n % 3 == 0, 0.75).alias("ratio"))
+    return rows, sites
+
+
+@query(f"WITH {sql.INDEX} SELECT term, page_id, tf FROM postings")
+def srch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build(search_pages(spark, sf_dir)[0]).postings.select("term", "page_id", "tf")
+
+
+def found(spark: SparkSession, sf_dir: str, query: str, **options) -> DataFrame:
+    pages, sites = search_pages(spark, sf_dir)
+    out = index.search_index(index.build(pages), pages, sites, query, F.lit("2024-01-20").cast("timestamp"), **options)
+    return out.select("doc_id", "url", "title", "category", "snippet", "score", "coverage", "level", "formatted_date", "recent", "dropped")
+
+
+@query(sql.search_index("the thing erthi"))
+def srch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "the thing erthi")
+
+
+@query(sql.search_index("शेती बाजारभाव आज"))
+def srch_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "शेती बाजारभाव आज")
+
+
+@query(sql.search_index("the and", category="News", freshness="month", limit=150))
+def srch_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "the and", category="News", freshness="month", limit=150)
+
+
+@query(sql.search_index("the and", category="nosuch", freshness="24h", limit=150))
+def srch_filters_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "the and", category="nosuch", freshness="24h", limit=150)
+
+
+@query(sql.search_index("the and", sort_by="date", limit=40))
+def srch_sorted_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "the and", sort_by="date", limit=40)
+
+
+@query(sql.search_index("the and", sort_by="pagerank", limit=40))
+def srch_sorted_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, "the and", sort_by="pagerank", limit=40)
+
+
+@query(f"SELECT n, array_to_string({sql.related('text')}, '; ') AS related FROM {sql.numbered('text', SAMPLES)}")
+def srch_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark).select("n", F.array_join(search.related(F.col("text")), "; ").alias("related"))
+
+
+FEEDS = [("general", None), ("general", "agriculture"), ("general", "finance"), ("general", "culture"), ("mpsc", None), ("mpsc", "gs2"), ("mpsc", "gs3"), ("reporter", "rural"), ("reporter", "crime")]
+
+
+@query(f"WITH {sql.SITES}, " + "rows AS (SELECT page_id, known.domain, known.url, title, category FROM known JOIN sites USING (domain)) " + " UNION ALL ".join(f"SELECT '{m}' AS mode, {sql.quoted(t or '')} AS topic, page_id, {sql.first_match('title', {'mpsc': lex.EXAM_RULES, 'reporter': lex.DESK_RULES}.get(m, lex.TOPIC_RULES), {'mpsc': lex.EXAM_OTHER, 'reporter': lex.DESK_OTHER}.get(m, '#महाराष्ट्र_अपडेट्स'))} AS tag FROM rows WHERE {sql.feed_where(m, t)}" for m, t in FEEDS))
+def feed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, sites = search_pages(spark, sf_dir)
+    rows = pages.select("page_id", "domain", "url", "title").join(sites.select("domain", "category"), "domain")
+    out = None
+    for mode, topic in FEEDS:
+        one = rows.where(search.feed_filter(mode, topic)).select(F.lit(mode).alias("mode"), F.lit(topic or "").alias("topic"), "page_id", search.topic_tag(F.col("title"), mode).alias("tag"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(sql.DIRECTORY)
 def dir_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = F.array(*[F.lit(c) for d in lex.DIRECTORY for c in d[3]])

@@ -6,6 +6,7 @@ import re
 
 from ..functions import classify as cls
 from ..functions import lexicons as lex
+from ..functions import stem
 
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[\p{L}\p{N}_\x{0900}-\x{0D7F}]"
@@ -32,7 +33,7 @@ def numbered(column: str, items: list[str]) -> str:
 
 
 def fold(x: str) -> str:
-    return f"regexp_replace(regexp_replace(lower(regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{SPACE}+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace(nfc_normalize(lower(regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g'))), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{SPACE}+', ' ', 'g')"
 
 
 def dedup_key(x: str) -> str:
@@ -109,8 +110,8 @@ def competition_band() -> str:
 
 def relative_time(at: str, as_of: str) -> str:
     s = f"(floor(epoch({as_of})) - floor(epoch({at})))"
-    part = lambda n, unit: f"CAST(CAST(floor({s} / {n}) AS BIGINT) AS VARCHAR) || ' {unit} ago'"
-    return f"CASE WHEN {at} IS NULL THEN 'today' WHEN {s} < 0 THEN 'just now' WHEN {s} < 600 THEN 'just published' WHEN {s} < 3600 THEN {part(60, 'minutes')} WHEN {s} < 86400 THEN {part(3600, 'hours')} WHEN {s} < 172800 THEN 'yesterday' WHEN {s} < 604800 THEN {part(86400, 'days')} ELSE strftime({at}, '%-d %B %Y') END"
+    part = lambda n, unit: f"CAST(CAST(floor({s} / {n}) AS BIGINT) AS VARCHAR) || ' {lex.ELAPSED[unit]}'"
+    return f"CASE WHEN {at} IS NULL THEN '{lex.ELAPSED['today']}' WHEN {s} < 0 THEN '{lex.ELAPSED['now']}' WHEN {s} < 600 THEN '{lex.ELAPSED['new']}' WHEN {s} < 3600 THEN {part(60, 'minutes')} WHEN {s} < 86400 THEN {part(3600, 'hours')} WHEN {s} < 172800 THEN '{lex.ELAPSED['yesterday']}' WHEN {s} < 604800 THEN {part(86400, 'days')} ELSE {native_date(at)} END"
 
 
 def native_date(at: str) -> str:
@@ -188,8 +189,10 @@ HEADLINES = ["Farmer News: शेतकरी कर्जमाफी याद
 
 def headline(x: str) -> str:
     native = "length(regexp_replace(p, '[^ऀ-ॿ]', '', 'g'))"
-    good = f"list_filter(list_transform(regexp_split_to_array({x}, '\\s*[|:–—;-]\\s*'), lambda p: trim(p)), lambda p: {native} >= 6 AND len(regexp_split_to_array(p, '\\s+')) >= 2)"
-    best = f"coalesce(list_sort(list_transform({good}, lambda p, i: {{'n': -{native}, 'i': i, 'p': p}}))[1].p, '')"
+    good = f"list_filter(list_transform(regexp_split_to_array(coalesce({x}, ''), '\\s*[|:–—;-]\\s*'), lambda p: trim(p)), lambda p: {native} >= 6 AND len(regexp_split_to_array(p, '\\s+')) >= 2)"
+    lead = f"regexp_extract(coalesce({x}, ''), '^[A-Za-z0-9\\s,_-]+:\\s*([ऀ-ॿ].*)$', 1)"
+    whole = f"CASE WHEN regexp_matches(coalesce({x}, ''), '[ऀ-ॿ]') THEN coalesce(nullif({lead}, ''), {x}) ELSE '' END"
+    best = f"coalesce(list_sort(list_transform({good}, lambda p, i: {{'n': -{native}, 'i': i, 'p': p}}))[1].p, {whole})"
     return f"trim(regexp_replace({best}, '\\s+([a-zA-Z0-9_-]{{2,}}\\s+){{2,}}[a-zA-Z0-9_-]{{2,}}.*$', ''))"
 
 
@@ -338,12 +341,128 @@ bm25 AS (SELECT doc_id, count(*) AS matched, round(sum(greatest(ln(((SELECT coun
   FROM hits JOIN dfs USING (term) JOIN worded USING (doc_id) GROUP BY doc_id)"""
 
 
+def _terms(terms: list[str]) -> list[str]:
+    """The rule for at most 8 terms of a cluster, over lists."""
+    native = {t: any("ऀ" <= c <= "ॿ" for c in t) for t in terms}
+    return [t for t in sorted(set(terms), key=lambda t: (not native[t], len(t), t))[:8] if len(t) >= 3 or native[t]]
+
+
 def retrieve(clusters: list[list[str]], where: str, extra: str = "") -> str:
-    flags = " + ".join("(len(list_filter(words, lambda w: " + " OR ".join(f"starts_with(w, {quoted(t)})" for t in terms) + ")) > 0)::INT" for terms in clusters)
-    n = len(clusters)
-    return f"""WITH hit AS (SELECT doc_id, {flags} AS clusters_hit FROM (SELECT doc_id, {_WORDS} AS words FROM documents WHERE {where}))
-SELECT doc_id, CAST(CASE WHEN clusters_hit = {n} THEN 1 ELSE 2 END AS INTEGER) AS level, CAST(clusters_hit AS INTEGER) AS clusters_hit{extra} FROM hit
-WHERE clusters_hit > 0 AND (clusters_hit = {n} OR (SELECT count(*) FROM hit WHERE clusters_hit = {n}) < 5) ORDER BY level, clusters_hit DESC, doc_id LIMIT 150"""
+    chosen = [(i, t) for i, terms in enumerate(clusters) for t in _terms(terms)]
+    tf = ", ".join(f"len(list_filter(words, lambda w: starts_with(w, {quoted(t)})))" for _, t in chosen)
+    n, weights = len(clusters), "+".join(f"greatest(ln(((SELECT count(*) FROM worded) - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * tf[{k + 1}] * 2.2 / (tf[{k + 1}] + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM worded)))" for k in range(len(chosen)))
+    hits = " + ".join("(" + " OR ".join(f"tf[{k + 1}] > 0" for k, (j, _) in enumerate(chosen) if j == i) + ")::INT" for i in range(n) if any(j == i for j, _ in chosen))
+    return f"""WITH worded AS MATERIALIZED (SELECT doc_id, {where} AS kept, dl, [{tf}] AS tf FROM (SELECT *, coalesce(len(words), 0) AS dl FROM (SELECT *, {_WORDS} AS words FROM documents))),
+dfs AS (SELECT {', '.join(f'count(*) FILTER (tf[{k + 1}] > 0) AS d{k}' for k in range(len(chosen)))} FROM worded),
+hit AS MATERIALIZED (SELECT doc_id, {hits} AS clusters_hit, round({weights}, 6) AS bm25 FROM worded, dfs WHERE kept),
+one AS (SELECT 1 AS level, * FROM (SELECT * FROM hit WHERE clusters_hit = {n} ORDER BY bm25 DESC, doc_id LIMIT 150)),
+two AS (SELECT 2 AS level, * FROM (SELECT * FROM hit WHERE clusters_hit > 0 ORDER BY bm25 DESC, doc_id LIMIT 150) WHERE clusters_hit < {n} AND (SELECT count(*) FROM one) < 5)
+SELECT doc_id, CAST(level AS INTEGER) AS level, CAST(clusters_hit AS INTEGER) AS clusters_hit, bm25{extra} FROM (SELECT * FROM one UNION ALL SELECT * FROM two)"""
+
+
+# --- index ---
+
+def _escaped(x: str) -> str:
+    return f"url_decode({x})"
+
+
+def _stems(x: str) -> str:
+    def one(form: str) -> str:
+        parts = [f"CASE WHEN regexp_extract({form}, '{stem.pattern(endings)}', 1) <> '' THEN [regexp_extract({form}, '{stem.pattern(endings)}', 1) || e FOR e IN {list(new)}] ELSE [] END" for endings, new in stem.GROUPS]
+        return f"list_concat([{form}], {', '.join(parts)})"
+
+    found = f"list_distinct(list_concat({one(x)}, {one(f'translate({x}, {quoted(stem.EYELASH_RA)}, {quoted(stem.RA)})')}))"
+    named = f"(list_has_any({found}, {stem.NAMES}) OR regexp_matches({x}, '{'|'.join(stem.NAMES)}'))"
+    return f"CASE WHEN length({x}) <= 2 THEN [{x}] WHEN {named} THEN list_concat({found}, {stem.LEMMAS}) ELSE {found} END"
+
+
+_COMPOUNDS = ", ".join(f"({quoted(c)}, {quoted(p)})" for c, parts in lex.COMPOUNDS.items() for p in parts)
+_BILINGUAL = ", ".join(f"({quoted(k)}, {quoted(o)})" for k, others in lex.BILINGUAL.items() for o in others)
+#: Pages and sites made from the page table and the samples, in terms that both engines work out alike.
+CATEGORIES = ["finance", "News", "agri", "Culture", "gov", "Tech"]
+SITES = f"""known AS MATERIALIZED (SELECT page_id, domain, title, url, path, CASE WHEN page_id % 7 <> 0 THEN TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 DAY * (abs(page_id) % 60) END AS lastmod, TIMESTAMP '2023-11-30 00:00:00' AS fetched_at, CASE WHEN page_id % 3 <> 0 THEN 0.25 END AS ratio FROM (
+  SELECT f.page_id, f.domain, f.title, p.url, regexp_extract(p.url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM ({PAGE_FACTS}) f JOIN pages p USING (page_id)
+  UNION ALL SELECT -1 - n, CASE WHEN n % 2 = 0 THEN 'lokmat.com' ELSE 'agrowon.esakal.com' END, text, 'https://sample.in/' || n, '/' FROM {numbered('text', SAMPLES)})),
+sites AS (SELECT DISTINCT domain, {CATEGORIES}[length(domain) % {len(CATEGORIES)} + 1] AS category, CASE WHEN length(domain) % 5 <> 0 THEN length(domain) / 1000 END AS pagerank, CASE WHEN length(domain) % 2 = 0 THEN 0.5 END AS authority, CASE WHEN length(domain) % 3 = 0 THEN 0.75 END AS ratio FROM known)"""
+
+
+def _vocabulary(name: str, words: str) -> str:
+    return f"""{name}_own AS (SELECT word, unnest({_stems('word')}) AS term FROM {words}),
+{name} AS MATERIALIZED (SELECT word, term FROM {name}_own
+  UNION SELECT word, part FROM {words} JOIN compounds ON word = compound
+  UNION SELECT w.word, unnest({_stems('part')}) FROM {words} w JOIN compounds ON w.word = compound
+  UNION SELECT word, part FROM {words} JOIN compounds ON contains(word, compound) WHERE word NOT IN (SELECT compound FROM compounds)
+  UNION SELECT word, other FROM {name}_own JOIN bilingual ON term = base
+  UNION SELECT word, {topic_key('word')} FROM {words} WHERE regexp_matches(word, '[ऀ-ॿ]') AND length({topic_key('word')}) >= 3)"""
+
+
+INDEX = f"""{SITES},
+compounds(compound, part) AS (VALUES {_COMPOUNDS}), bilingual(base, other) AS (VALUES {_BILINGUAL}),
+texts AS (SELECT page_id, concat_ws(' ', coalesce(title, ''), regexp_replace({_escaped("coalesce(path, '')")}, '[-_/]+', ' ', 'g'), domain) AS text FROM known WHERE title IS NOT NULL OR path <> '/'),
+found_words AS MATERIALIZED (SELECT page_id, word, count(*) AS times FROM (SELECT page_id, unnest(regexp_extract_all({fold(_escaped('text'))}, '{WORD}+')) AS word FROM texts) WHERE length(word) >= 2 GROUP BY ALL),
+distinct_words AS MATERIALIZED (SELECT DISTINCT word FROM found_words),
+{_vocabulary('vocabulary', 'distinct_words')},
+postings AS MATERIALIZED (SELECT term, page_id, sum(times)::BIGINT AS tf FROM found_words JOIN vocabulary USING (word) GROUP BY ALL),
+indexed AS MATERIALIZED (SELECT page_id, sum(tf) AS dl, string_agg(term, ' ' ORDER BY term) AS terms FROM postings GROUP BY page_id)"""
+
+
+def search_index(query: str, category: str | None = None, freshness: str | None = None, sort_by: str = "relevance", limit: int = 25) -> str:
+    """A whole search over INDEX; where all filters leave nothing, the last ones are left out, as many as that takes."""
+    asked = " ".join(query.lower().split())
+    words = [w for w in asked.split() if w not in lex.STOPWORDS]
+    filters = [f"coalesce(contains(lower(category), {quoted(category.lower())}), false)"] if category else []
+    if freshness:
+        filters.append(f"coalesce(lastmod >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL {({'24h': 2, 'week': 7, 'month': 34})[freshness]} DAY, false)")
+    count = len(filters)
+    flags = "".join(f", {f} AS f{i}" for i, f in enumerate(filters))
+    dropped = "CASE " + " ".join(f"WHEN EXISTS (SELECT 1 FROM every WHERE {' AND '.join(['true', *(f'f{i}' for i in range(count - k))])}) THEN {k}" for k in range(count)) + f" ELSE {count} END" if count else "0"
+    kept = " AND ".join(["true", *(f"(f{i} OR gone >= {count - i})" for i in range(count))])
+    order = {"date": "moment DESC NULLS LAST, ", "pagerank": "pagerank DESC, "}.get(sort_by, "")
+    last = {"date": "moment DESC NULLS LAST, ", "pagerank": "round(pagerank, 4) DESC, "}.get(sort_by, "")
+    entity = " + ".join(["0.0"] + [f"CASE WHEN {any_of('haystack', present)} THEN {boost} ELSE 0.0 END" for wanted, present, boost in lex.ENTITY_BOOSTS if any(w in asked for w in wanted)])
+    fresh = "true" if any(w in asked for w in lex.FRESH_WORDS) else "false"
+    n = len(words)
+    return f"""WITH {INDEX}, asked(ci, word) AS (VALUES {', '.join(f'({i}, {quoted(w)})' for i, w in enumerate(words))}), asked_words AS (SELECT DISTINCT word FROM asked),
+{_vocabulary('meant', 'asked_words')},
+clusters AS MATERIALIZED (SELECT ci, term, row_number() OVER (PARTITION BY ci ORDER BY (NOT regexp_matches(term, '[ऀ-ॿ]'))::INT, length(term), term) AS place FROM asked JOIN meant USING (word)),
+wanted AS (SELECT ci, term FROM clusters WHERE place <= 8 AND (length(term) >= 3 OR regexp_matches(term, '[ऀ-ॿ]'))),
+hits AS MATERIALIZED (SELECT page_id, ci, w.term, sum(tf) AS tf FROM postings p JOIN wanted w ON starts_with(p.term, w.term) GROUP BY ALL),
+dfs AS (SELECT ci, term, count(*) AS df FROM hits GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT page_id, count(DISTINCT ci) AS clusters_hit, round(sum(greatest(ln(((SELECT count(*) FROM indexed) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM indexed)))), 6) AS bm25 FROM hits JOIN dfs USING (ci, term) JOIN indexed USING (page_id) GROUP BY page_id),
+every AS MATERIALIZED (SELECT r.*, k.url, k.title, coalesce(k.path, '') AS path, k.domain, category, lastmod, coalesce(lastmod, fetched_at) AS moment, coalesce(pagerank, 0.01) AS pagerank, coalesce(authority, 0.0) AS authority, coalesce(k.ratio, s.ratio, 0.5) AS ratio{flags} FROM ranked r JOIN known k USING (page_id) JOIN sites s USING (domain)),
+fallback AS (SELECT {dropped} AS gone), kept AS MATERIALIZED (SELECT * FROM every, fallback WHERE {kept}),
+one AS MATERIALIZED (SELECT * FROM kept WHERE clusters_hit = {n} ORDER BY {order}bm25 DESC, page_id LIMIT 150),
+best AS (SELECT 1 AS level, * FROM one UNION ALL SELECT 2, * FROM (SELECT * FROM kept ORDER BY {order}bm25 DESC, page_id LIMIT 150) WHERE {n} > 1 AND clusters_hit < {n} AND (SELECT count(*) FROM one) < 5),
+seen AS (SELECT *, lower(concat_ws(' ', coalesce(title, ''), lower({_escaped('path')}), path, terms)) AS haystack, lower(concat_ws(' ', coalesce(title, ''), lower({_escaped('path')}))) AS shown FROM best JOIN indexed USING (page_id)),
+judged AS (SELECT *, (SELECT count(DISTINCT ci) FROM clusters WHERE contains(haystack, lower(term))) / {float(n)} AS coverage, {any_of('shown', words)} AS title_hit, {entity} AS entity, coalesce(date_diff('day', moment::DATE, DATE '2024-01-20') BETWEEN 0 AND 5, false) AS recent, 1 / (1 + greatest(bm25, 0)) AS norm FROM seen),
+scored AS (SELECT *, round(greatest(0.01, (0.40 * CASE WHEN coverage >= 0.4 THEN coverage ELSE coverage * coverage END + 0.25 * norm + CASE WHEN title_hit THEN 0.2 ELSE 0.0 END + entity) * (0.6 + 0.3 * least(1.0, 10 * pagerank) + 0.1 * least(1.0, ratio))) + CASE WHEN recent AND {fresh} AND coverage >= 0.4 THEN 0.15 ELSE 0.0 END, 4) AS score FROM judged)
+SELECT page_id AS doc_id, url, CASE WHEN length({headline('title')}) >= 4 THEN {headline('title')} || ' | ' || {publisher('domain')} ELSE coalesce(nullif(title, ''), {publisher('domain')}) END AS title, category, {snippet()} AS snippet, score, round(coverage, 2) AS coverage, CAST(level AS INTEGER) AS level, {native_date('moment')} AS formatted_date, recent, CAST(gone AS INTEGER) AS dropped
+FROM scored ORDER BY {last}score DESC, page_id LIMIT {limit}"""
+
+
+def publisher(x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in lex.DOMAIN_NAMES.items()) + f" ELSE {x} END"
+
+
+def snippet() -> str:
+    ladder = " ".join(f"WHEN category IN ({', '.join(quoted(c) for c in cats)}) OR {any_of('haystack', words)}{' OR ' + any_of('domain', domains) if domains else ''} THEN {quoted(text)}" for cats, domains, words, text in lex.SNIPPETS)
+    return f"({publisher('domain')}) || ' — ' || CASE {ladder} ELSE {quoted(lex.SNIPPET_OTHER)} END"
+
+
+def feed_where(mode: str, topic: str | None) -> str:
+    out = [any_of("title", lex.FEED_LETTERS)]
+    if mode == "mpsc":
+        out.append(f"NOT {any_of('title', lex.EXAM_BLOCKED)}")
+    wanted = lex.FEED_TOPICS.get((mode, topic)) or lex.FEED_TOPICS.get((mode, None))
+    if wanted:
+        out.append("(" + " OR ".join(any_of(c if c == "title" else f"lower({c})", words if c == "title" else [w.lower() for w in words]) for c, words in wanted.items()) + ")")
+    return " AND ".join(out)
+
+
+def related(x: str) -> str:
+    groups = " ".join(f"WHEN {any_of(fold(x), words)} THEN [{', '.join(quoted(q) for q in queries)}]" for words, queries in lex.RELATED)
+    general = "[" + ", ".join(f"{fold(x)} || {quoted(' ' + e)}" for e in lex.RELATED_ENDINGS) + "]"
+    return f"list_slice(list_filter(CASE {groups} ELSE {general} END, lambda q: lower(q) <> {fold(x)}), 1, 5)"
 
 
 def hybrid(source: str) -> str:

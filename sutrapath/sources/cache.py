@@ -22,12 +22,12 @@ def read(spark: SparkSession, path: str, language: str, region: str) -> DataFram
 
 def look_up(queries: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``queries`` (query, ...) that are cached, with suggestions and measured; and those that are not."""
-    asked = queries.withColumn("_key", key())
+    asked = queries.withColumns({"_key": key(), "_fold": fold(F.col("query"))})
     # the folded query itself is compared too, as keys are shortened
     known = cached.select(F.col("key").alias("_k"), fold(F.col("query")).alias("_folded"), "suggestions")
-    same = (F.col("_key") == F.col("_k")) & (fold(F.col("query")) == F.col("_folded"))
+    same = (F.col("_key") == F.col("_k")) & (F.col("_fold") == F.col("_folded"))
     hits = asked.join(known, same).select(*queries.columns, "suggestions").withColumn("measured", F.lit(True))
-    return hits, asked.join(known, same, "left_anti").drop("_key")
+    return hits, asked.join(known, same, "left_anti").drop("_key", "_fold")
 
 
 def write(results: DataFrame, path: str, language: str, region: str) -> None:

@@ -2,33 +2,83 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sutrapath.functions.stem import concept, search_tokens, stems
-from sutrapath.operators import search, serp
+from sutrapath.functions.stem import search_tokens, stems, vocabulary
+from sutrapath.operators import index, search, serp
 
 
-def test_stems():
-    assert "शेतकरी" in stems("शेतकऱ्यांना") and "पुणे" in stems("पुण्यात")
-    assert stems("का") == ["का"]
-    assert "शिवाजी" in stems("शिवरायांनी")
-    assert {"कर्ज", "माफी"} <= set(concept("कर्जमाफी"))
-    assert "demat" in concept("डीमॅट")
+def words(spark, *items):
+    return spark.createDataFrame([(w,) for w in items], "word string")
+
+
+def test_stems(spark):
+    got = {r["word"]: r["s"] for r in words(spark, "शेतकऱ्यांना", "पुण्यात", "का", "शिवरायांनी").select("word", stems(F.col("word")).alias("s")).collect()}
+    assert "शेतकरी" in got["शेतकऱ्यांना"] and "पुणे" in got["पुण्यात"] and got["का"] == ["का"] and "शिवाजी" in got["शिवरायांनी"]
+    terms = {(r["word"], r["term"]) for r in vocabulary(words(spark, "कर्जमाफी", "डीमॅट", "महाकर्जमाफी", "x")).collect()}
+    assert {("कर्जमाफी", "कर्ज"), ("कर्जमाफी", "माफी"), ("डीमॅट", "demat"), ("डीमॅट", "dmt"), ("महाकर्जमाफी", "कर्ज")} <= terms and not any(w == "x" for w, _ in terms)
 
 
 def test_search_tokens(spark):
-    rows = spark.createDataFrame([("कर्जमाफी%20योजना", ), (None,), ("a",)], "t string").select(search_tokens(F.col("t")).alias("x")).collect()
-    assert {"कर्ज", "माफी", "कर्जमाफी"} <= set(rows[0]["x"]) and rows[1]["x"] == [] and rows[2]["x"] == []
+    rows = spark.createDataFrame([(1, "कर्जमाफी%20योजना"), (2, None), (3, "a"), (4, "100%zz done")], "k int, t string")
+    got = {r["k"]: r["terms"] for r in search_tokens(rows, "k", "t").collect()}
+    assert {"कर्ज", "माफी", "कर्जमाफी"} <= set(got[1]) and got[2] == [] and got[3] == [] and "done" in got[4]
 
 
 def test_retrieval_tiers(spark):
     docs = spark.createDataFrame([(1, "डीमॅट खाते कसे उघडावे"), (2, "demat account open"), (3, "weather today"), (4, None)], "doc_id long, text string")
-    clusters = search.clusters_of("डीमॅट खाते")
+    clusters = search.clusters_of(spark, "डीमॅट खाते")
     got = {r["doc_id"]: r["level"] for r in search.retrieve(docs, clusters).collect()}
     assert got == {1: 1, 2: 1}
-    assert search.retrieve(docs, search.clusters_of("weather डीमॅट")).count() == 3
+    assert search.retrieve(docs, search.clusters_of(spark, "weather डीमॅट")).count() == 3
+    assert search.clusters_of(spark, " ") == [] and search.retrieve(docs, []).count() == 0
     found = search.relaxed(docs, clusters, [F.col("doc_id") > 0, F.col("doc_id") > 100])
     assert {r["dropped"] for r in found.collect()} == {1}
 
 
+def test_best_are_kept_whatever_their_ids(spark):
+    docs = spark.createDataFrame([(i, "word " + "other " * (400 - i)) for i in range(400)] + [(1000 + i, "else") for i in range(900)], "doc_id long, text string")
+    got = [r["doc_id"] for r in search.retrieve(docs, [["word"]]).collect()]
+    assert len(got) == 150 and sorted(got) == list(range(250, 400))
+
+
+def small_index(spark):
+    pages = spark.createDataFrame([(1, "u1", "शेती बातम्या", "/sheti-news", "a.in"), (2, "u2", None, "/demat%20account", "b.in"), (3, "u3", None, "/", "c.in")], "page_id long, url string, title string, path string, domain string")
+    return pages, index.build(pages)
+
+
+def test_index_written_and_read(spark, tmp_path):
+    pages, built = small_index(spark)
+    assert {r["page_id"] for r in built.documents.collect()} == {1, 2}
+    built.write(str(tmp_path / "index"))
+    read = index.Index.read(spark, str(tmp_path / "index"))
+    found = index.matches(read, search.clusters_of(spark, "demat"))
+    assert [r["doc_id"] for r in found.collect()] == [2]
+    plan = read.postings.where(F.col("bucket").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
+def test_index_maintained(spark):
+    pages, built = small_index(spark)
+    again = index.maintain(built, spark.createDataFrame([(2, "u2", "weather", "/x", "b.in"), (9, "u9", "demat", "/", "b.in")], pages.schema))
+    assert [r["doc_id"] for r in index.matches(again, search.clusters_of(spark, "demat")).collect()] == [9]
+    assert [r["doc_id"] for r in index.matches(again, search.clusters_of(spark, "weather")).collect()] == [2]
+
+
+def test_search_response(spark):
+    pages, built = small_index(spark)
+    pages = pages.withColumns({"lastmod": F.lit("2024-01-19").cast("timestamp"), "fetched_at": F.lit(None).cast("timestamp"), "ratio": F.lit(None).cast("double")})
+    sites = spark.createDataFrame([("a.in", "agri", 0.02, None, 0.9), ("b.in", "finance", None, None, None)], "domain string, category string, pagerank double, authority double, ratio double")
+    as_of = F.lit("2024-01-20").cast("timestamp")
+    results, about = index.respond(built, pages, sites, "शेती आज", as_of)
+    row, said = results.first(), about.first()
+    assert row["doc_id"] == 1 and row["title"] == "शेती बातम्या | a.in" and row["snippet"].startswith("a.in — शेती") and row["recent"] and row["formatted_date"] == "१९ जानेवारी २०२४"
+    assert said["clean_query"] == "शेती आज" and len(said["related"]) == 5
+    none = index.search_index(built, pages, sites, "शेती", as_of, category="nosuch", freshness="24h").first()
+    assert none["dropped"] == 2
+    assert index.search_index(built, pages, sites, "", as_of).count() == 0
+    cards = search.discover(pages, sites, as_of).collect()
+    assert [c["page_id"] for c in cards] == [1] and cards[0]["relative_time"] == "काल" and cards[0]["is_featured"]
+
+
 def test_bm25_prefers_rare_terms(spark):
     docs = spark.createDataFrame([(i, "common " * 3 + ("rare" if i == 0 else "other")) for i in range(10)], "doc_id long, text string")
     best = search.bm25(docs, ["common", "rare"]).orderBy(F.col("bm25").desc()).first()
