@@ -573,3 +573,7 @@ SNIPPETS = [
     (["gov"], [], ["लाडकी बहीण", "शासन निर्णय", "gr", "योजना"], "शासकीय योजना, शासन निर्णय (GR), नियम व अधिकृत पोर्टल माहिती."),
 ]
 SNIPPET_OTHER = "अधिकृत मराठी वृत्त, घडामोडी व सविस्तर माहिती."
+
+#: Words that make a suggestion a how-to or a comparison when intents are voted on.
+HOWTO_WORDS = ["कसे", "कसा", "कशी", "how to", "steps", "पद्धत", "तरीका", "अर्ज", "process"]
+VERSUS_WORDS = [" vs ", "विरुद्ध", "बनाम", "तुलना", "compare", "फरक", "difference"]

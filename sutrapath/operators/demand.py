@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as cls
 from ..functions import lexicons as lex
-from ..functions.text import WORD, dedup_key, nfc_all, script_of, topic_key
+from ..functions.text import WORD, contains_any, dedup_key, nfc_all, script_of, topic_key
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,16 @@ def expand(seeds: DataFrame, language: str = "mr", latin: bool = False, commerci
     return first.select("seed_ord", "seed", F.row_number().over(order).alias("q_ord"), "query", "kind", "tag")
 
 
+def expected_counts(seeds: DataFrame, language: str = "mr", latin: bool = False, commercial: bool = False) -> DataFrame:
+    """(seed_ord, seed, expected): how many queries a seed has if no two are alike; modifiers count once, commercial ones only where they aren't modifiers."""
+    spec = cls.spec(language)
+    general = {m for m, _ in spec["modifiers"]}
+    more = {m for m, _ in lex.COMMERCIAL.get(language, lex.COMMERCIAL["mr"])} - general if commercial else set()
+    native = len(lex.CONSONANTS[spec["consonants"]]) + (len(lex.CONSONANTS["latin"]) if latin else 0)
+    letters = F.when(script_of(F.col("seed")) == "latin", len(lex.CONSONANTS["latin"])).otherwise(native)
+    return seeds.select("seed_ord", "seed", (letters + 1 + len(general) + len(spec["questions"]) + len(more)).cast("long").alias("expected"))
+
+
 def admit(expansion: DataFrame, max_seeds: int | None = None, max_queries: int | None = None) -> DataFrame:
     """``expansion`` with ``admitted``: the first seeds, and queries in order up to the budget, which may end within a seed.
 
@@ -159,6 +169,37 @@ def score(rows: DataFrame, weights: Weights = Weights()) -> DataFrame:
     return out.withColumn("priority_band", cls.priority_band(F.col("demand"), F.col("intent"), F.col("competition_band")))
 
 
+def actionable(scores: DataFrame) -> DataFrame:
+    """Scores that something can be done about: measured, and not looking for one site."""
+    return scores.where("demand is not null and intent <> 'navigational'")
+
+
+def effective_intent(scores: DataFrame, seen: DataFrame, language: str = "mr", wanted: str = "auto") -> DataFrame:
+    """(seed_ord, seed, effective) of scores (seed_ord, seed, intent): what suggestions (seed_ord, suggestion) and the seed speak for.
+
+    A ``wanted`` perspective decides by itself.  Else each suggestion is a vote, and the seed's own words are two.
+    """
+    if wanted in ("affiliate", "commercial", "howto", "comparison", "informational"):
+        return scores.select("seed_ord", "seed", F.lit("commercial" if wanted == "affiliate" else wanted).alias("effective"))
+
+    def votes(text: Column) -> dict[str, Column]:
+        lower = F.lower(text)
+        return {"buy": cls.buyer_intent(text).isNotNull(), "how": contains_any(lower, lex.HOWTO_WORDS), "versus": contains_any(lower, lex.VERSUS_WORDS)}
+
+    pool = seen.groupBy(F.col("seed_ord").alias("_s")).agg(*[F.count_if(v).alias(f"_{k}") for k, v in votes(F.col("suggestion")).items()], F.count_if(cls.is_question(F.col("suggestion"), language)).alias("_ask"))
+    out = scores.join(pool, F.col("seed_ord") == F.col("_s"), "left")
+    n = {k: F.coalesce(f"_{k}", F.lit(0)) + F.when(v, 2).otherwise(0) for k, v in votes(F.col("seed")).items()}
+    raw = F.col("intent")
+    effective = (
+        F.when(raw.isin("transactional", "commercial") | (n["buy"] >= 2), "commercial")
+        .when((raw == "comparison") | (n["versus"] >= 1), "comparison")
+        .when((raw == "howto") | (n["how"] >= 2), "howto")
+        .when(raw.isin("informational", "freshness") | (F.coalesce("_ask", F.lit(0)) >= 3), "informational")
+        .otherwise(F.when(n["buy"] > 0, "commercial").otherwise("informational"))
+    )
+    return out.select("seed_ord", "seed", effective.alias("effective"))
+
+
 def competition(seeds: DataFrame, observations: DataFrame) -> DataFrame:
     """``seeds`` (seed_ord, seed) with the band of an observation (ord, keyword, thin, weak, stale): the last of equal keys, else the first of equal topics."""
     obs = observations.select("ord", dedup_key(F.col("keyword")).alias("_key"), topic_key(F.col("keyword")).alias("_topic"), F.struct("keyword", cls.competition_band(F.col("thin"), F.col("weak"), F.col("stale")).alias("band")).alias("o"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.text import clean_url, devanagari_ratio, domain
+from ..functions.text import clean_url, devanagari_ratio, domain, iso_date
 from ..sources.shared import cut
 
 _SKIPPED = r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>"
@@ -72,15 +72,18 @@ def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str], order:
     return existing.unionByName(first.join(existing.select(*key), key, "left_anti"))
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str], arrival: str, keep_old: list[str] = []) -> DataFrame:
-    """Merge by key, column by column: the latest known value wins, of ``keep_old`` columns the old one; null never overwrites."""
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], arrival: str, keep_old: list[str] = [], overwrite: list[str] = []) -> DataFrame:
+    """Merge by key, column by column: the latest known value wins, of ``keep_old`` columns the old one; null never overwrites, but in ``overwrite`` columns.
+
+    Of values that arrived at one time the greatest wins (in ``keep_old`` columns the least), whatever order tasks end in.
+    """
     columns = [c for c in existing.columns if c not in key]
     old = existing.withColumn("_at", F.lit(None).cast(new.schema[arrival].dataType))
     rows = old.unionByName(new.select(*existing.columns, F.col(arrival).alias("_at")))
-    order = F.struct(F.col("_at").isNotNull().alias("fresh"), "_at")
 
     def pick(c: str) -> Column:
-        known = F.when(F.col(c).isNotNull(), order)
+        order = F.struct(F.col("_at").isNotNull().alias("fresh"), "_at", F.col(c).isNotNull().alias("known"), c)
+        known = order if c in overwrite else F.when(F.col(c).isNotNull(), order)
         return (F.min_by(c, known) if c in keep_old else F.max_by(c, known)).alias(c)
 
     return rows.groupBy(*key).agg(*[pick(c) for c in columns])
@@ -169,10 +172,89 @@ def slug_title(path: Column, words: dict[str, str], least: int = 2) -> Column:
     return F.when(last.rlike("[ऀ-ॿ]"), F.regexp_replace(last, "[-_]+", " ")).when(F.size(known) >= least, F.array_join(known, " ")).otherwise("")
 
 
-def write_back(sites: DataFrame, scores: DataFrame, key: str = "domain") -> DataFrame:
-    """``sites`` with the columns of ``scores``; sites without a score keep what they had."""
+def write_back(sites: DataFrame, scores: DataFrame, key: str = "domain", keep: list[str] = []) -> DataFrame:
+    """``sites`` with the columns of ``scores``, which overwrite, empty ones too, but not in ``keep`` columns; sites without a score stay as they are."""
     new = [c for c in scores.columns if c != key]
     found = scores.withColumnsRenamed({key: "_k", **{c: f"_{c}" for c in new}})
     out = sites.join(found, F.col(key) == F.col("_k"), "left")
-    kept = [F.coalesce(f"_{c}", c).alias(c) if c in new else F.col(c) for c in sites.columns]
-    return out.select(*kept, *[F.col(f"_{c}").alias(c) for c in new if c not in sites.columns])
+
+    def value(c: str) -> Column:
+        known = F.coalesce(f"_{c}", c) if c in keep else F.when(F.col("_k").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
+        return known.alias(c)
+
+    return out.select(*[value(c) if c in new else F.col(c) for c in sites.columns], *[F.col(f"_{c}").alias(c) for c in new if c not in sites.columns])
+
+
+def lookup(sites: DataFrame, name: str) -> DataFrame:
+    """The site of a domain."""
+    return sites.where(F.col("domain") == name)
+
+
+def unvisited(pages: DataFrame, most: int) -> DataFrame:
+    """Of each site its first ``most`` pages (domain, url, status_code) by URL that have no status yet."""
+    order = F.row_number().over(Window.partitionBy("domain").orderBy("url"))
+    return pages.where("status_code is null").withColumn("_n", order).where(F.col("_n") <= most).drop("_n")
+
+
+#: Entities of XML and the non-breaking space.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def unescape(text: Column) -> Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def plain_summary(text: Column, most: int = 200) -> Column:
+    """A description without entities and tags, cut to ``most`` characters; null without any."""
+    return _nonempty(F.substring(F.trim(F.regexp_replace(unescape(text), "<[^>]+>", "")), 1, most))
+
+
+def page_meta(pages: DataFrame) -> DataFrame:
+    """(page_id, title, description, og_title, og_image): what a page says of itself, entities taken back; og:title where there is no title."""
+    html = F.col("html")
+    og = html_meta(html, "og:title")
+    title = F.coalesce(html_title(html), og)
+    return pages.select("page_id", unescape(title).alias("title"), unescape(F.coalesce(html_meta(html, "description"), html_meta(html, "og:description"))).alias("description"), unescape(og).alias("og_title"), html_meta(html, "og:image").alias("og_image"))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(source_url, target_url, anchor_text, is_internal): a page's links to other pages, with the text of the first to each; sub-domains are internal."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a\s*>"""), F.lit(0))
+    rows = pages.select(F.col("url").alias("source_url"), F.posexplode(found).alias("n", "tag"))
+    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1)
+    text = F.trim(F.regexp_replace(F.regexp_replace(unescape(F.col("tag")), "(?s)<[^>]*>", " "), r"\s+", " "))
+    rows = rows.select("source_url", "n", resolve(F.col("source_url"), href).alias("target_url"), text.alias("anchor_text")).where("target_url is not null and target_url <> source_url")
+    first = rows.groupBy("source_url", "target_url").agg(F.min_by("anchor_text", "n").alias("anchor_text"))
+    a, b = domain(F.col("source_url")), domain(F.col("target_url"))
+    return first.withColumn("is_internal", (a == b) | b.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), b)))
+
+
+def discovery_verdict(facts: DataFrame, least: float = 0.2) -> DataFrame:
+    """``facts`` (page_id, title, html_lang, ratio, ...) with ``accepted`` and ``reason``: by the script's share, the language, or the title."""
+    reason = F.when(F.col("ratio") >= least, "ratio").when(F.col("html_lang").contains("mr"), "language").when(F.col("title").rlike("[ऀ-ॿ]"), "title")
+    return facts.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNotNull())
+
+
+def feed_items(files: DataFrame, as_of: Column) -> DataFrame:
+    """(feed, kind, url, title, published_at, summary) of feeds and news sitemaps (url, xml): entries with a link and a title.
+
+    News sitemaps take the publication date, else the last change; a date that is missing or in no known form is ``as_of``.
+    """
+    news = F.col("xml").rlike(r"(?i)<(\w+:)?urlset\b")
+    blocks = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?(?:url|item|entry)\b[^>]*>.*?</(?:\w+:)?(?:url|item|entry)\s*>"), F.lit(0))
+    rows = files.select(F.col("url").alias("feed"), F.when(news, "news").otherwise("feed").alias("kind"), F.explode(blocks).alias("block"))
+    link = F.coalesce(_element("block", "loc"), _element("block", "link"), _nonempty(F.regexp_extract("block", r"""(?is)<link\b[^>]*href\s*=\s*["']([^"']+)["']""", 1)))
+    date = F.coalesce(_element("block", "publication_date"), _element("block", "pubDate"), _element("block", "updated"), _element("block", "lastmod"))
+    rows = rows.select("feed", "kind", link.alias("url"), _nonempty(F.trim(unescape(_element("block", "title")))).alias("title"), F.coalesce(iso_date(date), as_of).alias("published_at"), plain_summary(F.coalesce(_element("block", "description"), _element("block", "summary"))).alias("summary"))
+    return rows.where("url is not null and title is not null")
+
+
+def sitemap_rescue(files: DataFrame) -> DataFrame:
+    """(url, kind, loc, n) of files (url, xml) by their bare <loc> elements: an index if one of the first five is an XML file and there is a <sitemap>; error without any."""
+    locs = F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*(https?://[^\s<>]+)\s*</loc>"), F.lit(1))
+    index = F.exists(F.slice("_locs", 1, 5), lambda u: F.lower(u).contains(".xml")) & F.lower("xml").contains("<sitemap>")
+    rows = files.withColumn("_locs", locs)
+    kind = F.when(F.size("_locs") == 0, "error").when(index, "sitemapindex").otherwise("urlset")
+    return rows.select("url", kind.alias("kind"), F.posexplode_outer("_locs").alias("n", "loc"))

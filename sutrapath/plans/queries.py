@@ -12,7 +12,7 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..operators import demand, graph, index, search, serp, web
 from ..sources.files import table
-from ..sources.sinks import csv_rows
+from ..sources.sinks import csv_rows, markdown_report, plan_markdown
 from . import sql
 from .sql import SAMPLES
 
@@ -194,6 +194,59 @@ def srch_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(sql.HEADLINES)), "n long, text string").select("n", search.headline(F.col("text")).alias("headline"))
 
 
+@query(f"WITH heads AS ({sql.HEADS}) {sql.PAGE_META}")
+def web_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.expr("replace(html, '</head>', concat(CASE WHEN page_id % 5 = 0 THEN concat('<meta name=\"description\" content=\"About &quot;', CAST(page_id AS STRING), '&quot; &amp; more\">') ELSE '' END, CASE WHEN page_id % 7 = 0 THEN '<meta property=\"og:title\" content=\"Shared\"><meta property=\"og:image\" content=\"i.png\">' ELSE '' END, '</head>'))")
+    return web.page_meta(table(spark, sf_dir, "pages").withColumn("html", heads)).select("page_id", "title", "description")
+
+
+@query(sql.ANCHORS)
+def web_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.anchors(table(spark, sf_dir, "pages"))
+
+
+@query(sql.feed_items(sql.FEEDS))
+def web_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds and a news sitemap: as fixed rows, as no table holds XML."""
+    out = web.feed_items(spark.createDataFrame(sql.FEEDS, "url string, xml string"), F.lit(0).cast("timestamp"))
+    return out.select("feed", "kind", "url", "title", F.unix_timestamp("published_at").alias("at"), "summary")
+
+
+@query(sql.rescue(sql.BROKEN))
+def web_sitemap_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.sitemap_rescue(spark.createDataFrame(sql.BROKEN, "url string, xml string")).select("url", "kind", "loc")
+
+
+@query(sql.VERDICT)
+def web_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.discovery_verdict(web.page_facts(table(spark, sf_dir, "pages"))).select("page_id", "reason")
+
+
+@query(f"SELECT page_id, domain, url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS n FROM (SELECT page_id, {sql.domain('url')} AS domain, url FROM pages WHERE page_id % 3 <> 0)) WHERE n <= 2")
+def web_unvisited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", tx.domain(F.col("url")).alias("domain"), "url", F.when(F.col("page_id") % 3 == 0, 200).alias("status_code"))
+    return web.unvisited(pages, 2).select("page_id", "domain", "url")
+
+
+@query("SELECT s_suppkey AS domain, CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN 1.5 END ELSE s_acctbal END AS pagerank FROM supplier")
+def web_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second site has a score, half of those an empty one, which overwrites too."""
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("domain"), F.col("s_acctbal").alias("pagerank"))
+    scores = sites.where("domain % 2 = 0").select("domain", F.when(F.col("domain") % 4 == 0, 1.5).alias("pagerank"))
+    return web.write_back(sites, scores)
+
+
+@query("SELECT n_name AS url, CASE WHEN n_nationkey % 3 = 0 THEN 'new' WHEN n_nationkey % 3 = 1 THEN n_name END AS title FROM nation")
+def st_merge_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored titles are empty, known or null; a batch with new ones fills the empty ones of every third."""
+    from ..streaming.ingest import merge_titles
+
+    n = F.col("n_nationkey") % 3
+    stored = table(spark, sf_dir, "nation").select(F.col("n_name").alias("url"), F.when(n == 0, "").when(n == 1, F.col("n_name")).alias("title"))
+    batch = table(spark, sf_dir, "nation").where("n_nationkey % 3 < 2").select(F.col("n_name").alias("url"), F.lit("new").alias("title"), F.lit(sql.AS_OF_TEXT).cast("timestamp").alias("published_at"))
+    return merge_titles(batch, stored)
+
+
 @query(f"WITH r AS ({sql.RESULT_PAGES}), {sql.OBSERVED} SELECT query, thin::VARCHAR AS thin, weak::VARCHAR AS weak, stale::VARCHAR AS stale, {sql.competition_band()} AS band FROM o")
 def serp_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "supplier").select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query"), F.expr(sql.RESULT_HTML).alias("html"))
@@ -361,6 +414,35 @@ def rep_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_rows(rounded(spark, sf_dir))
 
 
+@query(f"WITH {sql.EXPANSION}, {sql.FIXTURE}, {sql.RECORDED}, {sql.SIGNALS}, {sql.SCORES} {sql.REPORT}")
+def rep_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = {c: F.round(c, 6) for c in ("breadth", "coverage", "density", "depth")}
+    lines = markdown_report(rounded(spark, sf_dir).withColumns(places), "recorded", demand.seen(recorded_results(spark, sf_dir)))
+    return lines.where("part in (1, 5)").select("part", "n", "line")
+
+
+@query(f"WITH {sql.EXPANSION}, {sql.FIXTURE}, {sql.RECORDED}, {sql.SIGNALS}, {sql.SCORES}, {sql.CLUSTERS}, {sql.TOPIC_LINKS} {sql.PLAN}")
+def rep_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = demand.clusters(rounded(spark, sf_dir)).withColumn("cluster_demand", F.round("cluster_demand", 6))
+    links = demand.topic_links(plan)
+    return plan_markdown(plan, links, demand.orphans(plan, links)).where("part in (1, 3, 5)")
+
+
+@query(f"WITH {sql.EXPANSION}, {sql.FIXTURE}, {sql.RECORDED}, {sql.SIGNALS}, {sql.SCORES} SELECT seed_ord, seed FROM scores WHERE demand IS NOT NULL AND intent <> 'navigational'")
+def dem_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demand.actionable(scored(spark, sf_dir)).select("seed_ord", "seed")
+
+
+@query(f"WITH {sql.EXPANSION}, {sql.FIXTURE}, {sql.RECORDED}, {sql.SIGNALS}, {sql.SCORES} {sql.EFFECTIVE}")
+def dem_effective_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demand.effective_intent(scored(spark, sf_dir), demand.seen(recorded_results(spark, sf_dir)))
+
+
+@query(f"WITH {sql._seeds()} SELECT seed_ord, seed, {sql.expected('seed')} AS expected FROM seeds")
+def dem_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demand.expected_counts(part_seeds(spark, sf_dir))
+
+
 @query(f"WITH {sql.EXPANSION}, {sql.FIXTURE}, {sql.RECORDED} SELECT seed_ord, q_ord, measured, (len(suggestions) = 0)::VARCHAR AS absent FROM recorded")
 def dem_three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded_results(spark, sf_dir).select("seed_ord", "q_ord", "measured", (F.size("suggestions") == 0).cast("string").alias("absent"))

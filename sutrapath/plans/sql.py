@@ -196,6 +196,59 @@ def headline(x: str) -> str:
     return f"trim(regexp_replace({best}, '\\s+([a-zA-Z0-9_-]{{2,}}\\s+){{2,}}[a-zA-Z0-9_-]{{2,}}.*$', ''))"
 
 
+_UNESCAPED = "{x}"
+for _entity, _char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', {quoted(_char)})"
+
+
+def unescape(x: str) -> str:
+    return _UNESCAPED.replace("{x}", x)
+
+
+def _meta(name: str) -> str:
+    return f'''nullif(regexp_extract(html, '(?is)<meta[^>]*(?:name|property)\\s*=\\s*["'']{name}["''][^>]*content\\s*=\\s*["'']([^"'']*)["'']', 1), '')'''
+
+
+_TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '')"
+#: Page heads made from the page table, every fifth with a description, every seventh with social titles.
+HEADS = '''SELECT page_id, url, replace(html, '</head>', concat(CASE WHEN page_id % 5 = 0 THEN concat('<meta name="description" content="About &quot;', CAST(page_id AS VARCHAR(20)), '&quot; &amp; more">') ELSE '' END, CASE WHEN page_id % 7 = 0 THEN '<meta property="og:title" content="Shared"><meta property="og:image" content="i.png">' ELSE '' END, '</head>')) AS html FROM pages'''
+_OG_TITLE, _DESCRIPTION, _OG_DESCRIPTION = _meta("og:title"), _meta("description"), _meta("og:description")
+PAGE_META = f"SELECT page_id, {unescape(f'coalesce({_TITLE}, {_OG_TITLE})')} AS title, {unescape(f'coalesce({_DESCRIPTION}, {_OG_DESCRIPTION})')} AS description FROM heads"
+_TAG_TEXT = f"trim(regexp_replace(regexp_replace({unescape('tag')}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+ANCHORS = f'''SELECT source_url, target_url, arg_min(anchor_text, n) AS anchor_text, (any_value(a) = any_value(b) OR ends_with(any_value(b), '.' || any_value(a)) OR ends_with(any_value(a), '.' || any_value(b))) AS is_internal FROM (
+  SELECT url AS source_url, {clean_url('joined')} AS target_url, n, anchor_text, {domain('url')} AS a, {domain(clean_url('joined'))} AS b FROM (
+    SELECT url, n, {_TAG_TEXT} AS anchor_text, {_JOINED} AS joined FROM (
+      SELECT url, tag, n, trim(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1) AS folder FROM (
+        SELECT url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS n FROM (SELECT url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a\\s*>') AS tags FROM pages))))
+  ) WHERE target_url IS NOT NULL AND target_url <> source_url GROUP BY source_url, target_url'''
+VERDICT = f"SELECT page_id, CASE WHEN ratio >= 0.2 THEN 'ratio' WHEN contains(html_lang, 'mr') THEN 'language' WHEN regexp_matches(title, '[ऀ-ॿ]') THEN 'title' END AS reason FROM ({PAGE_FACTS})"
+
+FEEDS = [
+    ("https://a.in/rss", "<rss><channel><title>Site</title><item><title>कांदा &amp; बाजार</title><link>https://a.in/1</link><pubDate>Sun, 04 Oct 2026 20:00:00 +0530</pubDate><description><![CDATA[<p>Prices &lt;b&gt;up&lt;/b&gt; today</p>]]></description></item><item><title>No link</title></item><item><title>No date</title><link>https://a.in/2</link></item></channel></rss>"),
+    ("https://b.in/atom", '<feed><entry><title>Atom one</title><link href="https://b.in/x"/><updated>2026-10-03T08:30:00Z</updated></entry></feed>'),
+    ("https://c.in/news.xml", "<urlset><url><loc>https://c.in/n</loc><lastmod>2026-01-01</lastmod><news:news><news:publication_date>2026-10-02T10:00:00Z</news:publication_date><news:title>News &quot;one&quot;</news:title></news:news></url><url><loc>https://c.in/no-title</loc></url></urlset>"),
+]
+BROKEN = [("https://a.in/1.xml", "<sitemapindex><sitemap><loc>https://a.in/part1.xml</loc></sitemap><loc> https://a.in/p2.xml </loc> & <broken"), ("https://a.in/2.xml", "<urlset><loc>https://a.in/x</loc><loc>https://a.in/y</loc>"), ("https://a.in/3.xml", "<html>nothing</html>")]
+
+
+def feed_items(files: list[tuple[str, str]]) -> str:
+    table = ", ".join(f"({quoted(u)}, {quoted(x)})" for u, x in files)
+    element = lambda name: f"nullif(trim(regexp_replace(regexp_extract(block, '(?is)<(?:\\w+:)?{name}\\b[^>]*>(.*?)</(?:\\w+:)?{name}\\s*>', 1), '<!\\[CDATA\\[|\\]\\]>', '', 'g')), '')"
+    date = f"coalesce({', '.join(element(n) for n in ('publication_date', 'pubDate', 'updated', 'lastmod'))})"
+    at = f"coalesce(epoch(try_strptime({date}, '%a, %d %b %Y %H:%M:%S %z')), epoch(try_strptime({date}, '%Y-%m-%dT%H:%M:%SZ')), epoch(try_strptime({date}, '%Y-%m-%d')), 0)::BIGINT"
+    return f"""SELECT * FROM (SELECT feed, kind, coalesce({element('loc')}, {element('link')}, nullif(regexp_extract(block, '(?is)<link\\b[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1), '')) AS url, nullif(trim({unescape(element('title'))}), '') AS title, {at} AS at,
+  nullif(substring(trim(regexp_replace({unescape(f"coalesce({element('description')}, {element('summary')})")}, '<[^>]+>', '', 'g')), 1, 200), '') AS summary
+  FROM (SELECT url AS feed, CASE WHEN regexp_matches(xml, '(?i)<(\\w+:)?urlset\\b') THEN 'news' ELSE 'feed' END AS kind, unnest(regexp_extract_all(xml, '(?is)<(?:\\w+:)?(?:url|item|entry)\\b[^>]*>.*?</(?:\\w+:)?(?:url|item|entry)\\s*>')) AS block FROM (VALUES {table}) AS v(url, xml)))
+WHERE url IS NOT NULL AND title IS NOT NULL"""
+
+
+def rescue(files: list[tuple[str, str]]) -> str:
+    table = ", ".join(f"({quoted(u)}, {quoted(x)})" for u, x in files)
+    return f"""WITH f AS (SELECT url, xml, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^\\s<>]+)\\s*</loc>', 1) AS locs FROM (VALUES {table}) AS v(url, xml)),
+k AS (SELECT *, CASE WHEN len(locs) = 0 THEN 'error' WHEN len(list_filter(list_slice(locs, 1, 5), lambda u: contains(lower(u), '.xml'))) > 0 AND contains(lower(xml), '<sitemap>') THEN 'sitemapindex' ELSE 'urlset' END AS kind FROM f)
+SELECT url, kind, unnest(CASE WHEN len(locs) = 0 THEN [NULL] ELSE locs END) AS loc FROM k"""
+
+
 #: Result pages made from suppliers, in SQL that both engines read.
 RESULT_HTML = "concat(repeat('<a href=\"https://www.site.in/a\">x</a>', CAST(s_suppkey % 2 AS INT)), CASE WHEN s_suppkey % 3 = 0 THEN '<a href=\"https://www.quora.com/q?x=1\">x</a>' ELSE '' END, CASE WHEN s_suppkey % 5 = 0 THEN '<a href=\"https://b1.in/\"></a><a href=\"https://b2.in/\"></a><a href=\"https://b3.in/\"></a><a href=\"https://b4.in/\"></a><a href=\"https://b5.in/\"></a><a href=\"https://b6.in/\"></a><a href=\"https://b7.in/\"></a><a href=\"https://b8.in/\"></a>' ELSE '' END, CASE WHEN s_suppkey % 7 = 0 THEN 'since 2019' ELSE '' END)"
 RESULT_PAGES = f"SELECT 'q' || s_suppkey AS query, {RESULT_HTML} AS html FROM supplier"
@@ -325,7 +378,42 @@ e AS (SELECT k, arg_max({{'keyword': keyword, 'band': band}}, ord) AS x FROM o G
 SELECT seed_ord, seed, coalesce(e.x, f.x).keyword AS observed_keyword, coalesce(e.x, f.x).band AS competition_band
 FROM (SELECT *, {dedup_key('seed')} AS sk, {topic_key('seed')} AS st FROM seeds) s LEFT JOIN e ON sk = e.k LEFT JOIN f ON st = f.t"""
 
-CSV_COLUMNS = "seed, " + ", ".join(f"coalesce(printf('%.4f', round({c}, 4)), '') AS {c}" for c in ("demand", "coverage", "breadth", "depth", "density", "measured_mass")) + ", intent, priority_band, evidence_band, '' AS competition_band"
+def _cell(c: str) -> str:
+    return f"coalesce(printf('%.4f', round({c}, 4)), '')"
+
+
+CSV_COLUMNS = f"""seed, {_cell('demand')} AS demand, CASE WHEN demand_complete THEN 'True' ELSE 'False' END AS demand_complete, priority_band, intent, {_cell('breadth')} AS breadth, 'True' AS breadth_comparable,
+{', '.join(f'{_cell(c)} AS {c}' for c in ('coverage', 'density', 'depth'))}, '' AS competition_band, {', '.join(f'{c}::VARCHAR AS {c}' for c in ('suggestions_seen', 'queries_asked', 'queries_measured', 'queries_absent'))}"""
+
+
+def _three(c: str) -> str:
+    return f"coalesce(printf('%.3f', {c}), '⊥')"
+
+
+#: The table and the candidates of a report, as lines.
+REPORT = f"""SELECT 1 AS part, row_number() OVER (ORDER BY demand DESC NULLS LAST, seed_ord) AS n, '| `' || seed || '` | **' || {_three('demand')} || CASE WHEN demand IS NOT NULL AND NOT demand_complete THEN ' (partial)' ELSE '' END || '** | `' || priority_band || '` | ' || intent || ' | ' || {_three('round(breadth, 6)')} || ' | ' || {_three('round(coverage, 6)')} || ' | ' || {_three('round(density, 6)')} || ' | ' || {_three('round(depth, 6)')} || ' | unmeasured | ' || suggestions_seen || ' |' AS line FROM scores
+UNION ALL SELECT 5, row_number() OVER (ORDER BY suggestion), '- ' || suggestion FROM (SELECT DISTINCT suggestion FROM pool WHERE n <= 8 ORDER BY suggestion LIMIT 25)"""
+
+_SHAPES = "CASE intent " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in lex.ARTICLE_SHAPES.items()) + " ELSE '' END"
+PLAN = f"""SELECT 1 AS part, publish_order::BIGINT AS n, '| #' || publish_order || ' | **' || primary_title || '** | ' || printf('%.3f', round(cluster_demand, 6)) || ' | `' || intent || '` | ' || {_SHAPES} || ' |' AS line FROM clusters
+UNION ALL SELECT 3, row_number() OVER (ORDER BY source_topic, target_topic), '| ' || source_topic || ' | ' || target_topic || ' | **`' || target_topic || '`** |' FROM (SELECT DISTINCT source_topic, target_topic FROM links)
+UNION ALL SELECT 5, publish_order, '- `' || primary_title || '`' FROM clusters WHERE primary_title NOT IN (SELECT source_topic FROM links UNION SELECT target_topic FROM links)"""
+
+
+def expected(x: str) -> str:
+    spec = cls.spec("mr")
+    rest = 1 + len({m for m, _ in spec["modifiers"]}) + len(spec["questions"])
+    return f"(CASE WHEN {script_of(x)} = 'latin' THEN {len(lex.CONSONANTS['latin'])} ELSE {len(lex.CONSONANTS[spec['consonants']])} END + {rest})::BIGINT"
+
+
+def _votes(x: str) -> dict[str, str]:
+    return {"buy": f"{buyer(x)} IS NOT NULL", "how": any_of(f"lower({x})", lex.HOWTO_WORDS), "versus": any_of(f"lower({x})", lex.VERSUS_WORDS), "ask": is_question(x, "mr")}
+
+
+_OWN = {k: f"(coalesce({k}, 0) + CASE WHEN {v} THEN 2 ELSE 0 END)" for k, v in _votes("seed").items()}
+EFFECTIVE = f"""SELECT seed_ord, seed, CASE WHEN intent IN ('transactional', 'commercial') OR {_OWN['buy']} >= 2 THEN 'commercial' WHEN intent = 'comparison' OR {_OWN['versus']} >= 1 THEN 'comparison' WHEN intent = 'howto' OR {_OWN['how']} >= 2 THEN 'howto'
+  WHEN intent IN ('informational', 'freshness') OR coalesce(ask, 0) >= 3 THEN 'informational' WHEN {_OWN['buy']} > 0 THEN 'commercial' ELSE 'informational' END AS effective
+FROM scores LEFT JOIN (SELECT seed_ord, {', '.join(f'count(*) FILTER ({v}) AS {k}' for k, v in _votes('suggestion').items())} FROM pool GROUP BY seed_ord) USING (seed_ord)"""
 
 # --- search ---------------------------------------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,8 +27,28 @@ def window_counts(items: DataFrame, at: str, by: str, width: str = "1 hour", lat
 
 
 def merge_titles(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Known pages with the titles of a batch (url, title, published_at): new pages enter, empty titles are filled, others stay."""
-    return upsert(stored, batch, ["url"], "published_at", keep_old=["title"])
+    """Known pages with the titles of a batch (url, title, published_at): new pages enter, null and empty titles are filled, others stay."""
+    filled = lambda df: df.withColumn("title", F.nullif("title", F.lit("")))
+    return upsert(filled(stored), filled(batch), ["url"], "published_at", keep_old=["title"])
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
+    """Merges all that a stream has now into the table at ``path``, a new version of it for each batch; a batch that comes again changes nothing.
+
+    ``merge`` (batch, table or None) gives the next version, which is written beside the last one before that goes.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        versions = sorted(int(s.getPath().getName().removeprefix("v")) for s in system.listStatus(files) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if system.exists(files) else []
+        before = [v for v in versions if v < number]
+        old = spark.read.parquet(f"{path}/v{before[-1]}") if before else None
+        merge(batch, old).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

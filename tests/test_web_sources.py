@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sutrapath.operators import demand, web
 from sutrapath.sources import files, sinks
@@ -118,3 +119,77 @@ def test_slug_titles_and_write_back(spark):
     sites = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "domain string, pagerank double")
     out = web.write_back(sites, spark.createDataFrame([("a", 0.9, 1.0)], "domain string, pagerank double, hub double"))
     assert {r["domain"]: (r["pagerank"], r["hub"]) for r in out.collect()} == {"a": (0.9, 1.0), "b": (0.2, None)}
+
+
+def test_gzip_is_known_by_its_first_bytes(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "plain.xml").write_bytes("<a>ok</a>".encode())
+    (tmp_path / "packed.xml").write_bytes(gzip.compress("<a>शेती</a>".encode()))
+    (tmp_path / "broken.gz").write_bytes(b"\x1f\x8bnot really")
+    got = {r["url"].rsplit("/", 1)[1]: r["html"] for r in files.raw_pages(spark, str(tmp_path)).collect()}
+    assert got["plain.xml"] == "<a>ok</a>" and got["packed.xml"] == "<a>शेती</a>" and "not really" in got["broken.gz"]
+
+
+def test_result_blocks_and_observations(spark, tmp_path):
+    html = "".join(f'<div class="MjjYud"><a href="https://www.s{i}.in/p"><h3>T <b>{i}</b></h3></a></div>' for i in range(12))
+    rows = files.result_blocks(spark.createDataFrame([("q", html), ("none", "")], "query string, html string")).collect()
+    assert len(rows) == 10 and (rows[0]["rank"], rows[0]["domain"], rows[0]["title"]) == (1, "s0.in", "T 0")
+    cells = sinks.observation_rows(spark.createDataFrame([("q", True, False, None, False)], "query string, thin boolean, weak boolean, stale boolean, own boolean")).first()
+    assert (cells["thin_results"], cells["weak_domains"], cells["top_results_stale"], cells["own_sites_ranking"]) == ("yes", "no", "", "no")
+
+
+def test_live_responses(spark):
+    rows = [("a", 200, '["a", ["x", "y"]]'), ("b", 200, '["b", []]'), ("c", 200, "{}"), ("d", 429, "[]"), ("e", None, None)]
+    got = {r["query"]: (r["suggestions"], r["measured"], r["error"]) for r in files.live_suggestions(spark.createDataFrame(rows, "query string, status int, body string")).collect()}
+    assert got == {"a": (["x", "y"], True, None), "b": ([], True, None), "c": (None, False, "protocol"), "d": (None, False, "status 429"), "e": (None, False, "status none")}
+
+
+def test_sources_by_name(spark, tmp_path):
+    queries = spark.createDataFrame([(0, "s", 1, "q1", "head", "head"), (0, "s", 2, "q2", "modifier", "m")], "seed_ord int, seed string, q_ord int, query string, kind string, tag string")
+    (tmp_path / "r.json").write_text('{"q1": ["a"]}')
+    recorded = {r["query"]: r["measured"] for r in files.suggestions(queries, "recorded", path=str(tmp_path / "r.json")).collect()}
+    assert recorded == {"q1": True, "q2": False} and all(r["measured"] for r in files.suggestions(queries, "recorded").collect())
+    with pytest.raises(ValueError, match="no such source"):
+        files.suggestions(queries, "other")
+
+
+def test_reports(spark, tmp_path):
+    scores = spark.createDataFrame([(0, "b", 0.5, True, 1.0, "high", "howto", 0.1, 0.2, 0.3, None, None, None, 3, 1, 1, 0), (1, "a", None, False, 0.0, "needs-measurement", "unclear", None, None, None, None, None, None, 0, 1, 0, 0)], "seed_ord int, seed string, demand double, demand_complete boolean, measured_mass double, priority_band string, intent string, breadth double, coverage double, density double, depth double, competition_band string, script_affinity double, suggestions_seen long, queries_asked long, queries_measured long, queries_absent long")
+    found = spark.createDataFrame([(0, n, f"s{n:02}") for n in range(1, 31)], "seed_ord int, n int, suggestion string")
+    lines = [r["line"] for r in sinks.markdown_report(scores, "fixture", found, scores.where("seed_ord = 1"), truncated=True).collect()]
+    assert sinks.BANNERS["fixture"] in lines and sinks.TRUNCATED in lines and "- `a`" in lines and lines[-1] == "- s08"
+    assert "| `b` | **0.500** | `high` | howto | 0.100 | 0.200 | 0.300 | ⊥ | unmeasured | 3 |" in lines
+    sinks.write_lines(sinks.markdown_report(scores, "live"), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == 11
+    rows = [json.loads(r["json"]) for r in sinks.json_rows(scores, found).orderBy("seed_ord").collect()]
+    assert len(rows[0]["signals"]["discovered"]) == 20 and rows[1]["signals"]["discovered"] == []
+    csv = sinks.csv_rows(scores).collect()
+    assert len(csv[0].asDict()) == 15 and csv[1]["demand"] == "" and csv[0]["demand_complete"] == "True"
+    for day in ("2026-01-01", "2026-01-02"):
+        sinks.append_snapshot(spark.createDataFrame([(5,)], "total_domains int"), str(tmp_path / "snapshots"), F.lit(day).cast("timestamp"))
+    assert spark.read.parquet(str(tmp_path / "snapshots")).count() == 2
+    sinks.write_dates(found, str(tmp_path / "dates.json"))
+    assert spark.read.json(str(tmp_path / "dates.json")).count() == 30
+
+
+def test_ingest_is_idempotent(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "url string, title string, published_at timestamp"
+    spark.createDataFrame([("u1", "", "2026-01-01"), ("u2", "two", "2026-01-01")], "url string, title string, at string").select("url", "title", F.col("at").cast("timestamp").alias("published_at")).write.parquet(source)
+
+    def merge(batch, old):
+        old = old if old is not None else spark.createDataFrame([("u1", "kept")], "url string, title string")
+        return ingest.merge_titles(batch, old)
+
+    for _ in range(2):  # the second run has nothing new
+        ingest.ingest(ingest.feed_stream(spark, source, spark.read.parquet(source).schema), str(tmp_path / "table"), str(tmp_path / "check"), merge)
+    assert {r["url"]: r["title"] for r in spark.read.parquet(str(tmp_path / "table" / "v0")).collect()} == {"u1": "kept", "u2": "two"}
+
+
+def test_upsert_settles_equal_times(spark):
+    old = spark.createDataFrame([("u", None)], "url string, title string")
+    new = spark.createDataFrame([("u", t, 1) for t in ("a", "c", "b")], "url string, title string, at int")
+    assert web.upsert(old, new, ["url"], "at").first()["title"] == "c"
+    gone = spark.createDataFrame([("u", None, 2)], "url string, title string, at int")
+    assert web.upsert(web.upsert(old, new, ["url"], "at"), gone, ["url"], "at", overwrite=["title"]).first()["title"] is None
