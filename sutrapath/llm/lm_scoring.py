@@ -7,15 +7,17 @@ of larger ones, so that every context keeps some mass.  Others back off: P(w2|w1
 a(w1) = (1 - sum of D / c(w1)) / (1 - sum of P0) over the words seen after w1, which normalises
 exactly; a context that was never seen has a = 1.
 
-Method.  Bigram tokens are dealt into hash buckets of their second word, packed by the slice of
-text they come from.  A bucket then has all of c(w2) and c(w1, w2), so it evaluates its tokens
-for each document, and sums over the words seen after each context, in one pass.  These go to a
-partitioned table.  The contexts' sums, dealt by context, give back-off weights, which are looked
-up for the tokens that back off.  A document's parts meet again by slice.
-
-Frequent words would fill a bucket: those with more tokens than a bucket's share are counted
-beforehand (there are at most as many as buckets), and their bigrams are dealt by both words.
-Bigrams that alone would fill a bucket are counted beforehand too and evaluated where they stand.
+Method.  A slice of text sends its distinct bigrams, with how often they occur in training rows, to hash buckets
+of their second word.  A bucket then has all of c(w2) and c(w1, w2): it sends the counts back to each slice,
+bigram by bigram, and sums over the words seen after each context to a partitioned table.  The contexts'
+sums, dealt by context, give back-off weights, which are looked up for the bigrams that back off.  In the
+end each slice has the counts and weights of its bigrams, and adds up its documents' tokens in double
+precision.  What travels is a few bytes for each distinct bigram of a slice, at any size of the corpus.
+
+Frequent words would fill a bucket: those with more tokens than a bucket's share, in all rows, are counted
+beforehand (there are at most as many as buckets), and their bigrams are dealt by both words.  Bigrams
+that alone would fill a bucket are counted beforehand too.  As contexts, frequent words and the start have
+their back-off weights worked out by an aggregate of their sums, and are looked up where the tokens stand.
 
 Defined results
 * null text: as the empty text, the end token alone; a null doc_id counts as the empty id;
@@ -41,8 +43,8 @@ from .common import Words, fold, mix64, stored, text_slices, trim, word_hashes
 CUT, EPSILON, BASE = 5, 1e-3, 0.1
 SLICE = 10 << 20
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
-#: Sums kept for each document: base and seen logarithms, logarithms of backed-off tokens; then counts.
-REAL, COUNT = ("base", "seen", "off"), ("known", *(f"r{r}" for r in range(1, CUT + 1)), "big", "n_off")
+#: Of a context, how many words follow it so often; words that follow it more often, and the base mass of all of them.
+SUMS = (*(f"r{r}" for r in range(1, CUT + 1)), "big", "mass")
 SCHEMA = "kind string, slice long, bucket long, ids array<string>, payload binary"
 
 
@@ -101,25 +103,26 @@ def _rows(kind: str, at: int, items: list[tuple[int, list[str] | None, bytes]])
 # --- counts beforehand ----------------------------------------------------------------------
 
 
-def _frequent(docs: DataFrame, bucket_tokens: int) -> tuple[int, int, dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Training documents and tokens; words with more than ``bucket_tokens`` tokens; and such bigrams.
+def _frequent(docs: DataFrame, bucket_tokens: int) -> tuple[int, int, int, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Training documents and tokens, tokens of all rows; words with more than ``bucket_tokens`` tokens in all rows; and such bigrams.
 
-    A word with so many tokens has at least half of them in slices where its share is at least half
-    of what it is overall, so these local counts find all candidates; a second pass counts those exactly.
+    Their counts are those in training.  A word with so many tokens has at least half of them in slices where its
+    share is at least half of what it is overall, so these local counts find all candidates; a second pass counts
+    those exactly.
     """
-    train = docs.where("train").select("text")
+    docs = docs.select("text", "train")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
-                words = Words(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array([words.rows]), pa.array([len(words.code) + words.rows])], ["rows", "tokens"])
+                words, train = Words(part.column("text")), part.column("train").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([int(train.sum())]), pa.array([int((words.counts + 1)[train].sum())]), pa.array([len(words.code) + words.rows])], ["rows", "tokens", "every"])
 
-    rows, tokens = (x or 0 for x in train.mapInArrow(totals, "rows long, tokens long").agg(F.sum("rows"), F.sum("tokens")).first())
-    share = bucket_tokens / max(1, tokens)
+    rows, tokens, every = (x or 0 for x in docs.mapInArrow(totals, "rows long, tokens long, every long").agg(F.sum("rows"), F.sum("tokens"), F.sum("every")).first())
+    share = bucket_tokens / max(1, every)
     none = {"key": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64)}
     if share >= 1:
-        return rows, tokens, none, none
+        return rows, tokens, every, none, none
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,38 +132,45 @@ def _frequent(docs: DataFrame, bucket_tokens: int) -> tuple[int, int, dict[str,
                 keep = count >= share / 2 * len(second)
                 yield pa.RecordBatch.from_arrays([pa.array(symbols[keep].view(np.int64)), pa.array(count[keep])], ["key", "count"])
 
-    found = train.mapInArrow(often, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= bucket_tokens / 2)
+    found = docs.mapInArrow(often, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= bucket_tokens / 2)
     candidates = np.sort(np.array([r["key"] for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))
     if not len(candidates):
-        return rows, tokens, none, none
+        return rows, tokens, every, none, none
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {"key": candidates}
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
-                symbols, first, second, _ = _slice_tokens(part.column("text"))
+                symbols, first, second, row = _slice_tokens(part.column("text"))
+                train = part.column("train").to_numpy(zero_copy_only=False)[row]
                 hot = _lookup(symbols, table)[1]
-                count = np.bincount(second, minlength=len(symbols))
+                count, learned = np.bincount(second, minlength=len(symbols)), np.bincount(second[train], minlength=len(symbols))
                 both = hot[first] & hot[second]
                 pairs, times = np.unique(first[both].astype(np.int64) * len(symbols) + second[both], return_counts=True)
                 keep = times >= share / 2 * len(second)
                 pairs, times, n = pairs[keep], times[keep], int(hot.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([symbols[hot], symbols[pairs % len(symbols)]]).view(np.int64)), pa.array(np.concatenate([np.zeros(n, np.uint64), symbols[pairs // len(symbols)]]).view(np.int64)), pa.array(np.arange(n + len(pairs)) >= n), pa.array(np.concatenate([count[hot], times]))],
-                    ["key", "first", "pair", "count"],
+                    [
+                        pa.array(np.concatenate([symbols[hot], symbols[pairs % len(symbols)]]).view(np.int64)),
+                        pa.array(np.concatenate([np.zeros(n, np.uint64), symbols[pairs // len(symbols)]]).view(np.int64)),
+                        pa.array(np.arange(n + len(pairs)) >= n),
+                        pa.array(np.concatenate([count[hot], times])),
+                        pa.array(np.concatenate([learned[hot], np.zeros(len(pairs), dtype=learned.dtype)])),
+                    ],
+                    ["key", "first", "pair", "count", "learned"],
                 )
 
-    counted = train.mapInArrow(exactly, "key long, first long, pair boolean, count long").groupBy("key", "first", "pair").agg(F.sum("count").alias("count"))
+    counted = docs.mapInArrow(exactly, "key long, first long, pair boolean, count long, learned long").groupBy("key", "first", "pair").agg(F.sum("count").alias("count"), F.sum("learned").alias("learned"))
     counted = counted.where((F.col("count") >= bucket_tokens) | (F.col("pair") & (F.col("count") >= bucket_tokens / 2))).collect()
-    words = sorted((int(np.int64(r["key"]).view(np.uint64)), r["count"]) for r in counted if not r["pair"])
+    words = sorted((int(np.int64(r["key"]).view(np.uint64)), r["learned"]) for r in counted if not r["pair"])
     words = {"key": np.array([k for k, _ in words], dtype=np.uint64), "count": np.array([c for _, c in words], dtype=np.int64)}
     near = np.array([(r["first"], r["key"]) for r in counted if r["pair"]], dtype=np.int64).reshape(-1, 2).view(np.uint64)
-    near = near[_lookup(near[:, 1], words)[1]] if len(near) else near
-    return rows, tokens, words, _count_pairs(train, near, bucket_tokens) if len(near) else none
+    near = near[_lookup(near[:, 1], words)[1] & (_lookup(near[:, 0], words)[1] | (near[:, 0] == START))] if len(near) else near
+    return rows, tokens, every, words, _count_pairs(docs, near, bucket_tokens) if len(near) else none
 
 
-def _count_pairs(train: DataFrame, pairs: np.ndarray, least: int) -> dict[str, np.ndarray]:
-    """Exact counts of the few candidate bigrams, those with at least ``least`` tokens kept."""
+def _count_pairs(docs: DataFrame, pairs: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    """The few candidate bigrams with at least ``least`` tokens in all rows, and how many of them are in training."""
     key = _pair(pairs[:, 0].copy(), pairs[:, 1].copy())
     order = np.argsort(key)
     key, pairs = key[order], pairs[order]
@@ -168,108 +178,99 @@ def _count_pairs(train: DataFrame, pairs: np.ndarray, least: int) -> dict[str, n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
-                symbols, first, second, _ = _slice_tokens(part.column("text"))
+                symbols, first, second, row = _slice_tokens(part.column("text"))
+                train = part.column("train").to_numpy(zero_copy_only=False)[row]
                 some = np.isin(symbols, pairs[:, 0])[first] & np.isin(symbols, pairs[:, 1])[second]
                 at, there = _lookup(_pair(symbols[first[some]], symbols[second[some]]), {"key": key})
-                times = np.bincount(at[there], minlength=len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(times)), pa.array(times[times > 0])], ["at", "count"])
+                times, learned = np.bincount(at[there], minlength=len(key)), np.bincount(at[there & train[some]], minlength=len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(times)), pa.array(times[times > 0]), pa.array(learned[times > 0])], ["at", "count", "learned"])
 
-    found = {r["at"]: r["count"] for r in train.mapInArrow(count, "at long, count long").groupBy("at").agg(F.sum("count").alias("count")).collect()}
-    keep = np.array([found.get(i, 0) >= least for i in range(len(key))])
-    return {"key": key[keep], "first": pairs[keep, 0], "second": pairs[keep, 1], "count": np.array([found.get(i, 0) for i in np.flatnonzero(keep)], dtype=np.int64)}
+    found = {r["at"]: (r["count"], r["learned"]) for r in docs.mapInArrow(count, "at long, count long, learned long").groupBy("at").agg(F.sum("count").alias("count"), F.sum("learned").alias("learned")).collect()}
+    keep = np.array([found.get(i, (0, 0))[0] >= least for i in range(len(key))])
+    return {"key": key[keep], "first": pairs[keep, 0], "second": pairs[keep, 1], "count": np.array([found[i][1] for i in np.flatnonzero(keep)], dtype=np.int64)}
 
 
 # --- the passes -----------------------------------------------------------------------------
 
 
 def _deal(docs: DataFrame, buckets: int, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> DataFrame:
-    """A row for each slice and bucket with the slice's bigram tokens there, and one with the slice's ids and lengths."""
+    """A row for each slice and bucket with the slice's bigrams there, and one with the slice's ids and where its bigrams stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, made = TaskContext.get(), 0
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
                 at, made = ((context.partitionId() if context else 0) << 24) + made, made + 1
-                train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+                train = part.column("train").to_numpy(zero_copy_only=False)
                 symbols, first, second, row = _slice_tokens(part.column("text"))
-                sums = {"tokens": np.bincount(row, minlength=len(part))}
-                a, b = symbols[first], symbols[second]
-                if len(pairs["key"]):
-                    place, alone = _lookup(_pair(a, b), pairs)
-                    own = row[alone]
-                    count2 = words["count"][_lookup(b[alone], words)[0]]
-                    count12 = pairs["count"][place[alone]]
-                    sums |= _document_sums(own, len(part), count12, count2, b[alone] != END)
-                    a, b, first, second, row = a[~alone], b[~alone], first[~alone], second[~alone], row[~alone]
-                bucket = mix64(b) % np.uint64(buckets)
-                hot = _lookup(b, words)[1] if len(words["key"]) else np.zeros(len(b), dtype=bool)
-                bucket[hot] = _pair(a[hot], b[hot]) % np.uint64(buckets)
-                del a, b, hot
+                tokens = np.bincount(row, minlength=len(part))
+                bucket = mix64(symbols)[second] % np.uint64(buckets)
+                place = np.zeros(0, dtype=np.int64)
+                if len(words["key"]):
+                    hot = _lookup(symbols, words)[1][second]
+                    both = _pair(symbols[first[hot]], symbols[second[hot]])
+                    bucket[hot] = both % np.uint64(buckets)
+                    if len(pairs["key"]):  # what is counted already is a bucket of its own, the last
+                        place, alone = _lookup(both, pairs)
+                        bucket[np.flatnonzero(hot)[alone]] = buckets
+                    del hot, both
                 key = (bucket * np.uint64(len(symbols)) + second.astype(np.uint64)) * np.uint64(len(symbols)) + first.astype(np.uint64)
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
-                total, bucket = len(key), bucket[order]
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if total else np.zeros(0, dtype=np.int64)
-                bucket = bucket[cut]
                 del key
-                code = (row * np.int64(2) + train[row])[order]
-                first, second = first[order], second[order]
-                del order
-                items = [(at % buckets, part.column("doc_id").to_pylist(), _pack(**sums))]
-                yield _rows("ids", at, items)
+                begin = np.flatnonzero(fresh)
+                bucket, first, second, rows = bucket[order][begin], first[order][begin], second[order][begin], row[order]
+                del order, fresh, row
+                learned = np.add.reduceat(train[rows].astype(np.int64), begin) if len(begin) else begin
+                times = np.diff(np.append(begin, len(rows)))
+                head = np.flatnonzero(np.concatenate([[True], (second[1:] != second[:-1]) | (bucket[1:] != bucket[:-1])])) if len(begin) else begin
+                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(begin) else begin
+                stands = {"tokens": tokens, "row": rows, "times": times, "second_times": np.diff(np.append(head, len(second))), "end": symbols[second[head]] == END}
+                yield _rows("ids", at, [(at % buckets, part.column("doc_id").to_pylist(), _pack(**{k: _narrow(v) if v.dtype != bool else v for k, v in stands.items()}))])
+                del rows, stands
                 items = []
-                for where, lo, hi in zip(bucket, cut, np.append(cut[1:], total), strict=True):
-                    begin = np.flatnonzero(fresh[lo:hi])
-                    one, one_at = np.unique(first[lo:hi][begin], return_inverse=True)
-                    two, two_times = np.unique(second[lo:hi][begin], return_counts=True)
-                    items.append((int(where), None, _pack(rows=np.array([len(part)]), first=symbols[one], first_at=_narrow(one_at), second=symbols[two], second_times=_narrow(two_times), times=_narrow(np.diff(np.append(begin, hi - lo))), code=_narrow(code[lo:hi]))))
+                for where, lo, hi in zip(bucket[cut], cut, np.append(cut[1:], len(bucket)), strict=True):
+                    if where == buckets:
+                        known = pairs["count"][_lookup(_pair(symbols[first[lo:hi]], symbols[second[lo:hi]]), pairs)[0]]
+                        heads = second[lo:hi][np.concatenate([[True], second[lo + 1 : hi] != second[lo : hi - 1]])]
+                        yield _rows("counts", at, [(at % buckets, None, _counted(buckets, known, words["count"][_lookup(symbols[heads], words)[0]]))])
+                        continue
+                    one, one_at = np.unique(first[lo:hi], return_inverse=True)
+                    starts = np.flatnonzero(np.concatenate([[True], second[lo + 1 : hi] != second[lo : hi - 1]]))
+                    items.append((int(where), None, _pack(first=symbols[one], first_at=_narrow(one_at), second=symbols[second[lo:hi][starts]], second_times=_narrow(np.diff(np.append(starts, hi - lo))), learned=_narrow(learned[lo:hi]))))
                 yield _rows("tokens", at, items)
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, SCHEMA)
 
 
-def _document_sums(row: np.ndarray, rows: int, count12: np.ndarray, count2: np.ndarray, is_word: np.ndarray) -> dict[str, np.ndarray]:
-    """Sums over a document's tokens, those of REAL and COUNT, from each token's counts."""
+def _counted(bucket: int, count12: np.ndarray, count2: np.ndarray) -> bytes:
+    return _pack(bucket=np.array([bucket]), c12=_narrow(count12), c2=_narrow(count2))
 
-    def total(weights: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=weights, minlength=rows)
 
-    logged = np.log10(count2 + BASE)
-    seen, big = count12 > 0, count12 > CUT
-    # each word is also the context of what follows; contexts of tokens that back off are put right later
-    context = np.where(is_word & (count2 > 0), np.log10(np.maximum(count2, 1)), 0.0)
-    out = {"base": total(logged), "seen": total(np.where(big, np.log10(np.maximum(count12, 1)), 0.0) - context), "off": total(np.where(seen, 0.0, logged))}
-    out |= {"known": total(count2 > 0), "big": total(big), "n_off": total(~seen)} | {f"r{r}": total(count12 == r) for r in range(1, CUT + 1)}
-    return {k: v.astype(np.float32) if k in REAL else _narrow(v.astype(np.int64)) for k, v in out.items()}
-
-
-def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray]) -> DataFrame:
-    """Of each bucket: sums for documents (kind sums), for contexts (contexts), tokens that back off (off), and totals."""
+def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray], hot: np.ndarray) -> DataFrame:
+    """Of each bucket: counts of each slice's bigrams (kind counts), sums of contexts (contexts; hot), bigrams that back off (off; hotoff), and totals."""
 
     def run(group: pa.Table) -> pa.Table:
-        kinds, out = group.column("kind").to_pylist(), []
-        own = group.filter(pa.array([k == "ids" for k in kinds]))
-        if len(own):
-            out += own.to_batches()
+        kinds = group.column("kind").to_pylist()
+        out = group.filter(pa.array([k != "tokens" for k in kinds])).to_batches()
         blocks = group.filter(pa.array([k == "tokens" for k in kinds]))
         if not len(blocks):
-            return pa.Table.from_batches(out)
+            return pa.Table.from_batches(out, schema=group.schema)
+        here = blocks.column("bucket")[0].as_py()
         slices, data = blocks.column("slice").to_pylist(), [_unpack(p.as_py()) for p in blocks.column("payload")]
         del group, blocks
-        # every bigram of every block, with its tokens in training
-        begins = [np.cumsum(d["times"], dtype=np.int64) - d["times"] for d in data]
-        train_of = [np.add.reduceat(d["code"] & 1, b, dtype=np.int32) for d, b in zip(data, begins, strict=True)]
+        learned = np.concatenate([d["learned"] for d in data]).astype(np.int64)
         two, two_at = np.unique(np.concatenate([d["second"] for d in data]), return_inverse=True)
-        heads = [np.cumsum(d["second_times"], dtype=np.int64) - d["second_times"] for d in data]
-        count2 = np.bincount(two_at, weights=np.concatenate([np.add.reduceat(t, h) for t, h in zip(train_of, heads, strict=True)])).astype(np.int64)
-        place, hot = _lookup(two, words)
-        distinct = int(((count2 > 0) & ~hot).sum())
-        count2[hot] = words["count"][place[hot]]
-        count2, ends = count2[two_at], np.cumsum([len(d["second"]) for d in data])
-        count2_of = [np.repeat(count2[e - len(d["second"]) : e], d["second_times"]) for e, d in zip(ends, data, strict=True)]
+        heads = np.cumsum(np.concatenate([d["second_times"] for d in data]).astype(np.int64))
+        count2 = np.bincount(two_at, weights=np.add.reduceat(learned, heads - np.concatenate([d["second_times"] for d in data]))).astype(np.int64)
+        place, known = _lookup(two, words)
+        distinct = int(((count2 > 0) & ~known).sum())
+        count2[known] = words["count"][place[known]]
+        head2 = count2[two_at]
         first = np.concatenate([d["first"][d["first_at"]] for d in data])
-        pair = _pair(first, np.concatenate([np.repeat(d["second"], d["second_times"]) for d in data]))
+        times2 = np.concatenate([d["second_times"] for d in data])
+        pair = _pair(first, np.repeat(two[two_at], times2))
         order = np.argsort(pair).astype(np.int32)
         pair = pair[order]
         fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -278,42 +279,45 @@ def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray]) -> D
         both = np.empty(len(order), dtype=np.int32)
         both[order] = np.cumsum(fresh, dtype=np.int32) - 1
         del order, fresh
-        per_type = np.bincount(both, weights=np.concatenate(train_of)).astype(np.int64)
-        del train_of
-        count12 = per_type[both].astype(np.int32)
+        per_type = np.bincount(both, weights=learned).astype(np.int64)
+        del learned
+        count12 = per_type[both]
         del both
-        totals = {f"n{r}": np.array([(per_type == r).sum()]) for r in range(1, CUT + 2)} | {"distinct": np.array([distinct])}
+        totals = {f"n{r}": int((per_type == r).sum()) for r in range(1, CUT + 2)} | {"distinct": distinct}
+        out.append(_rows("totals", -1, [(0, None, pickle.dumps(totals))]))
         # of each context: how many words follow it how often, and their base mass
         live = per_type > 0
         one, one_at = np.unique(first[head[live]], return_inverse=True)
         times = per_type[live]
         sums = {f"r{r}": np.bincount(one_at[times == r], minlength=len(one)) for r in range(1, CUT + 1)}
         sums["big"] = np.bincount(one_at, weights=np.where(times > CUT, times, 0), minlength=len(one)).astype(np.int64)
-        mass = np.bincount(one_at, weights=np.concatenate(count2_of)[head[live]] + BASE, minlength=len(one))
-        del head, live, times, one_at
-        away, lo = [], 0
-        for at, d, c2 in zip(slices, data, count2_of, strict=True):
-            n, rows = len(c2), int(d["rows"][0])
-            size, row = d["times"].astype(np.int64), (d["code"] >> 1).astype(np.int64)
-            is_word = np.repeat(np.repeat(d["second"] != END, d["second_times"]), size)
-            c12 = np.repeat(count12[lo : lo + n], size)
-            out.append(_rows("sums", at, [(0, None, _pack(**_document_sums(row, rows, c12, np.repeat(c2, size), is_word)))]))
-            off = c12 == 0
-            if off.any():
-                away.append((at, np.repeat(first[lo : lo + n], size)[off], row[off]))
-            lo += n
-        del data, first, count12, count2_of
-        trim()
-        out.append(_rows("totals", -1, [(0, None, pickle.dumps({k: int(v[0]) for k, v in totals.items()}))]))
+        sums["mass"] = np.bincount(one_at, weights=np.repeat(head2, times2)[head[live]] + BASE, minlength=len(one))
+        del head, live, times, one_at, times2
+        frequent = np.isin(one, hot)
+        out.append(_rows("hot", -1, [(0, None, _pack(key=one[frequent], **{k: v[frequent] for k, v in sums.items()}))]))
         to = mix64(one) % np.uint64(buckets)
-        for b in np.unique(to):
-            mine = to == b
-            out.append(_rows("contexts", -1, [(int(b), None, _pack(key=one[mine], mass=mass[mine], **{k: _narrow(v[mine]) for k, v in sums.items()}))]))
-        for at, key, row in away:
-            to = mix64(key) % np.uint64(buckets)
-            for b in np.unique(to):
-                mine = to == b
-                out.append(_rows("off", at, [(int(b), None, _pack(key=key[mine], row=_narrow(row[mine])))]))
+        for b in np.unique(to[~frequent]):
+            mine = (to == b) & ~frequent
+            out.append(_rows("contexts", -1, [(int(b), None, _pack(key=one[mine], **{k: _narrow(v[mine]) if k != "mass" else v[mine] for k, v in sums.items()}))]))
+        lo, low = 0, 0
+        for at, d in zip(slices, data, strict=True):
+            n, m = len(d["first_at"]), len(d["second"])
+            c12 = count12[lo : lo + n]
+            out.append(_rows("counts", at, [(0, None, _counted(here, c12, head2[low : low + m]))]))
+            away = np.flatnonzero(c12 == 0)
+            if len(away):
+                key = first[lo : lo + n][away]
+                frequent = np.isin(key, hot)
+                if frequent.any():
+                    out.append(_rows("hotoff", at, [(0, None, _pack(bucket=np.array([here]), key=key[frequent], index=_narrow(away[frequent])))]))
+                key, away = key[~frequent], away[~frequent]
+                to = mix64(key) % np.uint64(buckets)
+                for b in np.unique(to):
+                    mine = to == b
+                    out.append(_rows("off", at, [(int(b), None, _pack(bucket=np.array([here]), key=key[mine], index=_narrow(away[mine])))]))
+            lo, low = lo + n, low + m
+        del data, first, count12
+        trim()
         return pa.Table.from_batches(out)
 
     return dealt.groupBy("bucket").applyInArrow(run, SCHEMA)
@@ -332,65 +336,100 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def _back_off(table: DataFrame, buckets: int, scale: float, discount: list[float], pairs: dict[str, np.ndarray], words: dict[str, np.ndarray]) -> DataFrame:
-    """For tokens that back off, the sums of log10(a(w1) c(w1)) of each document (kind away)."""
+def _weights(sums: dict[str, np.ndarray], scale: float, discount: list[float]) -> np.ndarray:
+    """log10 of a(w1) c(w1) for contexts with these sums: the mass left of their tokens over the base mass of words not seen after them."""
+    left = EPSILON * sums["big"] + sum(sums[f"r{r + 1}"] * (r + 1 - discount[r]) for r in range(CUT))
+    return np.log10(left / (1 - sums["mass"] / scale)) if len(left) else np.zeros(0)
+
+
+def _back_off(table: DataFrame, scale: float, discount: list[float]) -> DataFrame:
+    """For bigrams that back off, their context's weight, sent to their slice (kind away); contexts never seen in training weigh 0."""
 
     def run(group: pa.Table) -> pa.Table:
         kinds = group.column("kind").to_pylist()
         data = [_unpack(p.as_py()) for p in group.column("payload")]
         own = [d for k, d in zip(kinds, data, strict=True) if k == "contexts"]
-        bucket = group.column("bucket")[0].as_py()
-        if len(pairs["key"]):
-            mine = mix64(pairs["first"]) % np.uint64(buckets) == bucket
-            count2 = words["count"][_lookup(pairs["second"][mine], words)[0]]
-            zero = np.zeros(int(mine.sum()), dtype=np.int64)
-            own.append({"key": pairs["first"][mine], "mass": count2 + BASE, "big": pairs["count"][mine]} | {f"r{r}": zero for r in range(1, CUT + 1)})
-        keys = np.concatenate([d["key"] for d in own]) if own else np.zeros(0, np.uint64)
-        one, at = np.unique(keys, return_inverse=True)
-
-        def total(k: str) -> np.ndarray:
-            return np.bincount(at, weights=np.concatenate([d[k] for d in own]), minlength=len(one)) if own else np.zeros(0)
-
-        big = total("big")
-        seen = [total(f"r{r}") for r in range(1, CUT + 1)]
-        left = EPSILON * big + sum(s * (r + 1 - discount[r]) for r, s in enumerate(seen))
-        # a(w1) c(w1) = (mass left of the context's tokens) / (base mass of words not seen after it)
-        value = np.log10(left / (1 - total("mass") / scale)) if len(one) else np.zeros(0)
+        one, at = np.unique(np.concatenate([d["key"] for d in own]) if own else np.zeros(0, np.uint64), return_inverse=True)
+        total = {k: np.bincount(at, weights=np.concatenate([d[k] for d in own]), minlength=len(one)) if own else np.zeros(0) for k in SUMS}
+        value = _weights(total, scale, discount)
         out = [_rows("away", -1, [])]
         for kind, place, d in zip(kinds, group.column("slice").to_pylist(), data, strict=True):
             if kind == "off":
                 found, there = _lookup(d["key"], {"key": one})
-                row, back = np.unique(d["row"], return_inverse=True)
                 weights = np.zeros(len(found))
                 weights[there] = value[found[there]]
-                out.append(_rows("away", place, [(0, None, _pack(row=_narrow(row), value=np.bincount(back, weights=weights)))]))
+                out.append(_rows("away", place, [(0, None, _pack(bucket=d["bucket"], index=d["index"], value=weights))]))
         return pa.Table.from_batches(out)
 
     return table.where("kind in ('contexts', 'off')").groupBy("bucket").applyInArrow(run, SCHEMA)
 
 
-def _gather(parts: DataFrame) -> DataFrame:
-    """One row for each document with all its sums."""
-    fields = ("tokens", *COUNT)
+def _hot_weights(table: DataFrame, hot: np.ndarray, pairs: dict[str, np.ndarray], words: dict[str, np.ndarray], scale: float, discount: list[float]) -> dict[str, np.ndarray]:
+    """The weights of frequent contexts and of the start: as many rows come to the driver as there are such contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload"):
+                d = _unpack(payload.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(d["key"].view(np.int64)), *[pa.array(d[k].astype(np.float64)) for k in SUMS]], ["key", *SUMS])
+
+    kind = "key long, " + ", ".join(f"{k} double" for k in SUMS)
+    rows = table.where("kind = 'hot'").select("payload").mapInArrow(run, kind).groupBy("key").agg(*[F.sum(k).alias(k) for k in SUMS]).collect()
+    total = {k: np.zeros(len(hot)) for k in SUMS}
+    for r in rows:
+        at = int(np.searchsorted(hot, np.int64(r["key"]).view(np.uint64)))
+        for k in SUMS:
+            total[k][at] += r[k]
+    if len(pairs["key"]):  # bigrams counted beforehand follow frequent contexts
+        at, seen = np.searchsorted(hot, pairs["first"]), pairs["count"] > 0
+        for r in range(1, CUT + 1):
+            np.add.at(total[f"r{r}"], at[pairs["count"] == r], 1)
+        np.add.at(total["big"], at, np.where(pairs["count"] > CUT, pairs["count"], 0))
+        np.add.at(total["mass"], at[seen], words["count"][_lookup(pairs["second"][seen], words)[0]] + BASE)
+    # a context never seen in training has no sums: it backs off with weight 1
+    left = sum(total[k] for k in SUMS if k != "mass") > 0
+    value = np.zeros(len(hot))
+    value[left] = _weights({k: v[left] for k, v in total.items()}, scale, discount)
+    return {"key": hot, "value": value}
+
+
+def _score(parts: DataFrame, rows: int, scale: float, discount: list[float], hot: dict[str, np.ndarray]) -> DataFrame:
+    """One row for each document: the counts and weights of its slice's bigrams, added up over its tokens."""
+    unit, start = math.log10(scale), math.log10(rows) if rows else 0.0
+    kept = np.log10(np.concatenate([[1.0], discount]))
 
     def run(group: pa.Table) -> pa.Table:
-        kinds, payloads = group.column("kind").to_pylist(), [p.as_py() for p in group.column("payload")]
-        ids = next(x for x in group.column("ids").to_pylist() if x is not None)
-        real, count = {k: np.zeros(len(ids)) for k in (*REAL, "away")}, {k: np.zeros(len(ids), dtype=np.int64) for k in fields}
+        kinds, payloads, out = group.column("kind").to_pylist(), group.column("payload"), None
+        ids, at = next((x, k) for k, x in enumerate(group.column("ids").to_pylist()) if x is not None)
+        stands = _unpack(payloads[at].as_py())
+        found = {"counts": [], "away": [], "hotoff": []}
         for kind, payload in zip(kinds, payloads, strict=True):
-            d = _unpack(payload)
-            if kind == "away":
-                real["away"][d["row"]] += d["value"]
-                continue
-            for k in REAL:
-                if k in d:
-                    real[k] += d[k]
-            for k in fields:
-                if k in d:
-                    count[k] += d[k].astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.string()), **{k: pa.array(v) for k, v in real.items()}, **{k: pa.array(v) for k, v in count.items()}})
+            if kind in found:
+                found[kind].append(_unpack(payload.as_py()))
+        del group, payloads
+        counts = sorted(found["counts"], key=lambda d: int(d["bucket"][0]))
+        n, of = len(ids), np.repeat
+        c12 = np.concatenate([d["c12"] for d in counts]).astype(np.int64) if counts else np.zeros(0, dtype=np.int64)
+        c2 = np.concatenate([d["c2"] for d in counts]).astype(np.int64) if counts else np.zeros(0, dtype=np.int64)
+        offset = dict(zip([int(d["bucket"][0]) for d in counts], np.concatenate([[0], np.cumsum([len(d["c12"]) for d in counts])]).tolist(), strict=False))
+        logged = np.log10(c2 + BASE) - unit
+        # each word is also the context of what follows; contexts of tokens that back off have their count in the weight
+        context = np.where((c2 > 0) & ~stands["end"], np.log10(np.maximum(c2, 1)), 0.0)
+        base = of(logged, stands["second_times"])
+        value = np.where(c12 > CUT, np.log10(np.maximum(c12, 1)) + math.log10(1 - EPSILON), kept[np.minimum(c12, CUT)])
+        value = np.where(c12 > 0, value, base) - of(context, stands["second_times"])
+        for d in found["away"]:
+            value[offset[int(d["bucket"][0])] + d["index"].astype(np.int64)] += d["value"]
+        for d in found["hotoff"]:
+            value[offset[int(d["bucket"][0])] + d["index"].astype(np.int64)] += hot["value"][np.searchsorted(hot["key"], d["key"])]
+        row = stands["row"].astype(np.int64)
+        total = lambda v: np.bincount(row, weights=of(v, stands["times"]), minlength=n)
+        known = total(of((c2 > 0).astype(np.float64), stands["second_times"]))
+        out = {"doc_id": pa.array(ids, pa.string()), "tokens": pa.array(stands["tokens"].astype(np.int64)), "known": pa.array(known.astype(np.int64)), "base": pa.array(total(base)), "score": pa.array(total(value) - start), "off": pa.array(total((c12 == 0).astype(np.float64)).astype(np.int64))}
+        trim()
+        return pa.table(out)
 
-    return parts.groupBy("slice").applyInArrow(run, "doc_id string, " + ", ".join([*(f"{k} double" for k in (*REAL, "away")), *(f"{k} long" for k in fields)]))
+    return parts.groupBy("slice").applyInArrow(run, "doc_id string, tokens long, known long, base double, score double, off long")
 
 
 def score_documents(docs: DataFrame, bucket_tokens: int = 2_000_000, least_buckets: int = 16) -> DataFrame:
@@ -400,17 +439,17 @@ def score_documents(docs: DataFrame, bucket_tokens: int = 2_000_000, least_bucke
     """
     kind = docs.schema["doc_id"].dataType
     held = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (fold("doc_id", 10) != 0).alias("train"))
-    rows, tokens, words, pairs = _frequent(held, bucket_tokens)
-    buckets = max(least_buckets, -(-tokens // bucket_tokens))
-    table = stored(_evaluate(_deal(held, buckets, words, pairs), buckets, words), "lm-counts")
-    total = [pickle.loads(r["payload"]) for r in table.where("kind = 'totals'").select("payload").collect()]
-    distinct = sum(t["distinct"] for t in total) + len(words["key"])
+    rows, tokens, every, words, pairs = _frequent(held, bucket_tokens)
+    buckets = max(least_buckets, -(-every // bucket_tokens))
+    hot = np.unique(np.append(words["key"], START))
+    table = stored(_evaluate(_deal(held, buckets, words, pairs), buckets, words, hot), "lm-counts")
+    total = [pickle.loads(r["payload"]) for r in table.where("kind = 'totals'").select("payload").collect()]  # one for each bucket
+    distinct = sum(t["distinct"] for t in total) + int((words["count"] > 0).sum())
     scale = tokens + BASE * (distinct + 1)
-    discount = discounts([sum(t[f"n{r}"] for t in total) for r in range(1, CUT + 2)])
-    away = _back_off(table, buckets, scale, discount, pairs, words)
-    sums = _gather(table.where("kind in ('ids', 'sums')").unionByName(away))
-    unit = math.log10(scale)
-    score = F.col("seen") - F.lit(math.log10(rows) if rows else 0.0) + sum(F.col(f"r{r}") * F.lit(math.log10(discount[r - 1])) for r in range(1, CUT + 1))
-    score = score + F.col("big") * F.lit(math.log10(1 - EPSILON)) + F.col("off") - F.col("n_off") * F.lit(unit) + F.col("away")
+    counts = [sum(t[f"n{r}"] for t in total) + int((pairs["count"] == r).sum()) for r in range(1, CUT + 2)]
+    discount = discounts(counts)
+    weights = _hot_weights(table, hot, pairs, words, scale, discount)
+    parts = table.where("kind in ('ids', 'counts', 'hotoff')").unionByName(_back_off(table, scale, discount))
+    out = _score(parts, rows, scale, discount, weights)
     doc_id = F.col("doc_id").cast(kind)
-    return sums.select(doc_id.alias("doc_id"), (fold(doc_id, 10) == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("tokens") * F.lit(unit)).alias("base_score"), score.alias("score"), F.col("n_off").alias("n_backed_off"))
+    return out.select(doc_id.alias("doc_id"), (fold(doc_id, 10) == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.col("off").alias("n_backed_off"))
