@@ -161,7 +161,7 @@ def test_reports(spark, tmp_path):
     assert sinks.BANNERS["fixture"] in lines and sinks.TRUNCATED in lines and "- `a`" in lines and lines[-1] == "- s08"
     assert "| `b` | **0.500** | `high` | howto | 0.100 | 0.200 | 0.300 | ⊥ | unmeasured | 3 |" in lines
     sinks.write_lines(sinks.markdown_report(scores, "live"), str(tmp_path / "report"))
-    assert spark.read.text(str(tmp_path / "report")).count() == 11
+    assert spark.read.text(str(tmp_path / "report")).count() == 10
     rows = [json.loads(r["json"]) for r in sinks.json_rows(scores, found).orderBy("seed_ord").collect()]
     assert len(rows[0]["signals"]["discovered"]) == 20 and rows[1]["signals"]["discovered"] == []
     csv = sinks.csv_rows(scores).collect()
