@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import Words, fold, mix64, stored, text_slices, trim, word_hashes
 
 CUT, EPSILON, BASE = 5, 1e-3, 0.1
-SLICE = 10 << 20
+SLICE = 8 << 20
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 #: Of a context, how many words follow it so often; words that follow it more often, and the base mass of all of them.
 SUMS = (*(f"r{r}" for r in range(1, CUT + 1)), "big", "mass")
@@ -111,29 +112,28 @@ def _frequent(docs: DataFrame, bucket_tokens: int) -> tuple[int, int, int, dict[
     those exactly.
     """
     docs = docs.select("text", "train")
+    size, count = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    least = bucket_tokens / max(1, size // 2 + 1 + 2 * count)  # a token has two bytes with the space after it, or is an end
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
-                words, train = Words(part.column("text")), part.column("train").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([int(train.sum())]), pa.array([int((words.counts + 1)[train].sum())]), pa.array([len(words.code) + words.rows])], ["rows", "tokens", "every"])
-
-    rows, tokens, every = (x or 0 for x in docs.mapInArrow(totals, "rows long, tokens long, every long").agg(F.sum("rows"), F.sum("tokens"), F.sum("every")).first())
+                words, train = Words(part.column("text"), "ascii"), part.column("train").to_numpy(zero_copy_only=False)
+                count = np.append(np.bincount(words.code, minlength=len(words.distinct)), words.rows)
+                keep = np.flatnonzero(count >= least / 2 * count.sum())
+                keys = np.append(word_hashes(words.distinct.take(pa.array(keep[keep < len(words.distinct)]))), [END] * int((keep == len(words.distinct)).sum())).astype(np.uint64)
+                sizes = [int(train.sum()), int((words.counts + 1)[train].sum()), int(count.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, np.zeros(3, np.uint64)).view(np.int64)), pa.array([0] * len(keys) + [1, 2, 3], pa.int32()), pa.array(count[keep].tolist() + sizes)], ["key", "kind", "count"])
+
+    found = docs.mapInArrow(often, "key long, kind int, count long").groupBy("kind", "key").agg(F.sum("count").alias("count")).where((F.col("kind") > 0) | (F.col("count") >= bucket_tokens / 2)).collect()
+    rows, tokens, every = (sum(r["count"] for r in found if r["kind"] == k) for k in (1, 2, 3))
     share = bucket_tokens / max(1, every)
     none = {"key": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64)}
+    found = [r for r in found if r["kind"] == 0]
     if share >= 1:
         return rows, tokens, every, none, none
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
-                symbols, _, second, _ = _slice_tokens(part.column("text"))
-                count = np.bincount(second, minlength=len(symbols))
-                keep = count >= share / 2 * len(second)
-                yield pa.RecordBatch.from_arrays([pa.array(symbols[keep].view(np.int64)), pa.array(count[keep])], ["key", "count"])
-
-    found = docs.mapInArrow(often, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= bucket_tokens / 2)
-    candidates = np.sort(np.array([r["key"] for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))
+    candidates = np.sort(np.array([r["key"] for r in found], dtype=np.int64).view(np.uint64))
     if not len(candidates):
         return rows, tokens, every, none, none
 
@@ -193,35 +193,60 @@ def _count_pairs(docs: DataFrame, pairs: np.ndarray, least: int) -> dict[str, np
 # --- the passes -----------------------------------------------------------------------------
 
 
+def _narrow_slices(batch: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Slices of which a bucket, two symbols and a row fit into 64 bits together: a word has two bytes with the space after it."""
+    for part in text_slices(batch, limit=SLICE):
+        todo = [part]
+        while todo:
+            part = todo.pop()
+            size = pc.sum(pc.fill_null(pc.binary_length(part.column("text")), 0)).as_py() or 0
+            symbols = size // 2 + 3
+            if len(part) > 1 and (buckets + 1) * symbols * symbols * len(part) >= 1 << 64:
+                symbols = len(Words(part.column("text"), "ascii").distinct) + 2  # the bound is far from what there is
+            if len(part) > 1 and (buckets + 1) * symbols * symbols * len(part) >= 1 << 64:
+                half = len(part) // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def _deal(docs: DataFrame, buckets: int, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> DataFrame:
     """A row for each slice and bucket with the slice's bigrams there, and one with the slice's ids and where its bigrams stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, made = TaskContext.get(), 0
         for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
+            for part in _narrow_slices(batch, buckets):
                 at, made = ((context.partitionId() if context else 0) << 24) + made, made + 1
                 train = part.column("train").to_numpy(zero_copy_only=False)
                 symbols, first, second, row = _slice_tokens(part.column("text"))
                 tokens = np.bincount(row, minlength=len(part))
-                bucket = mix64(symbols)[second] % np.uint64(buckets)
-                place = np.zeros(0, dtype=np.int64)
+                wide = np.uint64(len(symbols))
+                key = (mix64(symbols) % np.uint64(buckets))[second]
                 if len(words["key"]):
-                    hot = _lookup(symbols, words)[1][second]
+                    hot = np.flatnonzero(_lookup(symbols, words)[1][second])
                     both = _pair(symbols[first[hot]], symbols[second[hot]])
-                    bucket[hot] = both % np.uint64(buckets)
+                    key[hot] = both % np.uint64(buckets)
                     if len(pairs["key"]):  # what is counted already is a bucket of its own, the last
-                        place, alone = _lookup(both, pairs)
-                        bucket[np.flatnonzero(hot)[alone]] = buckets
+                        key[hot[_lookup(both, pairs)[1]]] = buckets
                     del hot, both
-                key = (bucket * np.uint64(len(symbols)) + second.astype(np.uint64)) * np.uint64(len(symbols)) + first.astype(np.uint64)
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+                # bucket, second, first and row in one number: it is sorted by itself
+                key *= wide
+                key += second.astype(np.uint64)
+                key *= wide
+                key += first.astype(np.uint64)
+                key *= np.uint64(len(part))
+                key += row.astype(np.uint64)
+                del first, second, row
+                key.sort()
+                rows = (key % np.uint64(len(part))).astype(np.int32)
+                key //= np.uint64(len(part))
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+                key = key[begin]
+                first = (key % wide).astype(np.int32)
+                key //= wide
+                second, bucket = (key % wide).astype(np.int32), key // wide
                 del key
-                begin = np.flatnonzero(fresh)
-                bucket, first, second, rows = bucket[order][begin], first[order][begin], second[order][begin], row[order]
-                del order, fresh, row
                 learned = np.add.reduceat(train[rows].astype(np.int64), begin) if len(begin) else begin
                 times = np.diff(np.append(begin, len(rows)))
                 head = np.flatnonzero(np.concatenate([[True], (second[1:] != second[:-1]) | (bucket[1:] != bucket[:-1])])) if len(begin) else begin
