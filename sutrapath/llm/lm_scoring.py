@@ -325,7 +325,8 @@ def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray], hot:
             mine = (to == b) & ~frequent
             out.append(_rows("contexts", -1, [(int(b), None, _pack(key=one[mine], **{k: _narrow(v[mine]) if k != "mass" else v[mine] for k, v in sums.items()}))]))
         lo, low = 0, 0
-        for at, d in zip(slices, data, strict=True):
+        off: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for nth, (at, d) in enumerate(zip(slices, data, strict=True)):
             n, m = len(d["first_at"]), len(d["second"])
             c12 = count12[lo : lo + n]
             out.append(_rows("counts", at, [(0, None, _counted(here, c12, head2[low : low + m]))]))
@@ -335,13 +336,19 @@ def _evaluate(dealt: DataFrame, buckets: int, words: dict[str, np.ndarray], hot:
                 frequent = np.isin(key, hot)
                 if frequent.any():
                     out.append(_rows("hotoff", at, [(0, None, _pack(bucket=np.array([here]), key=key[frequent], index=_narrow(away[frequent])))]))
-                key, away = key[~frequent], away[~frequent]
-                to = mix64(key) % np.uint64(buckets)
-                for b in np.unique(to):
-                    mine = to == b
-                    out.append(_rows("off", at, [(int(b), None, _pack(bucket=np.array([here]), key=key[mine], index=_narrow(away[mine])))]))
+                off.append((key[~frequent], away[~frequent], np.full(int((~frequent).sum()), nth)))
             lo, low = lo + n, low + m
         del data, first, count12
+        key, away, nth = (np.concatenate(x) for x in zip(*off, strict=True))
+        del off
+        # the bigrams of all slices whose contexts are in one bucket go there together
+        to = mix64(key) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        key, away, nth, to = key[order], away[order], nth[order], to[order]
+        ends = np.append(np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)) if len(to) else np.zeros(0, dtype=np.int64)
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True) if len(ends) else ():
+            which, place = np.unique(nth[lo:hi], return_inverse=True)
+            out.append(_rows("off", -1, [(int(to[lo]), None, _pack(bucket=np.array([here]), slices=np.array(slices)[which], which=_narrow(place), key=key[lo:hi], index=_narrow(away[lo:hi])))]))
         trim()
         return pa.Table.from_batches(out)
 
@@ -378,12 +385,19 @@ def _back_off(table: DataFrame, scale: float, discount: list[float]) -> DataFram
         total = {k: np.bincount(at, weights=np.concatenate([d[k] for d in own]), minlength=len(one)) if own else np.zeros(0) for k in SUMS}
         value = _weights(total, scale, discount)
         out = [_rows("away", -1, [])]
-        for kind, place, d in zip(kinds, group.column("slice").to_pylist(), data, strict=True):
-            if kind == "off":
-                found, there = _lookup(d["key"], {"key": one})
-                weights = np.zeros(len(found))
-                weights[there] = value[found[there]]
-                out.append(_rows("away", place, [(0, None, _pack(bucket=d["bucket"], index=d["index"], value=weights))]))
+        off = [d for k, d in zip(kinds, data, strict=True) if k == "off"]
+        if off:
+            key = np.concatenate([d["key"] for d in off])
+            found, there = _lookup(key, {"key": one})
+            weights = np.zeros(len(found))
+            weights[there] = value[found[there]]
+            index, of = np.concatenate([d["index"].astype(np.int64) for d in off]), np.concatenate([d["slices"][d["which"]] for d in off])
+            bucket = np.repeat([int(d["bucket"][0]) for d in off], [len(d["key"]) for d in off])
+            order = np.argsort(of, kind="stable")
+            begin = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+            for lo, hi in zip(begin, np.append(begin[1:], len(order)), strict=True):
+                mine = order[lo:hi]
+                out.append(_rows("away", int(of[mine[0]]), [(0, None, _pack(bucket=_narrow(bucket[mine]), index=_narrow(index[mine]), value=weights[mine]))]))
         return pa.Table.from_batches(out)
 
     return table.where("kind in ('contexts', 'off')").groupBy("bucket").applyInArrow(run, SCHEMA)
@@ -436,17 +450,16 @@ def _score(parts: DataFrame, rows: int, scale: float, discount: list[float], hot
         n, of = len(ids), np.repeat
         c12 = np.concatenate([d["c12"] for d in counts]).astype(np.int64) if counts else np.zeros(0, dtype=np.int64)
         c2 = np.concatenate([d["c2"] for d in counts]).astype(np.int64) if counts else np.zeros(0, dtype=np.int64)
-        offset = dict(zip([int(d["bucket"][0]) for d in counts], np.concatenate([[0], np.cumsum([len(d["c12"]) for d in counts])]).tolist(), strict=False))
+        where, offset = np.array([int(d["bucket"][0]) for d in counts]), np.concatenate([[0], np.cumsum([len(d["c12"]) for d in counts])]).astype(np.int64)
         logged = np.log10(c2 + BASE) - unit
         # each word is also the context of what follows; contexts of tokens that back off have their count in the weight
         context = np.where((c2 > 0) & ~stands["end"], np.log10(np.maximum(c2, 1)), 0.0)
         base = of(logged, stands["second_times"])
         value = np.where(c12 > CUT, np.log10(np.maximum(c12, 1)) + math.log10(1 - EPSILON), kept[np.minimum(c12, CUT)])
         value = np.where(c12 > 0, value, base) - of(context, stands["second_times"])
-        for d in found["away"]:
-            value[offset[int(d["bucket"][0])] + d["index"].astype(np.int64)] += d["value"]
-        for d in found["hotoff"]:
-            value[offset[int(d["bucket"][0])] + d["index"].astype(np.int64)] += hot["value"][np.searchsorted(hot["key"], d["key"])]
+        for d in (*found["away"], *found["hotoff"]):
+            weight = d["value"] if "value" in d else hot["value"][np.searchsorted(hot["key"], d["key"])]
+            value[offset[np.searchsorted(where, d["bucket"])] + d["index"].astype(np.int64)] += weight
         row = stands["row"].astype(np.int64)
         total = lambda v: np.bincount(row, weights=of(v, stands["times"]), minlength=n)
         known = total(of((c2 > 0).astype(np.float64), stands["second_times"]))
