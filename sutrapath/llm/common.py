@@ -50,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session that hold inside."""
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
@@ -82,7 +83,7 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     if batch_rows:
         values["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
-    with _settings(spark, values):
+    with settings(spark, values):
         df.write.parquet(path)
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)

@@ -39,10 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, mix64, stored, text_slices, trim, word_hashes
+from .common import Words, fold, mix64, settings, stored, text_slices, trim, word_hashes
 
 CUT, EPSILON, BASE = 5, 1e-3, 0.1
-SLICE = 8 << 20
+#: Bytes of text in a slice, and rows that a Python worker gets at a time.
+SLICE, BATCH_ROWS = 8 << 20, 2000
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 #: Of a context, how many words follow it so often; words that follow it more often, and the base mass of all of them.
 SUMS = (*(f"r{r}" for r in range(1, CUT + 1)), "big", "mass")
@@ -264,7 +265,10 @@ def _deal(docs: DataFrame, buckets: int, words: dict[str, np.ndarray], pairs: di
                     one, one_at = np.unique(first[lo:hi], return_inverse=True)
                     starts = np.flatnonzero(np.concatenate([[True], second[lo + 1 : hi] != second[lo : hi - 1]]))
                     items.append((int(where), None, _pack(first=symbols[one], first_at=_narrow(one_at), second=symbols[second[lo:hi][starts]], second_times=_narrow(np.diff(np.append(starts, hi - lo))), learned=_narrow(learned[lo:hi]))))
+                del symbols, first, second, bucket, learned, begin, times
                 yield _rows("tokens", at, items)
+                del items
+                trim()
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, SCHEMA)
 
@@ -477,10 +481,11 @@ def score_documents(docs: DataFrame, bucket_tokens: int = 2_000_000, least_bucke
     """
     kind = docs.schema["doc_id"].dataType
     held = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (fold("doc_id", 10) != 0).alias("train"))
-    rows, tokens, every, words, pairs = _frequent(held, bucket_tokens)
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+        rows, tokens, every, words, pairs = _frequent(held, bucket_tokens)
     buckets = max(least_buckets, -(-every // bucket_tokens))
     hot = np.unique(np.append(words["key"], START))
-    table = stored(_evaluate(_deal(held, buckets, words, pairs), buckets, words, hot), "lm-counts")
+    table = stored(_evaluate(_deal(held, buckets, words, pairs), buckets, words, hot), "lm-counts", BATCH_ROWS)
     total = [pickle.loads(r["payload"]) for r in table.where("kind = 'totals'").select("payload").collect()]  # one for each bucket
     distinct = sum(t["distinct"] for t in total) + int((words["count"] > 0).sum())
     scale = tokens + BASE * (distinct + 1)
