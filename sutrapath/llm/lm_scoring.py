@@ -474,7 +474,7 @@ def _score(parts: DataFrame, rows: int, scale: float, discount: list[float], hot
     return parts.groupBy("slice").applyInArrow(run, "doc_id string, tokens long, known long, base double, score double, off long")
 
 
-def score_documents(docs: DataFrame, bucket_tokens: int = 2_000_000, least_buckets: int = 16) -> DataFrame:
+def score_documents(docs: DataFrame, bucket_tokens: int = 1_500_000, least_buckets: int = 16) -> DataFrame:
     """The operator: learns from rows whose crc32(doc_id) mod 10 is not 0, scores every row.
 
     Every token of every text counts; ``bucket_tokens`` sets how many a task holds at a time.
