@@ -22,14 +22,17 @@ SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 WORD = r"[\p{L}\p{N}_\x{0900}-\x{0D7F}]"
 NOT_WORD = r"[^\p{L}\p{N}_\x{0900}-\x{0D7F}]"
 
+#: No character before U+0300 changes under NFC by itself or with another such one: combining marks begin there.
+MAY_CHANGE = r"[^\x{0000}-\x{02FF}]"
+
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC.  Spark has no such function: texts with a character beyond ASCII pass through Arrow, the others don't change."""
+    """Unicode NFC.  Spark has no such function: texts that it can change pass through Arrow."""
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.str.normalize("NFC")
 
-    return F.coalesce(F.pandas_udf(run, StringType())(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(F.pandas_udf(run, StringType())(F.when(text.rlike(MAY_CHANGE), text)), text)
 
 
 def nfc_all(texts: Column) -> Column:
@@ -38,7 +41,7 @@ def nfc_all(texts: Column) -> Column:
     def run(lists: pd.Series) -> pd.Series:
         return lists.map(lambda x: None if x is None else [None if t is None else unicodedata.normalize("NFC", t) for t in x])
 
-    return F.coalesce(F.pandas_udf(run, ArrayType(StringType()))(F.when(F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]")), texts)), texts)
+    return F.coalesce(F.pandas_udf(run, ArrayType(StringType()))(F.when(F.exists(texts, lambda t: t.rlike(MAY_CHANGE)), texts)), texts)
 
 
 def fold(text: Column, normal: bool = True) -> Column:

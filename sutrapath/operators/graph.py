@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, dropped
@@ -77,10 +79,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         after = rank.join(into, F.col("domain") == F.col("v"), "left").select("domain", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before"))
         if step + 1 == iterations:
             return after.select("domain", "pagerank")
-        before, rank = rank, cut(after)  # it is read twice in the next step
+        sums = Observation()
+        after = after.observe(sums, F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("change"))
+        before, rank = rank, cut(after)  # it is read twice in the next step; the sums come with the write
         dropped(before)
-        loose, change = rank.agg(F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
-        if tolerance is not None and change < tolerance:
+        loose = sums.get["loose"]
+        if tolerance is not None and sums.get["change"] < tolerance:
             break
     return rank.select("domain", "pagerank")
 
@@ -99,10 +103,11 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: fl
         old = scaled(state, length)
         got = old.join(both, F.col("domain") == F.col("at")).groupBy("to").agg(F.sum(F.when(~F.col("forward"), F.col("authority")).otherwise(0.0)).alias("new_hub"), F.sum(F.when(F.col("forward"), F.col("hub")).otherwise(0.0)).alias("new_authority"))
         new = old.join(got, F.col("domain") == F.col("to"), "left").select("domain", F.coalesce("new_hub", F.lit(0.0)).alias("hub"), F.coalesce("new_authority", F.lit(0.0)).alias("authority"), F.col("hub").alias("hub0"), F.col("authority").alias("authority0"))
+        sums = Observation()
+        new = new.observe(sums, F.sum(F.col("hub") * F.col("hub")).alias("hub"), F.sum(F.col("authority") * F.col("authority")).alias("authority"))
         before, state = state, cut(new)
         dropped(before)
-        sums = state.agg(F.sqrt(F.sum(F.col("hub") * F.col("hub"))), F.sqrt(F.sum(F.col("authority") * F.col("authority")))).first()
-        length = tuple(x or 1.0 for x in sums)
+        length = tuple(math.sqrt(sums.get[k] or 0.0) or 1.0 for k in ("hub", "authority"))
         if tolerance is not None:
             moved = F.abs(F.col("hub") / F.lit(length[0]) - F.col("hub0")) + F.abs(F.col("authority") / F.lit(length[1]) - F.col("authority0"))
             if (state.agg(F.sum(moved)).first()[0] or 0.0) < tolerance:

@@ -72,3 +72,20 @@ def test_bands(spark):
 def test_clean_url(spark):
     assert one(spark, "http://A.b//c/?utm_a=1&x=2#f", tx.clean_url) == "http://a.b/c/?x=2"
     assert one(spark, "mailto:x@y", tx.clean_url) is None
+
+
+def test_composed_and_decomposed_have_one_key(spark):
+    import unicodedata
+
+    words = ["café", "Ångström", "क़लम", "안녕", "Å", "plain", "Straße"]
+    rows = [(i, unicodedata.normalize(form, w)) for i, w in enumerate(words) for form in ("NFC", "NFD")] + [(9, None)]
+    got = spark.createDataFrame(rows, "n int, t string").select("n", tx.dedup_key(F.col("t")).alias("k"), tx.nfc_all(F.array("t")).alias("a")).collect()
+    assert len({(r["n"], r["k"]) for r in got}) == len(words) + 1
+    # what the guard lets by is never changed by NFC
+    assert all(unicodedata.normalize("NFC", chr(a) + chr(b)) == chr(a) + chr(b) for a in range(0x20, 0x300) for b in range(0x20, 0x300, 7))
+
+
+def test_rfc_dates(spark):
+    rows = [("Sun, 04 Oct 2026 20:00:00 +0530",), ("4 Oct 2026 14:30 GMT",), ("2026-10-04T14:30:00Z",), ("yesterday",), (None,), ("",)]
+    got = [r["d"] for r in spark.createDataFrame(rows, "t string").select(F.unix_timestamp(tx.iso_date(F.col("t"))).alias("d")).collect()]
+    assert got[0] == got[1] == got[2] == 1791124200 and got[3:] == [None, None, None]
