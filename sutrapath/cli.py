@@ -1,4 +1,4 @@
-"""Command line: research, plan, weights, graph, search, suggest, directory."""
+"""Command line: research, plan, weights, graph, index, search, suggest, directory, serp, serp-dates, sitemaps."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import dataclasses
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import demand, graph, search
+from .operators import demand, graph, index, search, serp, web
 from .sources import files, sinks
 
 
@@ -30,9 +30,20 @@ def main(args: list[str] | None = None) -> None:
     c = commands.add_parser("graph")
     c.add_argument("nodes")
     c.add_argument("links")
+    c.add_argument("--out")
     c = commands.add_parser("search")
     c.add_argument("documents")
     c.add_argument("query")
+    c = commands.add_parser("index")
+    c.add_argument("pages")
+    c.add_argument("out")
+    for name in ("serp", "serp-dates"):
+        c = commands.add_parser(name)
+        c.add_argument("pages")
+        c.add_argument("out")
+        c.add_argument("--own", action="append", default=[])
+    c = commands.add_parser("sitemaps")
+    c.add_argument("files")
     c = commands.add_parser("suggest")
     c.add_argument("titles")
     c.add_argument("prefix")
@@ -51,8 +62,11 @@ def main(args: list[str] | None = None) -> None:
         if a.command == "plan":
             plan = demand.clusters(scores)
             links = demand.topic_links(plan)
-            for df in (plan.orderBy("publish_order"), links.orderBy("source_topic", "target_topic"), demand.orphans(plan, links)):
-                df.show(1000, truncate=False)
+            lines = sinks.plan_markdown(plan, links, demand.orphans(plan, links), a.language)
+            if a.out:
+                sinks.write_lines(lines, a.out)
+            else:
+                lines.select("line").show(5000, truncate=False)
         elif a.out:
             sinks.write_csv(sinks.csv_rows(scores), a.out)
         else:
@@ -61,11 +75,22 @@ def main(args: list[str] | None = None) -> None:
         nodes, matrix = spark.read.parquet(a.nodes), graph.link_matrix(spark.read.parquet(a.links))
         edges = graph.cross_edges(matrix, nodes)
         graph.snapshot(nodes, matrix).show()
-        graph.top(graph.pagerank(nodes, edges), "pagerank").show()
+        scores = graph.pagerank(nodes, edges).join(graph.hits(nodes, edges), "domain")
+        for column in ("pagerank", "authority", "hub"):
+            graph.top(scores, column).show()
+        if a.out:
+            web.write_back(nodes, scores.join(graph.degrees(nodes, edges), "domain")).write.mode("errorifexists").parquet(a.out)
     elif a.command == "search":
-        docs = spark.read.parquet(a.documents)
-        found = search.retrieve(docs, search.clusters_of(a.query))
-        found.join(search.bm25(docs, [t for c in search.clusters_of(a.query) for t in c]), "doc_id", "left").orderBy("level", F.col("bm25").desc_nulls_last()).show(25)
+        found = search.retrieve(spark.read.parquet(a.documents), search.clusters_of(spark, a.query))
+        found.orderBy("level", F.col("bm25").desc(), "doc_id").show(25)
+    elif a.command == "index":
+        index.build(spark.read.parquet(a.pages)).write(a.out)
+    elif a.command == "serp":
+        sinks.write_csv(sinks.observation_rows(serp.observe(spark.read.parquet(a.pages), a.own)), a.out)
+    elif a.command == "serp-dates":
+        sinks.write_dates(files.result_blocks(spark.read.parquet(a.pages)), a.out)
+    elif a.command == "sitemaps":
+        web.sitemap_entries(files.raw_pages(spark, a.files).withColumnRenamed("html", "xml")).show(1000, truncate=False)
     elif a.command == "suggest":
         search.suggest(spark.read.parquet(a.titles), a.prefix).show(truncate=False)
     else:

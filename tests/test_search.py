@@ -99,3 +99,21 @@ def test_cli_weights(capsys):
 
     main(["weights"])
     assert "breadth\t0.5" in capsys.readouterr().out
+
+
+def test_cli_commands(spark, tmp_path, monkeypatch):
+    from sutrapath import cli
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    spark.createDataFrame([(1, "demat account"), (2, "weather")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    cli.main(["search", str(tmp_path / "docs"), "demat"])
+    small_index(spark)[0].write.parquet(str(tmp_path / "pages"))
+    cli.main(["index", str(tmp_path / "pages"), str(tmp_path / "index")])
+    assert index.Index.read(spark, str(tmp_path / "index")).documents.count() == 2
+    spark.createDataFrame([("a", "x"), ("b", "x")], "domain string, category string").write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame([("a", "b")], "source_domain string, target_domain string").write.parquet(str(tmp_path / "links"))
+    cli.main(["graph", str(tmp_path / "nodes"), str(tmp_path / "links"), "--out", str(tmp_path / "scored")])
+    assert {"pagerank", "hub", "in_degree"} <= set(spark.read.parquet(str(tmp_path / "scored")).columns)
+    spark.createDataFrame([("q", '<a href="https://www.quora.com/x">x</a>')], "query string, html string").write.parquet(str(tmp_path / "serp"))
+    cli.main(["serp", str(tmp_path / "serp"), str(tmp_path / "observed")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "observed")).first()["weak_domains"] == "yes"
