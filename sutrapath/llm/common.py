@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -120,6 +120,32 @@ def scratch(spark: SparkSession):
                 system.delete(place, True)
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of equal names in which nulls are equal too; those of ``right`` go."""
+    named = right.withColumnsRenamed({c: f"_same_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_same_{c}"))
+    return left.join(named, same, how).drop(*[f"_same_{c}" for c in on])
+
+
+def numbered(rows: DataFrame, key: list[str], order: list[str], at: str, total: str, name: str) -> DataFrame:
+    """``rows`` with ``at``, the place among the rows of equal ``key`` in ``order`` (from 0, nulls first), and ``total``, how many these are.
+
+    The rows are stored once in range partitions; a place is that within the partition, after the key's rows in the partitions
+    before.  So a key with most of the rows lies in many tasks, and none but one small row for each key and partition is
+    dealt by key.  Of rows that are alike in all of these columns, any may be first.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*key, *order]]
+    laid = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id()), name)
+    laid = laid.withColumn("_part", F.shiftright("_mid", 33))
+    parts = laid.groupBy("_part", *key).agg(F.min("_mid").alias("_least"), F.count("*").alias("_rows"))
+    own = Window.partitionBy(*key)  # a row for each partition that the key's rows lie in
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", *key, (before - F.col("_least")).alias("_shift"), F.sum("_rows").over(own).alias(total))
+    return joined(laid, parts, ["_part", *key]).withColumn(at, F.col("_mid") + F.col("_shift")).drop("_mid", "_part", "_shift")
+
+
 def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     col = F.col(column) if isinstance(column, str) else column
