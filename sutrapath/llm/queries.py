@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, doc_fingerprint, embedding_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality
+from . import chat_format, doc_fingerprint, embedding_dedup, language_id, lexical, license_scan, lm_scoring, merkle, mixing, ngram_join, packing, quality, sharding
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.attested(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
+    "op12_sharding": op12_sharding,
+    "op13_lexical": op13_lexical,
 }
 
 #: DuckDB equivalents where SQL can express the whole result.
@@ -72,4 +87,6 @@ ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
+    "op13_lexical": lexical.ORACLE_SQL,
 }
