@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, segment_sums, stored, text_slices, trim, word_hashes
+from .common import Words, carried, mix64, segment_sums, stored, text_slices, trim, word_hashes
 from .components import components
 
 SLICE = 4 << 20
@@ -307,9 +307,10 @@ def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     """
     found = stored(join(docs, width, percent).where("doc_id is not null"), "join-result")
     ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("times"))
-    ids = stored(ids.where("stays = 0 or times > 1").withColumnRenamed("doc_id", "_id"), "join-gone")
-    gone, twice = (_small(ids.where(f"stays = {k}").select("_id")) for k in (0, 1))
-    key = F.col("doc_id").cast("long") == F.col("_id")
+    other = carried(docs)
+    ids = stored(ids.where("stays = 0 or times > 1").withColumnRenamed("doc_id", other), "join-gone")
+    gone, twice = (_small(ids.where(f"stays = {k}").select(other)) for k in (0, 1))
+    key = F.col("doc_id").cast("long") == F.col(other)
     out = docs.join(gone, key, "left_anti")
     if twice.isEmpty():
         return out

@@ -2,7 +2,12 @@ from __future__ import annotations
 
 import pytest
 
-FIELDS = "doc_id long, text string, lang string, source string, n_chars long, _found string, component string, words int"
+#: Names that operators use for columns of their own.
+CLASHING = [
+    "_found", "component", "_id", "_row", "_draw", "_label", "_copy", "_shard", "_order", "_words", "_node", "_token", "_mid", "_part", "_same_doc_id", "_group", "group", "node", "row", "rows", "term", "tf", "t", "at", "total", "size", "slot",
+    "shard", "shards", "target", "source_size", "taken", "score", "predicted", "quality", "lang_pred", "held_out", "spans", "shingles", "n_shingles", "component_id", "gid", "prefix", "n", "key", "block", "levels", "leaf", "root", "piece", "length", "ids",
+]
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING) + ", words int"
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +29,7 @@ def odd(spark):
         (12, "one", "en", "a"),
         (13, "Released under the MIT License. " + "filler text goes here and on " * 20, "en", "d"),
     ]
-    full = [(i, t, lang, s, None if t is None else len(t), "clash", "clash", 1) for i, t, lang, s in rows]
+    full = [(i, t, lang, s, None if t is None else len(t), *["clash"] * len(CLASHING), 1) for i, t, lang, s in rows]
     return spark.createDataFrame(full, FIELDS)
 
 
