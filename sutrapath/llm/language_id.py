@@ -52,7 +52,6 @@ SCRIPTS = {
 }
 OTHER = len(SCRIPTS)
 ORDERS = (1, 2, 3, 4)
-NO_SWITCH = 255
 
 
 class Model:
@@ -101,7 +100,10 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16) -> Model:
 
 
 def sample_rows(docs: DataFrame, budget_bytes: int) -> list[tuple[str, str]]:
-    """Labelled texts, about ``budget_bytes`` in all, an equal part of it for each language; chosen by a hash of id and text."""
+    """Labelled texts, about ``budget_bytes`` in all, an equal part of it for each language; chosen by a hash of id and text.
+
+    Texts above a language's part are left out; of what is drawn, the first ``budget_bytes`` by that hash are taken.
+    """
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not sizes:
@@ -109,22 +111,29 @@ def sample_rows(docs: DataFrame, budget_bytes: int) -> list[tuple[str, str]]:
     part = budget_bytes / len(sizes)
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, part / max(1, r["bytes"])))) for r in sizes])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    return [(r["text"], r["lang"]) for r in docs.where(draw < share).select("text", "lang").collect()]
+    some = docs.where((draw < share) & (F.octet_length("text") <= part))
+    # on average they are within the budget; only numbers go to the driver to find where it ends
+    drawn = some.select((draw / share).alias("at"), F.octet_length("text").alias("bytes")).orderBy("at").limit(budget_bytes).collect()
+    within = int((np.cumsum([r["bytes"] for r in drawn]) <= budget_bytes).sum()) if drawn else 0
+    if within < len(drawn):
+        some = some.where(draw / share < drawn[within]["at"])
+    return [(r["text"], r["lang"]) for r in some.select("text", "lang").collect()]
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word; rows are the segments of ``starts``, all advanced together, longest first."""
     n, k = scores.shape
-    label = np.zeros(n, dtype=np.uint8)
+    kind, stays = np.min_scalar_type(k), k  # labels are numbers below k, which itself says that a word has its predecessor's label
+    label = np.zeros(n, dtype=kind)
     if k < 2 or not n:
         return label
     size = np.diff(starts)
     order = np.argsort(-size, kind="stable")
     first, size = starts[:-1][order], size[order]
     alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # rows with more than t words
-    back = np.full((n, k), NO_SWITCH, dtype=np.uint8)
+    back = np.full((n, k), stays, dtype=kind)
     state = scores[first[: alive[0]]].astype(np.float64)
-    final = np.zeros(len(size), dtype=np.uint8)
+    final = np.zeros(len(size), dtype=kind)
     for t in range(1, size[0]):
         m = alive[t]
         if m < len(state):
@@ -135,7 +144,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
         switch = over[:, None] > state
         at = first[:m] + t
         if switch.any():
-            back[at] = np.where(switch, best[:, None], NO_SWITCH)
+            back[at] = np.where(switch, best[:, None], stays)
             state = np.where(switch, over[:, None], state)
         state = state + scores[at]
     final[: len(state)] = state.argmax(1)
@@ -146,7 +155,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
         at = first[:m] + t
         now = label[at]
         came = back[at, now]
-        label[at - 1] = np.where(came == NO_SWITCH, now, came)
+        label[at - 1] = np.where(came == stays, now, came)
     return label
 
 

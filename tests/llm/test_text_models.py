@@ -61,6 +61,26 @@ def test_viterbi_is_optimal():
             assert mine == pytest.approx(best.max())
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    """300 languages of one word each: every text gets its own."""
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3)) * 3
+    names = [f"l{k:03}" for k in range(300)]
+    model = language_id.train([(word(k) + " " + word(k), n) for k, n in enumerate(names)])
+    docs = spark.createDataFrame([(k, " ".join([word(k)] * 6)) for k in range(300)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()} == dict(enumerate(names))
+    # switches to and from high numbers
+    scores = np.full((20, 300), -9.0)
+    scores[:10, 299], scores[10:, 255] = 0, 0
+    assert language_id.viterbi(scores, np.array([0, 20]), 3.0).tolist() == [299] * 10 + [255] * 10
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * (10 + i % 7), "ab"[i % 2]) for i in range(400)] + [(1000, "x" * 90_000, "a")], "doc_id long, text string, lang string")
+    sample = language_id.sample_rows(docs, 8000)
+    assert 4000 < sum(len(t) for t, _ in sample) <= 8000 and {x for _, x in sample} == {"a", "b"}
+    assert len(language_id.sample_rows(docs, 1 << 20)) == 401
+
+
 def test_language_odd_rows(odd, none):
     rows = language_id.identify_documents(odd).collect()
     assert len(rows) == odd.count()
