@@ -88,7 +88,7 @@ def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column
 def events(messages: DataFrame, turns: bool) -> DataFrame:
     """Messages as (conv_id, turn, role, text, kind, call_id, name, arguments, after, order_item): one row for each call, result or plain message."""
     call = "struct<id:string,name:string,arguments:string,after:array<string>>"
-    looks_json = F.col("text").startswith("{")
+    looks_json = F.col("text").rlike(r"^[ \t\r\n]*\{")
     calls = F.from_json(F.get_json_object(F.when((F.col("role") == "assistant") & looks_json, F.col("text")), "$.tool_calls"), f"array<{call}>")
     result = F.get_json_object(F.when((F.col("role") == "tool") & looks_json, F.col("text")), "$.tool_call_id")
     none, nothing, first = F.lit(None).cast("string"), F.lit(None).cast("array<string>").alias("after"), F.lit(0).alias("order_item")

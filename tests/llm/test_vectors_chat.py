@@ -242,6 +242,12 @@ def test_nested_schemas(spark, arguments, valid):
     assert row.select(chat_format.valid_arguments(F.col("name"), F.col("a"), {"t": schema}).alias("v")).first()["v"] is valid
 
 
+def test_calls_behind_white_space(spark):
+    rows = [(1, 0, "assistant", ' \n{"tool_calls": [{"id": "a", "name": "t", "arguments": {}}]}'), (1, 1, "tool", '\t{"tool_call_id": "a", "content": 1}'), (1, 2, "assistant", "no { call")]
+    got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["turn"], r["kind"], r["call_id"], r["linked"]) for r in got) == [(0, "call", "a", True), (1, "result", "a", True), (2, "message", None, False)]
+
+
 def test_turns(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", "r"), (1, 2, "user", None), (2, 0, "system", ""), (2, 1, "user", "")]
     got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), turns=True).collect()
