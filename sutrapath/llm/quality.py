@@ -110,13 +110,14 @@ def train(sample: list[tuple[str, int]], totals: list[int] | None = None, bucket
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[tuple[str, int]], list[int]]:
-    """Texts of labelled rows, and how many labels of each class there are.
+    """Texts of labelled rows, and how many labels of each class ``docs`` have.
 
     At most ``most`` labelled ids of each class, least hash first, and the texts of those ids, again by hash, as
     many rows at most and within the bounds on bytes.
     """
     labels = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where("doc_id is not null and _label in (0, 1)")
-    counted = {r["_label"]: r["count"] for r in labels.groupBy("_label").count().collect()}
+    there = docs.select("doc_id").join(labels, "doc_id").distinct()
+    counted = {r["_label"]: r["count"] for r in there.groupBy("_label").count().collect()}
     draw = F.xxhash64("doc_id", F.lit(17))
     chosen = [labels.where(F.col("_label") == k).orderBy(draw, "doc_id").limit(most) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows of two numbers
