@@ -1,13 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 Method.  A text is cut into paragraphs by its content: at line ends, and from ``LEAST_CHARS`` characters on
-after a sentence mark or a word with a certain last letter, so that an insertion moves only the cuts near
-it.  Each distinct paragraph has a 64-bit digest.  The digests' leading bits deal them over blocks of at
+after a sentence mark or a word with a certain last letter, in runs without spaces after certain characters, so that an
+insertion moves only the cuts near it.  Each distinct paragraph has a 64-bit digest.  The digests' leading bits deal them over blocks of at
 most ``BLOCK`` on average, and each block has a sketch of three sub-tables of cells; a digest falls
 into one cell of each, and a cell holds a count, the xor of its digests and the xor of their checks.
 
 A fingerprint is these cells as text, for each block at the least width at which its sketch peels: it
-grows with the text, and its digests can be recovered from it (``recover``).  Two documents are compared
+grows with the text, and its digests can be recovered from it (``recovered``).  Two documents are compared
 by subtracting their sketches of equal size cell by cell: common digests cancel, and peeling recovers the
 others: a cell whose count is 1 or -1 and whose check fits holds one digest, which is then taken out of
 its other cells.  Where a block does not peel clean it is built again at twice the width with another
@@ -46,8 +46,15 @@ LEAST_CHARS, MOST_CHARS = 80, 400
 BLOCK, WIDTH, LEVELS, ROUNDS = 24, 4, 10, 24
 #: Least digests from which a comparison's first width is estimated.
 BOTTOM = 12
-#: Words that end in g or w end a paragraph too, as not all texts have sentence marks.
-PARAGRAPH = rf"[^\n]{{{LEAST_CHARS},{MOST_CHARS}}}?[.!?…।。！？gw](?=\s)|[^\n]{{1,{MOST_CHARS}}}"
+#: Blocks of scripts that are written without spaces: first and last code point, and of how many characters the first eighth or so may end a paragraph.
+UNSPACED = [(0x0E00, 0x0EFF, 32, 4), (0x1000, 0x109F, 32, 4), (0x1780, 0x17FF, 32, 4), (0x3040, 0x30FF, 32, 4), (0x3400, 0x9FFF, 1024, 64)]
+_MAY_END = "gwGW37" + "".join(f"{chr(c)}-{chr(c + n - 1)}" for first, last, step, n in UNSPACED for c in range(first, last, step))
+#: Characters without a space before one of those ends a paragraph.
+RUN_CHARS = 24
+#: Words that end in g or w end a paragraph too, as not all texts have sentence marks; and, within a long run without spaces, some characters.
+PARAGRAPH = (
+    rf"[^\n]{{{LEAST_CHARS},{MOST_CHARS}}}?(?:[.!?…।gw](?=\s)|[。！？]|[{_MAY_END}](?<=[^ \t\r\n]{{{RUN_CHARS}}}))|[^\n]{{1,{MOST_CHARS}}}"
+)
 #: A cell as text: its count, xor of digests and xor of checks, big-endian.
 CELL = np.dtype([("n", ">u2"), ("x", ">i8"), ("c", ">u4")])
 

@@ -117,6 +117,18 @@ def test_insertions_move_few_paragraphs(small):
     assert len(before) > 50 and len(before ^ after) <= 12
 
 
+@pytest.mark.parametrize("first, last", [(0x4E00, 0x9FA5), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x61, 0x7A)])
+def test_insertions_in_text_without_spaces(spark, first, last):
+    """One letter more at the front or in the middle leaves nearly all digests, in scripts without spaces and in long runs of letters."""
+    draw = np.random.default_rng(2)
+    text = "".join(chr(c) for c in draw.integers(first, last + 1, 20_000))
+    rows = [(0, text), (1, chr(first) + text), (2, text[:9000] + chr(first) + text[9000:])]
+    frame = spark.createDataFrame(rows, "i long, t string").select("i", doc_fingerprint.digests(F.col("t")).alias("d"))
+    kept = {r["i"]: set(r["d"]) for r in frame.collect()}
+    assert len(kept[0]) > 80
+    assert all(len(kept[0] & kept[i]) >= len(kept[0]) - 4 for i in (1, 2))
+
+
 def test_difference_retries_wider(spark):
     """From a width that can't hold the difference, comparison goes on to wider sketches until they peel."""
     rng = np.random.default_rng(2)
