@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions.text import WORD, contains_any, dedup_key, nfc_all, script_of, topic_key
+from ..sources.shared import cut
+from .blocks import blocked_join
+from .ranks import numbered
 
 
 @dataclass(frozen=True)
@@ -67,14 +70,13 @@ def expected_counts(seeds: DataFrame, language: str = "mr", latin: bool = False,
 def admit(expansion: DataFrame, max_seeds: int | None = None, max_queries: int | None = None) -> DataFrame:
     """``expansion`` with ``admitted``: the first seeds, and queries in order up to the budget, which may end within a seed.
 
-    What a seed may take follows from the queries of the seeds before it: one row per seed is windowed, not every query.
+    What a seed may take follows from the queries of the seeds before it: running sums in two levels, over one row per seed.
     """
     sizes = expansion.groupBy("seed_ord").agg(F.count("*").alias("_size"))
-    sizes = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy().orderBy("seed_ord")))
-    within = F.lit(True) if max_seeds is None else F.col("_rank") <= max_seeds
-    sizes = sizes.withColumn("_asked", within)
-    before = F.coalesce(F.sum(F.when(F.col("_asked"), F.col("_size")).otherwise(0)).over(Window.partitionBy().orderBy("seed_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = expansion.join(sizes.withColumn("_before", before), "seed_ord")
+    placed = numbered(sizes, [], [F.col("seed_ord")], "_rank", upto={"_upto": "_size"}).withColumnRenamed("seed_ord", "_s")
+    # admitted seeds are the first ones, so what those before a seed take is the running sum
+    asked = F.lit(True) if max_seeds is None else F.col("_rank") < max_seeds
+    out = expansion.join(placed.withColumns({"_asked": asked, "_before": F.col("_upto") - F.col("_size")}), F.col("seed_ord") == F.col("_s"))
     fits = F.lit(True) if max_queries is None else F.col("_before") + F.col("q_ord") <= max_queries
     return out.select(*expansion.columns, (F.col("_asked") & fits).alias("admitted"))
 
@@ -219,24 +221,37 @@ def clusters(scores: DataFrame) -> DataFrame:
     rows = scores.withColumn("topic_id", topic_key(F.col("seed")))
     best = F.min_by(F.struct("seed", "intent"), F.struct((-F.coalesce("demand", F.lit(-1.0))).alias("d"), "seed_ord"))
     out = rows.groupBy("topic_id").agg(best.alias("_p"), F.count("*").alias("members"), F.avg(F.coalesce("demand", F.lit(0.0))).alias("cluster_demand"), F.min("seed_ord").alias("_first"))
-    # the calendar is one total order over topics, one row each
-    order = F.row_number().over(Window.partitionBy().orderBy(F.col("cluster_demand").desc(), "_first"))
-    return out.select("topic_id", F.col("_p.seed").alias("primary_title"), F.col("_p.intent").alias("intent"), "members", "cluster_demand", order.alias("publish_order"))
+    # the calendar is one total order over topics: places within range partitions, after the rows of those before
+    placed = numbered(out, [], [F.col("cluster_demand").desc(), F.col("_first")], "_at")
+    return placed.select("topic_id", F.col("_p.seed").alias("primary_title"), F.col("_p.intent").alias("intent"), "members", "cluster_demand", (F.col("_at") + 1).cast("int").alias("publish_order"))
 
 
 def topic_links(plan: DataFrame) -> DataFrame:
-    """(source_topic, target_topic): topics whose titles share a word, or related ones from an informational to a specific page.
+    """(source_topic, target_topic): topics whose titles share a word, or, from an informational page to a specific one, a letter of their skeletons.
 
-    Shared words are found by a hash join on words, related skeletons by one on letters.
+    Skeletons meet as sets of letters: each distinct set once, however many topics have it, and topics only through pairs of
+    sets.  All joins are of blocks of a bounded number of rows.  A pair is made once: through its least common word, or
+    through letters where it has no word in common; so nothing has to be made distinct.
     """
-    rows = plan.select("primary_title", "intent", F.array_distinct(F.filter(F.split(F.lower("primary_title"), r"\s+"), lambda w: w != "")).alias("words"), topic_key(F.col("primary_title")).alias("skeleton"))
-    words = rows.select("primary_title", F.explode("words").alias("word"))
-    a = words.withColumnRenamed("primary_title", "source_topic").join(words.withColumnRenamed("primary_title", "target_topic"), "word").select("source_topic", "target_topic")
-    letters = rows.where(F.length("skeleton") >= 2).select("primary_title", "intent", F.explode(F.array_distinct(F.split("skeleton", ""))).alias("letter")).where("letter <> ''")
-    source = letters.where("intent = 'informational'").select(F.col("primary_title").alias("source_topic"), "letter")
-    target = letters.where(F.col("intent").isin("howto", "freshness", "commercial")).select(F.col("primary_title").alias("target_topic"), "letter")
-    b = source.join(target, "letter").select("source_topic", "target_topic")
-    return a.union(b).where("source_topic <> target_topic").distinct()
+    rows = plan.select(F.col("primary_title").alias("topic"), "intent", F.array_distinct(F.filter(F.split(F.lower("primary_title"), r"\s+"), lambda w: w != "")).alias("words"), topic_key(F.col("primary_title")).alias("skeleton"))
+    rows = cut(rows.withColumn("letters", F.when(F.length("skeleton") >= 2, F.array_sort(F.array_distinct(F.filter(F.split("skeleton", ""), lambda x: x != ""))))).drop("skeleton"))
+    names = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "key"})
+    common = lambda c: F.array_min(F.array_intersect(f"source_{c}", f"target_{c}"))
+
+    worded = rows.select("topic", "words", F.explode("words").alias("key"))
+    a = blocked_join(names(worded, "source"), names(worded, "target"), "key").where(F.col("key") == common("words"))
+
+    source, target = rows.where("intent = 'informational'"), rows.where(F.col("intent").isin("howto", "freshness", "commercial"))
+    sets = lambda df: df.select("letters", F.explode("letters").alias("key"))
+    distinct = lambda df: df.where("letters is not null").select("letters").distinct()
+    met = blocked_join(names(sets(distinct(source)), "source"), names(sets(distinct(target)), "target"), "key").where(F.col("key") == common("letters"))
+    met = met.select("source_letters", "target_letters")
+    # a pair of sets is the key that topics meet by
+    pair = F.struct("source_letters", "target_letters").alias("key")
+    of = lambda df, side: names(df.select("topic", "words", "letters"), side).join(met.withColumnRenamed(f"{side}_letters", "_own"), F.col(f"{side}_letters") == F.col("_own"))
+    b = blocked_join(of(source, "source").select("source_topic", "source_words", pair), of(target, "target").select("target_topic", "target_words", pair), "key")
+    b = b.where(~F.arrays_overlap("source_words", "target_words"))
+    return a.select("source_topic", "target_topic").union(b.select("source_topic", "target_topic")).where("source_topic <> target_topic")
 
 
 def orphans(plan: DataFrame, links: DataFrame) -> DataFrame:

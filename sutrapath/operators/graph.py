@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, dropped
+from ..sources.shared import bucketed, dropped
 
 
 def link_matrix(links: DataFrame) -> DataFrame:
@@ -59,59 +59,65 @@ def category_flows(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.groupBy(F.coalesce("_sc", unknown).alias("source_category"), F.coalesce("_tc", unknown).alias("target_category")).agg(F.sum("link_count").alias("links"))
 
 
+def _buckets(nodes: DataFrame) -> int:
+    return int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(domain, pagerank): weighted PageRank with the rank of dangling nodes dealt to all.
 
-    Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.  A step is one join
-    and one aggregate of stored tables; of each state only three sums come to the driver.
+    Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.  Edges lie in buckets of
+    their source, the state in the same buckets of the node: a step joins them where they lie and shuffles only what targets get,
+    summed up in each task before.  Of each state two sums come to the driver.
     """
-    totals = edges.groupBy("u").agg(F.sum("w").alias("total"))
-    moves = cut(edges.join(totals, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")))
+    totals, buckets = edges.groupBy("u").agg(F.sum("w").alias("total")), _buckets(nodes)
+    moves = bucketed(edges.join(totals, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "u", buckets)
     sink = nodes.select("domain").join(totals.select(F.col("u").alias("_u"), "total"), F.col("domain") == F.col("_u"), "left").select("domain", F.col("total").isNull().alias("dangling"))
-    sink = cut(sink)
-    n, loose = sink.agg(F.count("*"), F.count_if("dangling")).first()
+    state = bucketed(sink.select("domain", "dangling", F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("before")), "domain", buckets)
+    n, loose = state.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
-        return sink.select("domain", F.lit(0.0).alias("pagerank"))
-    rank, loose = sink.select("domain", "dangling", F.lit(1.0 / n).alias("pagerank")), loose / n
-    for step in range(iterations):
+        return state.select("domain", F.lit(0.0).alias("pagerank"))
+    loose, start = loose / n, F.lit(1.0 / n)
+    for _ in range(iterations):
+        rank = state.select("domain", "dangling", F.coalesce("pagerank", start).alias("pagerank"))
         into = rank.join(moves, F.col("domain") == F.col("u")).groupBy("v").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
         after = rank.join(into, F.col("domain") == F.col("v"), "left").select("domain", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before"))
-        if step + 1 == iterations:
-            return after.select("domain", "pagerank")
-        sums = Observation()
-        after = after.observe(sums, F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("change"))
-        before, rank = rank, cut(after)  # it is read twice in the next step; the sums come with the write
-        dropped(before)
-        loose = sums.get["loose"]
-        if tolerance is not None and sums.get["change"] < tolerance:
+        old, state = state, bucketed(after, "domain", buckets)
+        dropped(old)
+        loose, change = state.agg(F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
+        if tolerance is not None and change < tolerance:
             break
-    return rank.select("domain", "pagerank")
+    dropped(moves)
+    return state.select("domain", F.coalesce("pagerank", start).alias("pagerank"))
 
 
 def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: float | None = 1e-5) -> DataFrame:
     """(domain, hub, authority): unweighted HITS; hubs take the authorities of the step before, both are scaled to length 1.
 
-    A step is one join and one aggregate: each edge carries a hub to its target and an authority to its source.
-    States are stored unscaled; their lengths are numbers on the driver.
+    A step is one join and one aggregate: each edge carries a hub to its target and an authority to its source.  Edges, both
+    ways, lie in buckets of the end that gives, the state in the same buckets; states are stored unscaled, their lengths are
+    numbers on the driver.
     """
-    pairs = cut(edges.select("u", "v").distinct())
-    both = cut(pairs.select(F.col("u").alias("at"), F.col("v").alias("to"), F.lit(True).alias("forward")).union(pairs.select("v", "u", F.lit(False))))
-    state, length = nodes.select("domain", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")), (1.0, 1.0)
+    pairs, buckets = edges.select("u", "v").distinct(), _buckets(nodes)
+    ways = F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("to"), F.lit(True).alias("forward")), F.struct(F.col("v").alias("at"), F.col("u").alias("to"), F.lit(False).alias("forward")))).alias("e")
+    both = bucketed(pairs.select(ways).select("e.at", "e.to", "e.forward"), "at", buckets)
+    one, none = F.lit(1.0), F.lit(None).cast("double")
+    state, length = bucketed(nodes.select("domain", one.alias("hub"), one.alias("authority"), none.alias("hub0"), none.alias("authority0")), "domain", buckets), (1.0, 1.0)
     scaled = lambda df, by: df.select("domain", (F.col("hub") / F.lit(by[0])).alias("hub"), (F.col("authority") / F.lit(by[1])).alias("authority"))
     for _ in range(iterations):
         old = scaled(state, length)
         got = old.join(both, F.col("domain") == F.col("at")).groupBy("to").agg(F.sum(F.when(~F.col("forward"), F.col("authority")).otherwise(0.0)).alias("new_hub"), F.sum(F.when(F.col("forward"), F.col("hub")).otherwise(0.0)).alias("new_authority"))
         new = old.join(got, F.col("domain") == F.col("to"), "left").select("domain", F.coalesce("new_hub", F.lit(0.0)).alias("hub"), F.coalesce("new_authority", F.lit(0.0)).alias("authority"), F.col("hub").alias("hub0"), F.col("authority").alias("authority0"))
-        sums = Observation()
-        new = new.observe(sums, F.sum(F.col("hub") * F.col("hub")).alias("hub"), F.sum(F.col("authority") * F.col("authority")).alias("authority"))
-        before, state = state, cut(new)
+        before, state = state, bucketed(new, "domain", buckets)
         dropped(before)
-        length = tuple(math.sqrt(sums.get[k] or 0.0) or 1.0 for k in ("hub", "authority"))
+        square = lambda c: F.sum(F.col(c) * F.col(c))
+        length = tuple(math.sqrt(x or 0.0) or 1.0 for x in state.agg(square("hub"), square("authority")).first())
         if tolerance is not None:
             moved = F.abs(F.col("hub") / F.lit(length[0]) - F.col("hub0")) + F.abs(F.col("authority") / F.lit(length[1]) - F.col("authority0"))
             if (state.agg(F.sum(moved)).first()[0] or 0.0) < tolerance:
                 break
+    dropped(both)
     return scaled(state, length)
 
 

@@ -24,6 +24,14 @@ def _file_system(spark: SparkSession, path: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def place(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder for a table of that kind; what is there goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/sutrapath-{kind}-{uuid.uuid4().hex}"
+    system, at = _file_system(spark, path)
+    system.deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written as a table and read back: its lineage ends there.  The table goes when the application ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/sutrapath-{uuid.uuid4().hex}"
@@ -35,8 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like ``cut``, but the rows lie in buckets of a hash of ``column`` and in its order: joins on it with others bucketed alike shuffle neither.
+
+    The table is in the session's catalog until ``dropped``.
+    """
+    spark, name = df.sparkSession, f"sutrapath_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    out = spark.table(name)
+    out.cut_path, out.cut_table = path, name
+    return out
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes a table made by ``cut`` that nothing reads any more."""
+    """Deletes a table made by ``cut`` or ``bucketed`` that nothing reads any more."""
+    if name := getattr(df, "cut_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path := getattr(df, "cut_path", None):
         system, place = _file_system(df.sparkSession, path)
         system.delete(place, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..operators.ranks import numbered
 
 NOT_MEASURED = "⊥"
 
@@ -49,8 +50,8 @@ def markdown_report(scores: DataFrame, mode: str, candidates: DataFrame | None =
     demand = F.concat(number("demand"), F.when(F.col("demand").isNotNull() & ~F.col("demand_complete"), " (partial)").otherwise(""))
     breadth = F.concat(F.when(_optional(scores, "breadth_comparable", F.lit(True)), "").otherwise("⚠ "), number("breadth"))
     cells = [F.concat(F.lit("`"), "seed", F.lit("`")), F.concat(F.lit("**"), demand, F.lit("**")), F.concat(F.lit("`"), "priority_band", F.lit("`")), F.col("intent"), breadth, *[number(c) for c in ("coverage", "density", "depth")], F.coalesce("competition_band", F.lit("unmeasured")), F.col("suggestions_seen").cast("string")]
-    order = F.row_number().over(Window.partitionBy().orderBy(F.col("demand").desc_nulls_last(), "seed_ord"))  # one report
-    out = fixed(0, head).unionByName(scores.select(F.lit(1).alias("part"), order.cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
+    placed = numbered(scores, [], [F.col("demand").desc_nulls_last(), F.col("seed_ord")], "_at")
+    out = fixed(0, head).unionByName(placed.select(F.lit(1).alias("part"), (F.col("_at") + 1).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
     if not_asked is not None:
         out = out.unionByName(fixed(2, ["", "## Ceilings Hit (Never Asked)"])).unionByName(not_asked.select(F.lit(3).alias("part"), F.col("seed_ord").cast("long").alias("n"), F.concat(F.lit("- `"), "seed", F.lit("`")).alias("line")))
     out = out.unionByName(fixed(4, ["", "## Discovered Candidate Keywords (Unvalidated)"]))
@@ -79,8 +80,8 @@ def plan_markdown(plan: DataFrame, links: DataFrame, orphans: DataFrame, languag
     row = F.concat_ws(" | ", F.concat(F.lit("| #"), F.col("publish_order").cast("string")), F.concat(F.lit("**"), "primary_title", F.lit("**")), F.format_string("%.3f", "cluster_demand"), F.concat(F.lit("`"), "intent", F.lit("`")), F.concat(F.coalesce(F.try_element_at(shapes, F.col("intent")), F.lit("")), F.lit(" |")))
     out = out.unionByName(plan.select(F.lit(1).alias("part"), F.col("publish_order").cast("long").alias("n"), row.alias("line")))
     out = out.unionByName(fixed(2, ["", "## Internal Link Architecture", "| Source Topic | Target Topic | Suggested Anchor Text |", "|---|---|---|"]))
-    order = F.row_number().over(Window.partitionBy().orderBy("source_topic", "target_topic"))  # one plan
-    out = out.unionByName(links.select(F.lit(3).alias("part"), order.cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", "source_topic", "target_topic", F.concat(F.lit("**`"), "target_topic", F.lit("`**"))), F.lit(" |")).alias("line")))
+    placed = numbered(links, [], [F.col("source_topic"), F.col("target_topic")], "_at")
+    out = out.unionByName(placed.select(F.lit(3).alias("part"), (F.col("_at") + 1).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", "source_topic", "target_topic", F.concat(F.lit("**`"), "target_topic", F.lit("`**"))), F.lit(" |")).alias("line")))
     out = out.unionByName(fixed(4, ["", "## Standalone / Pillar Topics (No Inbound Links Suggested)"]))
     return out.unionByName(orphans.select(F.lit(5).alias("part"), F.col("publish_order").cast("long").alias("n"), F.concat(F.lit("- `"), "primary_title", F.lit("`")).alias("line"))).orderBy("part", "n")
 
