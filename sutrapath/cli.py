@@ -1,4 +1,4 @@
-"""Command line: research, plan, weights, graph, index, search, suggest, directory, serp, serp-dates, sitemaps."""
+"""Command line: research, plan, weights, graph, index, refresh, search, suggest, directory, serp, serp-dates, sitemaps."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import demand, graph, index, search, serp, web
+from .operators.segments import Store
 from .sources import files, sinks
+from .streaming.ingest import feed_stream, live_index
 
 
 def _session() -> SparkSession:
@@ -32,8 +34,19 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("links")
     c.add_argument("--out")
     c = commands.add_parser("search")
-    c.add_argument("documents")
+    c.add_argument("index")
     c.add_argument("query")
+    c.add_argument("--pages")
+    c.add_argument("--websites")
+    c.add_argument("--category")
+    c.add_argument("--freshness")
+    c.add_argument("--sort", default="relevance")
+    c = commands.add_parser("refresh")
+    c.add_argument("feed")
+    c.add_argument("pages")
+    c.add_argument("index")
+    c.add_argument("checkpoint")
+    c.add_argument("--every")
     c = commands.add_parser("index")
     c.add_argument("pages")
     c.add_argument("out")
@@ -81,8 +94,19 @@ def main(args: list[str] | None = None) -> None:
         if a.out:
             web.write_back(nodes, scores.join(graph.degrees(nodes, edges), "domain")).write.mode("errorifexists").parquet(a.out)
     elif a.command == "search":
-        found = search.retrieve(spark.read.parquet(a.documents), search.clusters_of(spark, a.query))
-        found.orderBy("level", F.col("bm25").desc(), "doc_id").show(25)
+        store = Store.open(spark, a.index)
+        if a.pages and a.websites:
+            pages, sites = spark.read.parquet(a.pages), spark.read.parquet(a.websites)
+            found, about = index.respond(store, pages, sites, a.query, F.current_timestamp(), category=a.category, freshness=a.freshness, sort_by=a.sort)
+            about.show(truncate=False)
+            found.show(25, truncate=False)
+        else:
+            store.retrieve(search.clusters_of(spark, a.query)).orderBy("level", F.col("bm25").desc(), "doc_id").show(25)
+    elif a.command == "refresh":
+        stream = feed_stream(spark, a.feed, spark.read.parquet(a.feed).schema)
+        query = live_index(stream, a.pages, a.index, a.checkpoint, a.every)
+        if a.every:
+            query.awaitTermination()
     elif a.command == "index":
         index.build(spark.read.parquet(a.pages)).write(a.out)
     elif a.command == "serp":

@@ -1,10 +1,10 @@
-"""The search index: postings of enriched terms in partitions that a query prunes, and search over it."""
+"""The search index of pages: enriched terms, written in segments (``segments``), and search over it."""
 
 from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
@@ -12,30 +12,19 @@ from ..functions.stem import vocabulary, word_list
 from ..functions.text import contains_any, fold, native_date, recent
 from ..sources.shared import cut
 from . import search
-
-#: Partitions of the postings; a term's is that of its first two characters, so that a prefix has one too.
-BUCKETS = 256
+from .segments import Store, documents_of
 
 
 @dataclasses.dataclass
 class Index:
-    """``documents`` (page_id, dl, terms) and ``postings`` (term, page_id, tf, bucket)."""
+    """``documents`` (page_id, dl, terms) and ``postings`` (term, page_id, tf), as worked out from pages."""
 
     documents: DataFrame
     postings: DataFrame
 
-    def write(self, path: str) -> None:
-        """Postings lie in a folder for each bucket and in order of the term: a query reads its terms' buckets only."""
-        self.documents.write.mode("errorifexists").parquet(f"{path}/documents")
-        self.postings.repartition("bucket").sortWithinPartitions("bucket", "term", "page_id").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
-
-    @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"))
-
-
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
+    def write(self, path: str) -> Store:
+        """The first segment of a written index."""
+        return Store.create(self.documents, self.postings, path)
 
 
 def index_text(pages: DataFrame) -> DataFrame:
@@ -51,35 +40,14 @@ def build(pages: DataFrame) -> Index:
     words = cut(words)
     terms = vocabulary(words.select("word").distinct())
     # a term that several words of a page stand for is there as often as all of them
-    postings = words.join(terms, "word").groupBy("term", "page_id").agg(F.sum("times").alias("tf")).withColumn("bucket", bucket(F.col("term")))
-    postings = cut(postings)
-    documents = postings.groupBy("page_id").agg(F.sum("tf").alias("dl"), F.array_sort(F.collect_list("term")).alias("terms"))
-    return Index(documents, postings)
-
-
-def maintain(index: Index, pages: DataFrame) -> Index:
-    """The index with new and changed pages: what it held of them goes, all else stays as it is."""
-    fresh, ids = build(pages), pages.select("page_id").distinct()
-    keep = lambda old, new: old.join(ids, "page_id", "left_anti").unionByName(new.select(*old.columns))
-    return Index(keep(index.documents, fresh.documents), keep(index.postings, fresh.postings))
-
-
-def matches(index: Index, clusters: list[list[str]]) -> DataFrame:
-    """(doc_id, clusters_hit, bm25) of pages with a term of any cluster; only the buckets of those terms are read."""
-    spark, chosen = index.postings.sparkSession, search.cluster_terms(clusters)
-    terms = [t for c in chosen for t in c]
-    if not terms:
-        return spark.createDataFrame([], "doc_id long, clusters_hit int, bm25 double")
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"))).distinct().collect()]
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | F.col("term").startswith(t)
-    rows = index.postings.where(F.col("bucket").isin(buckets) & hit)
-    tf = [F.sum(F.when(F.col("term").startswith(t), F.col("tf")).otherwise(0)).cast("int") for t in terms]
-    found = rows.groupBy("page_id").agg(F.array(*tf).alias("tf"))
-    found = found.join(index.documents.select(F.col("page_id").alias("doc_id"), "dl"), F.col("page_id") == F.col("doc_id")).select("doc_id", "dl", "tf")
-    n, average = index.documents.agg(F.count("*"), F.avg("dl")).first()
-    return search.scored(cut(found), chosen, n, average or 1.0)
+    postings = cut(words.join(terms, "word").groupBy("term", "page_id").agg(F.sum("times").alias("tf")))
+    return Index(documents_of(postings), postings)
+
+
+def maintain(store: Store, pages: DataFrame) -> Store:
+    """The written index with new and changed pages as a segment: what it held of them goes, all else stays as it is."""
+    fresh = build(pages)
+    return store.add(fresh.documents, fresh.postings, removed=pages)
 
 
 def page_filters(category: str | None, freshness: str | None, as_of: Column) -> list[Column]:
@@ -93,20 +61,19 @@ def page_filters(category: str | None, freshness: str | None, as_of: Column) ->
     return out
 
 
-def search_index(index: Index, pages: DataFrame, websites: DataFrame, query: str, as_of: Column, category: str | None = None, freshness: str | None = None, sort_by: str = "relevance", limit: int = 25, freshness_wanted: bool = False) -> DataFrame:
-    """Results of a query, best first: pages (page_id, url, title, path, domain, lastmod, fetched_at, ratio) joined with websites (domain, category, pagerank, authority, ratio).
+def search_index(store: Store, pages: DataFrame, websites: DataFrame, query: str, as_of: Column, category: str | None = None, freshness: str | None = None, sort_by: str = "relevance", limit: int = 25, freshness_wanted: bool = False) -> DataFrame:
+    """Results of a query over a written index, best first: pages (page_id, url, title, path, domain, lastmod, fetched_at, ratio) joined with websites (domain, category, pagerank, authority, ratio).
 
     Retrieval keeps the best 150 by the order asked for (relevance, date, pagerank); the hybrid score ranks those.  Without a
     result the freshness filter goes, then the category too; ``dropped`` says how many went.
     """
-    spark = index.postings.sparkSession
-    clusters = search.clusters_of(spark, query)
+    clusters = search.clusters_of(store.spark, query)
     sites = websites.select(F.col("domain").alias("_d"), "category", "pagerank", "authority", F.col("ratio").alias("_site_ratio"))
     known = pages.join(sites, F.col("domain") == F.col("_d")).select(
         F.col("page_id").alias("_p"), "url", "title", F.coalesce("path", F.lit("")).alias("path"), "domain", "category", "lastmod", F.coalesce("lastmod", "fetched_at").alias("at"),
         F.coalesce("pagerank", F.lit(0.01)).alias("pagerank"), F.coalesce("authority", F.lit(0.0)).alias("authority"), F.coalesce("ratio", "_site_ratio", F.lit(0.5)).alias("ratio"),
     )
-    found = cut(matches(index, clusters).join(known, F.col("doc_id") == F.col("_p")))
+    found = cut(store.matches(search.cluster_terms(clusters)).join(known, F.col("doc_id") == F.col("_p")))
     filters, dropped, kept = page_filters(category, freshness, as_of), 0, found
     for dropped in range(len(filters) + 1):
         kept = found
@@ -116,7 +83,7 @@ def search_index(index: Index, pages: DataFrame, websites: DataFrame, query: str
             break
     order = {"date": [F.col("at").desc_nulls_last()], "pagerank": [F.col("pagerank").desc()]}.get(sort_by, [])
     best = search.tiers(kept, len(clusters), order=order)
-    rows = best.join(index.documents.select(F.col("page_id").alias("_i"), "terms"), F.col("doc_id") == F.col("_i"))
+    rows = best.join(store.documents().select(F.col("page_id").alias("_i"), "terms"), F.col("doc_id") == F.col("_i"))
     scores = search.hybrid(evidence(rows, query, clusters, as_of, freshness_wanted))
     first = {"date": [F.col("at").desc_nulls_last()], "pagerank": [F.round("pagerank", 4).desc()]}.get(sort_by, [])
     shown = scores.orderBy(*first, F.col("score").desc(), "doc_id").limit(limit)
@@ -158,8 +125,8 @@ def result_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def respond(index: Index, pages: DataFrame, websites: DataFrame, query: str, as_of: Column, **options) -> tuple[DataFrame, DataFrame]:
+def respond(store: Store, pages: DataFrame, websites: DataFrame, query: str, as_of: Column, **options) -> tuple[DataFrame, DataFrame]:
     """The results of a query, and one row about it: folded query, related queries, answer card."""
-    about = index.postings.sparkSession.createDataFrame([(query,)], "query string")
+    about = store.spark.createDataFrame([(query,)], "query string")
     about = about.select("query", fold(F.col("query")).alias("clean_query"), search.related(F.col("query")).alias("related"), search.answer_card(F.col("query")).alias("answer_card"))
-    return search_index(index, pages, websites, query, as_of, **options), about
+    return search_index(store, pages, websites, query, as_of, **options), about

@@ -67,11 +67,15 @@ def _counted(term: str) -> Column:
     return F.size(F.filter(F.coalesce("_t", F.array().cast("array<string>")), lambda w: w.startswith(term)))
 
 
-def scored(found: DataFrame, clusters: list[list[str]], n: int, average: float) -> DataFrame:
-    """``found`` (doc_id, dl, tf: an array with a count for each term of all clusters) with clusters_hit and bm25."""
+def scored(found: DataFrame, clusters: list[list[str]], n: int, average: float, df: list[int] | None = None) -> DataFrame:
+    """``found`` (doc_id, dl, tf: an array with a count for each term of all clusters) with clusters_hit and bm25.
+
+    ``df`` says in how many documents each term is, where ``found`` doesn't hold all of them.
+    """
     sizes = [len(c) for c in clusters]
     total = sum(sizes)
-    df = found.agg(*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(total)]).first() if total else []
+    if df is None:
+        df = found.agg(*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(total)]).first() if total else []
     part = lambda i: F.greatest(F.log(F.lit((n - df[i] + 0.5) / (df[i] + 0.5))), F.lit(1e-6)) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
     score = sum((part(i) for i in range(total)), F.lit(0.0))
     hits, at = F.lit(0), 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..operators import demand, graph, index, search, serp, web
+from ..operators.segments import Store, documents_of
 from ..sources.files import table
+from ..sources.shared import cut, place
 from ..sources.sinks import csv_rows, markdown_report, plan_markdown
 from . import sql
 from .sql import SAMPLES
@@ -452,6 +455,29 @@ def dem_three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERMS = ["the", "erthing", "anin", "les", "und"]
 
+#: Paths of indexes that this application has written, by session, folder of tables and kind.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, sf_dir: str, kind: str) -> Store:
+    """The written index of whole documents, or of pages: the first query of an application writes it, others read their terms' buckets of it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _WRITTEN:
+        path = place(spark, f"index-{kind}")
+        if kind == "pages":
+            index.build(search_pages(spark, sf_dir)[0]).write(path)
+        else:
+            add_documents(None, table(spark, sf_dir, "documents"), path)
+        _WRITTEN[key] = path
+    return Store.open(spark, _WRITTEN[key])
+
+
+def add_documents(store: Store | None, docs: DataFrame, path: str) -> Store:
+    """Documents (doc_id, text) by their words, as the first or the next segment."""
+    postings = cut(search.postings(docs).withColumnRenamed("doc_id", "page_id"))
+    documents = documents_of(postings, docs.select(F.col("doc_id").alias("page_id")))
+    return Store.create(documents, postings, path) if store is None else store.add(documents, postings)
+
 
 @query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all({sql.fold('text')}, '{sql.WORD}+')) AS term FROM documents) GROUP BY term, doc_id")
 def srch_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +486,24 @@ def srch_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.bm25(TERMS)} SELECT doc_id, matched, round(bm25, 6) AS bm25 FROM bm25")
 def srch_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), TERMS).withColumn("bm25", F.round("bm25", 6))
+    return written(spark, sf_dir, "documents").bm25(TERMS)
+
+
+@query(f"WITH {sql.bm25(TERMS)} SELECT doc_id, matched AS clusters_hit, round(bm25, 6) AS bm25 FROM bm25 ORDER BY round(bm25, 6) DESC, doc_id LIMIT 150")
+def srch_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 150 best by whole words; blocks that can't hold any of them are not read."""
+    return written(spark, sf_dir, "documents").best([[t] for t in TERMS], prefix=False).withColumn("clusters_hit", F.col("clusters_hit").cast("long"))
+
+
+@query(f"WITH {sql.bm25(TERMS)} SELECT doc_id, matched, round(bm25, 6) AS bm25 FROM bm25")
+def srch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base in which a third of the documents lacks and a third has other words, two segments that mend it, a compaction: as if built anew."""
+    docs, third = table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.col("doc_id") % 3
+    path = place(spark, "index-segments")
+    store = add_documents(None, docs.where(third > 0).withColumn("text", F.when(third == 1, F.concat(F.lit("the und "), "source")).otherwise(F.col("text"))), path)
+    store = add_documents(store, docs.where(third == 0), path)
+    store = add_documents(store, docs.where(third == 1), path)
+    return store.compact(2).bm25(TERMS)
 
 
 CLUSTERS = [["erthi", "thing"], ["anin", "onat"]]
@@ -468,12 +511,12 @@ CLUSTERS = [["erthi", "thing"], ["anin", "onat"]]
 
 @query(sql.retrieve(CLUSTERS, "true"))
 def srch_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.retrieve(table(spark, sf_dir, "documents"), CLUSTERS)
+    return written(spark, sf_dir, "documents").retrieve(CLUSTERS)
 
 
 @query(sql.retrieve([["zzqqx"], ["anin"]], "true"))
 def srch_tier2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.retrieve(table(spark, sf_dir, "documents"), [["zzqqx"], ["anin"]])
+    return written(spark, sf_dir, "documents").retrieve([["zzqqx"], ["anin"]])
 
 
 @query(sql.retrieve(CLUSTERS, "true", extra=", 2 AS dropped"))
@@ -522,12 +565,12 @@ def search_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query(f"WITH {sql.INDEX} SELECT term, page_id, tf FROM postings")
 def srch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build(search_pages(spark, sf_dir)[0]).postings.select("term", "page_id", "tf")
+    return written(spark, sf_dir, "pages").live_postings().select("term", "page_id", "tf")
 
 
 def found(spark: SparkSession, sf_dir: str, query: str, **options) -> DataFrame:
     pages, sites = search_pages(spark, sf_dir)
-    out = index.search_index(index.build(pages), pages, sites, query, F.lit("2024-01-20").cast("timestamp"), **options)
+    out = index.search_index(written(spark, sf_dir, "pages"), pages, sites, query, F.lit("2024-01-20").cast("timestamp"), **options)
     return out.select("doc_id", "url", "title", "category", "snippet", "score", "coverage", "level", "formatted_date", "recent", "dropped")
 
 
@@ -602,10 +645,36 @@ def st_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS times FROM events GROUP BY user_id")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a pattern, as a stream reads a single file by no other path
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, count(*) AS times FROM events GROUP BY user_id")
+def st_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream into a table by user: the first event of each and how many there were."""
+    from ..streaming.ingest import ingest
+    from ..streaming.keyed import KeyedTable
+
+    path = place(spark, "ingest")
+
+    def merge(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+        rows = batch.select("user_id", "event_id", "ts", F.lit(1).cast("long").alias("times"))
+        rows = rows if known is None else rows.unionByName(known)
+        first = F.min_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("_first")
+        return rows.groupBy("user_id").agg(first, F.sum("times").alias("times")).select("user_id", "_first.event_id", "_first.ts", "times")
+
+    ingest(event_stream(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", merge, ["user_id"])
+    return KeyedTable(spark, f"{path}/table", ["user_id"]).read()
+
+
+@query("SELECT DISTINCT user_id FROM events")
 def st_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("times"))
+    """A stream of the events of which each user's first within the watermark passes: all were seen by its end."""
+    from ..streaming.ingest import first_seen, run_to_memory
+
+    stream = event_stream(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return run_to_memory(first_seen(stream, "user_id", "ts", "10000 days"), f"first_{uuid.uuid4().hex}").select("user_id")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -24,3 +24,9 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def small_docs(spark):
+    """The whole documents table of the smallest size."""
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

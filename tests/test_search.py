@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sutrapath.functions.stem import search_tokens, stems, vocabulary
 from sutrapath.operators import index, search, serp
+from sutrapath.operators.segments import Store
 
 
 def words(spark, *items):
@@ -49,22 +50,20 @@ def test_index_written_and_read(spark, tmp_path):
     pages, built = small_index(spark)
     assert {r["page_id"] for r in built.documents.collect()} == {1, 2}
     built.write(str(tmp_path / "index"))
-    read = index.Index.read(spark, str(tmp_path / "index"))
-    found = index.matches(read, search.clusters_of(spark, "demat"))
+    found = Store.open(spark, str(tmp_path / "index")).matches(search.cluster_terms(search.clusters_of(spark, "demat")))
     assert [r["doc_id"] for r in found.collect()] == [2]
-    plan = read.postings.where(F.col("bucket").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan
 
 
-def test_index_maintained(spark):
+def test_index_maintained(spark, tmp_path):
     pages, built = small_index(spark)
-    again = index.maintain(built, spark.createDataFrame([(2, "u2", "weather", "/x", "b.in"), (9, "u9", "demat", "/", "b.in")], pages.schema))
-    assert [r["doc_id"] for r in index.matches(again, search.clusters_of(spark, "demat")).collect()] == [9]
-    assert [r["doc_id"] for r in index.matches(again, search.clusters_of(spark, "weather")).collect()] == [2]
+    again = index.maintain(built.write(str(tmp_path / "index")), spark.createDataFrame([(2, "u2", "weather", "/x", "b.in"), (9, "u9", "demat", "/", "b.in")], pages.schema))
+    assert [r["doc_id"] for r in again.matches(search.clusters_of(spark, "demat")).collect()] == [9]
+    assert [r["doc_id"] for r in again.matches(search.clusters_of(spark, "weather")).collect()] == [2]
 
 
-def test_search_response(spark):
+def test_search_response(spark, tmp_path):
     pages, built = small_index(spark)
+    built = built.write(str(tmp_path / "index"))
     pages = pages.withColumns({"lastmod": F.lit("2024-01-19").cast("timestamp"), "fetched_at": F.lit(None).cast("timestamp"), "ratio": F.lit(None).cast("double")})
     sites = spark.createDataFrame([("a.in", "agri", 0.02, None, 0.9), ("b.in", "finance", None, None, None)], "domain string, category string, pagerank double, authority double, ratio double")
     as_of = F.lit("2024-01-20").cast("timestamp")
@@ -105,11 +104,16 @@ def test_cli_commands(spark, tmp_path, monkeypatch):
     from sutrapath import cli
 
     monkeypatch.setattr(cli, "_session", lambda: spark)
-    spark.createDataFrame([(1, "demat account"), (2, "weather")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
-    cli.main(["search", str(tmp_path / "docs"), "demat"])
-    small_index(spark)[0].write.parquet(str(tmp_path / "pages"))
+    pages = small_index(spark)[0].withColumns({"lastmod": F.lit("2024-01-19").cast("timestamp"), "fetched_at": F.lit(None).cast("timestamp"), "ratio": F.lit(None).cast("double")})
+    pages.write.parquet(str(tmp_path / "pages"))
     cli.main(["index", str(tmp_path / "pages"), str(tmp_path / "index")])
-    assert index.Index.read(spark, str(tmp_path / "index")).documents.count() == 2
+    assert Store.open(spark, str(tmp_path / "index")).documents().count() == 2
+    cli.main(["search", str(tmp_path / "index"), "demat"])
+    spark.createDataFrame([("b.in", "finance", None, None, None)], "domain string, category string, pagerank double, authority double, ratio double").write.parquet(str(tmp_path / "sites"))
+    cli.main(["search", str(tmp_path / "index"), "demat", "--pages", str(tmp_path / "pages"), "--websites", str(tmp_path / "sites")])
+    spark.createDataFrame([("https://b.in/n", "demat", "2024-01-20")], "url string, title string, at string").selectExpr("url", "title", "timestamp(at) AS published_at").write.parquet(str(tmp_path / "feed"))
+    cli.main(["refresh", str(tmp_path / "feed"), str(tmp_path / "stored"), str(tmp_path / "index"), str(tmp_path / "check")])
+    assert Store.open(spark, str(tmp_path / "index")).documents().count() == 3
     spark.createDataFrame([("a", "x"), ("b", "x")], "domain string, category string").write.parquet(str(tmp_path / "nodes"))
     spark.createDataFrame([("a", "b")], "source_domain string, target_domain string").write.parquet(str(tmp_path / "links"))
     cli.main(["graph", str(tmp_path / "nodes"), str(tmp_path / "links"), "--out", str(tmp_path / "scored")])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sutrapath.operators import demand, web
 from sutrapath.sources import files, sinks
 from sutrapath.streaming import ingest
+from sutrapath.streaming.keyed import KeyedTable
 
 
 def test_page_links(spark):
@@ -183,8 +184,8 @@ def test_ingest_is_idempotent(spark, tmp_path):
         return ingest.merge_titles(batch, old)
 
     for _ in range(2):  # the second run has nothing new
-        ingest.ingest(ingest.feed_stream(spark, source, spark.read.parquet(source).schema), str(tmp_path / "table"), str(tmp_path / "check"), merge)
-    assert {r["url"]: r["title"] for r in spark.read.parquet(str(tmp_path / "table" / "v0")).collect()} == {"u1": "kept", "u2": "two"}
+        ingest.ingest(ingest.feed_stream(spark, source, spark.read.parquet(source).schema), str(tmp_path / "table"), str(tmp_path / "check"), merge, ["url"], buckets=1)
+    assert {r["url"]: r["title"] for r in KeyedTable(spark, str(tmp_path / "table"), ["url"]).read().collect()} == {"u1": "kept", "u2": "two"}
 
 
 def test_upsert_settles_equal_times(spark):
