@@ -28,6 +28,9 @@ def main(args: list[str] | None = None) -> None:
         c.add_argument("--recorded")
         c.add_argument("--observations")
         c.add_argument("--out")
+        c.add_argument("--cache")
+        c.add_argument("--max-seeds", type=int)
+        c.add_argument("--max-queries", type=int)
     commands.add_parser("weights")
     c = commands.add_parser("graph")
     c.add_argument("nodes")
@@ -71,7 +74,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command in ("research", "plan"):
         table = files.recorded_suggestions(spark, a.recorded) if a.recorded else None
         observed = files.observations(spark, a.observations) if a.observations else None
-        scores = demand.research(files.seeds(spark, a.seeds), a.language, table, observed)
+        scores = demand.research(files.seeds(spark, a.seeds), a.language, table, observed, cache_path=a.cache, max_seeds=a.max_seeds, max_queries=a.max_queries)
         if a.command == "plan":
             plan = demand.clusters(scores)
             links = demand.topic_links(plan)

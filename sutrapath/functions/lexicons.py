@@ -196,6 +196,26 @@ BUYER_INTENT = {
 #: Intents in order of precedence, and the article shape of each.
 INTENTS = ["transactional", "navigational", "howto", "freshness", "comparison", "informational"]
 
+#: Labels of search intents, and of what pages for them look like.
+INTENT_LABELS = {
+    "freshness": "📰 ताज्या घडामोडी शोध (Freshness Intent)",
+    "informational": "📖 माहिती व संदर्भ शोध (Informational Intent)",
+    "howto": "🛠️ कार्यपद्धती व मार्गदर्शक (How-to Guide)",
+    "transactional": "💼 योजना, सेवा व अर्ज शोध (Transactional Intent)",
+    "comparison": "⚖️ तुलना व मूल्यमापन (Comparison Intent)",
+    "navigational": "🌐 अधिकृत संकेतस्थळ शोध (Navigational Intent)",
+    "unclear": "🔍 सर्वसाधारण मराठी शोध",
+}
+SHAPE_LABELS = {
+    "freshness": "दिनांकित व सर्वात अद्ययावत वृत्तपेज",
+    "informational": "सविस्तर विश्लेषणात्मक व संदर्भ माहिती",
+    "howto": "टप्प्याटप्प्याने मार्गदर्शक कृती व कार्यपद्धती",
+    "transactional": "अधिकृत पोर्टल, नोंदणी अर्ज किंवा लाभार्थी यादी",
+    "comparison": "तुलनात्मक तक्ता व निकष मूल्यांकन",
+    "navigational": "अधिकृत मुख्य संकेतस्थळ",
+    "unclear": "विश्वसनीय मराठी वृत्त व माहिती",
+}
+
 ARTICLE_SHAPES = {
     "informational": "Explainer or reference pillar page",
     "howto": "Step-by-step practical guide",

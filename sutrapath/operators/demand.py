@@ -5,6 +5,7 @@ A null is "not measured" throughout and never becomes 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions.text import WORD, contains_any, dedup_key, nfc_all, script_of, topic_key
+from ..sources import cache
 from ..sources.shared import cut
 from .blocks import blocked_join
 from .ranks import numbered
@@ -260,11 +262,38 @@ def orphans(plan: DataFrame, links: DataFrame) -> DataFrame:
     return plan.join(linked.distinct(), F.col("primary_title") == F.col("_t"), "left_anti").select("publish_order", "primary_title")
 
 
-def research(seeds: DataFrame, language: str = "mr", table: DataFrame | None = None, observations: DataFrame | None = None, weights: Weights = Weights()) -> DataFrame:
-    """Seeds to scores: expansion, suggestions (recorded, or the fixture), signals, intent, competition, score."""
+def answers(queries: DataFrame, ask: Callable[[DataFrame], DataFrame], cache_path: str | None = None, language: str = "mr", region: str = "IN") -> DataFrame:
+    """``queries`` with measured and suggestions: those that are cached from there, the others asked once and, where measured, cached."""
+    if cache_path is None:
+        return ask(queries)
+    spark = queries.sparkSession
+    hits, misses = cache.look_up(queries, cache.read(spark, cache_path, language, region))
+    hits = cut(hits)  # before the table grows
+    fresh = cut(ask(misses))
+    if not fresh.isEmpty():
+        cache.write(fresh, cache_path, language, region)
+    return hits.unionByName(fresh.select(*hits.columns))
+
+
+def research(
+    seeds: DataFrame, language: str = "mr", table: DataFrame | None = None, observations: DataFrame | None = None, weights: Weights = Weights(), ask: Callable[[DataFrame], DataFrame] | None = None,
+    cache_path: str | None = None, region: str = "IN", max_seeds: int | None = None, max_queries: int | None = None,
+) -> DataFrame:
+    """Seeds to scores: expansion within the ceilings, suggestions (``ask``, a recorded table, or the fixture; cached ones are not asked again), signals, intent, competition, score.
+
+    With ceilings, seeds of which no query is asked have no row (``not_asked``), and ``breadth_comparable`` says whether all of a seed's queries were.
+    """
     queries = expand(seeds, language)
-    results = fixture(queries, language) if table is None else recorded(queries, table)
+    limited = max_seeds is not None or max_queries is not None
+    if limited:
+        queries = cut(admit(queries, max_seeds, max_queries))
+        whole = queries.groupBy(F.col("seed_ord").alias("_s")).agg(F.bool_and("admitted").alias("breadth_comparable"))
+        queries = queries.where("admitted").drop("admitted")
+    ask = ask or ((lambda q: fixture(q, language)) if table is None else (lambda q: recorded(q, table)))
+    results = answers(queries, ask, cache_path, language, region)
     out = signals(results, language).withColumn("intent", cls.intent(F.col("seed"), language))
+    if limited:
+        out = out.join(whole, F.col("seed_ord") == F.col("_s")).drop("_s")
     if observations is None:
         out = out.withColumn("competition_band", F.lit(None).cast("string"))
     else:
@@ -272,3 +301,7 @@ def research(seeds: DataFrame, language: str = "mr", table: DataFrame | None = N
         out = out.join(bands, F.col("seed_ord") == F.col("_s"), "left").drop("_s")
     return score(out, weights)
 
+
+def not_asked(seeds: DataFrame, scores: DataFrame) -> DataFrame:
+    """Seeds that ceilings left out."""
+    return seeds.join(scores.select(F.col("seed_ord").alias("_s")), F.col("seed_ord") == F.col("_s"), "left_anti")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions.stem import vocabulary, word_list
 from ..functions.text import contains_any, fold, native_date, recent
@@ -86,7 +87,8 @@ def search_index(store: Store, pages: DataFrame, websites: DataFrame, query: str
     rows = best.join(store.documents().select(F.col("page_id").alias("_i"), "terms"), F.col("doc_id") == F.col("_i"))
     scores = search.hybrid(evidence(rows, query, clusters, as_of, freshness_wanted))
     first = {"date": [F.col("at").desc_nulls_last()], "pagerank": [F.round("pagerank", 4).desc()]}.get(sort_by, [])
-    shown = scores.orderBy(*first, F.col("score").desc(), "doc_id").limit(limit)
+    # 300 rows at most, two times what each level keeps
+    shown = scores.withColumn("total_found", F.count("*").over(Window.partitionBy())).orderBy(*first, F.col("score").desc(), "doc_id").limit(limit)
     return result_rows(shown).withColumn("dropped", F.lit(dropped))
 
 
@@ -121,12 +123,36 @@ def result_rows(rows: DataFrame) -> DataFrame:
     title = F.when(F.length(shown) >= 4, F.concat(shown, F.lit(" | "), name)).otherwise(F.coalesce(F.nullif("title", F.lit("")), name))
     return rows.select(
         "doc_id", "url", title.alias("title"), "domain", "category", snippet(F.col("domain"), F.col("category"), F.col("haystack")).alias("snippet"), F.round(F.col("ratio") * 100, 1).alias("ratio"), F.round("pagerank", 4).alias("pagerank"), F.round("authority", 4).alias("authority"),
-        "score", F.round("coverage", 2).alias("coverage"), "tier", (F.col("coverage") < 0.8).alias("partial_match"), "level", "at", native_date(F.col("at")).alias("formatted_date"), "recent", "bm25_norm",
+        "total_found", "score", F.round("coverage", 2).alias("coverage"), "tier", (F.col("coverage") < 0.8).alias("partial_match"), "level", "at", native_date(F.col("at")).alias("formatted_date"), "recent", "bm25_norm",
     )
 
 
+#: What is said when filters had to go, and what sections are called in it.
+NO_FRESH = "निवडलेल्या कालमर्यादेत निकाल आढळले नाहीत, म्हणून सर्व काळातील निकाल दाखवत आहोत."
+NO_SECTION = ("'", "' विभागात निकाल आढळले नाहीत, म्हणून संपूर्ण मराठी इंटरनेटवरील निकाल खाली दाखवले आहेत.")
+SECTIONS = {"news": "बातम्या", "finance": "अर्थव्यवस्था", "mpsc": "स्पर्धा परीक्षा", "agri": "कृषी", "gov": "शासकीय", "knowledge": "ज्ञानकोश"}
+
+
+def notice(category: str | None, freshness: str | None, dropped: int) -> str | None:
+    """What is said of ``dropped`` filters: the time goes first, the section only after it."""
+    timed = freshness in ("24h", "week", "month")
+    if category and category != "all" and dropped > int(timed):
+        return SECTIONS.get(category, category).join(NO_SECTION)
+    return NO_FRESH if dropped else None
+
+
 def respond(store: Store, pages: DataFrame, websites: DataFrame, query: str, as_of: Column, **options) -> tuple[DataFrame, DataFrame]:
-    """The results of a query, and one row about it: folded query, related queries, answer card."""
-    about = store.spark.createDataFrame([(query,)], "query string")
-    about = about.select("query", fold(F.col("query")).alias("clean_query"), search.related(F.col("query")).alias("related"), search.answer_card(F.col("query")).alias("answer_card"))
-    return search_index(store, pages, websites, query, as_of, **options), about
+    """The results of a query, and one row about it: folded query, intent with its labels, how many were found, tier, notice of filters that went, related queries, answer card."""
+    text, spark = F.col("query"), store.spark
+    about = spark.createDataFrame([(query,)], "query string").withColumn("clean_query", fold(text))
+    clean = F.col("clean_query")
+    label = lambda table: F.coalesce(*[F.when(F.col("intent") == k, v) for k, v in table.items()], F.lit(table["unclear"]))
+    about = cut(about.withColumn("intent", F.when(clean == "", "unclear").otherwise(cls.intent(clean))).withColumn("is_question", (clean != "") & cls.is_question(clean)))
+    results = cut(search_index(store, pages, websites, query, as_of, **{"freshness_wanted": about.first()["intent"] == "freshness"} | options))
+    seen = results.agg(F.max("total_found").alias("n"), F.max("level").alias("level"), F.max("dropped").alias("dropped")).first()
+    said = notice(options.get("category"), options.get("freshness"), seen["dropped"] or 0)
+    about = about.select(
+        "query", "clean_query", "intent", label(lex.INTENT_LABELS).alias("intent_label"), label(lex.SHAPE_LABELS).alias("shape_label"), "is_question", F.lit(seen["n"] or 0).cast("long").alias("total_found"),
+        F.lit("relaxed" if seen["level"] == 2 else "exact").alias("tier_used"), F.lit(said).cast("string").alias("notice"), search.related(text).alias("related"), search.answer_card(text).alias("answer_card"),
+    )
+    return results, about

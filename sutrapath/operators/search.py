@@ -144,8 +144,22 @@ def clusters_of(spark: SparkSession, query: str) -> list[list[str]]:
     return [sorted({w, *(r["term"] for r in terms if r["word"] == w)}) for w in words]
 
 
-def suggest(titles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
-    """(rank, suggestion): curated phrases first, then cleaned titles (doc_id, title) with a word that begins with the prefix."""
+#: What news titles begin with and queries don't.
+NEWS_LEADS = ["ब्रेकिंग", "ताजी बातमी", "महत्त्वाची बातमी", "वाचा", "जाणून घ्या", "पहा"]
+
+
+def phrase(title: Column) -> Column:
+    """A title as a query: its first part, without quotes and news leads, seven words at most."""
+    title = F.trim(F.regexp_replace(F.element_at(F.split(title, r"[–—|\-:»«]"), 1), "['\"‘’“”]", ""))
+    return F.array_join(F.slice(F.split(F.regexp_replace(title, rf"^({'|'.join(NEWS_LEADS)})\s*", ""), r"\s+"), 1, 7), " ")
+
+
+def suggest(titles: DataFrame, prefix: str, limit: int = 8, store=None) -> DataFrame:
+    """(rank, suggestion): curated phrases first, then cleaned titles (doc_id, title) with a word that begins with the prefix.
+
+    With ``store``, a written index of the titles' words (``segments.Store``), the words are one range of its dictionary, and
+    only the titles of their pages are read.
+    """
     spark, p = titles.sparkSession, " ".join(prefix.lower().split())
     picked: list[str] = []
     latin = all(ord(c) < 128 for c in p)
@@ -155,10 +169,14 @@ def suggest(titles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
                 picked += [native, *[english] * latin]
     picked = list(dict.fromkeys(picked))[:limit]
     curated = spark.createDataFrame([(i, s) for i, s in enumerate(picked)], "ord long, suggestion string")
-    title = F.trim(F.regexp_replace(F.element_at(F.split("title", r"[–—|\-:»«]"), 1), "['\"‘’“”]", ""))
-    title = F.array_join(F.slice(F.split(title, r"\s+"), 1, 7), " ")
-    found = titles.where(F.exists(tokens(F.col("title")), lambda w: w.startswith(p)) if len(p) >= 2 else F.lit(False))
-    found = found.select((F.col("doc_id") + len(picked)).alias("ord"), title.alias("suggestion")).where(F.length("suggestion") >= 5)
+    if len(p) < 2:
+        found = titles.where(F.lit(False))
+    elif store is None:
+        found = titles.where(F.exists(tokens(F.col("title")), lambda w: w.startswith(p)))
+    else:
+        pages = store.hits(cut(store.matched([p], True)), [p], True).select(F.col("page_id").alias("_p")).distinct()
+        found = titles.join(pages, F.col("doc_id") == F.col("_p"), "left_semi")
+    found = found.select((F.col("doc_id") + len(picked)).alias("ord"), phrase(F.col("title")).alias("suggestion")).where(F.length("suggestion") >= 5)
     best = found.groupBy("suggestion").agg(F.min("ord").alias("ord")).where(~F.col("suggestion").isin(picked) if picked else F.lit(True)).orderBy("ord").limit(limit)
     rows = curated.unionByName(best.select("ord", "suggestion")).orderBy("ord").limit(limit)
     return rows.select(F.row_number().over(Window.partitionBy().orderBy("ord")).alias("rank"), "suggestion")  # ``limit`` rows

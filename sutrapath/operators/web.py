@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions import markup
 from ..functions.text import clean_url, devanagari_ratio, domain, iso_date
 from ..sources.shared import cut
 
@@ -164,12 +165,52 @@ def reachable_sitemaps(start: DataFrame, index: DataFrame, most: int = 500) -> D
     return seen.orderBy("depth", "url").limit(most)
 
 
-def slug_title(path: Column, words: dict[str, str], least: int = 2) -> Column:
-    """A native title from a URL path: its last part's words by a dictionary (a parameter); empty with fewer than ``least`` known words."""
-    last = F.regexp_replace(F.element_at(F.filter(F.split(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "/"), lambda p: p != ""), -1), r"\.(html?|php|aspx?|cms)$|[-_]?\d{4,}", "")
-    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv]) if words else F.create_map().cast("map<string,string>")
-    known = F.array_compact(F.transform(F.split(F.lower(last), "[-_ ]+"), lambda w: F.try_element_at(table, w)))
-    return F.when(last.rlike("[ऀ-ॿ]"), F.regexp_replace(last, "[-_]+", " ")).when(F.size(known) >= least, F.array_join(known, " ")).otherwise("")
+#: Endings that a content system adds to the last part of a path, one after the other; what is shown of a page without words.
+SLUG_ENDINGS = [r"(?i)\.(cms|html|shtml|php|aspx?)$", r"-\d+$", r"-[a-z0-9]{5,15}$", r"-(ssb|zws|rat|ak|pp|dc|ab)\d*.*$"]
+NO_WORDS, MONEY_SITE, OTHER_SITE = "अधिकृत मराठी माहिती", "शेअर बाजार व अर्थविषस्तर माहिती", "शेती व शेतकरी संबंधित विशेष वृत्त"
+#: Letters of a slug word's beginning that a dictionary is asked for, at least.
+LEAST_PREFIX = 4
+
+
+def slug_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, native) of distinct words (word) by a dictionary (slug, native): the word itself, a number as it is, else the longest beginning of four letters or more."""
+    known = dictionary.groupBy(F.col("slug").alias("_slug")).agg(F.min("native").alias("native"))
+    begins = F.when(F.length("word") >= LEAST_PREFIX, F.transform(F.sequence(F.lit(LEAST_PREFIX), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)))
+    tried = words.select("word", F.explode(F.array_distinct(F.concat(F.array("word"), F.coalesce(begins, F.array().cast("array<string>"))))).alias("_begin"))
+    found = tried.join(known, F.col("_begin") == F.col("_slug")).groupBy("word").agg(F.max_by("native", F.length("_begin")).alias("native"))
+    numbers = words.where(F.col("word").rlike(r"^\p{Nd}+$")).select("word", F.col("word").alias("native"))
+    return found.unionByName(numbers.join(found.select("word"), "word", "left_anti"))
+
+
+def path_words(pages: DataFrame) -> DataFrame:
+    """``pages`` (path, ...) with _plain, the path without escapes and outer slashes, and _words of its last part without endings."""
+    plain = F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("path"), F.lit(""))
+    rows = pages.withColumn("_plain", F.regexp_replace(plain, "^/+|/+$", ""))
+    slug = F.element_at(F.split(F.regexp_replace("_plain", SLUG_ENDINGS[0], ""), "/"), -1)
+    for pattern in SLUG_ENDINGS[1:]:
+        slug = F.regexp_replace(slug, pattern, "")
+    return rows.withColumn("_words", F.filter(F.split(F.lower(slug), "[-_]+"), lambda w: w != ""))
+
+
+def slug_titles(pages: DataFrame, dictionary: DataFrame, names: Column | None = None) -> DataFrame:
+    """(page_id, title) of pages (page_id, path, domain): a native title from the path's last part, with the site's name (``names``, else its domain).
+
+    Devanagari parts are taken as they are; of others the words that a dictionary (slug, native) knows, two at least.
+    """
+    brand = F.coalesce(names, F.col("domain")) if names is not None else F.col("domain")
+    rows = path_words(pages.select("page_id", "path", "domain", brand.alias("_brand")))
+    latin = rows.where(~F.col("_plain").rlike("[ऀ-ॿ]")).select("page_id", F.posexplode("_words").alias("_n", "word"))
+    native = slug_words(latin.select("word").distinct(), dictionary).withColumnRenamed("word", "_word")
+    told = latin.join(native, F.col("word") == F.col("_word")).groupBy(F.col("page_id").alias("_page")).agg(F.sort_array(F.collect_list(F.struct("_n", "native"))).alias("_told"))  # words of one path
+    rows = rows.join(told, F.col("page_id") == F.col("_page"), "left")
+    other = F.when(F.col("domain").contains("arthasakshar") | F.col("domain").contains("paisa"), MONEY_SITE).otherwise(OTHER_SITE)
+    shown = (
+        F.when(F.col("_plain").rlike("[ऀ-ॿ]"), F.concat(F.trim(F.translate(F.element_at(F.split("_plain", "/"), -1), "-_", "  ")), F.lit(" | "), "_brand"))
+        .when(F.size("_words") == 0, F.concat("_brand", F.lit(f" — {NO_WORDS}")))
+        .when(F.size("_told") >= 2, F.concat(F.array_join(F.col("_told.native"), " "), F.lit(" | "), "_brand"))
+        .otherwise(F.concat("_brand", F.lit(" — "), other))
+    )
+    return rows.select("page_id", shown.alias("title"))
 
 
 def write_back(sites: DataFrame, scores: DataFrame, key: str = "domain", keep: list[str] = []) -> DataFrame:
@@ -213,19 +254,14 @@ def plain_summary(text: Column, most: int = 200) -> Column:
 
 def page_meta(pages: DataFrame) -> DataFrame:
     """(page_id, title, description, og_title, og_image): what a page says of itself, entities taken back; og:title where there is no title."""
-    html = F.col("html")
-    og = html_meta(html, "og:title")
-    title = F.coalesce(html_title(html), og)
-    return pages.select("page_id", unescape(title).alias("title"), unescape(F.coalesce(html_meta(html, "description"), html_meta(html, "og:description"))).alias("description"), unescape(og).alias("og_title"), html_meta(html, "og:image").alias("og_image"))
+    rows, meta = markup.parsed(pages, ["page_id"]), lambda name: F.try_element_at("meta", F.lit(name))
+    return rows.select("page_id", F.coalesce("title", meta("og:title")).alias("title"), F.coalesce(meta("description"), meta("og:description")).alias("description"), meta("og:title").alias("og_title"), meta("og:image").alias("og_image"))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(source_url, target_url, anchor_text, is_internal): a page's links to other pages, with the text of the first to each; sub-domains are internal."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a\s*>"""), F.lit(0))
-    rows = pages.select(F.col("url").alias("source_url"), F.posexplode(found).alias("n", "tag"))
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1)
-    text = F.trim(F.regexp_replace(F.regexp_replace(unescape(F.col("tag")), "(?s)<[^>]*>", " "), r"\s+", " "))
-    rows = rows.select("source_url", "n", resolve(F.col("source_url"), href).alias("target_url"), text.alias("anchor_text")).where("target_url is not null and target_url <> source_url")
+    rows = markup.parsed(pages, ["url"]).select(F.col("url").alias("source_url"), F.posexplode("anchors").alias("n", "tag"))
+    rows = rows.select("source_url", "n", resolve(F.col("source_url"), F.col("tag.href")).alias("target_url"), F.col("tag.text").alias("anchor_text")).where("target_url is not null and target_url <> source_url")
     first = rows.groupBy("source_url", "target_url").agg(F.min_by("anchor_text", "n").alias("anchor_text"))
     a, b = domain(F.col("source_url")), domain(F.col("target_url"))
     return first.withColumn("is_internal", (a == b) | b.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), b)))

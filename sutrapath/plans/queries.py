@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import demand, graph, index, search, serp, web
+from ..operators import blueprint, demand, graph, index, search, serp, web
 from ..operators.segments import Store, documents_of
 from ..sources.files import table
 from ..sources.shared import cut, place
@@ -36,6 +36,21 @@ def query(oracle: str | None = None):
 # --- text kernel and classifiers ------------------------------------------------------------
 
 
+def numbered_texts(spark: SparkSession, items: list[str], more: DataFrame) -> DataFrame:
+    """(n, text) of samples and of rows (page_id, text)."""
+    rows = spark.createDataFrame(list(enumerate(items)), "n long, text string")
+    return rows.unionByName(more.select((F.col("page_id") + 1000).alias("n"), "text"))
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.page_facts(table(spark, sf_dir, "pages")).select("page_id", F.col("title").alias("text"))
+
+
+def made_files(spark: SparkSession, sf_dir: str, files: list[tuple[str, str]], made: str) -> DataFrame:
+    """(url, xml) of fixed files and of files made from pages."""
+    return spark.createDataFrame(files, "url string, xml string").unionByName(table(spark, sf_dir, "pages").select("url", F.expr(made).alias("xml")))
+
+
 def samples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SAMPLES)), "n long, text string")
 
@@ -68,9 +83,9 @@ def cls_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLES = ["कर्जमाफी यादी जाहीर", "कांदा भाव वाढले", "पाऊस आज", "IPL सामना", "नवीन मोबाइल", "काही नाही", "शेअर गुंतवणूक", "MPSC निकाल"]
 
 
-@query(f"SELECT n, {sql.first_match('text', lex.TOPIC_RULES, '#महाराष्ट्र_अपडेट्स')} AS tag, {sql.answer_card('text')} AS card FROM {sql.numbered('text', TITLES + SAMPLES)}")
+@query(f"SELECT n, {sql.first_match('text', lex.TOPIC_RULES, '#महाराष्ट्र_अपडेट्स')} AS tag, {sql.answer_card('text')} AS card FROM {sql.with_titles(TITLES + SAMPLES)}")
 def cls_topic_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(TITLES + SAMPLES)), "n long, text string")
+    rows = numbered_texts(spark, TITLES + SAMPLES, page_titles(spark, sf_dir))
     return rows.select("n", search.topic_tag(F.col("text")).alias("tag"), search.answer_card(F.col("text")).alias("card"))
 
 
@@ -97,9 +112,9 @@ def date_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 URLS = ["https://www.Example.com:8080//a//b?utm_source=x&id=7&fbclid=1#top", "http://t.org", "https://x.in/p?ref=1&REF=2&q=", "ftp://no.net/a", "https://a.b/c?utm_x", "notaurl", "https://WWW.q.in/?a=1&&b=2"]
 
 
-@query(f"SELECT n, {sql.domain('text')} AS domain, {sql.clean_url('text')} AS clean FROM {sql.numbered('text', URLS)}")
+@query(f"SELECT n, {sql.domain('text')} AS domain, {sql.clean_url('text')} AS clean FROM {sql.with_urls(URLS)}")
 def url_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(URLS)), "n long, text string")
+    rows = numbered_texts(spark, URLS, table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text")))
     return rows.select("n", tx.domain(F.col("text")).alias("domain"), tx.clean_url(F.col("text")).alias("clean"))
 
 
@@ -174,15 +189,16 @@ FILES = [
 
 @query(f"SELECT * FROM ({sql.sitemaps(FILES)})")
 def web_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.sitemap_entries(spark.createDataFrame(FILES, "url string, xml string"))
+    return web.sitemap_entries(made_files(spark, sf_dir, FILES, sql.MADE_XML))
 
 
 ROBOTS = [("https://a.in/robots.txt", "User-agent: *\nSITEMAP: /s.xml\n# sitemap: /no.xml\nsitemap: https://a.in/s.xml\nSitemap: b/t.xml # news\n"), ("https://b.in/robots.txt", "Disallow: /")]
 
 
-@query("SELECT * FROM (VALUES ('https://a.in/robots.txt', 1, 'https://a.in/s.xml'), ('https://a.in/robots.txt', 2, 'https://a.in/b/t.xml')) AS v(url, n, sitemap)")
+@query(sql.robots(ROBOTS))
 def web_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.robots_sitemaps(spark.createDataFrame(ROBOTS, "url string, body string"))
+    made = table(spark, sf_dir, "pages").select(F.expr(sql.ROBOTS_URL).alias("url"), F.expr(sql.MADE_ROBOTS).alias("body"))
+    return web.robots_sitemaps(spark.createDataFrame(ROBOTS, "url string, body string").unionByName(made)).withColumn("n", F.col("n").cast("long"))
 
 
 @query(f"WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN {sql.quoted(sql.LD)} WHEN 1 THEN {sql.quoted(sql.TIME)} WHEN 2 THEN {sql.quoted(sql.META)} ELSE '' END || html AS html FROM pages) SELECT page_id, {sql.DATES} FROM p")
@@ -192,9 +208,9 @@ def web_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.published_dates(table(spark, sf_dir, "pages").select("page_id", F.concat(mark, F.col("html")).alias("html")))
 
 
-@query(f"SELECT n, {sql.headline('text')} AS headline FROM {sql.numbered('text', sql.HEADLINES)}")
+@query(f"SELECT n, {sql.headline('text')} AS headline FROM {sql.with_titles(sql.HEADLINES)}")
 def srch_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(sql.HEADLINES)), "n long, text string").select("n", search.headline(F.col("text")).alias("headline"))
+    return numbered_texts(spark, sql.HEADLINES, page_titles(spark, sf_dir)).select("n", search.headline(F.col("text")).alias("headline"))
 
 
 @query(f"WITH heads AS ({sql.HEADS}) {sql.PAGE_META}")
@@ -208,16 +224,43 @@ def web_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.anchors(table(spark, sf_dir, "pages"))
 
 
+@query(sql.ODD_ANCHORS)
+def web_anchors_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with tags in comments, nested elements and values without quotes."""
+    return web.anchors(table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</body>"), F.lit(sql.ODD_TAGS))))
+
+
+@query(sql.ODD_META)
+def web_page_meta_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    return web.page_meta(spark.sql(sql.ODD_HEADS)).select("page_id", "title", "description")
+
+
+@query(sql.slug_titles((web.NO_WORDS, web.MONEY_SITE, web.OTHER_SITE)))
+def web_slug_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that end in the page's title; a dictionary of beginnings of their words."""
+    pages = table(spark, sf_dir, "pages")
+    rows = web.page_facts(pages).select("page_id", "domain", "title").join(pages.select("page_id", F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("_path")), "page_id")
+    k = F.col("page_id") % 3
+    slug = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", "-")
+    rows = rows.select("page_id", "domain", F.concat("_path", F.lit("/"), slug, F.when(k == 0, ".html").when(k == 1, "-x-2026").otherwise("")).alias("path"))
+    n = F.lit(3) + F.length("word") % 3
+    begin = F.substring(F.col("word"), F.lit(1), n)
+    words = web.path_words(rows).select(F.explode("_words").alias("word")).where(F.length("word") >= 5)
+    dictionary = words.select(begin.alias("slug"), F.concat(F.upper(begin), F.lit("*")).alias("native")).distinct()
+    return web.slug_titles(rows, dictionary)
+
+
 @query(sql.feed_items(sql.FEEDS))
 def web_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds and a news sitemap: as fixed rows, as no table holds XML."""
-    out = web.feed_items(spark.createDataFrame(sql.FEEDS, "url string, xml string"), F.lit(0).cast("timestamp"))
+    """Feeds and a news sitemap, and files made from pages, as no table holds XML."""
+    out = web.feed_items(made_files(spark, sf_dir, sql.FEEDS, sql.MADE_XML), F.lit(0).cast("timestamp"))
     return out.select("feed", "kind", "url", "title", F.unix_timestamp("published_at").alias("at"), "summary")
 
 
 @query(sql.rescue(sql.BROKEN))
 def web_sitemap_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.sitemap_rescue(spark.createDataFrame(sql.BROKEN, "url string, xml string")).select("url", "kind", "loc")
+    return web.sitemap_rescue(made_files(spark, sf_dir, sql.BROKEN, sql.MADE_BROKEN)).select("url", "kind", "loc")
 
 
 @query(sql.VERDICT)
@@ -466,6 +509,8 @@ def written(spark: SparkSession, sf_dir: str, kind: str) -> Store:
         path = place(spark, f"index-{kind}")
         if kind == "pages":
             index.build(search_pages(spark, sf_dir)[0]).write(path)
+        elif kind == "titles":
+            add_documents(None, web.page_facts(table(spark, sf_dir, "pages")).where("title is not null").select(F.col("page_id").alias("doc_id"), F.col("title").alias("text")), path)
         else:
             add_documents(None, table(spark, sf_dir, "documents"), path)
         _WRITTEN[key] = path
@@ -604,9 +649,9 @@ def srch_sorted_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir, "the and", sort_by="pagerank", limit=40)
 
 
-@query(f"SELECT n, array_to_string({sql.related('text')}, '; ') AS related FROM {sql.numbered('text', SAMPLES)}")
+@query(f"SELECT n, array_to_string({sql.related('text')}, '; ') AS related FROM {sql.with_titles(SAMPLES)}")
 def srch_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("n", F.array_join(search.related(F.col("text")), "; ").alias("related"))
+    return numbered_texts(spark, SAMPLES, page_titles(spark, sf_dir)).select("n", F.array_join(search.related(F.col("text")), "; ").alias("related"))
 
 
 FEEDS = [("general", None), ("general", "agriculture"), ("general", "finance"), ("general", "culture"), ("mpsc", None), ("mpsc", "gs2"), ("mpsc", "gs3"), ("reporter", "rural"), ("reporter", "crime")]
@@ -645,6 +690,46 @@ def st_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
+@query(sql.about("शेती बाजारभाव आज"))
+def srch_about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, sites = search_pages(spark, sf_dir)
+    about = index.respond(written(spark, sf_dir, "pages"), pages, sites, "शेती बाजारभाव आज", F.lit("2024-01-20").cast("timestamp"))[1]
+    return about.select("query", "clean_query", "intent", "intent_label", "shape_label", "is_question", "total_found")
+
+
+@query(sql.discover())
+def feed_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, sites = search_pages(spark, sf_dir)
+    return search.discover(pages, sites, F.lit(sql.AS_OF_TEXT).cast("timestamp")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(sql.suggest_titles("thh", search.NEWS_LEADS))
+def srch_suggest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions from whole titles of pages, by one range of the dictionary of their words."""
+    titles = web.page_facts(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "title")
+    return search.suggest(titles, "thh", store=written(spark, sf_dir, "titles")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(sql.blueprint_audit(blueprint.FLUFF, blueprint.GENERIC, blueprint.SPECIFIC, blueprint.HEADINGS, blueprint.GRADES))
+def rep_blueprint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blueprints made from the parts, with as many suggestions as part keys have left over by 45."""
+    n = F.col("p_partkey") % 45
+    asked = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.concat(F.lit("q"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(sql.BLUEPRINT_INTENT).alias("effective_intent"), F.expr(sql.BLUEPRINT).alias("blueprint"), asked.alias("suggestions"))
+    out = blueprint.audit(rows)
+    scores = [f"{k}_score" for k in ("intent", "grounding", "specificity", "schema", "vernacular", "overall")]
+    return out.select("p_partkey", *[F.col(c).cast("long").alias(c) for c in (*scores, "coverage_pct", "answered_queries_count")], "grade", F.array_join("fluff_detected", "|").alias("fluff"))
+
+
+@query(f"WITH {sql.EXPANSION}, {sql.FIXTURE} SELECT seed_ord, q_ord, array_to_string(suggestions, '|') AS suggestions FROM results")
+def dem_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the seeds are asked first; then all, of which the others alone are asked."""
+    path = place(spark, "suggestions")
+    queries, ask = demand.expand(part_seeds(spark, sf_dir), "mr", commercial=True), lambda q: demand.fixture(q, "mr")
+    demand.answers(queries.where("seed_ord % 2 = 0"), ask, path)
+    return demand.answers(queries, ask, path).select("seed_ord", "q_ord", F.array_join("suggestions", "|").alias("suggestions"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a pattern, as a stream reads a single file by no other path
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")

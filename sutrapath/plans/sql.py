@@ -163,6 +163,34 @@ PAGE_LINKS = f"""
 
 
 
+def with_titles(items: list[str]) -> str:
+    """Samples and the titles of all pages, numbered."""
+    return f"(SELECT n, text FROM {numbered('text', items)} UNION ALL SELECT 1000 + page_id, title FROM ({PAGE_FACTS})) AS v(n, text)"
+
+
+def with_urls(items: list[str]) -> str:
+    return f"(SELECT n, text FROM {numbered('text', items)} UNION ALL SELECT 1000 + page_id, url FROM pages) AS v(n, text)"
+
+
+#: XML and robots files made from pages, in SQL that both engines read.
+MADE_XML = """CASE page_id % 3 WHEN 0 THEN concat('<sitemapindex><sitemap><loc>', url, '.xml</loc><lastmod>2026-01-0', CAST(page_id % 9 + 1 AS VARCHAR(9)), '</lastmod></sitemap></sitemapindex>')
+  WHEN 1 THEN concat('<rss><channel><item><title>T', CAST(page_id AS VARCHAR(20)), ' &amp; more</title><link>', url, '</link><pubDate>Sun, 04 Oct 2026 20:00:0', CAST(page_id % 10 AS VARCHAR(9)), ' +0530</pubDate><description>&lt;b&gt;up&lt;/b&gt; today</description></item></channel></rss>')
+  ELSE concat('<urlset><url><loc> ', url, ' </loc><lastmod>2026-01-02</lastmod><news:news><news:title>N', CAST(page_id AS VARCHAR(20)), '</news:title></news:news></url><url><loc>', url, '/b</loc></url></urlset>') END"""
+MADE_BROKEN = """CASE WHEN page_id % 7 = 0 THEN '<html>nothing' WHEN page_id % 4 = 0 THEN concat('<sitemapindex><sitemap><loc>', url, '.xml</loc><loc> ', url, '/2.xml </loc> & <broken') ELSE concat('<urlset><loc>', url, '</loc><loc>', url, '/y</loc>') END"""
+MADE_ROBOTS = """concat('User-agent: *', CASE WHEN page_id % 2 = 0 THEN chr(13) ELSE '' END, chr(10), 'SITEMAP: /s', CAST(page_id % 5 AS VARCHAR(9)), '.xml', chr(10), '# sitemap: /no.xml', chr(10), CASE WHEN page_id % 3 = 0 THEN 'sitemap: https://cdn.in/all.xml # shared' ELSE 'Sitemap: part/t.xml' END, chr(10), 'Sitemap: /s', CAST(page_id % 5 AS VARCHAR(9)), '.xml')"""
+ROBOTS_URL = "concat('https://h', CAST(page_id AS VARCHAR(20)), '.in/robots.txt')"
+
+
+def robots(files: list[tuple[str, str]]) -> str:
+    """Sitemap lines in order, each once, resolved against the file's own URL."""
+    table = ", ".join(f"({quoted(u)}, {quoted(x)})" for u, x in files)
+    return f"""WITH files AS (SELECT url, replace(replace(body, '\\n', chr(10)), '\\r', chr(13)) AS body FROM (VALUES {table}) AS v(url, body) UNION ALL SELECT {ROBOTS_URL}, {MADE_ROBOTS} FROM pages),
+  lines AS (SELECT url, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT url, regexp_split_to_array(body, '\\r?\\n') AS lines FROM files)),
+  named AS (SELECT url, pos, trim(regexp_extract(line, '(?i)^\\s*sitemap:\\s*([^#]+)', 1)) AS href, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1) AS folder FROM lines),
+  found AS (SELECT url, pos, {clean_url('joined')} AS sitemap FROM (SELECT url, pos, {_JOINED} AS joined FROM named))
+  SELECT url, row_number() OVER (PARTITION BY url ORDER BY min(pos)) AS n, sitemap FROM found WHERE sitemap IS NOT NULL GROUP BY url, sitemap"""
+
+
 def sitemaps(files: list[tuple[str, str]]) -> str:
     table = ", ".join(f"({quoted(u)}, {quoted(x)})" for u, x in files)
     element = lambda name: f"nullif(trim(regexp_replace(regexp_extract(block, '(?is)<(?:\\w+:)?{name}\\b[^>]*>(.*?)</(?:\\w+:)?{name}\\s*>', 1), '<!\\[CDATA\\[|\\]\\]>', '', 'g')), '')"
@@ -171,7 +199,7 @@ def sitemaps(files: list[tuple[str, str]]) -> str:
     coalesce({element('lastmod')}, {element('pubDate')}, {element('updated')}) AS lastmod, {element('title')} AS title FROM (
     SELECT url, CASE WHEN regexp_matches(xml, '(?i)<(\\w+:)?sitemapindex\\b') THEN 'index' WHEN regexp_matches(xml, '(?i)<(\\w+:)?urlset\\b') THEN 'urlset' WHEN regexp_matches(xml, '(?i)<(rss|feed)\\b') THEN 'feed' ELSE 'unknown' END AS kind,
       unnest(regexp_extract_all(xml, '(?is)<(?:\\w+:)?(?:sitemap|url|item|entry)\\b[^>]*>.*?</(?:\\w+:)?(?:sitemap|url|item|entry)\\s*>')) AS block
-    FROM (VALUES {table}) AS v(url, xml))) WHERE loc IS NOT NULL"""
+    FROM (SELECT * FROM (VALUES {table}) AS v(url, xml) UNION ALL SELECT url, {MADE_XML} FROM pages))) WHERE loc IS NOT NULL"""
 
 
 LD = '<script type="application/ld+json">{"@type": "Article", "datePublished": "2026-01-02"}</script>'
@@ -221,6 +249,12 @@ ANCHORS = f'''SELECT source_url, target_url, arg_min(anchor_text, n) AS anchor_t
       SELECT url, tag, n, trim(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1) AS folder FROM (
         SELECT url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS n FROM (SELECT url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a\\s*>') AS tags FROM pages))))
   ) WHERE target_url IS NOT NULL AND target_url <> source_url GROUP BY source_url, target_url'''
+#: Tags that patterns misread, put at the end of pages and of heads: comments, nested elements, values without quotes or in another order.
+ODD_TAGS = """<!-- <a href="https://hidden.in/">no</a> --><svg><svg></svg><title>Not this</title></svg><A class=x title="a > b" href=https://extra.in/p >Extra <b>link</b></A><script>"<a href='https://no.in/'>no</a>"</script><a name=x>none</a></body>"""
+ODD_ANCHORS = f"""{ANCHORS} UNION ALL SELECT url, 'https://extra.in/p', 'Extra link', false FROM pages WHERE contains(html, '</body>')"""
+#: Every fifth page has a description with its attributes the other way round, a comment before it holds another one.
+ODD_HEADS = """SELECT page_id, url, replace(html, '</head>', concat('<!-- <meta name="description" content="no"> -->', CASE WHEN page_id % 5 = 0 THEN concat('<META content="About &quot;', CAST(page_id AS VARCHAR(20)), '&quot; &amp; more" data-x=1 name=Description>') ELSE '' END, CASE WHEN page_id % 7 = 0 THEN '<meta content=Social property=og:description>' ELSE '' END, '</head>')) AS html FROM pages"""
+ODD_META = f"""SELECT page_id, {unescape(_TITLE)} AS title, CASE WHEN page_id % 5 = 0 THEN 'About "' || page_id || '" & more' WHEN page_id % 7 = 0 THEN 'Social' END AS description FROM pages"""
 VERDICT = f"SELECT page_id, CASE WHEN ratio >= 0.2 THEN 'ratio' WHEN contains(html_lang, 'mr') THEN 'language' WHEN regexp_matches(title, '[ऀ-ॿ]') THEN 'title' END AS reason FROM ({PAGE_FACTS})"
 
 FEEDS = [
@@ -238,13 +272,13 @@ def feed_items(files: list[tuple[str, str]]) -> str:
     at = f"coalesce(epoch(try_strptime({date}, '%a, %d %b %Y %H:%M:%S %z')), epoch(try_strptime({date}, '%Y-%m-%dT%H:%M:%SZ')), epoch(try_strptime({date}, '%Y-%m-%d')), 0)::BIGINT"
     return f"""SELECT * FROM (SELECT feed, kind, coalesce({element('loc')}, {element('link')}, nullif(regexp_extract(block, '(?is)<link\\b[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1), '')) AS url, nullif(trim({unescape(element('title'))}), '') AS title, {at} AS at,
   nullif(substring(trim(regexp_replace({unescape(f"coalesce({element('description')}, {element('summary')})")}, '<[^>]+>', '', 'g')), 1, 200), '') AS summary
-  FROM (SELECT url AS feed, CASE WHEN regexp_matches(xml, '(?i)<(\\w+:)?urlset\\b') THEN 'news' ELSE 'feed' END AS kind, unnest(regexp_extract_all(xml, '(?is)<(?:\\w+:)?(?:url|item|entry)\\b[^>]*>.*?</(?:\\w+:)?(?:url|item|entry)\\s*>')) AS block FROM (VALUES {table}) AS v(url, xml)))
+  FROM (SELECT url AS feed, CASE WHEN regexp_matches(xml, '(?i)<(\\w+:)?urlset\\b') THEN 'news' ELSE 'feed' END AS kind, unnest(regexp_extract_all(xml, '(?is)<(?:\\w+:)?(?:url|item|entry)\\b[^>]*>.*?</(?:\\w+:)?(?:url|item|entry)\\s*>')) AS block FROM (SELECT * FROM (VALUES {table}) AS v(url, xml) UNION ALL SELECT url, {MADE_XML} FROM pages)))
 WHERE url IS NOT NULL AND title IS NOT NULL"""
 
 
 def rescue(files: list[tuple[str, str]]) -> str:
     table = ", ".join(f"({quoted(u)}, {quoted(x)})" for u, x in files)
-    return f"""WITH f AS (SELECT url, xml, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^\\s<>]+)\\s*</loc>', 1) AS locs FROM (VALUES {table}) AS v(url, xml)),
+    return f"""WITH f AS (SELECT url, xml, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^\\s<>]+)\\s*</loc>', 1) AS locs FROM (SELECT * FROM (VALUES {table}) AS v(url, xml) UNION ALL SELECT url, {MADE_BROKEN} FROM pages)),
 k AS (SELECT *, CASE WHEN len(locs) = 0 THEN 'error' WHEN len(list_filter(list_slice(locs, 1, 5), lambda u: contains(lower(u), '.xml'))) > 0 AND contains(lower(xml), '<sitemap>') THEN 'sitemapindex' ELSE 'urlset' END AS kind FROM f)
 SELECT url, kind, unnest(CASE WHEN len(locs) = 0 THEN [NULL] ELSE locs END) AS loc FROM k"""
 
@@ -528,6 +562,22 @@ SELECT page_id AS doc_id, url, CASE WHEN length({headline('title')}) >= 4 THEN {
 FROM scored ORDER BY {last}score DESC, page_id LIMIT {limit}"""
 
 
+def about(query: str, **options) -> str:
+    """One row about a query: what it is taken for, and how many results it has."""
+    named = lambda table: "CASE intent " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in table.items()) + " END"
+    return f"""SELECT query, clean_query, intent, {named(lex.INTENT_LABELS)} AS intent_label, {named(lex.SHAPE_LABELS)} AS shape_label, is_question, (SELECT count(*) FROM ({search_index(query, limit=1000, **options)})) AS total_found
+  FROM (SELECT query, clean_query, {intent('clean_query', 'mr')} AS intent, {is_question('clean_query', 'mr')} AS is_question FROM (SELECT {quoted(query)} AS query, {fold(quoted(query))} AS clean_query))"""
+
+
+def discover(limit: int = 30) -> str:
+    head = headline("title")
+    return f"""WITH {SITES}, shown AS (SELECT page_id, url, domain, coalesce(category, 'बातम्या') AS section, CASE WHEN length({head}) >= 5 THEN {head} ELSE title END AS shown_title, coalesce(lastmod, fetched_at) AS moment, coalesce(pagerank, 0.01) AS score FROM known JOIN sites USING (domain) WHERE {feed_where('general', None)}),
+  dated AS (SELECT *, CASE WHEN moment::DATE = DATE '2024-01-20' THEN 1 WHEN moment::DATE = DATE '2024-01-19' THEN 2 WHEN date_trunc('month', moment) = DATE '2024-01-01' THEN 3 ELSE 4 END AS day FROM shown),
+  placed AS (SELECT *, row_number() OVER (ORDER BY day, moment DESC NULLS LAST, score DESC, page_id) AS rank FROM dated)
+  SELECT rank, page_id, url, shown_title AS title, domain, {publisher('domain')} AS publisher, section AS category, ({publisher('domain')}) || ' — ' || left(shown_title, 95) || {quoted(lex.CARD_TEXT)} AS snippet, {relative_time('moment', AS_OF)} AS relative_time,
+    CASE WHEN len(regexp_split_to_array(shown_title, '\\s+')) < 10 THEN {quoted(lex.READING[0])} ELSE {quoted(lex.READING[1])} END AS reading_time, round(score, 4) AS pagerank, {first_match('shown_title', lex.TOPIC_RULES, '#महाराष्ट्र_अपडेट्स')} AS topic_tag, rank = 1 AS is_featured FROM placed WHERE rank <= {limit}"""
+
+
 def publisher(x: str) -> str:
     return f"CASE {x} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in lex.DOMAIN_NAMES.items()) + f" ELSE {x} END"
 
@@ -573,3 +623,83 @@ DIRECTORY = f"""WITH sections(section_ord, section, category) AS (VALUES {_SECTI
 sites AS (SELECT 's' || s_suppkey || '.example' AS domain, {_CATS}[s_suppkey % len({_CATS}) + 1] AS category, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS title, round(coalesce(CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 100000 END, 0.0), 4) AS pagerank,
   coalesce(nullif(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 3 END, 0), nullif(s_suppkey % 4, 0), 0) AS total_urls FROM supplier)
 SELECT section, row_number() OVER (PARTITION BY section ORDER BY pagerank DESC, total_urls DESC, domain) AS rank, domain, coalesce(title, domain) AS title, pagerank, total_urls FROM sites JOIN sections USING (category)"""
+
+
+# --- slugs, suggestions, blueprints ---
+
+#: Paths whose last part is the page's title; a dictionary of beginnings of words in them.
+SLUG_PATHS = f"""SELECT page_id, domain, path || '/' || regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g') || CASE WHEN page_id % 3 = 0 THEN '.html' WHEN page_id % 3 = 1 THEN '-x-2026' ELSE '' END AS path
+  FROM (SELECT f.page_id, f.domain, f.title, regexp_extract(p.url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM ({PAGE_FACTS}) f JOIN pages p USING (page_id))"""
+_ENDED = "regexp_replace(string_split(regexp_replace(plain, '(?i)\\.(cms|html|shtml|php|aspx?)$', ''), '/')[-1], '-\\d+$', '')"
+_ENDED = f"regexp_replace(regexp_replace({_ENDED}, '-[a-z0-9]{{5,15}}$', ''), '-(ssb|zws|rat|ak|pp|dc|ab)\\d*.*$', '')"
+
+
+def slug_titles(fallbacks: tuple[str, str, str]) -> str:
+    no_words, money, other = (quoted(x) for x in fallbacks)
+    return f"""WITH paths AS ({SLUG_PATHS}), plains AS (SELECT page_id, domain, regexp_replace(path, '^/+|/+$', '', 'g') AS plain FROM paths),
+  slugs AS MATERIALIZED (SELECT page_id, domain, list_filter(regexp_split_to_array(lower({_ENDED}), '[-_]+'), lambda w: w <> '') AS words FROM plains),
+  every AS (SELECT page_id, unnest(words) AS word, generate_subscripts(words, 1) AS n FROM slugs), distinct_words AS (SELECT DISTINCT word FROM every),
+  dictionary AS (SELECT DISTINCT left(word, 3 + length(word) % 3) AS slug, upper(left(word, 3 + length(word) % 3)) || '*' AS native FROM distinct_words WHERE length(word) >= 5),
+  found AS (SELECT word, arg_max(native, length(slug)) AS native FROM distinct_words JOIN dictionary ON word = slug OR (length(slug) >= 4 AND starts_with(word, slug)) GROUP BY word),
+  known AS (SELECT * FROM found UNION ALL SELECT word, word FROM distinct_words WHERE regexp_matches(word, '^\\d+$') AND word NOT IN (SELECT word FROM found)),
+  told AS (SELECT page_id, string_agg(native, ' ' ORDER BY n) AS told, count(*) AS n FROM every JOIN known USING (word) GROUP BY page_id)
+  SELECT page_id, CASE WHEN len(words) = 0 THEN domain || ' — ' || {no_words} WHEN n >= 2 THEN told || ' | ' || domain WHEN contains(domain, 'arthasakshar') OR contains(domain, 'paisa') THEN domain || ' — ' || {money} ELSE domain || ' — ' || {other} END AS title FROM slugs LEFT JOIN told USING (page_id)"""
+
+
+def suggest_titles(prefix: str, leads: list[str], limit: int = 8) -> str:
+    """Titles of pages with a word that begins with a prefix that no curated phrase has."""
+    first = "trim(regexp_replace(regexp_split_to_array(title, '[–—|\\-:»«]')[1], '[''\"‘’“”]', '', 'g'))"
+    phrase = f"array_to_string(list_slice(regexp_split_to_array(regexp_replace({first}, '^({'|'.join(leads)})\\s*', ''), '\\s+'), 1, 7), ' ')"
+    return f"""WITH f AS ({PAGE_FACTS}), p AS (SELECT page_id, {phrase} AS suggestion FROM f WHERE len(list_filter(regexp_extract_all({fold('title')}, '{WORD}+'), lambda w: starts_with(w, {quoted(prefix)}))) > 0)
+  SELECT row_number() OVER (ORDER BY ord) AS rank, suggestion FROM (SELECT suggestion, min(page_id) AS ord FROM p WHERE length(suggestion) >= 5 GROUP BY suggestion ORDER BY ord LIMIT {limit})"""
+
+
+def _section(i: int) -> str:
+    heading = f"CASE (p_partkey + {i}) % 6 WHEN 0 THEN 'Introduction' WHEN 1 THEN '2026 कागदपत्रे' WHEN 2 THEN 'comparison' WHEN 3 THEN 'common mistakes' WHEN 4 THEN 'Verdict' ELSE p_name END"
+    return f"""concat('{{"heading":"', {heading}, '","key_points":["', p_name, '"', CASE WHEN p_partkey % 4 = 0 THEN ',"किंमत ₹ and 500 W"' ELSE '' END, '],"queries_answered":["q{i} ","q{i}"," ","', CASE WHEN p_partkey % 5 = 0 THEN 'q1{i}' ELSE 'q{i}' END, '"]}}')"""
+
+
+def _listed(name: str, modulus: int) -> str:
+    return f"""CASE p_partkey % {modulus} WHEN 0 THEN ',"{name}":["a","b"]' WHEN 1 THEN ',"{name}":["a"]' ELSE '' END"""
+
+
+def _member(name: str, modulus: int, value: str) -> str:
+    return f"""CASE p_partkey % {modulus} WHEN 0 THEN ',"{name}":{value}' WHEN 1 THEN ',"{name}":""' ELSE '' END"""
+
+
+#: Blueprints made from the part table, in terms that both engines work out alike.
+BLUEPRINT = "concat(" + ", ".join([
+    """'{"title":"', p_name, '","h1":"', p_type, '","meta_description":"', CASE WHEN p_partkey % 7 = 0 THEN 'In conclusion, as we all know' WHEN p_partkey % 7 = 1 THEN 'see gov.in' ELSE '' END, '","outline":['""",
+    "concat_ws(',', " + ", ".join(f"CASE WHEN p_partkey % 8 >= {i} THEN {_section(i)} END" for i in range(1, 6)) + ")",
+    """'],"faq":['""",
+    "concat_ws(',', " + ", ".join(f"""CASE WHEN p_partkey % 5 >= {i} THEN '{{"q":"why {i}?","answer":"so"}}' END""" for i in range(1, 4)) + ")", "']'",
+    *[_listed(n, m) for n, m in (("paisa_vasool_criteria", 3), ("verification_checklist", 4), ("prerequisites_and_documents", 3), ("step_sequence", 5), ("rejection_pitfalls", 4), ("comparison_matrix", 3), ("who_should_buy", 4), ("core_pillars", 5))],
+    _member("subsidy_eligibility", 3, '"yes"'), _member("product_review_schema", 3, '{"@type":"Product","rating":4}'), _member("howto_schema", 4, '{"steps":["a"]}'), _member("verdict_summary", 5, '"good"'), _member("regulatory_2026_landscape", 3, '"new"'), "'}'",
+]) + ")"
+_INTENTS = "CASE p_partkey % 4 WHEN 0 THEN 'commercial' WHEN 1 THEN 'howto' WHEN 2 THEN 'comparison' ELSE 'informational' END"
+BLUEPRINT_INTENT = _INTENTS
+
+
+def blueprint_audit(fluff: list[str], generic: list[str], specific: list[tuple[str, str]], headings: dict[str, list[str]], grades: list[tuple[int, str]]) -> str:
+    points = lambda *checks: "(" + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p in checks) + ")"
+    count = lambda name: f"coalesce(json_array_length(j, '$.{name}'), 0)"
+    given = lambda path: f"(coalesce(trim(j->>'{path}'), '') NOT IN ('', '[]', '{{}}', 'false', 'null', '0'))"
+    headed = lambda kind: f"len(list_filter(heads, lambda h: {any_of('lower(h)', headings[kind])})) > 0"
+    rated = "(" + " OR ".join([given("$.product_review_schema.pros"), given("$.product_review_schema.cons"), given("$.product_review_schema.rating")]) + " OR coalesce(j->>'$.product_review_schema.\"@type\"' = 'Product', false))"
+    intent = f"""CASE intent WHEN 'commercial' THEN {points((count('paisa_vasool_criteria') + ' >= 2', 7), (count('verification_checklist') + ' >= 2', 6), (given('$.subsidy_eligibility'), 6), (rated, 6))}
+      WHEN 'howto' THEN {points((count('prerequisites_and_documents') + ' >= 2 OR ' + headed('documents'), 8), (count('rejection_pitfalls') + ' >= 2 OR ' + headed('mistakes'), 8), (count('step_sequence') + ' >= 2 OR ' + given('$.howto_schema.steps') + ' OR sections >= 3', 9))}
+      WHEN 'comparison' THEN {points((given('$.verdict_summary') + ' OR ' + headed('verdict'), 8), (count('comparison_matrix') + ' >= 1 OR ' + headed('comparison'), 9), (count('who_should_buy') + ' >= 1 OR ' + headed('choice'), 8))}
+      ELSE {points((count('core_pillars') + ' >= 1 OR sections >= 4', 12), (given('$.regulatory_2026_landscape') + ' OR ' + headed('year') + ' OR faq >= 3', 13))} END"""
+    hits = [f"regexp_matches(said, {quoted('(?i)' + p)})" for p, _ in specific]
+    found = "list_filter([" + ", ".join(quoted(p) for p in fluff) + "], lambda p: contains(lower(said), p))"
+    schema = f"{points(('faq >= 2', 8))} + CASE WHEN intent = 'commercial' AND {given('$.product_review_schema')} THEN 7 WHEN intent = 'howto' AND ({given('$.howto_schema')} OR sections >= 3) THEN 7 WHEN faq >= 3 THEN 7 ELSE 0 END"
+    rigor = points(("sections >= 3", 5), (f"len(list_filter(heads, lambda h: lower(trim(h)) IN ({', '.join(quoted(g) for g in generic)}))) = 0", 5), ("regexp_matches(said, '[ऀ-ॿ]')", 5))
+    grade = "CASE " + " ".join(f"WHEN overall >= {n} THEN {quoted(t)}" for n, t in grades[:-1]) + f" ELSE {quoted(grades[-1][1])} END"
+    return f"""WITH made AS (SELECT p_partkey, {_INTENTS} AS intent, CAST({BLUEPRINT} AS JSON) AS j, p_partkey % 45 AS asked FROM part),
+  parts AS (SELECT *, coalesce(j->>'$.outline[*].heading', []) AS heads, coalesce(j->>'$.outline[*].key_points[*]', []) AS points, json_array_length(j, '$.outline') AS sections, json_array_length(j, '$.faq') AS faq,
+    len(list_distinct(list_filter(list_transform(coalesce(j->>'$.outline[*].queries_answered[*]', []), lambda q: trim(q)), lambda q: q <> ''))) AS answered FROM made),
+  told AS (SELECT *, concat_ws(' ', j->>'$.title', j->>'$.meta_description', j->>'$.h1', array_to_string(heads, ' '), array_to_string(points, ' '), array_to_string(coalesce(j->>'$.faq[*].q', []), ' '), array_to_string(coalesce(j->>'$.faq[*].answer', []), ' ')) AS said FROM parts),
+  judged AS (SELECT *, {intent} AS intent_score, CASE WHEN asked = 0 THEN 100 ELSE least(100, round_even(answered / least(asked, 12) * 100, 0)::INT) END AS coverage_pct, {found} AS fluff, {points(*[(h, 5) for h in hits])} AS exact, {schema} AS schema_score, {rigor} AS vernacular_score FROM told),
+  scored AS (SELECT *, CASE WHEN asked = 0 THEN 25 ELSE least(25, round_even(coverage_pct / 100 * 25, 0)::INT) END AS grounding_score, CASE WHEN len(fluff) = 0 THEN exact + 5 ELSE greatest(0, exact + 5 - 2 * len(fluff)) END AS specificity_score FROM judged),
+  summed AS (SELECT *, least(100, intent_score + grounding_score + specificity_score + schema_score + vernacular_score) AS overall FROM scored)
+  SELECT p_partkey, intent_score, grounding_score, specificity_score, schema_score, vernacular_score, overall AS overall_score, {grade} AS grade, coverage_pct, answered AS answered_queries_count, array_to_string(fluff, '|') AS fluff FROM summed"""

@@ -114,9 +114,13 @@ def test_reachable_sitemaps(spark):
 def test_slug_titles_and_write_back(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([("/news/kanda-bhav-today-12345.html",), ("/%E0%A4%B6%E0%A5%87%E0%A4%A4%E0%A5%80-%E0%A4%A8%E0%A5%8B%E0%A4%82%E0%A4%A6",), ("/x",), (None,)], "path string")
-    got = [r["t"] for r in rows.select(web.slug_title(F.col("path"), {"kanda": "कांदा", "bhav": "भाव"}).alias("t")).collect()]
-    assert got == ["कांदा भाव", "शेती नोंद", "", ""]
+    paths = ["/news/kanda-bhav-12345.html", "/%E0%A4%B6%E0%A5%87%E0%A4%A4%E0%A5%80-%E0%A4%A8%E0%A5%8B%E0%A4%82%E0%A4%A6", "/x", None, "/kandabhav-bhav-market", "/kan-2026-bhav_x.cms", "/-", "/paisa"]
+    rows = spark.createDataFrame([(i, p, "paisa.in" if i == 7 else "a.in") for i, p in enumerate(paths)], "page_id int, path string, domain string")
+    words = spark.createDataFrame([("kanda", "कांदा"), ("kand", "खंड"), ("bhav", "भाव"), ("ka", "का")], "slug string, native string")
+    got = [r["title"] for r in web.slug_titles(rows, words).orderBy("page_id").collect()]
+    none, other = f"a.in — {web.NO_WORDS}", f"a.in — {web.OTHER_SITE}"
+    # the last word of five letters or more goes as an ending; the longest beginning counts, of four letters at least
+    assert got == ["कांदा भाव | a.in", "शेती नोंद | a.in", other, none, "कांदा भाव | a.in", "2026 भाव | a.in", none, f"paisa.in — {web.MONEY_SITE}"]
     sites = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "domain string, pagerank double")
     out = web.write_back(sites, spark.createDataFrame([("a", 0.9, 1.0)], "domain string, pagerank double, hub double"))
     assert {r["domain"]: (r["pagerank"], r["hub"]) for r in out.collect()} == {"a": (0.9, 1.0), "b": (0.2, None)}
