@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import lexicons as lex
 from .text import boundary_pattern, contains_any
 
+#: Words for yes and no in observation tables.
 YES = ["y", "yes", "true", "1", "होय", "हाँ", "ஆம்", "అవును", "হ্যাঁ"]
 NO = ["n", "no", "false", "0", "नाही", "नहीं", "இல்லை", "కాదు", "না"]
 

@@ -90,11 +90,15 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str], arrival: str, ke
     return rows.groupBy(*key).agg(*[pick(c) for c in columns])
 
 
+#: Platforms, known by how their domains end.
+PLATFORM_SUFFIXES = ["google.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "whatsapp.com", "apple.com", "amazon.com", "cloudflare.com", ".doubleclick.net", ".googlesyndication.com", ".akamai.net", ".cloudfront.net"]
+
+
 def discovery(links: DataFrame, sites: DataFrame, most: int | None = None) -> DataFrame:
     """(target_domain, in_refs, sample_url): linked domains that no site has, most referred first; known platforms left out."""
     found = links.where(~F.col("is_internal")).join(sites.select(F.col("domain").alias("_d")), F.col("target_domain") == F.col("_d"), "left_anti")
     found = found.where(~F.col("target_domain").isin(lex.IGNORED_DOMAINS))
-    for suffix in ("google.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "whatsapp.com", "apple.com", "amazon.com", "cloudflare.com", ".doubleclick.net", ".googlesyndication.com", ".akamai.net", ".cloudfront.net"):
+    for suffix in PLATFORM_SUFFIXES:
         found = found.where(~F.col("target_domain").endswith(suffix))
     out = found.groupBy("target_domain").agg(F.count("*").alias("in_refs"), F.min("target_url").alias("sample_url")).orderBy(F.col("in_refs").desc(), "target_domain")
     return out if most is None else out.limit(most)

@@ -13,6 +13,7 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..operators import blueprint, demand, graph, index, search, serp, web
 from ..operators.segments import Store, documents_of
+from ..sources import manifest
 from ..sources.files import table
 from ..sources.shared import cut, place
 from ..sources.sinks import csv_rows, markdown_report, plan_markdown
@@ -505,7 +506,7 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 def written(spark: SparkSession, sf_dir: str, kind: str) -> Store:
     """The written index of whole documents, or of pages: the first query of an application writes it, others read their terms' buckets of it."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not manifest.versions(spark, _WRITTEN[key]):
         path = place(spark, f"index-{kind}")
         if kind == "pages":
             index.build(search_pages(spark, sf_dir)[0]).write(path)
