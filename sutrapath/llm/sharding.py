@@ -123,14 +123,19 @@ def _group():
 
 
 def write(docs: DataFrame, path: str, shards: int = 40, file_bytes: int = 128 << 20) -> None:
-    """Writes the documents with all of their columns in a folder for each shard (``_shard``), in files of about ``file_bytes`` of text."""
-    spark = docs.sparkSession
+    """Writes the documents with all of their columns in a folder for each shard, in files of about ``file_bytes`` of text.
+
+    Folders are named ``_shard=N``, with more underscores behind the name where ``docs`` have such a column.
+    """
+    spark, name = docs.sparkSession, "_shard"
+    while name in docs.columns:
+        name += "_"
     with scratch(spark):
         size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
         groups = stored(groups_of(docs.select(size.alias("size"), _group().alias("group"))), "shard-groups")
         first, others = assigned(groups, shards)
         rows = docs.select(F.struct(*docs.columns).alias("_row"), _group().alias("group"), F.xxhash64("doc_id", "text").alias("_any"))
-        laid = joined_shards(rows, first, others).withColumnRenamed("shard", "_shard")
+        laid = joined_shards(rows, first, others).withColumnRenamed("shard", name)
         files = max(shards, -(-(groups.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
-        laid = laid.repartitionByRange(files, "_shard", "_any").sortWithinPartitions("_shard", F.col("_row.doc_id"))
-        laid.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "_shard").write.partitionBy("_shard").parquet(path)
+        laid = laid.repartitionByRange(files, name, "_any").sortWithinPartitions(name, F.col("_row.doc_id"))
+        laid.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], name).write.partitionBy(name).parquet(path)
