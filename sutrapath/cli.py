@@ -1,4 +1,4 @@
-"""Command line: research, plan, weights, graph, index, refresh, search, suggest, directory, serp, serp-dates, sitemaps."""
+"""Command line: research, plan, weights, graph, index, refresh, search, suggest, directory, crawl, serp, serp-template, serp-dates, sitemaps."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import dataclasses
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import demand, graph, index, search, serp, web
+from .operators import crawl, demand, graph, index, search, serp, web
 from .operators.segments import Store
 from .sources import files, sinks
 from .streaming.ingest import feed_stream, live_index
@@ -36,6 +36,19 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("nodes")
     c.add_argument("links")
     c.add_argument("--out")
+    c.add_argument("--snapshots", help="table of snapshots that a row is added to")
+    c.add_argument("--export", help="folder for nodes and edges as JSON")
+    c = commands.add_parser("crawl")
+    c.add_argument("pages", help="Parquet of saved pages: page_id, url, html")
+    c.add_argument("out")
+    c.add_argument("--sitemaps", help="saved sitemap files")
+    c.add_argument("--domain", help="show one site")
+    c.add_argument("--known", action="append", default=[], help="sites to find others from")
+    c.add_argument("--rounds", type=int, default=1)
+    c.add_argument("--max-candidates", type=int, default=100)
+    c = commands.add_parser("serp-template")
+    c.add_argument("seeds")
+    c.add_argument("out")
     c = commands.add_parser("search")
     c.add_argument("index")
     c.add_argument("query")
@@ -53,11 +66,13 @@ def main(args: list[str] | None = None) -> None:
     c = commands.add_parser("index")
     c.add_argument("pages")
     c.add_argument("out")
+    c.add_argument("--websites", help="sites whose categories are indexed too")
     for name in ("serp", "serp-dates"):
         c = commands.add_parser(name)
         c.add_argument("pages")
         c.add_argument("out")
         c.add_argument("--own", action="append", default=[])
+        c.add_argument("--recorded", help="observation table whose blank cells are filled")
     c = commands.add_parser("sitemaps")
     c.add_argument("files")
     c = commands.add_parser("suggest")
@@ -94,6 +109,11 @@ def main(args: list[str] | None = None) -> None:
         scores = graph.pagerank(nodes, edges).join(graph.hits(nodes, edges), "domain")
         for column in ("pagerank", "authority", "hub"):
             graph.top(scores, column).show()
+        if a.snapshots:
+            counts = nodes.agg(F.count("*").alias("total_domains"), *[F.sum(c).alias(f"total_{c}") for c in ("pages_crawled", "total_sitemap_urls") if c in nodes.columns])
+            sinks.append_snapshot(graph.record(nodes, matrix, scores, counts), a.snapshots, F.current_timestamp())
+        if a.export:
+            sinks.write_graph(web.write_back(nodes, scores), edges, a.export)
         if a.out:
             web.write_back(nodes, scores.join(graph.degrees(nodes, edges), "domain")).write.mode("errorifexists").parquet(a.out)
     elif a.command == "search":
@@ -111,13 +131,30 @@ def main(args: list[str] | None = None) -> None:
         if a.every:
             query.awaitTermination()
     elif a.command == "index":
-        index.build(spark.read.parquet(a.pages)).write(a.out)
+        index.build(spark.read.parquet(a.pages), spark.read.parquet(a.websites) if a.websites else None).write(a.out)
+    elif a.command == "crawl":
+        saved = files.raw_pages(spark, a.sitemaps).withColumnRenamed("html", "xml") if a.sitemaps else None
+        found = crawl.read(spark.read.parquet(a.pages), saved)
+        found.write(a.out)
+        crawl.summary(found).show(truncate=False)
+        if a.domain:
+            crawl.site(found, a.domain).show(truncate=False)
+        if a.known:
+            known = spark.createDataFrame([(d,) for d in a.known], "domain string")
+            crawl.widen(found, known, a.rounds, most=a.max_candidates).write.mode("errorifexists").parquet(f"{a.out}/found")
     elif a.command == "serp":
-        sinks.write_csv(sinks.observation_rows(serp.observe(spark.read.parquet(a.pages), a.own)), a.out)
+        seen = serp.observe(spark.read.parquet(a.pages), a.own or None)
+        if a.recorded:
+            seen = serp.fill_blanks(files.observations(spark, a.recorded), seen).orderBy("ord").withColumnRenamed("keyword", "query")
+        sinks.write_csv(sinks.observation_rows(seen), a.out)
+    elif a.command == "serp-template":
+        sinks.write_template(files.seeds(spark, a.seeds), a.out)
     elif a.command == "serp-dates":
         sinks.write_dates(files.result_blocks(spark.read.parquet(a.pages)), a.out)
     elif a.command == "sitemaps":
-        web.sitemap_entries(files.raw_pages(spark, a.files).withColumnRenamed("html", "xml")).show(1000, truncate=False)
+        scan = web.sitemap_scan(files.raw_pages(spark, a.files).withColumnRenamed("html", "xml"))
+        web.sitemap_states(scan).orderBy("sitemap_url").show(1000, truncate=False)
+        scan.where("loc is not null").orderBy("url", "n").show(1000, truncate=False)
     elif a.command == "suggest":
         search.suggest(spark.read.parquet(a.titles), a.prefix).show(truncate=False)
     else:

@@ -94,17 +94,20 @@ def priority_band(demand: Column, name: Column, competition: Column) -> Column:
     return F.when(demand.isNull(), "needs-measurement").when(name == "navigational", "skip-navigational").otherwise(F.concat(base, suffix))
 
 
+#: Categories of discovered sites and the words that tell them, the first that matches counts; and of the others.
+SITE_CATEGORIES = [
+    ("News & Media", ["news", "बातमी", "पत्र", "वृत्त", "tv", "times", "live", "epaper"]),
+    ("Finance & Career", ["finance", "शेअर", "पैसा", "नोकरी", "job", "recruitment", "bharti"]),
+    ("Agriculture", ["शेती", "krushi", "agri", "मंडी", "बाजार"]),
+    ("Government", ["gov", "शासन", "महा", "योजना"]),
+    ("Community & Literature", ["साहित्य", "कविता", "कथा", "ज्ञान", "कोश"]),
+]
+OTHER_CATEGORY = "Blogs & General"
+
+
 def site_category(title: Column, host: Column) -> Column:
     """Category of a discovered site by words of its title or domain, first match counts."""
-    ladder = [
-        ("News & Media", ["news", "बातमी", "पत्र", "वृत्त", "tv", "times", "live", "epaper"]),
-        ("Finance & Career", ["finance", "शेअर", "पैसा", "नोकरी", "job", "recruitment", "bharti"]),
-        ("Agriculture", ["शेती", "krushi", "agri", "मंडी", "बाजार"]),
-        ("Government", ["gov", "शासन", "महा", "योजना"]),
-        ("Community & Literature", ["साहित्य", "कविता", "कथा", "ज्ञान", "कोश"]),
-    ]
-    both, out = F.concat_ws("\n", F.lower(title), F.lower(host)), None
-    for name, words in ladder:
-        hit = contains_any(both, words)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("Blogs & General")
+    both, out = F.concat_ws("\n", F.lower(title), F.lower(host)), F.lit(OTHER_CATEGORY)
+    for name, words in reversed(SITE_CATEGORIES):
+        out = F.when(contains_any(both, words), name).otherwise(out)
+    return out

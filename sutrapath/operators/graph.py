@@ -131,3 +131,18 @@ def snapshot(nodes: DataFrame, matrix: DataFrame) -> DataFrame:
     edges = cross_edges(matrix, nodes)
     totals = matrix.agg(F.coalesce(F.sum(F.when(F.col("is_internal"), F.col("link_count"))), F.lit(0)).alias("total_internal_links"), F.coalesce(F.sum(F.when(~F.col("is_internal"), F.col("link_count"))), F.lit(0)).alias("total_external_links"))
     return density_reciprocity(nodes, edges).crossJoin(totals)
+
+
+def record(nodes: DataFrame, matrix: DataFrame, scores: DataFrame, crawled: DataFrame | None = None) -> DataFrame:
+    """The row that the table of snapshots takes: ``snapshot``'s totals, the counts of a crawl (``crawled``, one row) if there are any, and JSON of the ten best
+    authorities and hubs (scores to four decimals, ties to six by domain) and of the links between categories, most first."""
+
+    def best(column: str) -> DataFrame:
+        ten = scores.select("domain", F.round(column, 6).alias("_s")).orderBy(F.col("_s").desc(), "domain").limit(10)
+        listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_s")).alias("s"), "domain"))), lambda x: F.struct(x["domain"].alias("domain"), F.format_string("%.4f", -x["s"] + 0.0).alias("score")))
+        return ten.agg(F.to_json(listed).alias(f"top_{column}_json"))  # ten rows
+
+    flows = category_flows(matrix, nodes)
+    between = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("links")).alias("n"), "source_category", "target_category"))), lambda x: F.struct(x["source_category"].alias("source"), x["target_category"].alias("target"), (-x["n"]).alias("links")))
+    out = snapshot(nodes, matrix).crossJoin(best("authority")).crossJoin(best("hub")).crossJoin(flows.agg(F.to_json(between).alias("category_flows_json")))  # one row each
+    return out if crawled is None else out.crossJoin(crawled)

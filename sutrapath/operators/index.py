@@ -28,16 +28,23 @@ class Index:
         return Store.create(self.documents, self.postings, path)
 
 
-def index_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text) of pages (page_id, title, path, domain): title, words of the path and domain; pages without a title at the root are left out."""
+def index_text(pages: DataFrame, websites: DataFrame | None = None) -> DataFrame:
+    """(page_id, text) of pages (page_id, title, path, domain): title, words of the path, domain; pages without a title at the root are left out.
+
+    With ``websites`` (domain, category) the category's words too, and only pages of such sites.
+    """
     plain = F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("path"), F.lit(""))
     shown = pages.where("title is not null or path <> '/'")
-    return shown.select("page_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.regexp_replace(plain, "[-_/]+", " "), "domain").alias("text"))
+    parts = [F.coalesce("title", F.lit("")), F.regexp_replace(plain, "[-_/]+", " "), F.col("domain")]
+    if websites is not None:
+        sites = websites.groupBy(F.col("domain").alias("_site")).agg(F.min("category").alias("_category"))
+        shown, parts = shown.join(sites, F.col("domain") == F.col("_site")), [*parts, F.col("_category")]
+    return shown.select("page_id", F.concat_ws(" ", *parts).alias("text"))
 
 
-def build(pages: DataFrame) -> Index:
-    """The index of pages (page_id, title, path, domain): words meet the vocabulary once for each distinct word."""
-    words = index_text(pages).select("page_id", F.explode(word_list(F.col("text"))).alias("word")).where(F.length("word") >= 2).groupBy("page_id", "word").agg(F.count("*").alias("times"))
+def build(pages: DataFrame, websites: DataFrame | None = None) -> Index:
+    """The index of pages (page_id, title, path, domain), with the categories of their sites: words meet the vocabulary once for each distinct word."""
+    words = index_text(pages, websites).select("page_id", F.explode(word_list(F.col("text"))).alias("word")).where(F.length("word") >= 2).groupBy("page_id", "word").agg(F.count("*").alias("times"))
     words = cut(words)
     terms = vocabulary(words.select("word").distinct())
     # a term that several words of a page stand for is there as often as all of them
@@ -45,9 +52,9 @@ def build(pages: DataFrame) -> Index:
     return Index(documents_of(postings), postings)
 
 
-def maintain(store: Store, pages: DataFrame) -> Store:
+def maintain(store: Store, pages: DataFrame, websites: DataFrame | None = None) -> Store:
     """The written index with new and changed pages as a segment: what it held of them goes, all else stays as it is."""
-    fresh = build(pages)
+    fresh = build(pages, websites)
     return store.add(fresh.documents, fresh.postings, removed=pages)
 
 

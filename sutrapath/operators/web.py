@@ -135,6 +135,45 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
     return rows.select("url", "kind", loc.alias("loc"), F.coalesce(_element("block", "lastmod"), _element("block", "pubDate"), _element("block", "updated")).alias("lastmod"), F.coalesce(_element("block", "title")).alias("title")).where("loc is not null")
 
 
+#: What the reader of XML may skip before the first element; kinds of sitemap by that element's name.
+_PROLOGUE = r"(?s)^(?:\uFEFF|\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<(?:[\w.-]+:)?([\w.-]+)"
+SITEMAP_KINDS = {"sitemapindex": "sitemapindex", "urlset": "urlset", "rss": "feed", "feed": "feed"}
+
+
+def sitemap_scan(files: DataFrame) -> DataFrame:
+    """(url, kind, n, loc, lastmod, priority, title, error) of XML files (url, xml): each entry; of a file without any, one row with ``loc`` null.
+
+    Kinds are sitemapindex, urlset, feed, unknown (another root: an error, no entries) and error.  What is not well-formed gives the
+    bare <loc> elements that are left, by ``sitemap_rescue``'s rule; none left, or null, is an error.  A priority that is no number is null.
+    """
+    parsed = F.from_xml("xml", "_bad string, _rest array<string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    root = F.regexp_extract("xml", _PROLOGUE, 1)
+    kinds = F.create_map(*[F.lit(x) for kv in SITEMAP_KINDS.items() for x in kv])
+    rows = files.select("url", "xml", F.coalesce(parsed["_bad"].isNotNull(), F.lit(True)).alias("_broken"), F.coalesce(F.try_element_at(kinds, root), F.lit("unknown")).alias("kind"))
+    none = F.lit(None).cast("string")
+    whole = rows.where("not _broken and xml is not null")
+    names = F.when(F.col("kind") == "sitemapindex", "sitemap").when(F.col("kind") == "urlset", "url").when(F.col("kind") == "feed", "(?:item|entry)")
+    pattern = F.concat(F.lit(r"(?is)<(?:\w+:)?"), names, F.lit(r"(?=[\s>/])[^>]*>.*?</(?:\w+:)?"), names, F.lit(r"\s*>"))
+    whole = whole.select("url", "kind", F.posexplode_outer(F.when(F.col("kind") != "unknown", F.regexp_extract_all("xml", pattern, F.lit(0)))).alias("n", "block"))
+    link = F.coalesce(_element("block", "link"), _nonempty(F.regexp_extract("block", r"""(?is)<link\b[^>]*href\s*=\s*["']([^"']+)["']""", 1)))
+    loc = unescape(F.when(F.col("kind") == "feed", link).otherwise(_element("block", "loc")))
+    entries = whole.select(
+        "url", "kind", "n", loc.alias("loc"), F.coalesce(_element("block", "lastmod"), _element("block", "pubDate"), _element("block", "updated")).alias("lastmod"),
+        F.expr("try_cast(nullif(trim(regexp_extract(block, '(?is)<(?:[a-z]+:)?priority[^>]*>(.*?)<', 1)), '') as double)").alias("priority"), unescape(_element("block", "title")).alias("title"),
+        F.when(F.col("kind") == "unknown", "unknown root").alias("error"),
+    ).where("loc is not null or n is null")
+    left = sitemap_rescue(rows.where("_broken or xml is null").select("url", F.coalesce("xml", F.lit("")).alias("xml")))
+    left = left.select("url", "kind", "n", "loc", none.alias("lastmod"), F.lit(None).cast("double").alias("priority"), none.alias("title"), F.when(F.col("kind") == "error", "not well-formed").alias("error"))
+    return entries.unionByName(left)
+
+
+def sitemap_states(scan: DataFrame) -> DataFrame:
+    """(sitemap_url, domain, kind, children, urls, error): one row for each scanned file; children are those of an index, urls those of other kinds."""
+    entries, index = F.col("loc").isNotNull(), F.col("kind") == "sitemapindex"
+    out = scan.groupBy(F.col("url").alias("sitemap_url")).agg(F.min("kind").alias("kind"), F.count_if(entries & index).alias("children"), F.count_if(entries & ~index).alias("urls"), F.min("error").alias("error"))
+    return out.withColumn("domain", domain(F.col("sitemap_url")))
+
+
 def _nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 

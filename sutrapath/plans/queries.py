@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import blueprint, demand, graph, index, search, serp, web
+from ..operators import blueprint, crawl, demand, graph, index, search, serp, web
 from ..operators.segments import Store, documents_of
 from ..sources import manifest
 from ..sources.files import table
@@ -264,6 +264,51 @@ def web_sitemap_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.sitemap_rescue(made_files(spark, sf_dir, sql.BROKEN, sql.MADE_BROKEN)).select("url", "kind", "loc")
 
 
+@query(f"WITH {sql.sitemap_scan()} SELECT * FROM scan")
+def web_sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.sitemap_scan(saved_sitemaps(spark, sf_dir)).drop("n")
+
+
+@query(f"WITH {sql.sitemap_scan()} SELECT * FROM states")
+def web_sitemap_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.sitemap_states(web.sitemap_scan(saved_sitemaps(spark, sf_dir)))
+
+
+def saved_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.expr(sql.SITEMAP_URL).alias("url"), F.expr(sql.MADE_SITEMAP).alias("xml"))
+
+
+def crawled(spark: SparkSession, sf_dir: str) -> crawl.Crawl:
+    pages = table(spark, sf_dir, "pages")
+    after = pages.select((F.col("page_id") - 1).alias("_p"), F.col("url").alias("next"))
+    saved = pages.join(after, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", F.expr(sql.CRAWLED_HTML).alias("html"))
+    return crawl.read(saved, saved_sitemaps(spark, sf_dir))
+
+
+@query(f"WITH {sql.crawl()} SELECT * FROM websites")
+def crawl_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawled(spark, sf_dir).websites
+
+
+@query(f"WITH {sql.crawl()} SELECT * FROM (SELECT count(*) AS total_domains, count(*) FILTER (verified) AS verified_domains, count(*) FILTER (sitemap_status = 'found') AS domains_with_sitemaps, coalesce(sum(total_sitemap_urls), 0)::BIGINT AS total_sitemap_urls FROM websites), (SELECT count(*) AS total_sitemaps FROM states), (SELECT count(*) AS total_pages FROM facts), (SELECT count(*) AS total_links, count(*) FILTER (is_internal) AS internal_links, count(*) FILTER (NOT is_internal) AS external_links FROM links)")
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.summary(crawled(spark, sf_dir))
+
+
+@query(f"WITH {sql.crawl()}, {sql.widened(3)} SELECT * FROM found1 UNION ALL SELECT * FROM found2 UNION ALL SELECT * FROM found3")
+def crawl_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds from the sites of every twentieth page: the seeds of a crawl are a part by nature."""
+    found = crawled(spark, sf_dir)
+    return crawl.widen(found, found.pages.where("page_id % 20 = 0").select("domain"), rounds=3)
+
+
+@query(f"WITH {sql.crawl()}, top AS (SELECT domain FROM websites ORDER BY pages_crawled DESC, domain LIMIT 1) SELECT w.*, (SELECT count(*) FROM links WHERE NOT is_internal AND source_domain = w.domain) AS links_out, (SELECT count(*) FROM links WHERE NOT is_internal AND target_domain = w.domain) AS links_in FROM websites w JOIN top USING (domain)")
+def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site with most pages, looked up by its domain."""
+    found = crawled(spark, sf_dir)
+    return crawl.site(found, found.websites.orderBy(F.col("pages_crawled").desc(), "domain").first()["domain"])
+
+
 @query(sql.VERDICT)
 def web_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.discovery_verdict(web.page_facts(table(spark, sf_dir, "pages"))).select("page_id", "reason")
@@ -300,6 +345,22 @@ def serp_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serp.observe(pages).select("query", *[F.col(c).cast("string").alias(c) for c in ("thin", "weak", "stale")], "band")
 
 
+@query(f"""WITH r AS (SELECT 'q' || s_suppkey AS query, {sql.CHECKED_HTML} AS html FROM supplier), {sql.OBSERVED}, a AS (SELECT query, contains(html, 'captcha') AS blocked, thin, weak, stale, 'auto:organic=' || len(urls) || '; weak=' || len(list_filter(urls, lambda u: contains(u, 'quora.com'))) || CASE WHEN stale THEN '; dates=seen' ELSE '' END || CASE WHEN own THEN '; own=1' ELSE '' END || CASE WHEN contains(html, 'captcha') THEN '; captcha=detected' ELSE '' END AS notes, own FROM (SELECT o.*, found.html, found.urls, list_contains(urls, 'https://www.site.in/a') AS own FROM o JOIN found USING (query))),
+b AS (SELECT query, CASE WHEN NOT blocked THEN thin END AS thin, CASE WHEN NOT blocked THEN weak END AS weak, CASE WHEN NOT blocked THEN stale END AS stale, CASE WHEN NOT blocked THEN own END AS own, notes FROM a), m AS ({sql.OBSERVED_ROWS}),
+j AS (SELECT m.*, b.thin AS t, b.weak AS w, b.stale AS s, b.own AS o, b.notes AS more FROM m LEFT JOIN b ON lower(trim(keyword)) = query)
+SELECT ord, keyword, coalesce(thin, t) AS thin, coalesce(weak, w) AS weak, coalesce(stale, s) AS stale, coalesce(own, o) AS own, filled, CASE WHEN filled > 0 THEN concat_ws('; ', notes, more) ELSE notes END AS notes FROM (SELECT *, ((thin IS NULL AND t IS NOT NULL)::INT + (weak IS NULL AND w IS NOT NULL)::INT + (stale IS NULL AND s IS NOT NULL)::INT + (own IS NULL AND o IS NOT NULL)::INT)::INT AS filled FROM j)""")
+def serp_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank cells of an observation table filled from result pages; every 13th page asks for proof of being human."""
+    suppliers = table(spark, sf_dir, "supplier")
+    pages = suppliers.select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query"), F.expr(sql.CHECKED_HTML).alias("html"))
+    n = F.col("s_suppkey") % 3
+    made = suppliers.select(
+        F.col("s_suppkey").alias("ord"), F.concat(F.lit("Q"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("keyword"), F.when(n == 0, True).alias("thin"), F.when(n == 1, False).alias("weak"), F.when(n == 2, True).alias("stale"),
+        F.when(n == 0, False).alias("own"), F.when(F.col("s_suppkey") % 2 == 0, "seen").alias("notes"),
+    )
+    return serp.fill_blanks(made, serp.observe(pages, ["site.in"]))
+
+
 # --- link graph over parts: each line item links its part to that of the order's next line ------------------
 
 
@@ -346,6 +407,16 @@ def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hits(nodes, graph.cross_edges(matrix, nodes), iterations=12, tolerance=None).select("domain", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
+@query(f"""WITH {sql.PARTS}, {sql.hits(12)}, flows AS (SELECT s.category AS source, t.category AS target, sum(link_count)::BIGINT AS links FROM matrix JOIN nodes s ON source_domain = s.domain JOIN nodes t ON target_domain = t.domain WHERE source_domain <> target_domain GROUP BY ALL)
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, {sql.top_json('authority')} AS top_authority_json, {sql.top_json('hub')} AS top_hub_json,
+  (SELECT '[' || string_agg('{{"source":"' || source || '","target":"' || target || '","links":' || links || '}}', ',' ORDER BY links DESC, source, target) || ']' FROM flows) AS category_flows_json""")
+def graph_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot keeps of the graph, beside the totals of ``graph_snapshot``."""
+    nodes, matrix = part_graph(spark, sf_dir)
+    scores = graph.hits(nodes, graph.cross_edges(matrix, nodes), iterations=12, tolerance=None)
+    return graph.record(nodes, matrix, scores).select("nodes", "edges", "top_authority_json", "top_hub_json", "category_flows_json")
+
+
 @query(f"WITH {sql.PARTS}, {sql.pagerank(40)} SELECT domain, round(pagerank, 6) AS pagerank FROM rank40")
 def graph_pagerank_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped by tolerance: what 40 steps give, as the change is far below what is shown by then."""
@@ -614,6 +685,12 @@ def srch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "pages").live_postings().select("term", "page_id", "tf")
 
 
+@query(f"WITH {sql.SITE_INDEX} SELECT term, page_id, tf FROM postings")
+def srch_index_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index with the words of each site's category."""
+    return index.build(*search_pages(spark, sf_dir)).postings.select("term", "page_id", "tf")
+
+
 def found(spark: SparkSession, sf_dir: str, query: str, **options) -> DataFrame:
     pages, sites = search_pages(spark, sf_dir)
     out = index.search_index(written(spark, sf_dir, "pages"), pages, sites, query, F.lit("2024-01-20").cast("timestamp"), **options)

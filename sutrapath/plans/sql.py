@@ -283,9 +283,65 @@ k AS (SELECT *, CASE WHEN len(locs) = 0 THEN 'error' WHEN len(list_filter(list_s
 SELECT url, kind, unnest(CASE WHEN len(locs) = 0 THEN [NULL] ELSE locs END) AS loc FROM k"""
 
 
+#: Sitemaps made from pages: whole ones with priorities, broken ones, and another document.
+_WHOLE_XML = MADE_XML.replace(", url, ", ", replace(url, '&', '&amp;'), ")
+MADE_SITEMAP = f"""CASE WHEN page_id % 11 = 10 THEN '<?xml version="1.0"?><!-- none --><html><loc>http://a.in/</loc></html>' WHEN page_id % 5 = 0 THEN {MADE_BROKEN}
+  ELSE replace({_WHOLE_XML}, '</lastmod><news', concat('</lastmod><priority> 0.', CAST(page_id % 10 AS VARCHAR(9)), '</priority><news')) END"""
+SITEMAP_URL = "concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/', CAST(page_id AS VARCHAR(20)), '.xml')"
+
+
+def sitemap_scan() -> str:
+    """CTEs scan (entries of whole sitemaps, bare <loc> elements of broken ones) and states, over MADE_SITEMAP."""
+    element = lambda name: f"nullif(trim(regexp_replace(regexp_extract(block, '(?is)<(?:\\w+:)?{name}\\b[^>]*>(.*?)</(?:\\w+:)?{name}\\s*>', 1), '<!\\[CDATA\\[|\\]\\]>', '', 'g')), '')"
+    plain = lambda name: f"replace({element(name)}, '&amp;', '&')"
+    return f"""made AS (SELECT {SITEMAP_URL} AS url, {MADE_SITEMAP} AS xml, page_id % 11 = 10 AS other, page_id % 11 <> 10 AND page_id % 5 = 0 AS broken FROM pages),
+blocks AS (SELECT url, kind, unnest(CASE WHEN kind = 'unknown' THEN [NULL] ELSE regexp_extract_all(xml, '(?is)<(?:sitemap|url|item)>.*?</(?:sitemap|url|item)>') END) AS block FROM (SELECT url, xml, CASE WHEN other THEN 'unknown' WHEN contains(xml, '<sitemapindex') THEN 'sitemapindex' WHEN contains(xml, '<urlset') THEN 'urlset' ELSE 'feed' END AS kind FROM made WHERE NOT broken)),
+whole AS (SELECT url, kind, CASE WHEN kind = 'feed' THEN {plain('link')} ELSE {plain('loc')} END AS loc, coalesce({element('lastmod')}, {element('pubDate')}) AS lastmod, TRY_CAST({element('priority')} AS DOUBLE) AS priority, {plain('title')} AS title, CASE WHEN kind = 'unknown' THEN 'unknown root' END AS error FROM blocks),
+locs AS (SELECT url, xml, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^\\s<>]+)\\s*</loc>', 1) AS locs FROM made WHERE broken),
+bare AS (SELECT *, CASE WHEN len(locs) = 0 THEN 'error' WHEN len(list_filter(list_slice(locs, 1, 5), lambda u: contains(lower(u), '.xml'))) > 0 AND contains(lower(xml), '<sitemap>') THEN 'sitemapindex' ELSE 'urlset' END AS kind FROM locs),
+scan AS (SELECT url, kind, loc, lastmod, priority, title, error FROM whole UNION ALL SELECT url, kind, unnest(CASE WHEN len(locs) = 0 THEN [NULL] ELSE locs END), NULL, NULL, NULL, CASE WHEN kind = 'error' THEN 'not well-formed' END FROM bare),
+states AS (SELECT url AS sitemap_url, {domain('url')} AS domain, min(kind) AS kind, count(loc) FILTER (kind = 'sitemapindex') AS children, count(loc) FILTER (kind <> 'sitemapindex') AS urls, min(error) AS error FROM scan GROUP BY url)"""
+
+
+#: A crawl's pages: those of the table, each with a link to the next one, two thirds with another title.
+CRAWLED_HTML = "concat(CASE page_id % 3 WHEN 0 THEN '<title>शेती विषयक</title>' WHEN 1 THEN '<title>City News</title>' ELSE '' END, html, coalesce(concat('<a href=\"', next, '\">next</a>'), ''))"
+CRAWLED = f"crawled AS (SELECT page_id, url, {CRAWLED_HTML} AS html FROM (SELECT p.*, q.url AS next FROM pages p LEFT JOIN pages q ON q.page_id = p.page_id + 1))"
+
+
+def site_category(title: str, host: str) -> str:
+    text = f"lower(concat_ws(chr(10), {title}, {host}))"
+    cases = " ".join("WHEN " + " OR ".join(f"contains({text}, {quoted(w)})" for w in words) + f" THEN {quoted(name)}" for name, words in cls.SITE_CATEGORIES)
+    return f"CASE {cases} ELSE {quoted(cls.OTHER_CATEGORY)} END"
+
+
+def crawl() -> str:
+    """CTEs facts, links, scan, states and websites of a crawl over CRAWLED and MADE_SITEMAP."""
+    over = lambda text: text.replace("FROM pages", "FROM crawled")
+    return f"""{CRAWLED}, f AS ({over(PAGE_FACTS)}), facts AS MATERIALIZED (SELECT f.*, url FROM f JOIN pages USING (page_id)), links AS MATERIALIZED ({over(PAGE_LINKS)}), {sitemap_scan()},
+known AS (SELECT domain, arg_min(title, struct_pack(a := length(url), b := url, c := page_id)) FILTER (title IS NOT NULL) AS title, round(avg(ratio), 4) AS ratio, count(*) AS pages_crawled FROM facts WHERE domain <> '' GROUP BY domain),
+listed AS (SELECT domain, sum(urls)::BIGINT AS total_sitemap_urls, max(urls + children) AS most, count(error) AS errors FROM states GROUP BY domain),
+websites AS (SELECT domain, title, {site_category('title', 'domain')} AS category, ratio, ratio >= 0.35 AS verified, coalesce(pages_crawled, 0) AS pages_crawled, CASE WHEN most > 0 THEN 'found' WHEN errors > 0 THEN 'error' ELSE 'none' END AS sitemap_status, coalesce(total_sitemap_urls, 0) AS total_sitemap_urls FROM known FULL JOIN listed USING (domain))"""
+
+
+def widened(rounds: int) -> str:
+    """CTEs known0, found1 ... of sites found through links, round by round, from the domain of the first page."""
+    out = f"""front AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY length(url), url, page_id) AS k FROM facts) WHERE k = 1),
+judged AS (SELECT domain, {site_category('title', 'domain')} AS category, CASE WHEN ratio >= 0.2 THEN 'ratio' WHEN contains(html_lang, 'mr') THEN 'language' WHEN regexp_matches(title, '[ऀ-ॿ]') THEN 'title' END AS reason FROM front),
+seen0 AS (SELECT DISTINCT domain FROM facts WHERE page_id % 20 = 0), found0 AS (SELECT domain FROM seen0)"""
+    for n in range(1, rounds + 1):
+        out += f""",
+found{n} AS MATERIALIZED (SELECT target_domain AS domain, category, reason, count(*) AS in_refs, {n} AS round FROM links JOIN judged ON target_domain = domain WHERE NOT is_internal AND source_domain IN (SELECT domain FROM found{n - 1}) AND target_domain NOT IN (SELECT domain FROM seen{n - 1}) AND reason IS NOT NULL GROUP BY ALL),
+seen{n} AS (SELECT * FROM seen{n - 1} UNION SELECT domain FROM found{n})"""
+    return out
+
+
+#: Rows of an observation table made from suppliers; two thirds of the cells are blank.
+OBSERVED_ROWS = "SELECT s_suppkey AS ord, 'Q' || s_suppkey || ' ' AS keyword, CASE s_suppkey % 3 WHEN 0 THEN true END AS thin, CASE s_suppkey % 3 WHEN 1 THEN false END AS weak, CASE s_suppkey % 3 WHEN 2 THEN true END AS stale, CASE s_suppkey % 3 WHEN 0 THEN false END AS own, CASE s_suppkey % 2 WHEN 0 THEN 'seen' END AS notes FROM supplier"
+
 #: Result pages made from suppliers, in SQL that both engines read.
 RESULT_HTML = "concat(repeat('<a href=\"https://www.site.in/a\">x</a>', CAST(s_suppkey % 2 AS INT)), CASE WHEN s_suppkey % 3 = 0 THEN '<a href=\"https://www.quora.com/q?x=1\">x</a>' ELSE '' END, CASE WHEN s_suppkey % 5 = 0 THEN '<a href=\"https://b1.in/\"></a><a href=\"https://b2.in/\"></a><a href=\"https://b3.in/\"></a><a href=\"https://b4.in/\"></a><a href=\"https://b5.in/\"></a><a href=\"https://b6.in/\"></a><a href=\"https://b7.in/\"></a><a href=\"https://b8.in/\"></a>' ELSE '' END, CASE WHEN s_suppkey % 7 = 0 THEN 'since 2019' ELSE '' END)"
 RESULT_PAGES = f"SELECT 'q' || s_suppkey AS query, {RESULT_HTML} AS html FROM supplier"
+CHECKED_HTML = f"concat({RESULT_HTML}, CASE WHEN s_suppkey % 13 = 0 THEN '<p>Please solve the captcha</p>' ELSE '' END)"
 OBSERVED = """found AS (SELECT query, html, list_distinct(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda h: regexp_replace(h, '[?#].*', ''))) AS urls FROM r),
 o AS (SELECT query, CASE WHEN len(urls) < 3 THEN true WHEN len(urls) >= 8 THEN false END AS thin, len(list_filter(urls, lambda u: contains(u, 'quora.com'))) > 0 AS weak, CASE WHEN regexp_matches(html, '\\b(19|20)\\d{2}\\b') THEN true END AS stale FROM found)"""
 
@@ -528,6 +584,10 @@ postings AS MATERIALIZED (SELECT term, page_id, sum(times)::BIGINT AS tf FROM fo
 indexed AS MATERIALIZED (SELECT page_id, sum(tf) AS dl, string_agg(term, ' ' ORDER BY term) AS terms FROM postings GROUP BY page_id)"""
 
 
+#: The index with the words of categories.
+SITE_INDEX = INDEX.replace("domain) AS text FROM known WHERE", "domain, category) AS text FROM known JOIN sites USING (domain) WHERE")
+
+
 def search_index(query: str, category: str | None = None, freshness: str | None = None, sort_by: str = "relevance", limit: int = 25) -> str:
     """A whole search over INDEX; where all filters leave nothing, the last ones are left out, as many as that takes."""
     asked = " ".join(query.lower().split())
@@ -703,3 +763,8 @@ def blueprint_audit(fluff: list[str], generic: list[str], specific: list[tuple[s
   scored AS (SELECT *, CASE WHEN asked = 0 THEN 25 ELSE least(25, round_even(coverage_pct / 100 * 25, 0)::INT) END AS grounding_score, CASE WHEN len(fluff) = 0 THEN exact + 5 ELSE greatest(0, exact + 5 - 2 * len(fluff)) END AS specificity_score FROM judged),
   summed AS (SELECT *, least(100, intent_score + grounding_score + specificity_score + schema_score + vernacular_score) AS overall FROM scored)
   SELECT p_partkey, intent_score, grounding_score, specificity_score, schema_score, vernacular_score, overall AS overall_score, {grade} AS grade, coverage_pct, answered AS answered_queries_count, array_to_string(fluff, '|') AS fluff FROM summed"""
+
+
+def top_json(column: str) -> str:
+    """JSON of the ten best of hits12: order by six decimals, then domain; scores to four."""
+    return f"""(SELECT '[' || string_agg('{{"domain":"' || domain || '","score":"' || format('{{:.4f}}', s) || '"}}', ',' ORDER BY s DESC, domain) || ']' FROM (SELECT domain, round({column}, 6) AS s FROM hits12 ORDER BY s DESC, domain LIMIT 10))"""

@@ -99,7 +99,7 @@ def append_snapshot(snapshot: DataFrame, path: str, as_of: Column) -> None:
 def observation_rows(observed: DataFrame) -> DataFrame:
     """Observations (query, thin, weak, stale, own) as the cells of an observation table: yes, no, or blank for not known."""
     cell = lambda c: F.when(F.col(c), "yes").when(~F.col(c), "no").otherwise("")
-    return observed.select(F.col("query").alias("keyword"), cell("stale").alias("top_results_stale"), cell("thin").alias("thin_results"), cell("weak").alias("weak_domains"), cell("own").alias("own_sites_ranking"), F.lit("").alias("notes"))
+    return observed.select(F.col("query").alias("keyword"), cell("stale").alias("top_results_stale"), cell("thin").alias("thin_results"), cell("weak").alias("weak_domains"), cell("own").alias("own_sites_ranking"), F.coalesce(_optional(observed, "notes", F.lit("")), F.lit("")).alias("notes"))
 
 
 def write_dates(rows: DataFrame, path: str) -> None:
