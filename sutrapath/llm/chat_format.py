@@ -3,8 +3,9 @@
 Method.  Calls and results are hash-joined by (conversation, identifier).  They are ordered topologically: a
 result comes after its call, and a call after the results of the calls that it names in ``after``.  An
 event's ``order_turn`` is the latest turn among it and all that it depends on, its ``order_level`` the longest
-path of dependencies that leads to it, so both grow along each dependency; levels are worked out in rounds,
-one for each step of the longest path of ``after``.  The order is (order_turn, order_level, turn, order_item,
+path of dependencies that leads to it, so both grow along each dependency; levels are worked out in rounds
+of pointer doubling, so that a chain of ``after`` takes the logarithm of its length (``levels``); what can't be
+contracted, as where each call names the two before it, takes a round for each step.  The order is (order_turn, order_level, turn, order_item,
 json), with order_item the place within the message: a key of each row instead of a number within the
 conversation, so that no conversation is ever gathered into one task.  The arguments of a call are parsed and
 checked against the tool's schema, and every message is serialised as JSON with sorted keys, no spaces and
@@ -108,41 +109,59 @@ def events(messages: DataFrame, turns: bool) -> DataFrame:
     return out.select("conv_id", "turn", "role", "text", F.explode(event).alias("e")).select("conv_id", "turn", "role", "text", "e.*")
 
 
+#: Steps that a dependency stands for at most: those on a cycle double without end.
+_MOST_STEPS = 1 << 40
+
+
 def levels(ids: DataFrame, after: DataFrame) -> DataFrame | None:
     """(conv, id, level, call_at, cyclic) of identifiers that depend on others, or None.
 
-    ``ids`` (conv, id, call_turn, result_turn) are all identifiers, ``after`` (conv, id, needs) which calls need
-    which results.  Each round settles the identifiers whose needs are all settled.
+    ``ids`` (conv, id, call_turn, result_turn) are all identifiers, ``after`` (conv, id, needs) which calls need which results.
+    An edge says what ``id`` gets from ``needs``: a level of at least ``least`` and that of ``needs`` plus ``steps``, a turn of at
+    least ``turn`` and that of ``needs``.  A round settles the identifiers that need nothing open, and lets each edge to an
+    identifier with one open need go on to that one; edges between the same two become one.  So a chain of n calls takes
+    log2(n) rounds, as does what branches off one and comes together again; edges only get fewer.
     """
-    known = ids.where("call_turn is not null")
-    needs = after.join(known.select(F.col("conv").alias("_c"), F.col("id").alias("_n")), (F.col("conv") == F.col("_c")) & (F.col("needs") == F.col("_n")), "left_semi").distinct()
-    open_ = stored(needs, "chat-needs")
-    if open_.isEmpty():
+    same = lambda id_: (F.col("conv") == F.col("_c")) & (F.col(id_) == F.col("_i"))
+    keys = lambda df: df.select(F.col("conv").alias("_c"), F.col("id").alias("_i")).distinct()
+    known = keys(ids.where("call_turn is not null"))
+    none = F.lit(None).cast("long")
+    edges = after.join(known, same("needs"), "left_semi").select("conv", "id", "needs").distinct().withColumns({"steps": F.lit(1).cast("long"), "least": none, "turn": none})
+    edges = stored(edges, "chat-edges")
+    if edges.isEmpty():
         return None
-    own = ids.select(F.col("conv").alias("_c"), F.col("id").alias("_i"), "call_turn", "result_turn")
-    waiting = stored(open_.select("conv", "id").distinct().join(own, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i"))).select("conv", "id", "call_turn", "result_turn"), "chat-waiting")
-    free = open_.select("conv", F.col("needs").alias("id")).distinct().join(waiting.select(F.col("conv").alias("_c"), F.col("id").alias("_i")), (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")), "left_anti")
-    free = free.join(own, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")))
-    result_at = F.greatest("result_turn", "call_at")
-    fresh = stored(free.select("conv", "id", F.lit(0).alias("level"), F.col("call_turn").alias("call_at"), "result_turn"), "chat-settled")
-    settled = None
-    held = open_.withColumns({"level": F.lit(None).cast("int"), "at": F.lit(None).cast("long")})
+    own = ids.select(F.col("conv").alias("_c"), F.col("id").alias("_i"), F.col("call_turn").cast("long").alias("first_turn"), F.col("call_turn").cast("long").alias("call_at"), F.col("result_turn").cast("long").alias("result_turn"))
+    node = ["conv", "id", "level", "first_turn", "call_at", "result_turn"]
+    waiting = stored(edges.select("conv", "id").distinct().join(own, same("id")).withColumn("level", none).select(node), "chat-waiting")
+    free = edges.select("conv", F.col("needs").alias("id")).distinct().join(keys(waiting), same("id"), "left_anti").join(own, same("id"))
+    fresh, settled = stored(free.withColumn("level", F.lit(0).cast("long")).select(node), "chat-settled"), None
     while not fresh.isEmpty():
-        new = fresh.select(F.col("conv").alias("_c"), F.col("id").alias("_n"), F.col("level").alias("_l"), result_at.cast("long").alias("_at"))
-        now = held.join(new, (F.col("conv") == F.col("_c")) & (F.col("needs") == F.col("_n")), "left").select("conv", "id", "needs", F.coalesce("_l", "level").alias("level"), F.coalesce("_at", "at").alias("at"))
-        now = stored(now, "chat-held")
-        ready = now.groupBy("conv", "id").agg(F.count("*").alias("all"), F.count("level").alias("got"), F.max("level").alias("level"), F.max("at").alias("at")).where(F.col("all") == F.col("got"))
-        ready = ready.join(waiting.withColumnsRenamed({"conv": "_c", "id": "_i"}), (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")))
-        fresh = stored(ready.select("conv", "id", (F.col("level") + 1).alias("level"), F.greatest("call_turn", "at").alias("call_at"), "result_turn"), "chat-settled")
-        done = fresh.select(F.col("conv").alias("_c"), F.col("id").alias("_i"))
-        dropped(held)
-        held = stored(now.join(done, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i")), "left_anti"), "chat-open")
-        dropped(now)
         settled = fresh if settled is None else settled.unionByName(fresh)
-    stuck = held.select("conv", "id").distinct().join(own, (F.col("conv") == F.col("_c")) & (F.col("id") == F.col("_i"))).select("conv", "id", F.lit(0).alias("level"), F.col("call_turn").alias("call_at"), F.lit(True).alias("cyclic"))
+        done = fresh.select(F.col("conv").alias("_c"), F.col("id").alias("_i"), F.col("level").alias("_level"), F.greatest("result_turn", "call_at").alias("_at"))
+        got = edges.join(done, same("needs")).groupBy(F.col("conv").alias("_conv"), F.col("id").alias("_id")).agg(F.max(F.greatest("least", F.col("_level") + F.col("steps"))).alias("_least"), F.max(F.greatest("turn", "_at")).alias("_turn"))
+        nodes = waiting.join(got, (F.col("conv") == F.col("_conv")) & (F.col("id") == F.col("_id")), "left").withColumns({"level": F.greatest("level", "_least"), "call_at": F.greatest("call_at", "_turn")}).select(node)
+        left = edges.join(keys(fresh), same("needs"), "left_anti")
+        open_ = left.groupBy(F.col("conv").alias("_c"), F.col("id").alias("_i")).agg(F.count("*").alias("n"), *[F.min(c).alias(f"_{c}") for c in ("needs", "steps", "least", "turn")])
+        counted = stored(nodes.join(open_, same("id"), "left"), "chat-nodes")
+        nodes = counted.drop("_c", "_i")
+        # what an edge to the only open need of its end goes on to
+        on = nodes.where("n = 1").select(
+            F.col("conv").alias("_c"), F.col("id").alias("_i"), "_needs", "_steps", F.greatest("level", "_least").alias("_least"), F.greatest("call_at", "result_turn", "_turn").alias("_turn"),
+        )
+        moved = left.join(on, same("needs"), "left")
+        goes = F.col("_needs").isNotNull()
+        moved = moved.select(
+            "conv", "id", F.coalesce("_needs", "needs").alias("needs"), F.when(goes, F.least(F.col("steps") + F.col("_steps"), F.lit(_MOST_STEPS))).otherwise(F.col("steps")).alias("steps"),
+            F.greatest("least", F.col("_least") + F.col("steps")).alias("least"), F.greatest("turn", "_turn").alias("turn"),
+        )
+        old = (edges, waiting)
+        edges = stored(moved.groupBy("conv", "id", "needs").agg(F.max("steps").alias("steps"), F.max("least").alias("least"), F.max("turn").alias("turn")), "chat-edges")
+        fresh, waiting = stored(nodes.where("n is null").select(node), "chat-settled"), stored(nodes.where("n is not null").select(node), "chat-waiting")
+        dropped(*old, counted)
+    stuck = waiting.select("conv", "id", F.lit(0).alias("level"), F.col("first_turn").alias("call_at"), F.lit(True).alias("cyclic"))
     if settled is None:
         return stuck
-    return settled.select("conv", "id", "level", "call_at", F.lit(False).alias("cyclic")).unionByName(stuck)
+    return settled.select("conv", "id", F.col("level").cast("int").alias("level"), "call_at", F.lit(False).alias("cyclic")).unionByName(stuck)
 
 
 def link(messages: DataFrame, schemas: Schemas = REPLY, turns: bool = False) -> DataFrame:

@@ -210,6 +210,32 @@ def test_long_chain(spark):
     assert [r["call_id"] for r in sorted(got, key=lambda r: (r["order_turn"], r["order_level"]))] == [f"c{k}" for k in range(9)]
 
 
+@pytest.mark.parametrize("shape", ["chain", "ladder", "cycle behind", "two before"])
+def test_rounds_of_long_conversations(spark, shape, monkeypatch):
+    """Chains and what comes together again take few rounds; results equal the definition."""
+    n, needs = 200, {}
+    for k in range(n):
+        if shape == "ladder":  # c3m+3 after both of c3m+1 and c3m+2, which are after c3m
+            needs[k] = [k - k % 3 - (0 if k % 3 else 1), *([k - 2] if k % 3 == 0 else [])] if k else []
+        else:
+            needs[k] = [k - 1] if k else []
+        if shape == "two before" and 1 < k < 12:
+            needs[k] = [k - 1, k - 2]
+    if shape == "cycle behind":
+        needs[101] = [100, 107]
+    rng = np.random.default_rng(8)
+    mine = [(int(rng.integers(0, 400)), "call", f"c{k}", [f"c{x}" for x in needs[k] if x >= 0]) for k in range(n)] + [(int(rng.integers(0, 400)), "result", f"c{k}", []) for k in range(0, n, 3)]
+    text = lambda kind, i, a: json.dumps({"tool_calls": [{"id": i, "name": "t", "arguments": {}, "after": a}]} if kind == "call" else {"tool_call_id": i})
+    rows = [(1, t, "assistant" if kind == "call" else "tool", text(kind, i, a)) for t, kind, i, a in mine]
+    rounds, real = [], chat_format.stored
+    monkeypatch.setattr(chat_format, "stored", lambda df, name, **more: rounds.append(name) or real(df, name, **more))
+    got = chat_format.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = in_order(mine)
+    assert {r["call_id"]: (r["order_turn"], r["order_level"], r["cyclic"]) for r in got if r["kind"] == "call"} == want
+    assert sum(v[2] for v in want.values()) == (99 if shape == "cycle behind" else 0)
+    assert rounds.count("chat-settled") <= (18 if shape == "two before" else 12)
+
+
 @pytest.mark.parametrize(
     ("arguments", "valid"),
     [
