@@ -15,7 +15,8 @@ Messages are rows (conv_id, turn, role, text).  An assistant text that is a JSON
 ``{"tool_calls": [{"id": .., "name": .., "arguments": {..}, "after": [..]}]}`` makes calls; a text of role tool
 ``{"tool_call_id": .., "content": ..}`` is a result.  With ``turns=True`` a plain user message counts
 as a call of the tool ``reply`` with arguments {"prompt": text, "turn": turn} and its turn as
-identifier, and a plain assistant message as the result of the turn before it.
+identifier, after the user message two turns before it if there is one, and a plain assistant message as the
+result of the turn before it.
 
 Schemas are JSON schemas with the members type (object, array, string, integer, number, boolean, null),
 properties, required, additionalProperties (false), items and enum, to any depth.
@@ -92,14 +93,15 @@ def events(messages: DataFrame, turns: bool) -> DataFrame:
     looks_json = F.col("text").rlike(r"^[ \t\r\n]*\{")
     calls = F.from_json(F.get_json_object(F.when((F.col("role") == "assistant") & looks_json, F.col("text")), "$.tool_calls"), f"array<{call}>")
     result = F.get_json_object(F.when((F.col("role") == "tool") & looks_json, F.col("text")), "$.tool_call_id")
+    turn_id = lambda back: F.concat(F.lit("turn:"), (F.col("turn") - back).cast("string"))
     none, nothing, first = F.lit(None).cast("string"), F.lit(None).cast("array<string>").alias("after"), F.lit(0).alias("order_item")
     keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     asked = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
     plain = F.struct(F.lit("message").alias("kind"), none.alias("call_id"), none.alias("name"), none.alias("arguments"), nothing, first)
     if turns:
         plain = (
-            F.when(keyed & (F.col("role") == "user"), F.struct(F.lit("call").alias("kind"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"), asked.alias("arguments"), nothing, first))
-            .when(keyed & (F.col("role") == "assistant"), F.struct(F.lit("result").alias("kind"), F.concat(F.lit("turn:"), (F.col("turn") - 1).cast("string")).alias("call_id"), none.alias("name"), none.alias("arguments"), nothing, first))
+            F.when(keyed & (F.col("role") == "user"), F.struct(F.lit("call").alias("kind"), turn_id(0).alias("call_id"), F.lit("reply").alias("name"), asked.alias("arguments"), F.array(turn_id(2)).alias("after"), first))
+            .when(keyed & (F.col("role") == "assistant"), F.struct(F.lit("result").alias("kind"), turn_id(1).alias("call_id"), none.alias("name"), none.alias("arguments"), nothing, first))
             .otherwise(plain)
         )
     made = F.transform("_calls", lambda c, i: F.struct(F.lit("call").alias("kind"), c["id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments"), c["after"].alias("after"), i.alias("order_item")))
@@ -201,12 +203,15 @@ WITH rows AS (
 ), ids AS (
   SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_turn, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results
   FROM named WHERE call_id IS NOT NULL GROUP BY conv_id, call_id
+), chains AS (
+  SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn - 2 * k ORDER BY turn) - 1 AS level FROM (
+    SELECT conv_id, call_id, call_turn AS turn, row_number() OVER (PARTITION BY conv_id, call_turn % 2 ORDER BY call_turn) AS k FROM ids WHERE calls > 0)
 )
 SELECT n.conv_id, n.turn, n.role, n.kind, n.call_id,
   coalesce(CASE n.kind WHEN 'call' THEN results > 0 WHEN 'result' THEN calls > 0 END, false) AS linked,
   CASE WHEN n.kind = 'call' THEN text IS NOT NULL ELSE true END AS valid,
   false AS cyclic, CASE WHEN n.kind = 'result' THEN greatest(n.turn, call_turn) ELSE n.turn END AS order_turn,
-  CAST(CASE WHEN n.kind = 'result' AND calls > 0 THEN 1 ELSE 0 END AS INTEGER) AS order_level, CAST(0 AS INTEGER) AS order_item,
+  CAST(CASE WHEN n.kind = 'call' THEN 2 * level WHEN n.kind = 'result' AND calls > 0 THEN 2 * level + 1 ELSE 0 END AS INTEGER) AS order_level, CAST(0 AS INTEGER) AS order_item,
   '{' || concat_ws(',',
     CASE WHEN n.kind = 'call' THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(text) AS VARCHAR), '"turn":' || n.turn) || '}' END,
     '"call_id":' || CAST(to_json(n.call_id) AS VARCHAR), '"kind":"' || n.kind || '"',
@@ -214,4 +219,4 @@ SELECT n.conv_id, n.turn, n.role, n.kind, n.call_id,
     '"role":' || CAST(to_json(role) AS VARCHAR),
     CASE WHEN n.kind <> 'call' THEN '"text":' || CAST(to_json(text) AS VARCHAR) END,
     '"turn":' || n.turn) || '}' AS json
-FROM named n LEFT JOIN ids i ON n.conv_id = i.conv_id AND n.call_id = i.call_id"""
+FROM named n LEFT JOIN ids i ON n.conv_id = i.conv_id AND n.call_id = i.call_id LEFT JOIN chains c ON n.conv_id = c.conv_id AND n.call_id = c.call_id"""
