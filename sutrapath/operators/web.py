@@ -60,9 +60,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source_url, target_url, source_domain, target_domain, is_internal): each page's first link to each other URL."""
+    """(source_url, target_url, source_domain, target_domain, is_internal): each link between two URLs once, however many pages were saved of the first."""
     links = pages.select(F.col("url").alias("source_url"), F.explode(F.array_distinct(F.transform(html_hrefs(F.col("html")), lambda h: resolve(F.col("url"), h)))).alias("target_url"))
-    links = links.where("target_url is not null and target_url <> source_url")
+    links = links.where("target_url is not null and target_url <> source_url").distinct()
     links = links.withColumns({"source_domain": domain(F.col("source_url")), "target_domain": domain(F.col("target_url"))})
     return links.withColumn("is_internal", F.col("source_domain") == F.col("target_domain"))
 

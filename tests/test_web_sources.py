@@ -2,10 +2,15 @@ from __future__ import annotations
 
 import json
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from sutrapath.operators import demand, web
+from sutrapath.functions import lexicons as lex
+from sutrapath.operators import crawl, demand, graph, search, web
+from sutrapath.plans import queries as plans
 from sutrapath.sources import files, sinks
 from sutrapath.streaming import ingest
 from sutrapath.streaming.keyed import KeyedTable
@@ -198,3 +203,14 @@ def test_upsert_settles_equal_times(spark):
     assert web.upsert(old, new, ["url"], "at").first()["title"] == "c"
     gone = spark.createDataFrame([("u", None, 2)], "url string, title string, at int")
     assert web.upsert(web.upsert(old, new, ["url"], "at"), gone, ["url"], "at", overwrite=["title"]).first()["title"] is None
+
+
+def test_links_of_pages_saved_twice(spark):
+    """A page that was saved twice has each link once."""
+    html = '<a href="/p">1</a><a href="https://www.other.in/z">2</a>'
+    pages = spark.createDataFrame([(1, "https://site.in/d", html), (2, "https://site.in/d", html + '<a href="/q">3</a>')], "page_id long, url string, html string")
+    links = web.page_links(pages)
+    assert sorted(r["target_url"] for r in links.collect()) == ["https://site.in/p", "https://site.in/q", "https://www.other.in/z"]
+    assert graph.link_matrix(links).where("is_internal").first()["link_count"] == 2
+    assert web.summary(web.page_facts(pages), links).first()["links"] == 3
+    assert crawl.summary(crawl.read(pages)).first()["total_links"] == 3
