@@ -302,12 +302,19 @@ def page_meta(pages: DataFrame) -> DataFrame:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(source_url, target_url, anchor_text, is_internal): a page's links to other pages, with the text of the first to each; sub-domains are internal."""
-    rows = markup.parsed(pages, ["url"]).select(F.col("url").alias("source_url"), F.posexplode("anchors").alias("n", "tag"))
-    rows = rows.select("source_url", "n", resolve(F.col("source_url"), F.col("tag.href")).alias("target_url"), F.col("tag.text").alias("anchor_text")).where("target_url is not null and target_url <> source_url")
-    first = rows.groupBy("source_url", "target_url").agg(F.min_by("anchor_text", "n").alias("anchor_text"))
+    """(source_url, target_url, anchor_text, is_internal, pages): a page's links to other pages, with the text of the first to each; sub-domains are internal.
+
+    ``pages`` says how many rows of that URL hold the link, where it was saved more than once.
+    """
+    tags = F.transform("anchors", lambda a: F.struct(resolve(F.col("url"), a["href"]).alias("target_url"), a["text"].alias("text")))
+    rows = markup.parsed(pages, ["url"]).select(F.col("url").alias("source_url"), tags.alias("_tags"))
+    rows = rows.select("source_url", F.col("_tags.target_url").alias("_targets"), F.posexplode("_tags").alias("n", "tag"))
+    rows = rows.select("source_url", "n", "tag.target_url", F.col("tag.text").alias("anchor_text"), (F.array_position("_targets", F.col("tag.target_url")) == F.col("n") + 1).alias("_first"))
+    rows = rows.where("target_url is not null and target_url <> source_url")
+    first = rows.groupBy("source_url", "target_url").agg(F.min_by("anchor_text", "n").alias("anchor_text"), F.count_if("_first").alias("pages"))
     a, b = domain(F.col("source_url")), domain(F.col("target_url"))
-    return first.withColumn("is_internal", (a == b) | b.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), b)))
+    internal = (a == b) | b.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), b))
+    return first.select("source_url", "target_url", "anchor_text", internal.alias("is_internal"), "pages")
 
 
 def discovery_verdict(facts: DataFrame, least: float = 0.2) -> DataFrame:

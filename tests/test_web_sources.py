@@ -223,3 +223,13 @@ def test_directory_rounds_as_sql_does(spark):
     got = {r["domain"]: r["pagerank"] for r in search.directory(sites).collect()}
     duck = duckdb.sql(f"SELECT i, round(b / 100 / 100000, 4) AS r FROM (SELECT unnest({balances}) AS b, unnest(range({len(balances)})) AS i)").fetchall()
     assert {f"s{i}": r for i, r in duck} == got
+
+
+def test_added_link_counts_for_each_page(spark, tmp_path):
+    """Two pages of one URL, each with the added link: two rows of it, other links once."""
+    html = '<body><a href="/p">1</a><a href="/p">again</a></body>'
+    pages = spark.createDataFrame([(1, "https://site.in/d", html), (2, "https://site.in/d", html)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["target_url"], r["anchor_text"]) for r in plans.web_anchors_odd(spark, str(tmp_path)).collect())
+    assert got == [("https://extra.in/p", "Extra link")] * 2 + [("https://site.in/p", "1")]
+    assert {(r["target_url"], r["pages"]) for r in web.anchors(pages).collect()} == {("https://site.in/p", 2)}
