@@ -245,3 +245,9 @@ def test_first_arrival_wins(spark, tmp_path):
     write("b.parquet", [(1, 5, 2, "F"), (2, 5, 2, "F"), (2, 5, 2, "O"), (3, 5, 0, "F"), *[(i, 6, 2, "F") for i in range(10, 3000)]])
     got = sorted(tuple(r) for r in plans.web_insert_or_ignore(spark, str(tmp_path)).where("t = 5").collect())
     assert got == [(1, 5, "O"), (2, 5, "F"), (3, 5, "old")]
+
+
+def test_references_without_semicolon_are_text(spark):
+    html = "<title>A &amp;&amp;&amp</title><meta name=description content='x &lt; y &copy &#39;q&#39; &eacute; &nosuch;'>"
+    row = web.page_meta(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert row["title"] == "A &&&amp" and row["description"] == "x < y &copy 'q' é &nosuch;"
