@@ -27,6 +27,11 @@ def first_seen(items: DataFrame, key: str, at: str, late: str = "10 minutes") ->
     return items.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def firsts(items: DataFrame, key: str, at: str, item: str) -> DataFrame:
+    """(key, item, times): of each key its first item, by time, then by the item itself, and how many there were; a stream holds one row of state for each key."""
+    return items.groupBy(key).agg(F.min_by(item, F.struct(at, item)).alias(item), F.count("*").alias("times"))
+
+
 def window_counts(items: DataFrame, at: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, by, n) in tumbling windows of event time."""
     counted = items.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"))
@@ -124,3 +129,16 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Runs an aggregate of a stream over all that is there now, into tables below ``path`` in the shared folder, and returns its last result."""
+    spark, numbers = stream.sparkSession, []
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers.append(number)
+
+    write = stream.writeStream.foreachBatch(step).outputMode("complete").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    write.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={max(numbers)}") if numbers else spark.createDataFrame([], stream.schema)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 
 import duckdb
@@ -251,3 +252,17 @@ def test_references_without_semicolon_are_text(spark):
     html = "<title>A &amp;&amp;&amp</title><meta name=description content='x &lt; y &copy &#39;q&#39; &eacute; &nosuch;'>"
     row = web.page_meta(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
     assert row["title"] == "A &&&amp" and row["description"] == "x < y &copy 'q' é &nosuch;"
+
+
+def test_first_event_of_a_stream(spark, tmp_path):
+    """Each user's first event by time, then by number, with how many there were, over several files."""
+    schema = "event_id long, user_id long, ts timestamp, props string"
+    at = lambda n: datetime.datetime(2024, 1, 1, n)
+    rows = [(3, 1, at(5), ""), (2, 1, at(5), ""), (1, 1, at(9), ""), (4, 2, at(1), "")]
+    folder = str(tmp_path / "events")
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = ingest.run_to_table(ingest.firsts(stream, "user_id", "ts", "event_id"), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 3), (2, 4, 1)]
+    assert set(plans.st_first_seen(spark, "/root/testdata/sf0.001").columns) == {"user_id", "event_id", "times"}
