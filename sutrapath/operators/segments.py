@@ -3,10 +3,11 @@
 Layout below a path, ``S`` being the number of a segment:
 
 * ``postings/seg=S/bucket=B``: a row is a block of up to 128 postings of one term, highest impact first.  Buckets are hashes of
-  terms, as many as the first segment's size asks for; a term of many blocks is spread over several files of its bucket;
+  terms, as many as the first segment's size asks for; a term of many blocks is spread over several files of its bucket.  Blocks
+  have growing numbers in that order, not consecutive ones;
 * ``dictionary/seg=S``: a row for each block with its number of postings, greatest tf and least length, sorted by term, so a
   term or a prefix is one range of it; and one, with block -1 and a negative number, for each term of pages that the segment replaces;
-* ``documents/seg=S``: pages with their length and terms; ``deleted/seg=S``: pages that are gone from all earlier segments;
+* ``documents/seg=S``: pages with their length and terms, and how often each is there, where it's known; ``deleted/seg=S``: pages that are gone from all earlier segments;
 * ``manifest``: which of these are live, how many pages and words there are (``sources.manifest``).
 
 ``add`` writes a segment with new and changed pages and touches no file that is there; ``compact`` rewrites only buckets that lie
@@ -21,18 +22,20 @@ from __future__ import annotations
 
 import dataclasses
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import manifest
 from ..sources.shared import cut
 from . import search
-from .ranks import numbered
 from .search import K1, B
 
-#: Postings of a block; blocks of each term that are scored first; blocks of a term in one file; postings that ask for a bucket.
-BLOCK, SEEDED, SPREAD, BUCKET_ROWS = 128, 2, 1024, 1 << 20
+#: Postings of a block; blocks of each term that are scored first; postings that ask for a bucket; steps of impact in the order of blocks.
+BLOCK, SEEDED, BUCKET_ROWS, STEPS = 128, 2, 1 << 20, 10000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
 #: Scores are rounded to six places; bounds are compared with a little less.
 MARGIN = 2e-6
@@ -40,7 +43,7 @@ MARGIN = 2e-6
 SCHEMAS = {
     "postings": "term string, block long, pages array<long>, tfs array<long>, dls array<long>, seg int, bucket int",
     "dictionary": "term string, bucket int, block long, n long, max_tf long, min_dl long, seg int",
-    "documents": "page_id long, dl long, terms array<string>, seg int",
+    "documents": "page_id long, dl long, terms array<string>, tfs array<long>, seg int",
     "deleted": "page_id long, seg int",
 }
 
@@ -55,12 +58,33 @@ def _weight(n: int, df: int) -> float:
 
 
 def documents_of(postings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(page_id, dl, terms) of postings (term, page_id, tf); pages of ``ids`` without any have length 0."""
-    out = postings.groupBy("page_id").agg(F.sum("tf").alias("dl"), F.array_sort(F.collect_list("term")).alias("terms"))
+    """(page_id, dl, terms, tfs) of postings (term, page_id, tf); pages of ``ids`` without any have length 0."""
+    rows = F.array_sort(F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"))))
+    out = postings.groupBy("page_id").agg(F.sum("tf").alias("dl"), rows.alias("_rows")).select("page_id", "dl", F.col("_rows.term").alias("terms"), F.col("_rows.tf").alias("tfs"))
     if ids is None:
         return out
     out = ids.select(F.col("page_id").alias("_p")).join(out, F.col("_p") == F.col("page_id"), "left")
-    return out.select(F.col("_p").alias("page_id"), F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    return out.select(F.col("_p").alias("page_id"), F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("tfs", F.array().cast("array<long>")).alias("tfs"))
+
+
+def postings_of(documents: DataFrame) -> DataFrame:
+    """(term, page_id, tf, dl) of documents (page_id, dl, terms, tfs)."""
+    return documents.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("term", "tf"), "page_id", "dl").select("term", "page_id", "tf", "dl")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, block, pages, tfs, dls, bucket) of postings in order of bucket, term and impact: up to ``BLOCK`` neighbours of one term and batch, numbered by the first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term = batch.column("term").dictionary_encode()
+        code, at = np.asarray(term.indices), np.arange(batch.num_rows)
+        first = np.r_[True, code[1:] != code[:-1]]  # of a term
+        first |= (at - np.maximum.accumulate(np.where(first, at, 0))) % BLOCK == 0
+        starts = np.flatnonzero(first)
+        offsets = pa.array(np.r_[starts, batch.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("page_id", "tf", "dl")]
+        yield pa.RecordBatch.from_arrays([batch.column("term").take(starts), batch.column("_mid").take(starts), *lists, batch.column("bucket").take(starts)], ["term", "block", "pages", "tfs", "dls", "bucket"])
 
 
 @dataclasses.dataclass
@@ -76,13 +100,14 @@ class Store:
         return Store(spark, path, manifest.read(spark, path))
 
     @staticmethod
-    def create(documents: DataFrame, postings: DataFrame, path: str, applied: int | None = None) -> Store:
-        """Writes the first segment: documents (page_id, dl, terms), postings (term, page_id, tf)."""
+    def create(documents: DataFrame, postings: DataFrame | None, path: str, applied: int | None = None) -> Store:
+        """Writes the first segment: documents (page_id, dl, terms), postings (term, page_id, tf); none where documents hold ``tfs``."""
         spark = documents.sparkSession
         if manifest.versions(spark, path):
             raise ValueError(f"there is an index at {path} already")
-        postings = cut(postings.select("term", "page_id", "tf"))
-        wanted = 1 << max(0, math.ceil(math.log2(max(1, postings.count()) / BUCKET_ROWS)))
+        documents = cut(documents)
+        rows = documents.agg(F.sum(F.size("terms"))).first()[0] or 0
+        wanted = 1 << max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
         empty = {"buckets": min(MOST_BUCKETS, max(LEAST_BUCKETS, wanted)), "next": 0, "segments": {}, "n": 0, "words": 0, "applied": None}
         return Store(spark, path, empty).add(documents, postings, applied=applied)
 
@@ -138,42 +163,52 @@ class Store:
 
     # --- writing ---
 
-    def _write(self, seg: int, documents: DataFrame, postings: DataFrame, minus: DataFrame | None, average: float) -> list[int]:
-        """The files of a segment from postings (term, page_id, tf, dl); returns its buckets."""
-        placed = numbered(postings, ["term"], [part(F.col("tf"), F.col("dl"), average).desc(), F.col("page_id")], "at")
-        row = F.sort_array(F.collect_list(F.struct("at", F.col("page_id"), F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))))
-        blocks = placed.groupBy("term", F.floor(F.col("at") / BLOCK).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), row.alias("rows"))  # BLOCK rows at most
-        blocks = cut(blocks.select("term", self.bucket(F.col("term")).alias("bucket"), "block", "n", F.col("max_tf").cast("long").alias("max_tf"), F.col("min_dl").cast("long").alias("min_dl"), F.col("rows.page_id").alias("pages"), F.col("rows.tf").alias("tfs"), F.col("rows.dl").alias("dls")))
-        laid = blocks.repartition("bucket", F.floor(F.col("block") / SPREAD)).sortWithinPartitions("bucket", "term", "block")
-        laid.select("term", "block", "pages", "tfs", "dls", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/seg={seg}")
-        known = blocks.select("term", "bucket", "block", "n", "max_tf", "min_dl")
+    def _write(self, seg: int, postings: DataFrame, minus: DataFrame | None, average: float) -> list[int]:
+        """The files of a segment, but for its documents, from postings (term, page_id, tf, dl); returns its buckets.
+
+        Postings are shuffled once, into ranges of bucket, term and impact, whose tasks write their blocks.
+        """
+        tf, dl = F.col("tf").cast("long"), F.col("dl").cast("long")
+        rows = postings.select(self.bucket(F.col("term")).alias("bucket"), "term", (part(tf, dl, average) * STEPS).cast("int").alias("_impact"), "page_id", tf.alias("tf"), dl.alias("dl"))
+        by = ["bucket", "term", F.col("_impact").desc(), "page_id"]
+        laid = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id())
+        laid.drop("_impact").mapInArrow(_packed, SCHEMAS["postings"].replace("seg int, ", "")).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/seg={seg}")
+        blocks = self.spark.read.schema(SCHEMAS["postings"].replace("seg int, ", "")).parquet(f"{self.path}/postings/seg={seg}")
+        known = blocks.select("term", "bucket", "block", F.size("pages").cast("long").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"))
         if minus is not None:
             none = F.lit(0).cast("long")
             known = known.unionByName(minus.select("term", self.bucket(F.col("term")).alias("bucket"), F.lit(-1).cast("long").alias("block"), (-F.col("n")).alias("n"), none.alias("max_tf"), none.alias("min_dl")))
         known.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{self.path}/dictionary/seg={seg}")
-        documents.select("page_id", F.col("dl").cast("long").alias("dl"), "terms").write.mode("overwrite").parquet(f"{self.path}/documents/seg={seg}")
         return sorted(r[0] for r in blocks.select("bucket").distinct().collect())  # the buckets
 
-    def add(self, documents: DataFrame, postings: DataFrame, removed: DataFrame | None = None, applied: int | None = None) -> Store:
+    def _write_documents(self, seg: int, documents: DataFrame) -> DataFrame:
+        """A segment's documents, written and read back; ``tfs`` is null where they don't have it."""
+        tfs = F.col("tfs") if "tfs" in documents.columns else F.lit(None).cast("array<long>").alias("tfs")
+        documents.select("page_id", F.col("dl").cast("long").alias("dl"), "terms", tfs).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/documents/seg={seg}")
+        return self._read("documents", [f"seg={seg}"]).drop("seg")
+
+    def add(self, documents: DataFrame, postings: DataFrame | None = None, removed: DataFrame | None = None, applied: int | None = None) -> Store:
         """The index with new and changed pages as a segment of its own, and without those of ``removed`` (page_id).
 
+        Postings (term, page_id, tf) are those of documents (page_id, dl, terms, tfs) where none are given.
         ``applied`` is the number of the batch that brings them: one that is there already changes nothing.
         """
         if applied is not None and self.state["applied"] is not None and applied <= self.state["applied"]:
             return self
-        seg, documents = self.state["next"], cut(documents.select("page_id", "dl", "terms"))
+        seg = self.state["next"]
+        documents = self._write_documents(seg, documents)
         ids = documents.select("page_id")
         if removed is not None:
             ids = ids.union(removed.select("page_id"))
         minus = old = None
         if self.state["segments"]:
-            old = cut(self.documents().join(ids.distinct(), "page_id", "left_semi"))
+            old = cut(self.documents().drop("tfs").join(ids.distinct(), "page_id", "left_semi"))
             minus = old.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
         new = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         gone = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first() if old is not None else {"n": 0, "words": 0}
         state = self.state | {"next": seg + 1, "n": self.state["n"] + new["n"] - gone["n"], "words": self.state["words"] + new["words"] - gone["words"], "applied": self.state["applied"] if applied is None else applied}
-        rows = postings.select("term", "page_id", "tf").join(documents.select("page_id", "dl"), "page_id")
-        buckets = self._write(seg, documents, rows, minus, state["words"] / max(1, state["n"]))
+        rows = postings_of(documents) if postings is None else postings.select("term", "page_id", "tf").join(documents.select("page_id", "dl"), "page_id")
+        buckets = self._write(seg, rows, minus, state["words"] / max(1, state["n"]))
         if gone["n"]:
             old.select("page_id").write.mode("overwrite").parquet(f"{self.path}/deleted/seg={seg}")
         state["segments"] = self.state["segments"] | {str(seg): {"buckets": buckets, "out": [], "documents": True, "dictionary": True, "deleted": bool(gone["n"])}}
@@ -185,8 +220,12 @@ class Store:
         if not many:
             return self
         seg, whole = self.state["next"], len(self._segments("documents")) >= least
-        documents = self.documents() if whole else self.spark.createDataFrame([], "page_id long, dl long, terms array<string>")
-        buckets = self._write(seg, documents, self.live_postings(many), None, self.average)
+        documents = self._write_documents(seg, self.documents() if whole else self.spark.createDataFrame([], "page_id long, dl long, terms array<string>, tfs array<long>"))
+        if whole and documents.where("tfs is null").isEmpty():
+            rows = postings_of(documents).where(self.bucket(F.col("term")).isin(many))
+        else:
+            rows = self.live_postings(many)
+        buckets = self._write(seg, rows, None, self.average)
         old = {s: x | {"out": sorted({*x["out"], *many}), "documents": x["documents"] and not whole} for s, x in self.state["segments"].items()}
         old[str(seg)] = {"buckets": buckets, "out": [], "documents": whole, "dictionary": True, "deleted": False}
         # a segment's dictionary is needed while it has entries in buckets that stay; a tombstone while anything before it does
@@ -271,7 +310,8 @@ class Store:
         each = {r["i"]: r for r in tops.groupBy("i").agg(F.sum("top").alias("top"), F.max("blocks").alias("blocks")).collect()}
         if max((r["blocks"] for r in each.values()), default=0) <= SEEDED:
             return None
-        first = self.hits(matched.where(F.col("block").between(0, SEEDED - 1)), terms, prefix, skipping=True)
+        ahead = F.row_number().over(Window.partitionBy("seg", "i", "term").orderBy("block"))  # blocks of the query's terms
+        first = self.hits(cut(matched.where("block >= 0").withColumn("_n", ahead).where(F.col("_n") <= SEEDED).drop("_n")), terms, prefix, skipping=True)
         scores = search.scored(cut(self._by_page(first, len(terms))), clusters, self.state["n"], self.average, df)
         floor = self._floor(scores, len(clusters) if every else None, most)
         if floor is None:

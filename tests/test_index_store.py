@@ -251,3 +251,22 @@ def test_ingest_by_time(spark, tmp_path):
                 rows(*more).write.mode("append").parquet(source)
     finally:
         query.stop()
+
+
+def test_counted_words_are_an_index(spark, small_docs, tmp_path):
+    """Words counted row by row are those of the postings; the index needs nothing else, and its blocks of a term go from high impact to low."""
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b a")], "doc_id long, text string")
+    docs = small_docs.select("doc_id", "text").unionByName(more)
+    counted = search.counted(docs)
+    store = segments.Store.create(counted, None, str(tmp_path / "index"))
+    assert held(store.live_postings()) == {(r["term"], r["doc_id"], r["tf"]) for r in search.postings(docs).collect()}
+    assert {(r["page_id"], r["dl"]) for r in counted.where("page_id < 0").collect()} == {(-1, 0), (-2, 0), (-3, 3)} and store.state["n"] == docs.count()
+    last = {}
+    for r in sorted(store.postings(list(range(16))).collect(), key=lambda r: (r["term"], r["block"])):
+        worth = [tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / store.average)) for tf, dl in zip(r["tfs"], r["dls"], strict=True)]
+        assert len(worth) <= segments.BLOCK and worth[0] <= last.get(r["term"], 9.0) + 1e-3
+        last[r["term"]] = worth[-1]
+    assert sum(r["n"] for r in store.dictionary().collect()) == search.postings(docs).count()
+    # a second segment and a compaction from documents alone
+    again = store.add(search.counted(more.where("doc_id = -3").withColumn("text", F.lit("c c")))).compact(2)
+    assert held(again.live_postings().where("page_id = -3")) == {("c", -3, 2)} and again.documents().count() == docs.count()
