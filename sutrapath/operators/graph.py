@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import bucketed, dropped
+from ..sources.shared import cut
+from .steps import Steps
 
 
 def link_matrix(links: DataFrame) -> DataFrame:
@@ -16,12 +17,15 @@ def link_matrix(links: DataFrame) -> DataFrame:
     return links.groupBy("source_domain", "target_domain").agg(F.count("*").alias("link_count")).withColumn("is_internal", internal)
 
 
+def outward(matrix: DataFrame) -> DataFrame:
+    """(u, v, w): edges between two different domains."""
+    return matrix.where("source_domain <> target_domain").select(F.col("source_domain").alias("u"), F.col("target_domain").alias("v"), F.col("link_count").alias("w"))
+
+
 def cross_edges(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v, w): edges between two different known domains."""
     known = nodes.select(F.col("domain").alias("_d"))
-    out = matrix.where("source_domain <> target_domain")
-    out = out.join(known, F.col("source_domain") == F.col("_d"), "left_semi").join(known, F.col("target_domain") == F.col("_d"), "left_semi")
-    return out.select(F.col("source_domain").alias("u"), F.col("target_domain").alias("v"), F.col("link_count").alias("w"))
+    return outward(matrix).join(known, F.col("u") == F.col("_d"), "left_semi").join(known, F.col("v") == F.col("_d"), "left_semi").select("u", "v", "w")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,84 +45,64 @@ def link_totals(matrix: DataFrame) -> DataFrame:
 
 def density_reciprocity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, graph_density (6 places) and reciprocity (4 places)."""
-    pairs = edges.select("u", "v").distinct()
-    back = pairs.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    mutual = pairs.join(back, (F.col("u") == F.col("_v")) & (F.col("v") == F.col("_u")), "left_semi").agg(F.count("*").alias("mutual"))
-    out = nodes.agg(F.count("*").alias("nodes")).crossJoin(pairs.agg(F.count("*").alias("edges"))).crossJoin(mutual)  # one row each
+    up, down = (F.max(c.cast("int")).alias(n) for c, n in ((F.col("u") <= F.col("v"), "up"), (F.col("u") >= F.col("v"), "down")))
+    pairs = edges.groupBy(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).agg(up, down)
+    own, both = F.col("low") == F.col("high"), F.col("up") + F.col("down")  # an edge to itself is one, and its own way back
+    pairs = pairs.select(F.when(own, 1).otherwise(both).alias("edges"), F.when(own, 1).when(both == 2, 2).otherwise(0).alias("mutual"))
+    sums = pairs.agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"), F.coalesce(F.sum("mutual"), F.lit(0)).alias("mutual"))
+    out = nodes.agg(F.count("*").alias("nodes")).crossJoin(sums)  # one row each
     possible = F.greatest(F.col("nodes") * (F.col("nodes") - 1), F.lit(1))
     return out.select("nodes", "edges", F.round(F.col("edges") / possible, 6).alias("graph_density"), F.when(F.col("edges") > 0, F.round(F.col("mutual") / F.col("edges"), 4)).otherwise(0.0).alias("reciprocity"))
 
 
-def category_flows(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source_category, target_category, links) over links between different domains; unknown domains are Unclassified."""
-    cats = nodes.select("domain", "category")
-    out = matrix.where("source_domain <> target_domain")
-    out = out.join(cats.withColumnsRenamed({"domain": "_s", "category": "_sc"}), F.col("source_domain") == F.col("_s"), "left")
-    out = out.join(cats.withColumnsRenamed({"domain": "_t", "category": "_tc"}), F.col("target_domain") == F.col("_t"), "left")
+def _placed(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, w, source_category, target_category, known) of links between different domains; ``known`` where both are nodes."""
+    end = lambda c: nodes.select(F.col("domain").alias(c), F.col("category").alias(f"_{c}"), F.lit(True).alias(f"_{c}_known"))
+    out = outward(matrix).join(end("u"), "u", "left").join(end("v"), "v", "left")
+    known = F.col("_u_known").isNotNull() & F.col("_v_known").isNotNull()
+    return out.select("u", "v", "w", F.col("_u").alias("source_category"), F.col("_v").alias("target_category"), known.alias("known"))
+
+
+def _flows(placed: DataFrame) -> DataFrame:
     unknown = F.lit("Unclassified")
-    return out.groupBy(F.coalesce("_sc", unknown).alias("source_category"), F.coalesce("_tc", unknown).alias("target_category")).agg(F.sum("link_count").alias("links"))
+    return placed.groupBy(F.coalesce("source_category", unknown).alias("source_category"), F.coalesce("target_category", unknown).alias("target_category")).agg(F.sum("w").alias("links"))
 
 
-def _buckets(nodes: DataFrame) -> int:
-    return int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def category_flows(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_category, target_category, links) over links between different domains; unknown domains are Unclassified."""
+    return _flows(_placed(matrix, nodes))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """(domain, pagerank): weighted PageRank with the rank of dangling nodes dealt to all.
+    """(domain, pagerank): weighted PageRank with the rank of dangling nodes dealt to all; edges with an end that is no node are left out.
 
-    Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.  Edges lie in buckets of
-    their source, the state in the same buckets of the node: a step joins them where they lie and shuffles only what targets get,
-    summed up in each task before.  Of each state two sums come to the driver.
+    Without ``tolerance`` exactly ``iterations`` steps run; with it the L1 change ends them earlier.  Of each state only sums
+    come to the driver.
     """
-    totals, buckets = edges.groupBy("u").agg(F.sum("w").alias("total")), _buckets(nodes)
-    moves = bucketed(edges.join(totals, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")), "u", buckets)
-    sink = nodes.select("domain").join(totals.select(F.col("u").alias("_u"), "total"), F.col("domain") == F.col("_u"), "left").select("domain", F.col("total").isNull().alias("dangling"))
-    state = bucketed(sink.select("domain", "dangling", F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("before")), "domain", buckets)
-    n, loose = state.agg(F.count("*"), F.count_if("dangling")).first()
+    n = nodes.count()
     if not n:
-        return state.select("domain", F.lit(0.0).alias("pagerank"))
-    loose, start = loose / n, F.lit(1.0 / n)
+        return nodes.select("domain", F.lit(0.0).alias("pagerank"))
+    walk, scales = Steps(nodes, edges, [(True, 0, 0)], [1.0 / n], weighted=True), [(1.0, 0.0)]
     for _ in range(iterations):
-        rank = state.select("domain", "dangling", F.coalesce("pagerank", start).alias("pagerank"))
-        into = rank.join(moves, F.col("domain") == F.col("u")).groupBy("v").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
-        after = rank.join(into, F.col("domain") == F.col("v"), "left").select("domain", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before"))
-        old, state = state, bucketed(after, "domain", buckets)
-        dropped(old)
-        loose, change = state.agg(F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
-        if tolerance is not None and change < tolerance:
+        ((idle, _),) = walk.step(scales, tolerance is not None)
+        scales = [(damping, (1 - damping) / n + damping * idle / n)]
+        if tolerance is not None and walk.change(scales) < tolerance:
             break
-    dropped(moves)
-    return state.select("domain", F.coalesce("pagerank", start).alias("pagerank"))
+    return walk.end(["pagerank"], scales)
 
 
 def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance: float | None = 1e-5) -> DataFrame:
     """(domain, hub, authority): unweighted HITS; hubs take the authorities of the step before, both are scaled to length 1.
 
-    A step is one join and one aggregate: each edge carries a hub to its target and an authority to its source.  Edges, both
-    ways, lie in buckets of the end that gives, the state in the same buckets; states are stored unscaled, their lengths are
-    numbers on the driver.
+    Edges with an end that is no node are left out.  In a step each edge carries a hub to its target and an authority to its
+    source; states are stored unscaled, their lengths are numbers on the driver.
     """
-    pairs, buckets = edges.select("u", "v").distinct(), _buckets(nodes)
-    ways = F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("to"), F.lit(True).alias("forward")), F.struct(F.col("v").alias("at"), F.col("u").alias("to"), F.lit(False).alias("forward")))).alias("e")
-    both = bucketed(pairs.select(ways).select("e.at", "e.to", "e.forward"), "at", buckets)
-    one, none = F.lit(1.0), F.lit(None).cast("double")
-    state, length = bucketed(nodes.select("domain", one.alias("hub"), one.alias("authority"), none.alias("hub0"), none.alias("authority0")), "domain", buckets), (1.0, 1.0)
-    scaled = lambda df, by: df.select("domain", (F.col("hub") / F.lit(by[0])).alias("hub"), (F.col("authority") / F.lit(by[1])).alias("authority"))
+    walk, scales = Steps(nodes, edges, [(True, 0, 1), (False, 1, 0)], [1.0, 1.0], weighted=False), [(1.0, 0.0), (1.0, 0.0)]
     for _ in range(iterations):
-        old = scaled(state, length)
-        got = old.join(both, F.col("domain") == F.col("at")).groupBy("to").agg(F.sum(F.when(~F.col("forward"), F.col("authority")).otherwise(0.0)).alias("new_hub"), F.sum(F.when(F.col("forward"), F.col("hub")).otherwise(0.0)).alias("new_authority"))
-        new = old.join(got, F.col("domain") == F.col("to"), "left").select("domain", F.coalesce("new_hub", F.lit(0.0)).alias("hub"), F.coalesce("new_authority", F.lit(0.0)).alias("authority"), F.col("hub").alias("hub0"), F.col("authority").alias("authority0"))
-        before, state = state, bucketed(new, "domain", buckets)
-        dropped(before)
-        square = lambda c: F.sum(F.col(c) * F.col(c))
-        length = tuple(math.sqrt(x or 0.0) or 1.0 for x in state.agg(square("hub"), square("authority")).first())
-        if tolerance is not None:
-            moved = F.abs(F.col("hub") / F.lit(length[0]) - F.col("hub0")) + F.abs(F.col("authority") / F.lit(length[1]) - F.col("authority0"))
-            if (state.agg(F.sum(moved)).first()[0] or 0.0) < tolerance:
-                break
-    dropped(both)
-    return scaled(state, length)
+        scales = [(1 / (math.sqrt(squares) or 1.0), 0.0) for _, squares in walk.step(scales, tolerance is not None)]
+        if tolerance is not None and walk.change(scales) < tolerance:
+            break
+    return walk.end(["hub", "authority"], scales)
 
 
 def top(scores: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -128,7 +112,10 @@ def top(scores: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def snapshot(nodes: DataFrame, matrix: DataFrame) -> DataFrame:
     """One row of totals of the whole graph."""
-    edges = cross_edges(matrix, nodes)
+    return _totals(nodes, matrix, cross_edges(matrix, nodes))
+
+
+def _totals(nodes: DataFrame, matrix: DataFrame, edges: DataFrame) -> DataFrame:
     totals = matrix.agg(F.coalesce(F.sum(F.when(F.col("is_internal"), F.col("link_count"))), F.lit(0)).alias("total_internal_links"), F.coalesce(F.sum(F.when(~F.col("is_internal"), F.col("link_count"))), F.lit(0)).alias("total_external_links"))
     return density_reciprocity(nodes, edges).crossJoin(totals)
 
@@ -142,7 +129,8 @@ def record(nodes: DataFrame, matrix: DataFrame, scores: DataFrame, crawled: Data
         listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_s")).alias("s"), "domain"))), lambda x: F.struct(x["domain"].alias("domain"), F.format_string("%.4f", -x["s"] + 0.0).alias("score")))
         return ten.agg(F.to_json(listed).alias(f"top_{column}_json"))  # ten rows
 
-    flows = category_flows(matrix, nodes)
+    placed = cut(_placed(matrix, nodes))
+    flows = _flows(placed)
     between = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("links")).alias("n"), "source_category", "target_category"))), lambda x: F.struct(x["source_category"].alias("source"), x["target_category"].alias("target"), (-x["n"]).alias("links")))
-    out = snapshot(nodes, matrix).crossJoin(best("authority")).crossJoin(best("hub")).crossJoin(flows.agg(F.to_json(between).alias("category_flows_json")))  # one row each
+    out = _totals(nodes, matrix, placed.where("known")).crossJoin(best("authority")).crossJoin(best("hub")).crossJoin(flows.agg(F.to_json(between).alias("category_flows_json")))  # one row each
     return out if crawled is None else out.crossJoin(crawled)

@@ -43,14 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, column: str, buckets: int, apart: str | None = None) -> DataFrame:
     """Like ``cut``, but the rows lie in buckets of a hash of ``column`` and in its order: joins on it with others bucketed alike shuffle neither.
 
-    The table is in the session's catalog until ``dropped``.
+    Rows of different ``apart`` lie in different files.  The table is in the session's catalog until ``dropped``.
     """
     spark, name = df.sparkSession, f"sutrapath_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    write = df.write.partitionBy(apart) if apart else df.write
+    write.bucketBy(buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)
     out = spark.table(name)
